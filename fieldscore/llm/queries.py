@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ann, line_dedup, packing, sharding, tokenstore, warc
 from . import decontaminate as decontam
-from . import line_dedup, packing, sharding, warc
 from .common import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,20 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", n.alias("n_tokens")))
 
 
+def op7_token_ids(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    # this vocabulary drops white space, so pieces between spaces don't depend on each other
+    files = tokenstore.write_tokens(table(spark, sf_dir, "documents"), shared_dir(spark), vocabulary, end_id=1, by_space=True)
+    return tokenstore.read_tokens(spark, files)
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import stage
 
@@ -57,6 +71,8 @@ QUERIES: dict[str, Query] = {
     "op2_warc": op2_warc,
     "op3_decontaminate": op3_decontaminate,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_token_ids": op7_token_ids,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_sharding": op10_sharding,
 }
 
