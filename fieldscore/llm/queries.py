@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, line_dedup, packing, sharding, tokenstore, warc
+from . import ann, line_dedup, packing, quality, sharding, tokenstore, warc
 from . import decontaminate as decontam
 from .common import shared_dir
 
@@ -40,6 +40,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", n.alias("n_tokens")))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", *quality.RESULTS)
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     if vocabulary is None:
         import public_tokenizers
@@ -71,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op2_warc": op2_warc,
     "op3_decontaminate": op3_decontaminate,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_quality": op5_quality,
     "op7_token_ids": op7_token_ids,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_sharding": op10_sharding,
