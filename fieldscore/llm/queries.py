@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, line_dedup, packing, quality, sharding, tokenstore, warc
+from . import ann, jaccard, line_dedup, packing, quality, sharding, tokenstore, warc
 from . import decontaminate as decontam
 from .common import shared_dir
 
@@ -45,6 +45,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", *quality.RESULTS)
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_documents(table(spark, sf_dir, "documents"), n=3, similarity=(90, 100))
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     if vocabulary is None:
         import public_tokenizers
@@ -77,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality": op5_quality,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_token_ids": op7_token_ids,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_sharding": op10_sharding,
