@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, line_dedup, packing, quality, sharding, tokenstore, warc
+from . import ann, jaccard, line_dedup, packing, phrases, quality, sharding, tokenstore, warc
 from . import decontaminate as decontam
 from .common import shared_dir
 
@@ -59,6 +59,11 @@ def op7_token_ids(spark: SparkSession, sf_dir: str, vocabulary: str | None = Non
     return tokenstore.read_tokens(spark, files)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = phrases.dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), window=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality": op5_quality,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_token_ids": op7_token_ids,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_sharding": op10_sharding,
 }
@@ -123,4 +129,14 @@ ORACLE: dict[str, str] = {
         SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op8_substring_dedup": """
+        WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        win AS (SELECT doc_id, j, array_to_string(list_slice(w, j, j + 19), ' ') AS s
+                FROM dw, LATERAL (SELECT unnest(range(1, len(w) - 18)) AS j)),
+        ranked AS (SELECT doc_id, j, row_number() OVER (PARTITION BY s ORDER BY doc_id, j) AS r FROM win),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(j, j + 20)) AS p FROM ranked WHERE r > 1),
+        words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM dw),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) AS BIGINT) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM dw LEFT JOIN kept USING (doc_id)""",
 }
