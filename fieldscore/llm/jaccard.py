@@ -230,7 +230,8 @@ def _product(docs: DataFrame, groups: DataFrame, sets: DataFrame, n: int, simila
         F.col("id").alias("__id"), F.col("text_hash").alias("__hash"),
         F.xxhash64("grp", F.least("tile", "with"), F.greatest("tile", "with")).alias("cell"), (F.col("tile") > F.col("with")).alias("right"),
     )
-    cells = placed.groupBy("__id", "__hash").agg(F.collect_list(F.struct("cell", "right")).alias("cells"))
+    # this side grows with the input, so it is never broadcast
+    cells = placed.groupBy("__id", "__hash").agg(F.collect_list(F.struct("cell", "right")).alias("cells")).hint("merge")
     # texts move once; rows that repeat both id and text are one row of the tile
     hashed = docs.where("id IS NOT NULL AND text IS NOT NULL").withColumn("text_hash", F.xxhash64("text"))
     texts = hashed.join(cells, (F.col("id") == F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("text", "cells")
