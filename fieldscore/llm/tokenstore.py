@@ -30,7 +30,7 @@ from .common import shared_dir, stage
 MAGIC = b"IDPACK01"
 BLOCK_IDS = 4096
 FILE_IDS = 1 << 27
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 TEXT_BYTES = 2 << 20
 TRAILER = struct.Struct("<8sIIQQQ")  # magic, bits, ids in a block, ids, documents, start of the index
 
@@ -155,6 +155,17 @@ class Encoder:
         return out
 
 
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(vocabulary: str, by_space: bool) -> Encoder:
+    """The worker's encoder: tasks that follow each other in a worker share its pieces."""
+    key = vocabulary, by_space
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(vocabulary, by_space)
+    return _ENCODERS[key]
+
+
 def write_tokens(
     docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, by_space: bool = False, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -164,7 +175,7 @@ def write_tokens(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = fs.FileSystem.from_uri(path)
-        encode = Encoder(vocabulary, by_space)
+        encode = encoder(vocabulary, by_space)
         bits = max(1, (max(encode.of.get_vocab_size(), end_id + 1) - 1).bit_length())
         files, out = [], None
         first = TaskContext.get().partitionId() << 24
