@@ -19,7 +19,7 @@ import math
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +31,9 @@ POOL_ROWS = 10_000
 ROUNDS = 2
 SURE = 0.97
 THRESHOLD = 0.5
-FEATURES = 1 << 17
+#: Words of the model: the most frequent ones that at least MIN_ROWS fitting documents hold.
+VOCABULARY = 20_000
+MIN_ROWS = 3
 VIEWS = ("content", "metadata")
 RESULTS = ("content_score", "metadata_score", "quality_score", "accepted")
 
@@ -68,10 +70,6 @@ def metadata_tokens(columns: list[str], size: str | None):
     return F.array(*tokens)
 
 
-def _hashed(tokens: str, features: int, out: str) -> HashingTF:
-    return HashingTF(inputCol=tokens, outputCol=out, numFeatures=features, binary=True)
-
-
 def _fit(rows: DataFrame, view: str, iterations: int = 40):
     """A sparse logistic model: most words get no weight, so long texts don't add up noise."""
     lr = LogisticRegression(featuresCol=view, labelCol="good", weightCol="weight", regParam=0.002, elasticNetParam=1.0, maxIter=iterations, standardization=False)
@@ -104,7 +102,7 @@ def _chance(log_odds):
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source"),
     size_col: str | None = "n_chars", labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS,
-    sure: float = SURE, threshold: float = THRESHOLD, features: int = FEATURES,
+    sure: float = SURE, threshold: float = THRESHOLD, vocabulary: int = VOCABULARY,
 ) -> DataFrame:
     """The documents with both calibrated scores, the combined one, and ``accepted``.
 
@@ -122,15 +120,24 @@ def classify(
     # a bounded number of ids: at most labelled_rows + pool_rows
     chosen = F.broadcast(stage(labelled.unionByName(pool)))
 
-    def views(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("__content", content_tokens(F.col(text_col))).withColumn("__metadata", metadata_tokens(list(meta_cols), size_col))
-        for view in VIEWS:
-            rows = _hashed(f"__{view}", features if view == "content" else 1 << 12, view).transform(rows)
-        return rows.drop("__content", "__metadata")
+    def tokens(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("__content", content_tokens(F.col(text_col))).withColumn("__metadata", metadata_tokens(list(meta_cols), size_col))
 
     rows = docs.join(chosen, docs[id_col] == chosen["__id"])
     # several rows of one document: one of them is enough for fitting
-    sample = stage(views(rows.dropDuplicates(["__id"])).select("__id", "good", *VIEWS))
+    words = stage(tokens(rows.dropDuplicates(["__id"])).select("__id", "good", *[f"__{v}" for v in VIEWS]))
+    if words.isEmpty():
+        return docs.withColumns({c: F.lit(1.0) for c in RESULTS[:3]}).withColumn("accepted", F.lit(1.0) >= threshold)
+    vectorizers = [
+        CountVectorizer(inputCol=f"__{v}", outputCol=v, vocabSize=vocabulary, minDF=MIN_ROWS if v == "content" else 1, binary=True).fit(words) for v in VIEWS
+    ]
+
+    def views(rows: DataFrame) -> DataFrame:
+        for model in vectorizers:
+            rows = model.transform(rows)
+        return rows.drop(*[f"__{v}" for v in VIEWS])
+
+    sample = stage(views(words))
     counts = {r[0]: r[1] for r in sample.groupBy("good").count().collect()}
     good, bad = counts.get(1.0, 0), counts.get(0.0, 0)
     if not good or not bad:
@@ -160,7 +167,7 @@ def classify(
     calibrated = {o: _apply(lines[v], [f"{v}_margin"]) for o, v in zip(odds, VIEWS, strict=True)}
     both = _line(aside.withColumns(calibrated), odds)
 
-    out = views(docs)
+    out = views(tokens(docs))
     for v in VIEWS:
         out = _margin(models[v], out, v)
     out = out.withColumns(calibrated).withColumn("quality_score", _chance(_apply(both, odds)))
