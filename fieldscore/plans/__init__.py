@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from . import scoring, structuring
+    from . import books, scoring, structuring
 
-    return scoring, structuring
+    return scoring, structuring, books
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
