@@ -34,6 +34,7 @@ THRESHOLD = 0.5
 #: Words of the model: the most frequent ones that at least MIN_ROWS fitting documents hold.
 VOCABULARY = 20_000
 MIN_ROWS = 3
+FIT_PARTITIONS = 8
 VIEWS = ("content", "metadata")
 RESULTS = ("content_score", "metadata_score", "quality_score", "accepted")
 
@@ -108,29 +109,37 @@ def classify(
 
     ``labels`` holds (id, quality, toxic); a document is good if it has quality and is not toxic.
     """
-    docs = docs.drop(*[c for c in RESULTS if c in docs.columns])
+    kept = [c for c in docs.columns if c not in RESULTS]
+    # the row travels as one column, so no name of the input meets a name used here
+    meta = {f"__meta{i}": F.col(c) for i, c in enumerate(meta_cols)}
+    size = {"__size": F.col(size_col)} if size_col else {}
+    base = docs.select(F.struct(*kept).alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *[v.alias(k) for k, v in (meta | size).items()])
+
+    def flat(value: float) -> DataFrame:
+        same = F.lit(float(value))
+        return base.select("__row.*", *[same.alias(c) for c in RESULTS[:3]], (same >= threshold).alias("accepted"))
+
     known = (
         labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
         .groupBy(F.col(id_col).alias("__id")).agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("double")).alias("good"))
     )
     by_hash = F.xxhash64("__id", F.lit("fit"))
-    ids = docs.select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct()
+    ids = base.select("__id").where("__id IS NOT NULL").distinct()
     labelled = known.join(ids, "__id", "left_semi").orderBy(by_hash, "__id").limit(labelled_rows)
     pool = ids.join(known, "__id", "left_anti").orderBy(by_hash, "__id").limit(pool_rows).withColumn("good", F.lit(None).cast("double"))
     # a bounded number of ids: at most labelled_rows + pool_rows
     chosen = F.broadcast(stage(labelled.unionByName(pool)))
 
     def tokens(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("__content", content_tokens(F.col(text_col))).withColumn("__metadata", metadata_tokens(list(meta_cols), size_col))
+        return rows.withColumn("__content", content_tokens(F.col("__text"))).withColumn("__metadata", metadata_tokens(list(meta), "__size" if size else None))
 
-    rows = docs.join(chosen, docs[id_col] == chosen["__id"])
-    # several rows of one document: one of them is enough for fitting
-    words = stage(tokens(rows.dropDuplicates(["__id"])).select("__id", "good", *[f"__{v}" for v in VIEWS]))
-    if words.isEmpty():
-        return docs.withColumns({c: F.lit(1.0) for c in RESULTS[:3]}).withColumn("accepted", F.lit(1.0) >= threshold)
-    vectorizers = [
-        CountVectorizer(inputCol=f"__{v}", outputCol=v, vocabSize=vocabulary, minDF=MIN_ROWS if v == "content" else 1, binary=True).fit(words) for v in VIEWS
-    ]
+    # several rows of one document: one of them is enough for fitting; the sample is bounded, a few partitions hold it
+    words = stage(tokens(base.join(chosen, "__id").dropDuplicates(["__id"])).select("__id", "good", *[f"__{v}" for v in VIEWS]).repartition(FIT_PARTITIONS, "__id"))
+    n = words.count()
+    if not n:
+        return flat(1.0)
+    least = {"content": MIN_ROWS if n >= 100 else 1, "metadata": 1}
+    vectorizers = [CountVectorizer(inputCol=f"__{v}", outputCol=v, vocabSize=vocabulary, minDF=least[v], binary=True).fit(words) for v in VIEWS]
 
     def views(rows: DataFrame) -> DataFrame:
         for model in vectorizers:
@@ -141,8 +150,7 @@ def classify(
     counts = {r[0]: r[1] for r in sample.groupBy("good").count().collect()}
     good, bad = counts.get(1.0, 0), counts.get(0.0, 0)
     if not good or not bad:
-        flat = F.lit(good / (good + bad) if good + bad else 1.0)
-        return docs.withColumns({c: flat for c in RESULTS[:3]}).withColumn("accepted", flat >= threshold)
+        return flat(good / (good + bad) if good + bad else 1.0)
 
     fold = F.pmod(F.xxhash64("__id", F.lit("fold")), F.lit(4))
     real = sample.where("good IS NOT NULL").withColumn("weight", F.lit(1.0))
@@ -152,7 +160,7 @@ def classify(
     told: dict[str, DataFrame] = {}
     for k in range(rounds + 1):
         models = {v: _fit(train.unionByName(told[v]) if v in told else train, v) for v in VIEWS}
-        if k and k == rounds:
+        if k == rounds:
             break
         lines = {v: _line(_margin(models[v], aside, v), [f"{v}_margin"]) for v in VIEWS}
         for v, other in (VIEWS, VIEWS[::-1]):
@@ -167,13 +175,12 @@ def classify(
     calibrated = {o: _apply(lines[v], [f"{v}_margin"]) for o, v in zip(odds, VIEWS, strict=True)}
     both = _line(aside.withColumns(calibrated), odds)
 
-    out = views(tokens(docs))
+    out = views(tokens(base))
     for v in VIEWS:
         out = _margin(models[v], out, v)
-    out = out.withColumns(calibrated).withColumn("quality_score", _chance(_apply(both, odds)))
-    out = out.withColumns({f"{v}_score": _chance(F.col(o)) for o, v in zip(odds, VIEWS, strict=True)})
-    out = out.withColumn("accepted", F.col("quality_score") >= threshold)
-    return out.select(*docs.columns, *RESULTS)
+    out = out.withColumns(calibrated)
+    score = _chance(_apply(both, odds))
+    return out.select("__row.*", *[_chance(F.col(o)).alias(f"{v}_score") for o, v in zip(odds, VIEWS, strict=True)], score.alias("quality_score"), (score >= threshold).alias("accepted"))
 
 
 def log_loss(p: float, good: bool) -> float:

@@ -42,7 +42,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", *quality.RESULTS)
+    return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", *quality.RESULTS[:-1], F.col("accepted").alias("keep"))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,7 @@ def test_run(spark, frame, corpus, tmp_path):
 def test_repeated_rows_and_no_ids_stay_or_go(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, None), (3, None)], "doc_id long, text string")
     out = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert out.columns == docs.columns
     assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted([(1, "a b c d e f"), (None, "a b c d e f"), (None, None), (3, None)], key=repr)
 
 
@@ -69,3 +70,36 @@ def test_every_operator_has_a_query():
     assert "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
     assert line_dedup.MIN_DOCS == 5 and quality.THRESHOLD == 0.5
+
+
+CLASHES = ("n_words", "n_hit", "n_dropped", "contaminated", "accepted", "content", "metadata", "good", "weight", "prediction", "features", "id", "key", "words", "component_id", "x")
+
+
+def test_stages_keep_columns_with_their_names(spark, frame, corpus, tmp_path):
+    folder = str(tmp_path / "sf")
+    write_tables(spark, frame, folder, corpus)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({c: F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")) for c in CLASHES})
+    for _, function in corpus_pipeline.STAGES[:-1]:
+        out = function(spark, docs, folder)
+        assert out.columns == docs.columns
+        for r in out.select("doc_id", *CLASHES).limit(30).collect():
+            assert all(r[c] == f"{c}:{r.doc_id}" for c in CLASHES)
+    assert corpus_pipeline.packing_stage(spark, docs, folder).count() >= docs.count()
+
+
+def test_stages_on_nothing(spark, frame, corpus, tmp_path):
+    folder = str(tmp_path / "sf")
+    docs = write_tables(spark, frame, folder, corpus).limit(0)
+    for _, function in corpus_pipeline.STAGES:
+        assert function(spark, docs, folder).count() == 0
+
+
+def test_stages_on_nulls(spark, frame, corpus, tmp_path):
+    folder = str(tmp_path / "sf")
+    docs = write_tables(spark, frame, folder, corpus)
+    void = spark.createDataFrame([(None,) * len(docs.columns)] * 2 + [(7000, None, None, None, None)], docs.schema)
+    now = void
+    for _, function in corpus_pipeline.STAGES[:-1]:
+        now = function(spark, now, folder)
+        assert now.count() == 3
+    assert corpus_pipeline.packing_stage(spark, now, folder).count() == 3

@@ -279,3 +279,12 @@ def test_quality_without_labels(spark, labelled):
     assert quality.classify(docs.limit(0), labels).count() == 0
     nulls = quality.classify(few, spark.createDataFrame([(1, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int"))
     assert nulls.where("accepted").count() == 7
+
+
+def test_quality_with_names_of_its_own(spark, labelled):
+    docs, labels = labelled
+    odd = docs.withColumns({c: F.col("doc_id") for c in ("content", "metadata", "good", "weight", "rawPrediction", "probability", "prediction", "accepted")})
+    out = quality.classify(odd, labels, rounds=0)
+    assert out.where("content <> doc_id OR metadata <> doc_id OR good <> doc_id OR prediction <> doc_id").count() == 0
+    assert dict(out.dtypes)["accepted"] == "boolean" and out.count() == 900
+    assert quality.classify(docs.limit(2), labels).count() == 2
