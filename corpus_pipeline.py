@@ -24,34 +24,47 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns a stage works on and the others as one column, so that no name of theirs meets one of an operator's."""
+    rest = [c for c in docs.columns if c not in columns]
+    return docs.select(*columns, F.struct(*rest).alias("__row") if rest else F.lit(None).cast("string").alias("__row"))
+
+
+def _unpacked(out: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns of ``docs`` in their order."""
+    return out.select(*[F.col(c) if c in columns else F.col("__row").getField(c).alias(c) for c in docs.columns])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
-    return quality.classify(docs, _table(spark, sf_dir, "labels")).where("accepted").select(docs.columns)
+    used = ("doc_id", "text", "lang", "source", "n_chars")
+    judged = quality.classify(_packed(docs, *used), _table(spark, sf_dir, "labels"))
+    return _unpacked(judged.where("accepted"), docs, *used)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents hold stay in one; ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    used = ("doc_id", "text", "n_chars")
+    out = line_dedup.dedup_lines(_packed(docs, *used))
+    n = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return _unpacked(out.withColumn("n_chars", n), docs, *used)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays; of rows with one id and text, one."""
-    linked = jaccard.link_documents(docs, n=SHINGLE_WORDS, similarity=SIMILARITY)
+    linked = jaccard.link_documents(docs.select("doc_id", "text"), n=SHINGLE_WORDS, similarity=SIMILARITY)
     gone = linked.where("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    rows = _packed(docs, "doc_id", "text").withColumn("__text", F.xxhash64("text")).join(gone, "doc_id", "left_anti")
     # rows without an id are spread by their text and all stay
-    same = Window.partitionBy(F.coalesce("doc_id", F.xxhash64("text"))).orderBy(F.xxhash64("text"))
-    kept = kept.withColumn("__text", F.xxhash64("text")).withColumn("__before", F.lag("__text").over(same))
-    return kept.where("doc_id IS NULL OR __before IS NULL OR __before <> __text").select(docs.columns)
+    same = Window.partitionBy(F.coalesce("doc_id", "__text")).orderBy("__text")
+    kept = rows.withColumn("__before", F.lag("__text").over(same)).where("doc_id IS NULL OR __before IS NULL OR __before <> __text")
+    return _unpacked(kept, docs, "doc_id", "text")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by benchmark items go."""
-    judged = decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
-    return judged.where("NOT contaminated").select(docs.columns)
+    judged = decontaminate.decontaminate(_packed(docs, "doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return _unpacked(judged.where("NOT contaminated"), docs, "doc_id", "text")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
