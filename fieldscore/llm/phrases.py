@@ -3,7 +3,8 @@
 1. Every window of ``window`` words has one phrase of half as many words, the one with the smallest hash, so equal
    windows have equal phrases. Phrases that occur once in the corpus are dropped; the others are confirmed to recur.
 2. Documents meet the recurring phrases they hold. Each shard of documents compiles an Aho-Corasick automaton of its
-   phrases, over word ids, and streams its documents to locate every occurrence; only windows around these can recur.
+   phrases, with words as letters, and streams its documents to locate every occurrence; only windows around these can
+   recur.
 3. Of equal windows (64-bit codes of the words) the earliest stays; each other one removes its words.
 
 A task settles what recurs within it and passes on one row for each phrase or window, so that a passage in a third of
@@ -23,15 +24,18 @@ from itertools import compress
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, runs_of, signed, text_blocks, words_of
+from .common import arrow_rows, mix, runs_of, signed, text_blocks, words_of
 
 WINDOW = 20
 #: Rows that a task sorts together.
 CHUNK_ROWS = 2_000_000
 LAST = np.uint64(2**64 - 1)
+#: Code points beside 0 and the surrogates.
+LETTERS = 0x10FFFF - 0x800
 
 
 def window_phrases(code: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,15 +54,14 @@ def window_phrases(code: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.n
     return starts, place, hashes
 
 
-def _by_document(ids: np.ndarray, marks: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    """(id, mark, values as bytes): one row for each document."""
-    order = np.lexsort((values, marks, ids))
-    ids, marks, values = ids[order], marks[order], values[order]
+def _runs(ids: np.ndarray, marks: np.ndarray, start: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, rows) of runs of consecutive starts in one document, with equal values of ``more``."""
     new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])
-    cut = np.append(np.flatnonzero(new), len(ids)) * values.itemsize
-    data = pa.Array.from_buffers(pa.binary(), int(new.sum()), [None, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(ids[new]), pa.array(marks[new]), data], names=["id", "mark", "found"])
+    new[1:] = (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1]) | (start[1:] != start[:-1] + 1)
+    for x in more:
+        new[1:] |= x[1:] != x[:-1]
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(ids))).astype(np.int32)
 
 
 def _known(key: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,11 +73,12 @@ def _known(key: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _recurring(docs: DataFrame, window: int) -> DataFrame:
-    """(id, mark, found): the recurring phrases of each document that has some, in one or several rows."""
+    """(id, mark, phrase): the recurring phrases of each document."""
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, n = [], 0
         for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
             ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at, raw, offsets in text_blocks(batch.column(2)):
                 _, _, code, doc = words_of(raw, offsets, lower=False)
@@ -91,11 +95,9 @@ def _recurring(docs: DataFrame, window: int) -> DataFrame:
 
     def settle(kept: list) -> Iterator[pa.RecordBatch]:
         phrase, ids, marks = (np.concatenate(x) for x in zip(*kept, strict=True))
-        order = np.argsort(phrase, kind="stable")
-        one, more = _known(phrase, order)
-        again = np.zeros(len(phrase), bool)
-        again[more] = True
-        again[one] = np.isin(phrase[one], phrase[more])
+        one, more = _known(phrase, np.argsort(phrase, kind="stable"))
+        again = np.isin(phrase, np.unique(phrase[more]))
+        one = np.sort(one)  # neighbours compress well
         yield rows(phrase[one], ids[one], marks[one], False)
         if again.any():
             yield rows(phrase[again], ids[again], marks[again], True)
@@ -106,114 +108,129 @@ def _recurring(docs: DataFrame, window: int) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = []
         for batch in batches:
-            phrase, ids, marks, known = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            if known.any():
-                yield _by_document(ids[known], marks[known], phrase[known])
-            probes.append((phrase[~known], ids[~known], marks[~known]))
+            known = batch.column(3)
+            yield batch.filter(known).select(["id", "mark", "phrase"])
+            part = batch.filter(pc.invert(known))
+            probes.append(tuple(part.column(i).to_numpy() for i in range(3)))
         if probes:
             phrase, ids, marks = (np.concatenate(x) for x in zip(*probes, strict=True))
             del probes
             _, more = _known(phrase, np.argsort(phrase, kind="stable"))
             again = np.isin(phrase, np.unique(phrase[more]))
-            if again.any():
-                yield _by_document(ids[again], marks[again], phrase[again])
+            order = np.flatnonzero(again)
+            order = order[np.lexsort((marks[order], ids[order]))]
+            yield arrow_rows(id=ids[order], mark=marks[order], phrase=phrase[order])
 
-    rows_ = docs.select("id", "mark", "text").mapInArrow(held, "phrase long, id long, mark int, known boolean")
+    made = docs.mapInArrow(held, "phrase long, id long, mark int, known boolean")
     spread = F.when(F.col("known"), F.xxhash64("id")).otherwise(F.col("phrase"))
-    return rows_.repartition(spread).mapInArrow(meet, "id long, mark int, found binary")
+    return made.repartition(spread).mapInArrow(meet, "id long, mark int, phrase long")
 
 
-def locate(code: np.ndarray, doc: np.ndarray, hashes: np.ndarray, wanted: list[np.ndarray], half: int) -> np.ndarray:
-    """Where recurring phrases stand in a shard of documents: an automaton of them reads every document."""
+def locate(code: np.ndarray, doc: np.ndarray, hashes: np.ndarray, wanted: np.ndarray, half: int) -> np.ndarray:
+    """Where recurring phrases stand in a shard of documents: an automaton of them reads every document.
+
+    The alphabet are the words of the phrases, a code point for each. Should a shard have more words than there are
+    code points some share one; that only brings more windows to be judged.
+    """
     where = np.flatnonzero(hashes != LAST)
-    all_wanted = np.unique(np.concatenate(wanted)) if wanted else np.zeros(0, np.uint64)
-    seeds = where[np.isin(hashes[where], all_wanted)]
+    seeds = where[np.isin(hashes[where], np.unique(wanted))]
     seeds = seeds[np.unique(hashes[seeds], return_index=True)[1]]
     here = np.zeros(len(code), bool)
     if not len(seeds):
         return here
-    ids = (code & np.uint64(0xFFFFFFFF)).tolist()
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+    alphabet = np.unique(code[(seeds[:, None] + np.arange(half)).ravel()])
+    at = np.minimum(np.searchsorted(alphabet, code), len(alphabet) - 1)
+    letter = at % LETTERS + 1
+    letter += np.where(letter >= 0xD800, 0x800, 0)  # no surrogates
+    letter[alphabet[at] != code] = 0
+    text = letter.astype("<u4").tobytes().decode("utf-32-le")
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     for p in seeds.tolist():
-        automaton.add_word(tuple(ids[p : p + half]))
+        automaton.add_word(text[p : p + half])
     automaton.make_automaton()
     bounds = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc)).tolist()
     ends = []
     for a, b in zip(bounds, bounds[1:], strict=False):
-        ends += [a + end for end, _ in automaton.iter(tuple(ids[a:b]))]
+        ends += [end for end, _ in automaton.iter(text, a, b)]
     here[np.array(ends, np.int64) - half + 1] = True
     return here
 
 
 def _repeats(docs: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
-    """(id, mark, found): starts of the windows of a document that occur earlier, in one or several rows."""
-    lists = recurring.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_list("found").alias("found"))
-    joined = docs.join(lists, (F.col("id") == F.col("__id")) & (F.col("mark") == F.col("__mark"))).select("id", "mark", "text", "found")
+    """(id, mark, start, n): runs of windows of a document that occur earlier."""
+    lists = recurring.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_list("phrase").alias("found"))
+    # an outer join like the last one, on the same columns: Spark moves the texts once for both
+    joined = docs.join(lists, (F.col("id") == F.col("__id")) & (F.col("mark") == F.col("__mark")), "left").select("id", "mark", "text", "found")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, n = [], 0
+        kept, n, groups = [], 0, 0
         for batch in batches:
+            batch = batch.filter(batch.column(3).is_valid())
             ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at, raw, offsets in text_blocks(batch.column(2)):
-                found = batch.column(3).slice(at, len(offsets) - 1).to_pylist()
-                wanted = [np.frombuffer(x, np.uint64) for row in found for x in row]
+                wanted = batch.column(3).slice(at, len(offsets) - 1).flatten().to_numpy().view(np.uint64)
                 _, _, code, doc = words_of(raw, offsets, lower=False)
                 starts, place, hashes = window_phrases(code, doc, window)
-                here = locate(code, doc, hashes, wanted, window // 2)
-                starts = starts[here[place]]
+                here = locate(code, doc, hashes, wanted, window // 2)[place]
+                starts, place = starts[here], place[here]
                 at_run, window_code = runs_of(code, doc, window)
                 window_code = window_code[np.searchsorted(at_run, starts)]
                 first_word = np.searchsorted(doc, doc[starts])
                 own = at + doc[starts]
-                kept.append((window_code, ids[own], marks[own], (starts - first_word).astype(np.int32)))
-                n += len(starts)
+                kept.append((window_code, ids[own], marks[own], (starts - first_word).astype(np.int32), hashes[place], place + groups))
+                n, groups = n + len(starts), groups + len(code)
                 if n >= CHUNK_ROWS:
                     yield from settle(kept)
-                    kept, n = [], 0
+                    kept, n, groups = [], 0, 0
         if n:
             yield from settle(kept)
 
-    def settle(kept: list) -> Iterator[pa.RecordBatch]:
-        code, ids, marks, start = (np.concatenate(x) for x in zip(*kept, strict=True))
+    def earliest(code: np.ndarray, ids: np.ndarray, marks: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the earliest place of each window, all later ones), each in the order of documents; the same place twice counts once."""
         order = np.lexsort((start, marks, ids, code))
-        same = np.zeros(len(order), bool)  # rows of one document that came twice
         c, i, m, s = (x[order] for x in (code, ids, marks, start))
+        same = np.zeros(len(order), bool)
         same[1:] = (c[1:] == c[:-1]) & (i[1:] == i[:-1]) & (m[1:] == m[:-1]) & (s[1:] == s[:-1])
         one, more = _known(code, order[~same])
-        by_row = np.sort(one)  # neighbours compress well
-        yield rows(code[by_row], ids[by_row], marks[by_row], start[by_row])
-        if len(more):
-            out = _by_document(ids[more], marks[more], start[more])
-            void = pa.nulls(out.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([void, out.column(0), out.column(1), void.cast(pa.int32()), out.column(2)], names=["code", "id", "mark", "start", "found"])
+        in_order = lambda x: x[np.lexsort((start[x], marks[x], ids[x]))]
+        return in_order(one), in_order(more)
+
+    def gone(ids: np.ndarray, marks: np.ndarray, start: np.ndarray) -> dict:
+        first, n = _runs(ids, marks, start)
+        return {"id": ids[first], "mark": marks[first], "start": start[first], "n": n}
 
-    def rows(code: np.ndarray, ids: np.ndarray, marks: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-        return arrow_rows(code=signed(code), id=ids, mark=marks, start=start, found=pa.nulls(len(ids), pa.binary()))
+    def settle(kept: list) -> Iterator[pa.RecordBatch]:
+        code, ids, marks, start, phrase, place = (np.concatenate(x) for x in zip(*kept, strict=True))
+        one, more = earliest(code, ids, marks, start)
+        code, i, m, s = code[one], ids[one], marks[one], start[one]
+        first, n = _runs(i, m, s, place[one])
+        cut = np.append(np.append(0, np.cumsum(n)[:-1]), len(code)) * 8
+        codes = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(code.tobytes())])
+        yield arrow_rows(phrase=signed(phrase[one][first]), id=i[first], mark=m[first], start=s[first], n=n, codes=codes)
+        if len(more):
+            out = gone(ids[more], marks[more], start[more])
+            yield arrow_rows(phrase=signed(mix(out["id"].astype(np.uint64))), **out, codes=pa.nulls(len(out["n"]), pa.binary()))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = []
         for batch in batches:
-            known = batch.column(0).is_null()
-            if known.true_count:
-                part = batch.filter(known)
-                yield part.select(["id", "mark", "found"])
-            part = batch.filter(batch.column(0).is_valid())
+            yield batch.filter(batch.column(5).is_null()).select(["id", "mark", "start", "n"])
+            part = batch.filter(batch.column(5).is_valid())
             if part.num_rows:
-                probes.append(tuple(part.column(i).to_numpy() for i in range(4)))
+                n = part.column(4).to_numpy()
+                row = np.repeat(np.arange(len(n)), n)
+                code = np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint64)
+                start = part.column(3).to_numpy()[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+                probes.append((code, part.column(1).to_numpy()[row], part.column(2).to_numpy()[row], start))
         if probes:
             code, ids, marks, start = (np.concatenate(x) for x in zip(*probes, strict=True))
             del probes
-            order = np.lexsort((start, marks, ids, code))
-            c, i, m, s = (x[order] for x in (code, ids, marks, start))
-            same = np.zeros(len(order), bool)
-            same[1:] = (c[1:] == c[:-1]) & (i[1:] == i[:-1]) & (m[1:] == m[:-1]) & (s[1:] == s[:-1])
-            _, more = _known(code, order[~same])
-            if len(more):
-                yield _by_document(ids[more], marks[more], start[more])
+            _, more = earliest(code, ids, marks, start)
+            yield arrow_rows(**gone(ids[more], marks[more], start[more]))
 
-    made = joined.mapInArrow(windows, "code long, id long, mark int, start int, found binary")
-    spread = F.coalesce("code", F.xxhash64("id"))
-    return made.repartition(spread).mapInArrow(judge, "id long, mark int, found binary")
+    # equal windows have equal phrases, so a phrase's windows travel as one row
+    made = joined.mapInArrow(windows, "phrase long, id long, mark int, start int, n int, codes binary")
+    return made.repartition("phrase").mapInArrow(judge, "id long, mark int, start int, n int")
 
 
 def dedup_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,25 +238,27 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     docs = docs.drop(*[c for c in ("n_words", "n_removed") if c in docs.columns])
     names = docs.columns
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # the same columns feed both joins, so Spark moves the texts once
-    source = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names) if c not in (id_col, text_col)], F.col(id_col).alias("id"), F.hash(text).alias("mark"), text.alias("text"))
-    clean = source.where("id IS NOT NULL").withColumn("id", F.col("id").cast("long"))
-    repeats = _repeats(clean.select("id", "mark", "text"), _recurring(clean, window), window)
-    lists = repeats.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_list("found").alias("found"))
+    other = [F.col(c).alias(f"c{i}") for i, c in enumerate(names) if c not in (id_col, text_col)]
+    source = docs.select(*other, F.col(id_col).cast("long").alias("id"), F.hash(text).alias("mark"), text.alias("text"))
+    texts = source.select("id", "mark", "text")
+    repeats = _repeats(texts, _recurring(texts, window), window)
+    lists = repeats.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_list(F.struct("start", "n")).alias("found"))
     joined = source.join(lists, (F.col("id") == F.col("__id")) & (F.col("mark") == F.col("__mark")), "left").drop("__id", "__mark", "mark")
     place = joined.columns.index("text")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, words, removed = [], [], []
-            for body, found in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            found = batch.column(batch.num_columns - 1)
+            for k, body in enumerate(batch.column(place).to_pylist()):
                 own = body.encode().split()  # splits on [\x20\x09-\x0D]
                 words.append(len(own))
-                if found:
+                if found[k].is_valid:
+                    runs = found[k].values
+                    start = runs.field(0).to_numpy()
                     edge = np.zeros(len(own) + 1, np.int64)
-                    starts = np.concatenate([np.frombuffer(x, np.int32) for x in found])
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, starts + window, -1)
+                    np.add.at(edge, start, 1)
+                    np.add.at(edge, start + runs.field(1).to_numpy() + window - 1, -1)
                     own = list(compress(own, (np.cumsum(edge)[:-1] == 0).tolist()))
                 removed.append(words[-1] - len(own))
                 texts.append(b" ".join(own).decode())
@@ -248,5 +267,6 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     schema = joined.drop("found").schema.add("n_words", "long").add("n_removed", "long")
     out = joined.mapInArrow(remove, schema)
-    back = {f"c{i}": c for i, c in enumerate(names)} | {"id": id_col, "text": text_col}
-    return out.select(*[F.col(k).alias(c) for c in names for k, v in back.items() if v == c and k in out.columns], "n_words", "n_removed")
+    back = {c: f"c{i}" for i, c in enumerate(names)} | {id_col: "id", text_col: "text"}
+    kinds = dict(docs.dtypes)
+    return out.select(*[F.col(back[c]).cast(kinds[c]).alias(c) if c == id_col else F.col(back[c]).alias(c) for c in names], "n_words", "n_removed")
