@@ -36,6 +36,16 @@ def sorted_string(variant: Column) -> Column:
     return F.to_json(variant)
 
 
+def ordered_string(text: Column, indent: bool = False) -> Column:
+    """JSON with the keys of the top level in the order of the text, compact or a key on each line; null if it is no object."""
+    entries = F.map_entries(F.from_json(text, "map<string,variant>"))
+    quoted = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")
+    space, before, after = (" ", "\n  ", "\n") if indent else ("", "", "")
+    pairs = F.transform(entries, lambda e: F.concat(F.lit(before), quoted(e["key"]), F.lit(":" + space), F.coalesce(F.to_json(e["value"]), F.lit("null"))))
+    whole = F.concat(F.lit("{"), F.array_join(pairs, ","), F.when(F.size(pairs) > 0, after).otherwise(""), F.lit("}"))
+    return F.when(strict_object(text).isNotNull(), whole)
+
+
 def member(variant: Column, key: str, kind: str = "variant") -> Column:
     """A direct member; keys may hold dots, spaces and hyphens."""
     return F.try_variant_get(variant, f'$["{key}"]', kind)

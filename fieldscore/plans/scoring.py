@@ -293,6 +293,11 @@ def q_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "f1").select("doc_id", J.sorted_string(J.strict_object(F.col("gt"))).alias("record"))
 
 
+@query(f"SELECT doc_id, CASE WHEN json_type(TRY_CAST(pred AS JSON)) = 'OBJECT' THEN pred END AS record FROM {duck('f1')}")
+def q_canonical_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "f1").select("doc_id", J.ordered_string(F.col("pred")).alias("record"))
+
+
 _TEMPLATE = ("Brand", "Name", "Dims.Size", "Note", "Missing")
 
 

@@ -45,6 +45,12 @@ def test_extract_options(spark):
     assert column(spark, ['{"a":1,"b":2,"c":3}', '{"a":1,"b":2,"c":3,"d":4}'], lambda c: J.extract_object(c, "greedy", min_keys=4)) == ["{}", '{"a":1,"b":2,"c":3,"d":4}']
 
 
+def test_ordered_string(spark):
+    texts = ['{"b": 1, "a":{"d":"é","c":null}, "k\\"":[1, 2]}', "{}", "[1]", None]
+    assert column(spark, texts, J.ordered_string) == ['{"b":1,"a":{"c":null,"d":"é"},"k\\"":[1,2]}', "{}", None, None]
+    assert column(spark, texts[:1], lambda c: J.ordered_string(c, indent=True)) == ['{\n  "b": 1,\n  "a": {"c":null,"d":"é"},\n  "k\\"": [1,2]\n}']
+
+
 def test_prefix_and_escape(spark):
     assert column(spark, ["User: OCR: Assistant: x", "assistant: a\nASSISTANT: OCR: b", "ocr: c", "d"], J.strip_chat_prefix) == ["x", "b", "c", "d"]
     assert column(spark, [r"{\"a\":\"b\"}", r"a \"b\" c", r"\"\"\"\" \x"], J.unescape_once) == ['{"a":"b"}', r"a \"b\" c", r"\"\"\"\" \x"]
