@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FENCE = "```"
-
+from .text import strip
 
-def strip(text: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+FENCE = "```"
 
 
 def is_object(variant: Column, allow_empty: bool = True) -> Column:

@@ -28,8 +28,14 @@ def unicode_norm(text: Column, form: str = "NFC", casefold: bool = False) -> Col
     return norm(text)
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind, Unicode's too, at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def collapse_space(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Runs of white space of any kind to one space, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def normalize_text(text: Column) -> Column:
@@ -40,7 +46,7 @@ def normalize_text(text: Column) -> Column:
 def schema_form(text: Column, fold=None) -> Column:
     """For scores that count punctuation: folded, hyphenated line breaks joined, no white space."""
     folded = unicode_norm(text, "NFKC", casefold=True) if fold is None else fold(text)
-    return F.regexp_replace(F.regexp_replace(folded, r"-\s*\n\s*", ""), r"\s+", "")
+    return F.regexp_replace(F.regexp_replace(folded, r"(?U)-\s*\n\s*", ""), r"(?U)\s+", "")
 
 
 def content_form(text: Column, fold=None) -> Column:
@@ -103,7 +109,7 @@ def clean_labels(text: Column) -> Column:
         (r"[ \t]+", " "),
     ):
         text = F.regexp_replace(text, pattern, to)
-    return F.trim(text)
+    return strip(text)
 
 
 def label_key(label: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import LETTERS, clean_labels, collapse_space, decimal_comma, is_measurement, is_noise, is_paragraph, label_key
+from ..functions.text import LETTERS, clean_labels, collapse_space, decimal_comma, is_measurement, is_noise, is_paragraph, label_key, strip
 from ..registry import CARD_ALIASES, CARD_FIELDS
 
 START, END = "\u0001", "\u0002"
@@ -127,8 +127,8 @@ def canonical(label):
 
 def _fields(pieces: DataFrame, id_col: str) -> DataFrame:
     """(id, key, value): the pieces (line_no, pos, key, text) of each field, joined by spaces."""
-    rows = pieces.where("key IS NOT NULL AND trim(text) <> ''")
-    joined = rows.groupBy(id_col, "key").agg(_join(F.collect_list(F.struct("line_no", "pos", F.trim("text").alias("text")))).alias("value"))
+    rows = pieces.withColumn("text", strip(F.col("text"))).where("key IS NOT NULL AND text <> ''")
+    joined = rows.groupBy(id_col, "key").agg(_join(F.collect_list(F.struct("line_no", "pos", "text"))).alias("value"))
     return joined.withColumn("value", collapse_space(F.col("value")))
 
 
@@ -140,7 +140,7 @@ def fields_by_span(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = clean_labels(F.col(text_col))
     marked = F.regexp_replace(text, rf"(?i)\b({'|'.join(_quoted(x) for x, _ in _labels())})\b\s*:?", f"{START}$1{END}")
     spans = docs.select(id_col, text.alias("whole"), F.posexplode(F.slice(F.split(marked, START), 2, 1_000_000)).alias("pos", "span"))
-    value = F.trim(F.regexp_replace(F.regexp_replace(F.substring_index(F.col("span"), END, -1), r"^[\s\-:]+", ""), r"\s*\n\s*", " "))
+    value = strip(F.regexp_replace(F.regexp_replace(F.substring_index(F.col("span"), END, -1), r"^[\s\-:]+", ""), r"\s*\n\s*", " "))
     pieces = spans.select(id_col, F.lit(0).alias("line_no"), "pos", canonical(F.substring_index(F.col("span"), END, 1)).alias("key"), value.alias("text"))
     found = _fields(pieces, id_col)
     found = found.withColumn("value", F.when(F.col("key") == "Material", collapse_space(F.regexp_replace("value", r"\s*,\s*", ", "))).otherwise(F.col("value")))
@@ -157,7 +157,7 @@ def fields_by_line(lines: DataFrame, id_col: str) -> DataFrame:
     pair = rf"([{LETTERS}.\-\s]{{2,}}?)\s*:\s*([^:]+)"
     keys, values = (F.regexp_extract_all("line", F.lit(pair), F.lit(i)) for i in (1, 2))
     rows = lines.select(id_col, "line_no", "line", F.arrays_zip(keys.alias("k"), values.alias("v")).alias("pairs"))
-    rows = rows.withColumn("pairs", F.transform("pairs", lambda p: F.struct(canonical(p["k"]).alias("key"), F.trim(p["v"]).alias("text"))))
+    rows = rows.withColumn("pairs", F.transform("pairs", lambda p: F.struct(canonical(p["k"]).alias("key"), strip(p["v"]).alias("text"))))
     valid = F.filter("pairs", lambda p: p["key"].isNotNull())
     state = F.when(F.size("pairs") > 0, F.coalesce(F.try_element_at(F.transform(valid, lambda p: p["key"]), F.lit(-1)), F.lit("")))
     w = Window.partitionBy(id_col).orderBy("line_no")

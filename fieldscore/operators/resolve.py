@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import extract_object, is_object, member, sorted_string, strict_object
+from ..functions.text import strip
 from ..registry import GT_DICT_KEYS, GT_STRING_KEYS, PRED_DICT_KEYS, PRED_STRING_KEYS
 
 
@@ -24,7 +25,7 @@ def resolve_dict(row: Column, dict_keys: Sequence[str], string_keys: Sequence[st
 
 def resolve_string(row: Column, keys: Sequence[str]) -> Column:
     """The first string that isn't blank, trimmed."""
-    text = lambda k: F.trim(F.when(F.schema_of_variant(member(row, k)) == "STRING", member(row, k, "string")))
+    text = lambda k: strip(F.when(F.schema_of_variant(member(row, k)) == "STRING", member(row, k, "string")))
     return F.coalesce(*[F.when(text(k) != "", text(k)) for k in keys])
 
 

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import strict_object
+from ..functions.text import strip
 
 
 def read_jsonl(spark: SparkSession, path: str, mode: str = "failfast") -> DataFrame:
     """(raw, row): lines that aren't blank, with the parsed object. ``failfast`` ends the job at a bad line, ``permissive``
     keeps it with a null row."""
-    lines = spark.read.text(path).select(F.col("value").alias("raw")).where(F.trim("raw") != "")
+    lines = spark.read.text(path).select(F.col("value").alias("raw")).where(strip(F.col("raw")) != "")
     rows = lines.withColumn("row", strict_object(F.col("raw")))
     if mode == "failfast":
         bad = F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("raw", 1, 200)))
@@ -34,4 +35,4 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(name, record): one JSON file for each document; the name is the file's, without its ending."""
     files = spark.read.option("wholetext", True).text(path)
     name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1)
-    return files.select(name.alias("name"), F.trim("value").alias("record"))
+    return files.select(name.alias("name"), strip(F.col("value")).alias("record"))
