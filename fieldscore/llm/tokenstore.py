@@ -15,17 +15,17 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stage
+from .common import shared_dir, stage, text_blocks, words_of
 
 MAGIC = b"IDPACK01"
 BLOCK_IDS = 4096
@@ -140,18 +140,48 @@ class Encoder:
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_space:
-            return [np.array(x.ids, np.uint32) for x in self.of.encode_batch(texts, add_special_tokens=False)]
-        pieces = [x.encode().split() for x in texts]
-        wanted = set().union(*pieces) - self.new.keys()
-        self.new |= {x: self.old[x] for x in wanted & self.old.keys()}
-        todo = list(wanted - self.old.keys())
-        for k, x in zip(todo, self.of.encode_batch_fast([x.decode() for x in todo], add_special_tokens=False), strict=True):
-            self.new[k] = np.array(x.ids, "<u4").tobytes()
-        out = [np.frombuffer(b"".join(map(self.new.__getitem__, x)), "<u4") for x in pieces]
-        if len(self.new) > CACHE_WORDS:
-            self.old, self.new = self.new, {}
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text in turn, block after block."""
+        for at, raw, offsets in text_blocks(texts, TEXT_BYTES):
+            rows = len(offsets) - 1
+            if self.by_space:
+                yield from self._by_pieces(raw, offsets)
+            else:
+                for x in self.of.encode_batch(texts.slice(at, rows).fill_null("").to_pylist(), add_special_tokens=False):
+                    yield np.array(x.ids, np.uint32)
+
+    def _by_pieces(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+        """Each different piece of a block (told apart by 64-bit codes) is looked up once, then ids are gathered for all."""
+        start, end, code, doc = words_of(raw, offsets, lower=False)
+        rows = len(offsets) - 1
+        if not len(start):
+            yield from (np.zeros(0, np.uint32) for _ in range(rows))
+            return
+        _, first, which = np.unique(code, return_index=True, return_inverse=True)
+        data = raw.tobytes()
+        found = self._look_up([data[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        own = sizes[which]
+        after = np.cumsum(own)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - (after - own), own) + np.arange(after[-1])]
+        cut = np.append(0, after)[np.searchsorted(doc, np.arange(rows + 1))].tolist()
+        yield from (ids[a:b] for a, b in zip(cut, cut[1:], strict=False))
+
+    def _look_up(self, pieces: list[bytes]) -> list[bytes]:
+        new, old = self.new, self.old
+        out = [new.get(x) for x in pieces]
+        lacking = [i for i, x in enumerate(out) if x is None]
+        todo = []
+        for i in lacking:
+            out[i] = old.get(pieces[i])
+            if out[i] is None:
+                todo.append(i)
+        for i, x in zip(todo, self.of.encode_batch_fast([pieces[i].decode() for i in todo], add_special_tokens=False), strict=True):
+            out[i] = array("I", x.ids).tobytes()
+        new.update((pieces[i], out[i]) for i in lacking)
+        if len(new) > CACHE_WORDS:
+            self.old, self.new = new, {}
         return out
 
 
@@ -180,22 +210,16 @@ def write_tokens(
         files, out = [], None
         first = TaskContext.get().partitionId() << 24
         for batch in batches:
-            lengths = np.cumsum(np.append(0, pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)))
-            at = 0
-            while at < batch.num_rows:
-                end = max(at + 1, int(np.searchsorted(lengths, lengths[at] + TEXT_BYTES, "right")) - 1)
-                part = batch.slice(at, end - at)
-                at = end
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
-                    if out is None:
-                        store.create_dir(folder, recursive=True)
-                        name = f"{folder}/{uuid.uuid4().hex}.ids"
-                        out = Writer(store.open_output_stream(name, compression=None), bits)
-                    out.add(doc_id, np.append(ids, np.uint32(end_id)))
-                    if out.n >= FILE_IDS:
-                        out.close()
-                        files.append((first + len(files), name, out.n, len(out.docs)))
-                        out = None
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                if out is None:
+                    store.create_dir(folder, recursive=True)
+                    name = f"{folder}/{uuid.uuid4().hex}.ids"
+                    out = Writer(store.open_output_stream(name, compression=None), bits)
+                out.add(doc_id, np.append(ids, np.uint32(end_id)))
+                if out.n >= FILE_IDS:
+                    out.close()
+                    files.append((first + len(files), name, out.n, len(out.docs)))
+                    out = None
         if out is not None:
             out.close()
             files.append((first + len(files), name, out.n, len(out.docs)))
