@@ -64,34 +64,39 @@ def size_classes(similarity: tuple[int, int], top: int) -> np.ndarray:
     return np.array(bounds, np.int64)
 
 
-def column_blocks(largest: np.ndarray, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(number of blocks, thin blocks that may be skipped) for pairs with at most ``largest`` n-grams each."""
+def column_blocks(smaller: np.ndarray, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(number of blocks, blocks that may be skipped, n-grams below which a block is thin) for pairs whose smaller set
+    has at most ``smaller`` n-grams."""
     num, den = similarity
-    apart = (2 * largest * (den - num)) // (den + num)  # n-grams in which such a pair can differ
-    spare = apart // 12 + (apart > 0)
-    return apart + 1 + spare, spare
+    apart = smaller * (den - num) // num  # n-grams in which such a pair can differ
+    # a high bound on similarity leaves well-filled blocks, so that even those of one n-gram can be skipped
+    thin, part = (2, 12) if 10 * num >= 9 * den else (1, 4)
+    spare = apart // part + (apart > 0)
+    return apart + 1 + spare, spare, thin
 
 
 def block_digests(owner: np.ndarray, gram: np.ndarray, rows: int, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(document index, digest) of the column blocks that have to be matched, for the own size class and the next."""
+    """(document index, digest) of the column blocks that have to be matched, for pairs whose smaller set is in the
+    document's size class or in the one below."""
     size = np.bincount(owner, minlength=rows)
     bounds = size_classes(similarity, int(size.max(initial=0)))
     own_class = np.searchsorted(bounds, size, "right") - 1
     out_doc, out_digest = [], []
     high = (mix(gram ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.int64)
-    for up in (0, 1):
-        k = np.maximum(own_class, 0) + up
-        blocks, spare = column_blocks(bounds[k + 1] - 1, similarity)
-        blocks = np.where(size > 0, blocks, 0)
+    for down in (0, 1):
+        k = own_class - down
+        blocks, spare, least = column_blocks(bounds[np.maximum(k, 0) + 1] - 1, similarity)
+        blocks = np.where(k >= 0, blocks, 0)
         base = np.cumsum(blocks) - blocks
         total = int(blocks.sum())
-        cell = base[owner] + (high * blocks[owner] >> 32)
+        own = (high * blocks[owner] >> 32) if total else high
+        cell = (base[owner] + own)[blocks[owner] > 0]
         sums, held = np.zeros(total, np.uint64), np.bincount(cell, minlength=total)
-        np.add.at(sums, cell, gram)
+        np.add.at(sums, cell, gram[blocks[owner] > 0])
         cell_doc = np.repeat(np.arange(rows), blocks)
         part = np.arange(total) - base[cell_doc]
         # a document with no more thin blocks than there are to spare needs none of them
-        thin = held < 2
+        thin = held < least
         few = np.bincount(cell_doc, weights=thin, minlength=rows) <= spare
         keep = ~(thin & few[cell_doc])
         place = mix((k[cell_doc] << 32 | part).astype(np.uint64))
