@@ -142,15 +142,20 @@ def locate(code: np.ndarray, doc: np.ndarray, hashes: np.ndarray, wanted: np.nda
     at = np.minimum(np.searchsorted(alphabet, code), len(alphabet) - 1)
     letter = at % LETTERS + 1
     letter += np.where(letter >= 0xD800, 0x800, 0)  # no surrogates
-    letter[alphabet[at] != code] = 0
+    known = alphabet[at] == code
+    letter[~known] = 0
     text = letter.astype("<u4").tobytes().decode("utf-32-le")
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     for p in seeds.tolist():
         automaton.add_word(text[p : p + half])
     automaton.make_automaton()
-    bounds = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc)).tolist()
+    # a phrase has only words of the alphabet: runs of too few of them are passed over
+    new = np.append(True, (known[1:] != known[:-1]) | (doc[1:] != doc[:-1]))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc))
+    read = known[first] & (last - first >= half)
     ends = []
-    for a, b in zip(bounds, bounds[1:], strict=False):
+    for a, b in zip(first[read].tolist(), last[read].tolist(), strict=True):
         ends += [end for end, _ in automaton.iter(text, a, b)]
     here[np.array(ends, np.int64) - half + 1] = True
     return here
