@@ -3,11 +3,12 @@
 Over some rounds each view labels unlabelled documents it is sure of for the other. Both are calibrated on labelled
 rows kept aside, combined by a logistic model on their calibrated log-odds, and applied to every document.
 
-Fitting uses at most ``labelled_rows`` labelled and ``pool_rows`` unlabelled documents, those with the smallest
-hash of their id; scoring covers all documents.
+The labels come from at most ``labelled_rows`` labelled documents, those with the smallest hash of their id. Document
+frequencies are counted over all documents, and each round scores every unlabelled document: all that a view is sure of
+are fitted by the other. Together they weigh at most half as much as the labelled rows, so many don't drown few labels.
 
 Cases: a label row with a null takes no part; a document with several labels is bad if one says so; repeated
-document rows are each scored; a null or empty text has only its shape as content, null metadata is a value of
+document rows are each scored, and each may pass on its label; a row without an id is unlabelled; a null or empty text has only its shape as content, null metadata is a value of
 its own; without labels of both kinds every document gets the share of good labels (1 without labels) and is
 accepted if that is at least the threshold; an empty table stays empty; columns of the input with the names of
 the results are replaced.
@@ -21,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,13 +30,14 @@ from pyspark.sql import functions as F
 from .common import stage
 
 LABELLED_ROWS = 10_000
-POOL_ROWS = 10_000
 ROUNDS = 2
 SURE = 0.97
 THRESHOLD = 0.5
-#: Words of the model: the most frequent ones that at least MIN_ROWS fitting documents hold.
+#: Words of the model: the most frequent ones that at least MIN_ROWS of all documents hold.
 VOCABULARY = 20_000
-MIN_ROWS = 3
+MIN_ROWS = {"content": 3, "metadata": 1}
+#: A document told by the other view counts as this share of a labelled one, or less where more are told than labelled.
+TOLD_WEIGHT = 0.5
 FIT_PARTITIONS = 8
 VIEWS = ("content", "metadata")
 RESULTS = ("content_score", "metadata_score", "quality_score", "accepted")
@@ -73,6 +75,13 @@ def metadata_tokens(columns: list[str], size: str | None):
     return F.array(*tokens)
 
 
+def _vocabulary(rows: DataFrame, view: str, size: int) -> list[str]:
+    """The words of a view by the number of rows that hold them, counted over all rows."""
+    counts = rows.select(F.explode(f"__{view}").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_ROWS[view])
+    # a bounded number of words; an empty vocabulary is not allowed
+    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()] or [""]
+
+
 def _fit(rows: DataFrame, view: str, iterations: int = 40):
     """A sparse logistic model: most words get no weight, so long texts don't add up noise."""
     lr = LogisticRegression(featuresCol=view, labelCol="good", weightCol="weight", regParam=0.002, elasticNetParam=1.0, maxIter=iterations, standardization=False)
@@ -113,7 +122,7 @@ def _chance(log_odds):
 
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source"),
-    size_col: str | None = "n_chars", labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS,
+    size_col: str | None = "n_chars", labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS,
     sure: float = SURE, threshold: float = THRESHOLD, vocabulary: int = VOCABULARY,
 ) -> DataFrame:
     """The documents with both calibrated scores, the combined one, and ``accepted``.
@@ -137,37 +146,37 @@ def classify(
     by_hash = F.xxhash64("__id", F.lit("fit"))
     ids = base.select("__id").where("__id IS NOT NULL").distinct()
     labelled = known.join(ids, "__id", "left_semi").orderBy(by_hash, "__id").limit(labelled_rows)
-    pool = ids.join(known, "__id", "left_anti").orderBy(by_hash, "__id").limit(pool_rows).withColumn("good", F.lit(None).cast("double"))
-    # a bounded number of ids: at most labelled_rows + pool_rows
-    chosen = F.broadcast(stage(labelled.unionByName(pool)))
+    # a bounded number of ids: at most labelled_rows
+    chosen = F.broadcast(stage(labelled))
 
     def tokens(rows: DataFrame) -> DataFrame:
         return rows.withColumn("__content", content_tokens(F.col("__text"))).withColumn("__metadata", metadata_tokens(list(meta), "__size" if size else None))
 
-    # several rows of one document: one of them is enough for fitting; the sample is bounded, a few partitions hold it
+    # several rows of one labelled document: one of them is enough for fitting; the sample is bounded, a few partitions hold it
     words = stage(tokens(base.join(chosen, "__id").dropDuplicates(["__id"])).select("__id", "good", *[f"__{v}" for v in VIEWS]).repartition(FIT_PARTITIONS, "__id"))
-    n = words.count()
-    if not n:
-        return flat(1.0)
-    least = {"content": MIN_ROWS if n >= 100 else 1, "metadata": 1}
-    vectorizers = [CountVectorizer(inputCol=f"__{v}", outputCol=v, vocabSize=vocabulary, minDF=least[v], binary=True).fit(words) for v in VIEWS]
+    counts = {r[0]: r[1] for r in words.groupBy("good").count().collect()}
+    good, bad = counts.get(1.0, 0), counts.get(0.0, 0)
+    if not good or not bad:
+        return flat(good / (good + bad) if good + bad else 1.0)
+    vectorizers = [CountVectorizerModel.from_vocabulary(_vocabulary(tokens(base), v, vocabulary), f"__{v}", v) for v in VIEWS]
+    for model in vectorizers:
+        model.setBinary(True).setMinTF(1.0)
 
     def views(rows: DataFrame) -> DataFrame:
         for model in vectorizers:
             rows = model.transform(rows)
         return rows.drop(*[f"__{v}" for v in VIEWS])
 
-    sample = stage(views(words))
-    counts = {r[0]: r[1] for r in sample.groupBy("good").count().collect()}
-    good, bad = counts.get(1.0, 0), counts.get(0.0, 0)
-    if not good or not bad:
-        return flat(good / (good + bad) if good + bad else 1.0)
-
     fold = F.pmod(F.xxhash64("__id", F.lit("fold")), F.lit(4))
-    real = sample.where("good IS NOT NULL").withColumn("weight", F.lit(1.0))
-    train, aside, free = real.where(fold > 0), real.where(fold == 0), sample.where("good IS NULL")
+    real = stage(views(words).withColumn("weight", F.lit(1.0)))
+    train, aside = real.where(fold > 0), real.where(fold == 0)
     if train.select("good").distinct().count() < 2:
         train = aside = real
+    n_train = train.count()
+    if rounds > 0:
+        # not an anti join: that would move below the vectors and shuffle the texts
+        seen = views(tokens(base)).select("__id", *VIEWS).join(known.select("__id", F.lit(True).alias("__known")), "__id", "left")
+        free = stage(seen.where("__known IS NULL").select("__id", *VIEWS))
     told: dict[str, DataFrame] = {}
     for k in range(rounds + 1):
         with ThreadPoolExecutor(len(VIEWS)) as both_views:  # their jobs are small; they run side by side
@@ -180,7 +189,8 @@ def classify(
             chance = _chance(_apply(lines[v], [f"{v}_margin"]))
             scored = _margin(models[v], free, v).withColumn("chance", chance)
             picked = scored.where((F.col("chance") >= sure) | (F.col("chance") <= 1 - sure))
-            told[other] = stage(picked.select("__id", (F.col("chance") >= 0.5).cast("double").alias("good"), *VIEWS, F.lit(0.5).alias("weight")))
+            weight = TOLD_WEIGHT * n_train / max(n_train, picked.count())
+            told[other] = picked.select("__id", (F.col("chance") >= 0.5).cast("double").alias("good"), *VIEWS, F.lit(weight).alias("weight"))
     for v in VIEWS:
         aside = _margin(models[v], aside, v)
     lines = {v: _line(aside, [f"{v}_margin"]) for v in VIEWS}

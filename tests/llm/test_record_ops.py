@@ -288,3 +288,23 @@ def test_quality_with_names_of_its_own(spark, labelled):
     assert out.where("content <> doc_id OR metadata <> doc_id OR good <> doc_id OR prediction <> doc_id").count() == 0
     assert dict(out.dtypes)["accepted"] == "boolean" and out.count() == 900
     assert quality.classify(docs.limit(2), labels).count() == 2
+
+
+def test_quality_hears_all_unlabelled_documents(spark, monkeypatch):
+    """More unlabelled documents than any sample held; all that a view is sure of are fitted, and all are counted for the vocabulary."""
+    bad = F.col("doc_id") % 4 == 0
+    text = F.concat(F.when(bad, F.lit("vile rotten ")).otherwise(F.lit("plain fine ")), F.when(F.col("doc_id") >= 12_397, F.lit("seldom")).otherwise(F.lit("")))
+    docs = spark.range(12_400).select(F.col("id").alias("doc_id")).withColumns({"text": text, "lang": F.lit("en"), "source": F.when(bad, F.lit("b")).otherwise(F.lit("g")), "n_chars": F.lit(9)})
+    labels = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 4 != 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    fitted, fit = [], quality._fit
+
+    def spy(rows, view, *rest):
+        fitted.append((view, rows.where("weight < 1").count(), rows.first()[view].size))
+        return fit(rows, view, *rest)
+
+    monkeypatch.setattr(quality, "_fit", spy)
+    out = quality.classify(docs, labels, rounds=1)
+    assert out.where(F.col("accepted") == bad).count() == 0
+    assert {v: n for v, n, _ in fitted[2:]} == {"content": 12_000, "metadata": 12_000}
+    words = {r.w for r in docs.select(F.explode(quality.content_tokens(F.col("text"))).alias("w")).groupBy("w").count().where("count >= 3").collect()}
+    assert "seldom" in words and {n for v, _, n in fitted if v == "content"} == {len(words)}
