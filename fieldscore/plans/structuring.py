@@ -102,6 +102,13 @@ def q_inventory_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.inventory_number(lines, "doc_id")
 
 
+@query("SELECT p_partkey AS doc_id, concat(CASE p_partkey % 3 WHEN 0 THEN 'J=ab' WHEN 1 THEN 'Kq.' ELSE 'x' END, 1000 + p_partkey % 9000) AS number, 1 AS line_no FROM part")
+def q_inventory_number_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sheet, also those whose number is found by the fallback."""
+    lines = layout.clean_sheet_lines(fixture(spark, sf_dir, "sheets"), "doc_id", "text")
+    return layout.inventory_number(lines, "doc_id")
+
+
 @query("SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN 'Halde' ELSE p_brand END AS value, 3 AS line_no FROM part")
 def q_marker_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = layout.clean_sheet_lines(fixture(spark, sf_dir, "sheets"), "doc_id", "text")
@@ -117,6 +124,16 @@ def q_sheet_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.sheet_records(fixture(spark, sf_dir, "sheets").where("doc_id % 3 < 2"), "doc_id", "text")
 
 
+@query("""SELECT p_partkey AS doc_id, p_name AS heading, concat(CASE p_partkey % 3 WHEN 0 THEN 'J=ab' WHEN 1 THEN 'Kq.' ELSE 'x' END, 1000 + p_partkey % 9000) AS number,
+    CASE p_partkey % 4 WHEN 0 THEN '4,3' WHEN 1 THEN '3,0' WHEN 2 THEN '5,5' ELSE '' END AS size_l, CASE p_partkey % 4 WHEN 0 THEN '2,1' WHEN 1 THEN '2,0' WHEN 2 THEN '' ELSE '7cm' END AS size_b,
+    CASE p_partkey % 4 WHEN 0 THEN '0,7' WHEN 1 THEN '1,0' ELSE '' END AS size_d, concat(lower(p_type), ' scheibe klein ', p_brand) AS object_name,
+    CASE WHEN p_partkey % 2 = 0 THEN 'Halde' ELSE p_brand END AS place, CASE WHEN p_partkey % 2 = 0 THEN '1890' ELSE '' END AS time,
+    concat('eine lange Beschreibung mit vielen Worten steht hier auf einer einzigen Zeile, die kein Ende hat. Rest ', p_name) AS description FROM part""")
+def q_sheet_records_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sheet."""
+    return layout.sheet_records(fixture(spark, sf_dir, "sheets"), "doc_id", "text")
+
+
 _CARD = """WITH c AS (SELECT *, CASE p_partkey % 3 WHEN 0 THEN 'J=ab' WHEN 1 THEN 'Kq.' ELSE 'Zz/' END || p_partkey AS inv, lower(p_type) || CASE WHEN p_partkey % 2 = 0 THEN '{a}' ELSE '{b}' END || ' und ' || lower(p_brand) AS mat FROM part),
     f AS (SELECT p_partkey AS doc_id, 'Gegenstand' AS key, p_name AS value FROM c UNION ALL SELECT p_partkey, 'Inv.Nr', inv FROM c WHERE p_partkey % 3 > {n} UNION ALL SELECT p_partkey, 'Material', mat FROM c
       UNION ALL SELECT p_partkey, 'Preis', p_size || ' DM Wert unklar' FROM c WHERE p_partkey % 4 = 0"""
@@ -143,6 +160,16 @@ def q_segment_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.where("key IN ('Inv.Nr', 'Herkunft', 'Beschreibung', 'Literatur')")
 
 
+@query("""WITH c AS (SELECT *, CASE p_partkey % 3 WHEN 0 THEN 'J=ab' WHEN 1 THEN 'Kq.' ELSE 'Zz/' END || p_partkey AS inv FROM part)
+    SELECT p_partkey AS doc_id, 'Inv.Nr' AS key, inv AS value FROM c UNION ALL SELECT p_partkey, 'Herkunft', 'Fundus Gewicht: 12 g' FROM c WHERE p_partkey % 4 > 0
+    UNION ALL SELECT p_partkey, 'Beschreibung', p_name || ' glatt' FROM c WHERE p_partkey % 5 = 0 UNION ALL SELECT p_partkey, 'Literatur', 'keine' FROM c WHERE p_partkey % 5 > 0
+    UNION ALL SELECT p_partkey, 'Gegenstand', p_name FROM c UNION ALL SELECT p_partkey, 'Material', lower(p_type) || CASE WHEN p_partkey % 2 = 0 THEN ' , gold' ELSE ',silber' END || ' und ' || lower(p_brand) FROM c
+    UNION ALL SELECT p_partkey, 'Preis', p_size || ' DM Wert unklar' FROM c WHERE p_partkey % 4 = 0""")
+def q_segment_header_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field that is found."""
+    return layout.fields_by_header(layout.text_lines(fixture(spark, sf_dir, "cards"), "doc_id", "text"), "doc_id")
+
+
 @query("SELECT p_partkey AS doc_id, concat('inv nr | Foto Nr ', p_partkey, ' | Vers.-Wert 3') AS text, 'Foto Notes' AS key FROM part")
 def q_label_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = fixture(spark, sf_dir, "cards")
