@@ -91,6 +91,24 @@ def pairs_sql(duck: bool) -> str:
         FROM ({_SPARK_PAIRS.format(fold=fold)}) AS d"""
 
 
+#: Characters of a piece; they bound the edit distances.
+PIECE = 200
+
+
+def pieces_sql(duck: bool) -> str:
+    """Text pairs of the whole text of a document: consecutive pieces numbered from 0, each with what a reader made of it."""
+    g, explode = (", 'g'", "unnest(range(0, greatest(1, (length(s) + {n} - 1) // {n})))") if duck else ("", "explode(sequence(0, greatest(1, (length(s) + {n} - 1) DIV {n}) - 1))")
+    return f"""SELECT doc_id, lang, source, pos, ref, CASE doc_id % 5 WHEN 0 THEN ref WHEN 1 THEN replace(ref, 'e', 'c') WHEN 2 THEN concat(ref, ' and more') WHEN 3 THEN '' ELSE concat(substr(ref, 1, 10), substr(ref, 15)) END AS hyp
+        FROM (SELECT doc_id, lang, source, pos, substr(s, CAST(pos * {PIECE} + 1 AS INT), {PIECE}) AS ref
+          FROM (SELECT doc_id, lang, source, s, {explode.format(n=PIECE)} AS pos
+            FROM (SELECT doc_id, lang, source, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9 ]', ''{g}) AS s FROM documents) AS a) AS b) AS d"""
+
+
+def words_all_sql(duck: bool) -> str:
+    """Words of the whole text of a document, as ``words``."""
+    return words_sql(duck).replace("substr(text, 1, 200)", "text")
+
+
 def words_sql(duck: bool) -> str:
     """Words of the first 200 characters of a document, numbered from 0, at the places of boxes."""
     if duck:
@@ -108,11 +126,11 @@ def tables(spark: SparkSession, sf_dir: str) -> None:
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table in Spark."""
     tables(spark, sf_dir)
-    special = {"pairs": pairs_sql, "words": words_sql}
+    special = {"pairs": pairs_sql, "words": words_sql, "pieces": pieces_sql, "words_all": words_all_sql}
     return spark.sql(special[name](False) if name in special else FIXTURES[name])
 
 
 def duck(name: str) -> str:
     """The same table as DuckDB SQL, in brackets."""
-    special = {"pairs": pairs_sql, "words": words_sql}
+    special = {"pairs": pairs_sql, "words": words_sql, "pieces": pieces_sql, "words_all": words_all_sql}
     return f"({special[name](True) if name in special else FIXTURES[name]})"

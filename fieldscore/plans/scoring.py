@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,40 +141,55 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.pair_scores(fixture(spark, sf_dir, "pairs"))
 
 
+_SCORED_ALL = f"""WITH e AS (SELECT *, {_EDITS} AS edits, length(ref) AS ref_len FROM {duck('pieces')}),
+    s AS (SELECT doc_id, lang, source, CAST(sum(edits) AS BIGINT) AS edits, CAST(sum(ref_len) AS BIGINT) AS ref_len, sum(edits) / greatest(1, sum(ref_len)) AS cer FROM e GROUP BY ALL)"""
+
+
+def _scored_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents: the edits of their pieces together."""
+    pieces = metrics.pair_scores(fixture(spark, sf_dir, "pieces")).groupBy("doc_id", "lang", "source").agg(F.sum("edits").alias("edits"), F.sum("ref_len").alias("ref_len"))
+    return pieces.withColumn("cer", F.col("edits") / F.greatest(F.lit(1), "ref_len"))
+
+
 @query(f"{_SCORED} SELECT doc_id, edits, ref_len, round(cer, 6) AS cer FROM s")
-def q_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_scored(spark, sf_dir).select("doc_id", "edits", "ref_len", "cer"))
+def q_cer(spark: SparkSession, sf_dir: str, scored=_scored) -> DataFrame:
+    return rounded(scored(spark, sf_dir).select("doc_id", "edits", "ref_len", "cer"))
 
 
 @query(f"""{_SCORED} SELECT lang, count(*) AS n, round(avg(cer), 6) AS mean, round(median(cer), 6) AS median, round(min(cer), 6) AS min, round(max(cer), 6) AS max, round(stddev_pop(cer), 6) AS std,
     count(*) FILTER (WHERE cer = 0) AS perfect, count(*) FILTER (WHERE cer < 0.1) AS good FROM s GROUP BY lang""")
-def q_cer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.cer_statistics(_scored(spark, sf_dir), ["lang"]))
+def q_cer_stats(spark: SparkSession, sf_dir: str, scored=_scored) -> DataFrame:
+    return rounded(metrics.cer_statistics(scored(spark, sf_dir), ["lang"]))
 
 
 @query(f"""{_SCORED} SELECT source, round(coalesce(avg(CASE WHEN ref_len > 0 THEN cer END), 1.0), 6) AS macro_cer, round(avg(CASE WHEN ref_len > 0 THEN cer WHEN edits = 0 THEN 0 ELSE 1 END), 6) AS macro_rated,
     round(sum(edits) / sum(ref_len), 6) AS micro_cer, CAST(sum(edits) AS BIGINT) AS edits, CAST(sum(ref_len) AS BIGINT) AS ref_chars FROM s GROUP BY source""")
-def q_macro_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, by = _scored(spark, sf_dir), ["source"]
+def q_macro_micro(spark: SparkSession, sf_dir: str, scored=_scored) -> DataFrame:
+    s, by = scored(spark, sf_dir), ["source"]
     rated = metrics.macro_cer(s, by, empty="rate").withColumnRenamed("macro_cer", "macro_rated")
     return rounded(metrics.macro_cer(s, by).join(rated, "source").join(metrics.micro_cer(s, by), "source"))
 
 
 @query(f"{_SCORED} SELECT lang, round(sum(floor(cer * ref_len)) / sum(ref_len), 6) AS weighted_cer, round(sum(round_even(cer * ref_len, 0)) / sum(ref_len), 6) AS weighted_rounded FROM s GROUP BY lang")
-def q_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _scored(spark, sf_dir)
+def q_weighted(spark: SparkSession, sf_dir: str, scored=_scored) -> DataFrame:
+    s = scored(spark, sf_dir)
     even = metrics.weighted_cer(s, ["lang"], "even").withColumnRenamed("weighted_cer", "weighted_rounded")
     return rounded(metrics.weighted_cer(s, ["lang"]).join(even, "lang"))
 
 
 @query(f"{_SCORED} SELECT CASE WHEN cer = 0 THEN 'perfect' WHEN cer < 0.1 THEN 'good' WHEN cer < 0.3 THEN 'fair' ELSE 'poor' END AS band, count(*) AS n FROM s GROUP BY 1")
-def q_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).groupBy(metrics.cer_band(F.col("cer")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+def q_bands(spark: SparkSession, sf_dir: str, scored=_scored) -> DataFrame:
+    return scored(spark, sf_dir).groupBy(metrics.cer_band(F.col("cer")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""{_SCORED} SELECT CASE WHEN GROUPING(lang) = 1 THEN 'all' ELSE lang END AS lang, count(*) AS n, round(avg(cer), 6) AS macro_cer, round(sum(edits) / sum(ref_len), 6) AS micro_cer FROM s GROUP BY ROLLUP (lang)""")
-def q_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.rollup_cer(_scored(spark, sf_dir), "lang"))
+def q_rollup(spark: SparkSession, sf_dir: str, scored=_scored) -> DataFrame:
+    return rounded(metrics.rollup_cer(scored(spark, sf_dir), "lang"))
+
+
+for _name in ("q_cer", "q_cer_stats", "q_macro_micro", "q_weighted", "q_bands", "q_rollup"):  # the same over whole documents
+    QUERIES[f"{_name}_all"] = partial(QUERIES[_name], scored=_scored_all)
+    ORACLE[f"{_name}_all"] = ORACLE[_name].replace(_SCORED, _SCORED_ALL)
 
 
 @query(f"{_SCORED} SELECT lang, CAST(sum(edits) AS BIGINT) AS edits, true AS adds_up FROM s GROUP BY lang")

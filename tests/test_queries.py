@@ -1,11 +1,13 @@
 """Registered queries against DuckDB at the smallest scale, and independence of partitions."""
 
 import os
+import re
 
 import duckdb
 import pytest
 
 from fieldscore.plans import oracles, queries
+from fieldscore.plans.fixtures import fixture
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -59,3 +61,13 @@ def test_every_sheet_and_field(spark):
     assert {r.doc_id: r.number for r in queries()["q_sheet_records_all"](spark, SF).collect()} == numbers
     fields = queries()["q_segment_header_all"](spark, SF)
     assert {r.key: r["count"] for r in fields.where("key IN ('Gegenstand', 'Material', 'Preis')").groupBy("key").count().collect()} == {"Gegenstand": n, "Material": n, "Preis": n // 4}
+
+
+def test_whole_documents(spark):
+    """Every folded character and every word of the documents."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    folded = {i: re.sub("[^a-z0-9 ]", "", t.lower()) for i, t in texts.items()}
+    assert max(map(len, folded.values())) > 200
+    assert {r.doc_id: r.ref_len for r in queries()["q_cer_all"](spark, SF).collect()} == {i: len(t) for i, t in folded.items()}
+    words = fixture(spark, SF, "words_all").groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in words} == {i: len(re.sub("[^a-z0-9]+", " ", t.lower()).split(" ")) for i, t in texts.items()}
