@@ -25,9 +25,15 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (tests), below a temporary one."""
+    """A new folder below ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a temporary folder; on a cluster it is an error, as executors and the
+    driver share no local folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
@@ -55,8 +61,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_POWER = np.cumprod(np.full(4096, 0xD1342543DE82EF95, np.uint64))
+#: A random value for each byte at each of the first places of a word; values further on are made when they are needed.
+_PLACES = 64
+_VALUES = mix(mix(np.arange(1, 256 * _PLACES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _far_values(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return mix(mix((place.astype(np.uint64) << np.uint64(8) | byte) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0xD1342543DE82EF95))
 
 
 def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -79,7 +90,10 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash, document index) of every word in a block; a word never crosses documents."""
+    """(start, end, hash, document index) of every word in a block; a word never crosses documents.
+
+    The hash adds up a pseudo-random 64-bit value for each byte and its place, however long the word.
+    """
     n = len(raw)
     none = np.zeros(0, np.int64)
     if not n:
@@ -98,14 +112,12 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndar
     end = np.flatnonzero(stop & ~space) + 1
     if lower:
         raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
-    place = np.arange(n, dtype=np.int64) - np.repeat(start, np.diff(np.append(start, n)))[: n - start[0]].astype(np.int64) if start[0] == 0 else None
-    if place is None:
-        place = np.arange(start[0], n, dtype=np.int64) - np.repeat(start, np.diff(np.append(start, n)))
-        body = raw[start[0] :]
-        void = space[start[0] :]
-    else:
-        body, void = raw, space
-    value = _BYTE[body] * _POWER[place & 4095] + (place >> 12).astype(np.uint64)
+    body, void = raw[start[0] :], space[start[0] :]
+    place = np.arange(start[0], n, dtype=np.int64) - np.repeat(start, np.diff(np.append(start, n)))
+    value = _VALUES[np.minimum(place, _PLACES - 1) << 8 | body]
+    far = np.flatnonzero((place >= _PLACES) & ~void)
+    if len(far):
+        value[far] = _far_values(place[far], body[far])
     value[void] = 0
     code = np.add.reduceat(value, start - start[0])
     return start, end, mix(code + (end - start).astype(np.uint64)), np.searchsorted(offsets, start, "right") - 1

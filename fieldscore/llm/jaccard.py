@@ -1,14 +1,19 @@
 """N-gram Jaccard join by a blocked sparse product of the document by n-gram incidence.
 
-1. Columns (n-grams) are dealt to blocks by hash; a document has a digest for each of its column blocks. The size
-   bound says how many n-grams a linked pair can differ in: with one block more than that (and some to spare, so
-   that thin blocks may be skipped), a linked pair has an equal block. Pairs without one are discarded unseen.
-2. Documents with equal blocks form groups (components of these matches); only the rows of a group can link.
-3. Within a group the product of incidence rows is taken in tiles of bounded size. A tile accumulates overlap
-   counts column by column and discards pairs below ``overlap * (den + num) >= num * (size a + size b)``.
-
-No step emits the pairs of a group: equal sets are one node, equal blocks give a link to the first holder in a task
-and one holder in a task is passed on, and a tile returns only links that join trees it has not yet joined.
+1. Columns (n-grams) are ordered by rarity: a table of ``2 ** ORDER_BITS`` counters over all documents says how many
+   n-grams fall on a column's counter. A set of ``s`` columns enters the product with its ``s - ceil(t * s) + 1`` rarest
+   ones first: sets of similarity ``t`` or more share one of these, so pairs without one are discarded unseen. Any order
+   gives whole results; rarity keeps passages that many documents share out of the prefixes.
+2. Within a column block a set is linked to the smallest set of each of its columns. Sets joined by such links are a
+   group; only the rows of a group can link.
+3. Within a group the product of incidence rows is taken in tiles of bounded rows and bytes. A tile accumulates overlap
+   counts column block by column block and discards pairs below ``overlap * (den + num) >= num * (size a + size b)``.
+   Tiles of a large group meet only where their sizes allow a link, and first a few leaders of the group: the rows
+   that leaders join need no product among themselves.
+
+No step emits the pairs of a group: equal sets are one node, a column gives one link for each other set in it, and a
+tile returns only links that join trees it has not yet joined. Sets, columns and words are told apart by 64-bit hashes:
+for N different sets the chance that two are taken for one is below N * N / 2**65.
 
 Cases: a text with fewer words than ``n`` is one shingle; a null text or one without words has none, is linked with
 nothing and is its own component; a row without an id takes no part: no shingles, no component; rows that repeat an
@@ -29,82 +34,48 @@ from .links import components
 
 N = 3
 SIMILARITY = (90, 100)
-#: Rows of a tile, and rows that a task looks at together when it matches digests.
-TILE_ROWS = 512
+#: Counters of the order of columns: its size is fixed, whatever the input (one byte each is sent to the tasks).
+ORDER_BITS = 22
+ORDER_CHUNK = 1 << 16
+#: Rows and bytes of a tile, and column entries that a task looks at together.
+TILE_ROWS = 1024
+TILE_BYTES = 16 << 20
 MATCH_ROWS = 2_000_000
-
-
-def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    """(first row, document index, hash, rows) of the distinct shingles of runs of texts, sorted by document."""
+#: Leaders of a group that needs several tiles.
+LEADERS = 64
+
+
+def _grams(code: np.ndarray, doc: np.ndarray, n: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document index, hash) of the shingles of a block, repeated ones too."""
+    first, gram = runs_of(code, doc, n)
+    owner = doc[first]
+    count = np.bincount(doc, minlength=rows)
+    short = np.flatnonzero((count > 0) & (count < n))
+    whole = np.zeros(len(short), np.uint64)
+    for i, d in enumerate(short.tolist()):  # the whole text is one shingle
+        own = code[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]
+        total = np.full(1, len(own), np.uint64)
+        for x in own:
+            total = mix(total + x)
+        whole[i] = total[0]
+    return np.append(owner, short), np.append(gram, whole)
+
+
+def shingle_sets(column: pa.Array, n: int, level: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(first row, document index, hash, rows) of the distinct shingles of runs of texts, sorted by document, then from rare to
+    frequent where an order is given."""
     for at, raw, offsets in text_blocks(column):
-        start, _, code, doc = words_of(raw, offsets, lower=True)
+        _, _, code, doc = words_of(raw, offsets, lower=True)
         rows = len(offsets) - 1
-        first, gram = runs_of(code, doc, n)
-        owner = doc[first]
-        count = np.bincount(doc, minlength=rows)
-        for d in np.flatnonzero((count > 0) & (count < n)):  # the whole text is one shingle
-            own = code[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]
-            total = np.full(1, len(own), np.uint64)
-            for x in own:
-                total = mix(total + x)
-            owner, gram = np.append(owner, d), np.append(gram, total)
-        order = np.lexsort((gram, owner))
+        owner, gram = _grams(code, doc, n, rows)
+        major = owner if level is None else owner << 8 | level[_counter(gram)]
+        order = np.lexsort((gram, major))
         owner, gram = owner[order], gram[order]
         keep = np.ones(len(gram), bool)
         keep[1:] = (owner[1:] != owner[:-1]) | (gram[1:] != gram[:-1])
         yield at, owner[keep], gram[keep], rows
 
 
-def size_classes(similarity: tuple[int, int], top: int) -> np.ndarray:
-    """Smallest size of each class, two beyond ``top``; sizes of a linked pair are in one class or in neighbours."""
-    num, den = similarity
-    bounds = [1]
-    while len(bounds) < 3 or bounds[-3] <= top:
-        bounds.append(bounds[-1] * den // num + 1)
-    return np.array(bounds, np.int64)
-
-
-def column_blocks(smaller: np.ndarray, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, int]:
-    """(number of blocks, blocks that may be skipped, n-grams below which a block is thin) for pairs whose smaller set
-    has at most ``smaller`` n-grams."""
-    num, den = similarity
-    apart = smaller * (den - num) // num  # n-grams in which such a pair can differ
-    # a high bound on similarity leaves well-filled blocks, so that even those of one n-gram can be skipped
-    thin, part = (2, 12) if 10 * num >= 9 * den else (1, 4)
-    spare = apart // part + (apart > 0)
-    return apart + 1 + spare, spare, thin
-
-
-def block_digests(owner: np.ndarray, gram: np.ndarray, rows: int, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(document index, digest) of the column blocks that have to be matched, for pairs whose smaller set is in the
-    document's size class or in the one below."""
-    size = np.bincount(owner, minlength=rows)
-    bounds = size_classes(similarity, int(size.max(initial=0)))
-    own_class = np.searchsorted(bounds, size, "right") - 1
-    out_doc, out_digest = [], []
-    high = (mix(gram ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.int64)
-    for down in (0, 1):
-        k = own_class - down
-        blocks, spare, least = column_blocks(bounds[np.maximum(k, 0) + 1] - 1, similarity)
-        blocks = np.where(k >= 0, blocks, 0)
-        base = np.cumsum(blocks) - blocks
-        total = int(blocks.sum())
-        own = (high * blocks[owner] >> 32) if total else high
-        cell = (base[owner] + own)[blocks[owner] > 0]
-        sums, held = np.zeros(total, np.uint64), np.bincount(cell, minlength=total)
-        np.add.at(sums, cell, gram[blocks[owner] > 0])
-        cell_doc = np.repeat(np.arange(rows), blocks)
-        part = np.arange(total) - base[cell_doc]
-        # a document with no more thin blocks than there are to spare needs none of them
-        thin = held < least
-        few = np.bincount(cell_doc, weights=thin, minlength=rows) <= spare
-        keep = ~(thin & few[cell_doc])
-        place = mix((k[cell_doc] << 32 | part).astype(np.uint64))
-        out_doc.append(cell_doc[keep])
-        out_digest.append(mix(mix(sums + held.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)) + place)[keep])
-    return np.concatenate(out_doc), np.concatenate(out_digest)
-
-
 def set_codes(owner: np.ndarray, gram: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(size, 64-bit code) of each document's set; equal sets are one node of the join."""
     size = np.bincount(owner, minlength=rows)
@@ -113,66 +84,129 @@ def set_codes(owner: np.ndarray, gram: np.ndarray, rows: int) -> tuple[np.ndarra
     return size, mix(sums + size.astype(np.uint64))
 
 
-def _profile(docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFrame:
-    """What the tasks make of their texts, by ``kind``: 0 a row (id, its text's hash, x = set, y = size), 1 a column
-    block (x = digest, y = set), 2 a match within the task (x, y = sets)."""
+def _counter(gram: np.ndarray) -> np.ndarray:
+    return (gram >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
 
-    def rows_of(kind: int, x: np.ndarray, y: np.ndarray, ids: pa.Array | None = None, text: pa.Array | None = None) -> pa.RecordBatch:
-        void = pa.nulls(len(x), pa.int64()) if ids is None else None
-        return arrow_rows(kind=np.full(len(x), kind, np.int32), x=x, y=y, id=ids if void is None else void, text_hash=text if void is None else void)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.uint64)
+def column_order(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """(a level for each counter, n-grams in all): levels grow with the logarithm of what falls on a counter."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, n_held = None, [], 0
+        for batch in batches:
+            for _, raw, offsets in text_blocks(batch.column(0)):
+                _, _, code, doc = words_of(raw, offsets, lower=True)
+                held.append(_counter(_grams(code, doc, n, len(offsets) - 1)[1]))
+                n_held += len(held[-1])
+                if n_held >= MATCH_ROWS:
+                    own = np.bincount(np.concatenate(held), minlength=1 << ORDER_BITS)
+                    total, held, n_held = own if total is None else total + own, [], 0
+        if n_held:
+            own = np.bincount(np.concatenate(held), minlength=1 << ORDER_BITS)
+            total = own if total is None else total + own
+        if total is not None:
+            # a task's counts stop at 65,535, which can change the order but no result
+            parts = np.minimum(total, 65535).astype(np.uint16).reshape(-1, ORDER_CHUNK)
+            yield arrow_rows(chunk=np.arange(len(parts), dtype=np.int32), counts=pa.array([x.tobytes() for x in parts], pa.binary()))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}  # at most 2 ** ORDER_BITS counters
+        for batch in batches:
+            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(counts, np.uint16).astype(np.int64)
+                sums[chunk] = sums[chunk] + own if chunk in sums else own
+        if sums:
+            levels = [np.minimum(255, 8 * np.log2(1 + x)).astype(np.uint8).tobytes() for x in sums.values()]
+            yield arrow_rows(chunk=np.array(list(sums), np.int32), level=pa.array(levels, pa.binary()), n=np.array([x.sum() for x in sums.values()], np.int64))
+
+    made = docs.select("text").mapInArrow(count, "chunk int, counts binary").repartition("chunk")
+    found = made.mapInArrow(add, "chunk int, level binary, n long").collect()  # a row for each of the fixed chunks
+    level = np.zeros(1 << ORDER_BITS, np.uint8)
+    for r in found:
+        level[r["chunk"] * ORDER_CHUNK : (r["chunk"] + 1) * ORDER_CHUNK] = np.frombuffer(r["level"], np.uint8)
+    return level, sum(r["n"] for r in found)
+
+
+def _heads(gram: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(columns, the smallest node of each, links of the other nodes to it)."""
+    order = np.lexsort((node, gram))
+    gram, node = gram[order], node[order]
+    lead = np.ones(len(gram), bool)
+    lead[1:] = gram[1:] != gram[:-1]
+    head = node[lead][np.cumsum(lead) - 1]
+    other = head != node
+    return gram[lead], node[lead], np.unique(np.stack([head[other], node[other]], 1), axis=0)
+
+
+_CANDIDATES = "part int, kind int, x long, y long, id long, text_hash long, grams binary, nodes binary"
+
+
+def _candidates(docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFrame:
+    """By ``kind``: 0 a row (id, its text's hash, x = set, y = size), 2 a link between sets (x, y) that share a column
+    of their prefixes."""
+    num, den = similarity
+    level, total = column_order(docs, n)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(level)  # fixed size
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * (den - num) // den // MATCH_ROWS))
+    parts = 8 * tasks
+
+    def rows_of(kind: int, part: np.ndarray, **columns) -> pa.RecordBatch:
+        void = {"x": pa.int64(), "y": pa.int64(), "id": pa.int64(), "text_hash": pa.int64(), "grams": pa.binary(), "nodes": pa.binary()}
+        given = {c: columns.get(c, pa.nulls(len(part), t)) for c, t in void.items()}
+        return arrow_rows(part=part.astype(np.int32), kind=np.full(len(part), kind, np.int32), **given)
+
+    def links_of(links: np.ndarray) -> pa.RecordBatch:
+        return rows_of(2, links[:, 0] % parts, x=signed(links[:, 0]), y=signed(links[:, 1]))
+
+    def settle(held: list) -> Iterator[pa.RecordBatch]:
+        gram, node, links = _heads(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield links_of(links)
+        part = (mix(gram) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        which, count = np.unique(part, return_counts=True)
+        cut = pa.py_buffer(np.append(0, np.cumsum(count) * 8).astype(np.int32).tobytes())
+        packed = lambda x: pa.Array.from_buffers(pa.binary(), len(which), [None, cut, pa.py_buffer(x[order].tobytes())])
+        yield rows_of(1, which, grams=packed(gram), nodes=packed(node))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held, n_held = np.zeros(0, np.uint64), [], 0
         for batch in batches:
-            for at, owner, gram, rows in shingle_sets(batch.column(1), n):
+            for at, owner, gram, rows in shingle_sets(batch.column(1), n, shared.value):
                 size, node = set_codes(owner, gram, rows)
-                ids = batch.column(0).slice(at, rows)
-                yield rows_of(0, signed(node), size, ids, batch.column(2).slice(at, rows))
+                yield rows_of(0, node % np.uint64(parts), x=signed(node), y=size, id=batch.column(0).slice(at, rows), text_hash=batch.column(2).slice(at, rows))
                 # a set that this task has had brings nothing new
                 first = np.zeros(rows, bool)
                 first[np.unique(node, return_index=True)[1]] = True
                 first &= ~np.isin(node, seen) & (size > 0)
                 seen = np.concatenate([seen, node[first]]) if len(seen) < MATCH_ROWS else node[first]
-                mine = first[owner]
-                doc, digest = block_digests(owner[mine], gram[mine], rows, similarity)
-                order = np.lexsort((doc, digest))
-                doc, digest = doc[order], digest[order]
-                lead = np.ones(len(digest), bool)
-                lead[1:] = digest[1:] != digest[:-1]
-                yield rows_of(1, signed(digest[lead]), signed(node[doc[lead]]))
-                if not lead.all():
-                    heads = doc[lead][np.cumsum(lead) - 1]
-                    links = np.unique(np.stack([heads[~lead], doc[~lead]], 1), axis=0)
-                    yield rows_of(2, signed(node[links[:, 0]]), signed(node[links[:, 1]]))
+                place = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
+                keep = first[owner] & (place <= (size - -(-num * size // den))[owner])
+                held.append((gram[keep], node[owner[keep]]))
+                n_held += int(keep.sum())
+                if n_held >= MATCH_ROWS:
+                    yield from settle(held)
+                    held, n_held = [], 0
+        if n_held:
+            yield from settle(held)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # columns are spread evenly, and each task before sent one row for each of its own
+        held = []
+        for batch in batches:
+            packed = batch.column(1).to_numpy() == 1
+            if not packed.all():
+                yield batch.filter(pa.array(~packed))
+            if packed.any():
+                own = batch.filter(pa.array(packed))
+                held += [tuple(np.frombuffer(b"".join(own.column(i).to_pylist()), np.uint64) for i in (6, 7))]
+        if held:
+            yield links_of(_heads(*(np.concatenate(x) for x in zip(*held, strict=True)))[2])
 
     text = F.coalesce("text", F.lit(""))
     source = docs.select("id", F.when(F.col("id").isNotNull(), text).otherwise("").alias("text"), F.xxhash64(text).alias("text_hash"))
-    return source.mapInArrow(run, "kind int, x long, y long, id long, text_hash long")
-
-
-def _matches(digests: DataFrame) -> DataFrame:
-    """Links (a, b) between sets with an equal digest: every holder to the first one in the digest's task."""
-    parts = max(1, -(-digests.count() // MATCH_ROWS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # digests are spread evenly and each task before sent one row for each of its own
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not held:
-            return
-        digest, node = (np.concatenate(x) for x in zip(*held, strict=True))
-        del held
-        order = np.lexsort((node, digest))
-        digest, node = digest[order], node[order]
-        lead = np.ones(len(digest), bool)
-        lead[1:] = digest[1:] != digest[:-1]
-        head = node[lead][np.cumsum(lead) - 1]
-        other = head != node
-        links = np.unique(np.stack([head[other], node[other]], 1), axis=0)
-        yield arrow_rows(a=links[:, 0].copy(), b=links[:, 1].copy())
-
-    spark = digests.sparkSession
-    parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return digests.select("x", "y").repartition(parts, "x").mapInArrow(run, "a long, b long")
+    made = source.mapInArrow(prefixes, _CANDIDATES).repartition(tasks, "part").mapInArrow(match, _CANDIDATES)
+    return made.select("kind", "x", "y", "id", "text_hash")
 
 
 def tile_links(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: tuple[int, int]) -> np.ndarray:
@@ -224,19 +258,31 @@ def _spanning(pairs: np.ndarray, n: int) -> np.ndarray:
     return pairs[keep]
 
 
-def _product(docs: DataFrame, groups: DataFrame, sets: DataFrame, n: int, similarity: tuple[int, int]) -> DataFrame:
-    """Links (a, b) between sets of one group, enough to join all that are linked."""
-    # one document stands for each set; a group is cut into tiles of about TILE_ROWS rows, a cell is a pair of tiles
-    chosen = sets.where("y > 0").groupBy("x").agg(F.min(F.struct("id", "text_hash")).alias("s")).select("x", "s.id", "s.text_hash")
-    members = stage(chosen.join(groups.select(F.col("node").alias("x"), F.col("label").alias("grp")), "x"))
-    counts = members.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("tiles"))
-    tiled = members.join(counts, "grp").withColumn("tile", F.pmod(F.xxhash64("x"), F.col("tiles")).cast("int"))
-    placed = tiled.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        F.col("id").alias("__id"), F.col("text_hash").alias("__hash"),
-        F.xxhash64("grp", F.least("tile", "with"), F.greatest("tile", "with")).alias("cell"), (F.col("tile") > F.col("with")).alias("right"),
-    )
+def _cells_by_size(members: DataFrame, groups: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(x, cell, right) of the rows of groups with several tiles.
+
+    Sizes of a linked pair are in one class or in neighbours, as a class is a little wider than the bound on their
+    ratio; tiles are cut within a class. Rows that leaders have joined (``main``) need no tile among themselves.
+    """
+    num, den = similarity
+    k = F.floor(F.log("y") / float(np.log(1.02 * den / num))).cast("int")
+    rows = members.join(groups, "grp").withColumn("k", k)
+    tiles = F.greatest(F.ceil(F.count(F.lit(1)) / TILE_ROWS), F.ceil(F.sum("y") * 8 / TILE_BYTES)).cast("int")
+    parts = stage(rows.groupBy("grp", "k", "main").agg(tiles.alias("tiles")))
+    mine = rows.join(parts, ["grp", "k", "main"]).withColumn("tile", F.pmod(F.xxhash64("x"), F.col("tiles")).cast("int")).drop("tiles")
+    other = parts.select("grp", F.col("k").alias("k2"), F.col("main").alias("main2"), "tiles")
+    met = (
+        mine.withColumn("k2", F.explode(F.array(*[F.col("k") + d for d in (-1, 0, 1)]))).join(other, ["grp", "k2"]).where("NOT (main AND main2)")
+        .withColumn("tile2", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    )
+    a, b = F.struct("k", "main", "tile"), F.struct(F.col("k2").alias("k"), F.col("main2").alias("main"), F.col("tile2").alias("tile"))
+    return met.select("x", "id", "text_hash", F.xxhash64("grp", F.least(a, b), F.greatest(a, b)).alias("cell"), (a > b).alias("right"))
+
+
+def _multiply(docs: DataFrame, placed: DataFrame, n: int, similarity: tuple[int, int]) -> DataFrame:
+    """Links (a, b) found in the cells of ``placed`` (id, text_hash, cell, right), enough to join all that are linked."""
     # this side grows with the input, so it is never broadcast
-    cells = placed.groupBy("__id", "__hash").agg(F.collect_list(F.struct("cell", "right")).alias("cells")).hint("merge")
+    cells = placed.groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list(F.struct("cell", "right")).alias("cells")).hint("merge")
     # texts move once; rows that repeat both id and text are one row of the tile
     hashed = docs.where("id IS NOT NULL AND text IS NOT NULL").withColumn("text_hash", F.xxhash64("text"))
     texts = hashed.join(cells, (F.col("id") == F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("text", "cells")
@@ -251,49 +297,89 @@ def _product(docs: DataFrame, groups: DataFrame, sets: DataFrame, n: int, simila
 
     rows = texts.mapInArrow(shingled, "x long, grams binary, cells array<struct<cell: long, right: boolean>>")
     rows = rows.withColumn("c", F.explode("cells")).select(F.col("c.cell").alias("cell"), F.col("c.right").alias("right"), "x", "grams")
-    tiles = rows.groupBy("cell").agg(F.collect_list(F.struct("right", "x", "grams")).alias("rows"))
+
+    def links_in(cell: list) -> list[tuple[int, int]]:
+        sides: tuple[dict, dict] = {}, {}
+        for right, x, grams in cell:
+            sides[right][x] = np.frombuffer(grams, np.uint64)
+        left, right = sides
+        if not left or len(left) + len(right) < 2:
+            return []
+        pairs = tile_links(list(left.values()), list(right.values()) or None, similarity)
+        names = [*left, *right]
+        if right:
+            pairs = pairs + np.array([[0, len(left)]])
+        return [(names[p], names[q]) for p, q in _spanning(pairs, len(names))]
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, cell = None, []  # rows come cell by cell; one cell is held
         for batch in batches:
-            a, b = [], []
-            for i in range(batch.num_rows):
-                cell = batch.column(0)[i].values
-                right = np.asarray(cell.field(0).to_numpy(zero_copy_only=False), bool)
-                x = cell.field(1).to_numpy()
-                grams = [np.frombuffer(g, np.uint64) for g in cell.field(2).to_pylist()]
-                pick = np.unique(np.stack([right.astype(np.int64), x]), axis=1, return_index=True)[1]
-                l, r = pick[~right[pick]], pick[right[pick]]
-                if len(r) and not len(l):
-                    continue
-                pairs = tile_links([grams[k] for k in l], [grams[k] for k in r] if len(r) else None, similarity)
-                names = np.concatenate([x[l], x[r]])
-                if len(r):
-                    pairs = pairs + np.array([[0, len(l)]])
-                for p, q in _spanning(pairs, len(names)):
-                    a.append(names[p])
-                    b.append(names[q])
-            yield arrow_rows(a=np.array(a, np.int64), b=np.array(b, np.int64))
-
-    return tiles.select("rows").mapInArrow(multiply, "a long, b long")
+            found = []
+            for key, right, x, grams in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if key != now:
+                    found += links_in(cell)
+                    now, cell = key, []
+                cell.append((right, x, grams))
+            yield pairs_of(found)
+        yield pairs_of(links_in(cell))
+
+    def pairs_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        both = np.array(found, np.int64).reshape(-1, 2)
+        return arrow_rows(a=both[:, 0].copy(), b=both[:, 1].copy())
+
+    return stage(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(multiply, "a long, b long"))
+
+
+def _product(docs: DataFrame, groups: DataFrame, sets: DataFrame, n: int, similarity: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between sets of one group, enough to join all that are linked."""
+    # one document stands for each set
+    chosen = sets.where("y > 0").groupBy("x").agg(F.min(F.struct("id", "text_hash")).alias("s"), F.first("y").alias("y")).select("x", "y", "s.id", "s.text_hash")
+    members = stage(chosen.join(groups.select(F.col("node").alias("x"), F.col("label").alias("grp")), "x"))
+    large = F.when((F.count(F.lit(1)) > TILE_ROWS) | (F.sum("y") * 8 > TILE_BYTES), F.greatest(F.ceil(F.count(F.lit(1)) / TILE_ROWS), F.ceil(F.sum("y") * 8 / TILE_BYTES)))
+    sized = stage(members.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), large.cast("int").alias("tiles")))
+    one_tile = members.join(sized.where("tiles IS NULL").select("grp"), "grp").select("x", "id", "text_hash", F.col("grp").alias("cell"), F.lit(False).alias("right"))
+    several = sized.where("tiles IS NOT NULL")
+    if several.isEmpty():
+        return _multiply(docs, one_tile, n, similarity)
+
+    # every tile of a large group meets the group's leaders
+    rows = members.join(several, "grp")
+    leads = F.pmod(F.xxhash64("x", F.lit("lead")), F.ceil(F.col("rows") / LEADERS)) == 0
+    tiled = rows.withColumn("leads", leads).withColumn("tile", F.when(F.col("leads"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(F.pmod(F.xxhash64("x"), F.col("tiles")).cast("int"))))
+    met = tiled.withColumn("tile", F.explode("tile")).select("x", "id", "text_hash", F.xxhash64("grp", "tile", F.lit("lead")).alias("cell"), (~F.col("leads")).alias("right"))
+    first = _multiply(docs, met.unionByName(one_tile), n, similarity)
+    joined = components(first).select(F.col("node").alias("x"), "label")
+    # the label that most rows of a group have
+    counts = members.join(several.select("grp"), "grp").join(joined, "x").groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+    marked = stage(
+        members.join(several.select("grp"), "grp").join(joined, "x", "left").join(most, "grp", "left")
+        .select("x", "y", "id", "text_hash", "grp", F.coalesce(F.col("label") == F.col("most"), F.lit(False)).alias("main"))
+    )
+    second = _multiply(docs, _cells_by_size(marked, several.select("grp"), similarity), n, similarity)
+    return first.unionByName(second)
 
 
 def link_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, similarity: tuple[int, int] = SIMILARITY
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, similarity: tuple[int, int] = SIMILARITY, keys: bool = False
 ) -> DataFrame:
-    """(id, n_shingles, component_id) of every row; component_id is the smallest id that links reach."""
+    """(id, n_shingles, component_id) of every row; component_id is the smallest id that links reach.
+
+    With ``keys`` also ``text_hash`` (xxhash64 of the text, null as empty) and ``component_key``, which tells components
+    apart even where rows of different texts share an id; it is null for rows without shingles.
+    """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    made = stage(_profile(source, n, similarity))
+    made = stage(_candidates(source, n, similarity))
     sets = made.where("kind = 0")
-    found = made.where("kind = 2").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(_matches(made.where("kind = 1")))
-    groups = components(found)
-    links = stage(_product(source, groups, sets, n, similarity))
-    merged = components(links)
+    groups = components(made.where("kind = 2").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    merged = components(_product(source, groups, sets, n, similarity))
     smallest = sets.where("y > 0 AND id IS NOT NULL").groupBy("x").agg(F.min("id").alias("id"))
     named = smallest.join(merged.withColumnRenamed("node", "x"), "x", "left").select("x", F.coalesce("label", "x").alias("label"), "id")
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    final = named.join(least, "label").select(F.col("x").alias("__x"), "component_id")
+    final = named.join(least, "label").select(F.col("x").alias("__x"), "component_id", F.col("label").alias("component_key"))
     out = sets.join(final, (sets["x"] == final["__x"]) & (sets["y"] > 0), "left")
     return out.select(
         F.col("id").alias(id_col), F.col("y").alias("n_shingles"),
         F.when(F.col("y") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        *(["text_hash", "component_key"] if keys else []),
     )

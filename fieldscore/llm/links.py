@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by passing the smallest label along links and labels of labels."""
+"""Connected components of a table of links, by hooking to the smallest neighbour and contracting."""
 
 from __future__ import annotations
 
@@ -8,29 +8,39 @@ from pyspark.sql import functions as F
 from .common import stage
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, label) of every node that has a link; the label is the smallest node that links reach.
+def _ordered(links: DataFrame) -> DataFrame:
+    """Each link once, the smaller end first; links inside a node are gone."""
+    return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    A round joins labels over links and then looks up the label's own label, so chains shrink by doubling. Links
-    inside one label are dropped on the way; each round is staged, and nothing is gathered.
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, label) of every node of the links (a, b); nodes have one label if and only if links join them.
+
+    A round hooks each node to the smallest of itself and its neighbours and follows the hooks to their roots. Then
+    links are taken between roots: those inside a root are gone, so each round has fewer. Rounds are staged, nothing
+    is gathered.
     """
-    links = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
-    both = stage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    edges = stage(_ordered(links))
+    labels = None
     while True:
-        # the smallest label next to any node of a label's tree hooks the whole tree
-        near = (
-            both.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
-            .join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-            .where("la <> lb")
+        ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        roots = stage(ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("a", "m").alias("root")))
+        while True:  # hooks point to smaller nodes, so there are no cycles
+            ahead = roots.select(F.col("x").alias("root"), F.col("root").alias("next"))
+            jumped = stage(roots.join(ahead, "root").select("x", F.col("next").alias("root"), (F.col("next") < F.col("root")).alias("moved")))
+            roots = jumped.select("x", "root")
+            if jumped.where("moved").isEmpty():
+                break
+        if labels is None:
+            labels = roots.select(F.col("x").alias("node"), F.col("root").alias("label"))
+        else:
+            labels = stage(labels.join(roots, labels["label"] == roots["x"], "left").select("node", F.coalesce("root", "label").alias("label")))
+        edges = stage(
+            _ordered(
+                edges.join(roots.select(F.col("x").alias("a"), F.col("root").alias("ra")), "a")
+                .join(roots.select(F.col("x").alias("b"), F.col("root").alias("rb")), "b")
+                .select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+            )
         )
-        hooks = stage(near.groupBy("la").agg(F.min("lb").alias("to")).where("to < la"))
-        if hooks.isEmpty():
+        if edges.isEmpty():
             return labels
-        # hooks point to smaller labels, so there are no cycles; follow them to the roots
-        while True:
-            jumped = stage(hooks.join(hooks.select(F.col("la").alias("to"), F.col("to").alias("next")), "to", "left").select("la", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("more")))
-            hooks = jumped.select("la", "to")
-            if jumped.where("more").isEmpty():
-                break
-        labels = stage(labels.join(hooks, labels["label"] == hooks["la"], "left").select("node", F.coalesce("to", "label").alias("label")))

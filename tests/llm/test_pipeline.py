@@ -63,6 +63,13 @@ def test_repeated_rows_and_no_ids_stay_or_go(spark):
     assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted([(1, "a b c d e f"), (None, "a b c d e f"), (None, None), (3, None)], key=repr)
 
 
+def test_an_id_with_several_texts_loses_only_the_copies(spark):
+    a, a2, b = " ".join(f"w{i}" for i in range(80)), " ".join(f"w{i}" for i in range(78)), " ".join(f"v{i}" for i in range(80))
+    docs = spark.createDataFrame([(5, a), (3, a2), (5, b), (5, b), (7, b)], "doc_id long, text string")
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert sorted(tuple(r) for r in out.collect()) == sorted([(3, a2), (5, b)])
+
+
 def test_every_operator_has_a_query():
     names = list(__spark_entry__.queries())
     for n in range(1, 11):

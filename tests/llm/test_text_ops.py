@@ -1,10 +1,11 @@
 """Line dedup, decontamination, n-gram links and passage dedup against plain versions."""
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldscore.llm import decontaminate, jaccard, line_dedup, phrases
+from fieldscore.llm import common, decontaminate, jaccard, line_dedup, phrases
 
 
 def rows(df, *columns):
@@ -66,11 +67,60 @@ def test_links(frame, corpus, n, num, den):
     assert rows(out, *out.columns) == sorted(brute.link_components(corpus, n, num, den), key=repr)
 
 
-def test_links_in_small_tiles(frame, corpus, monkeypatch):
+@pytest.mark.parametrize(("num", "leaders"), [(70, 2), (90, 1), (60, 50)])
+def test_links_in_small_tiles(frame, corpus, monkeypatch, num, leaders):
     monkeypatch.setattr(jaccard, "TILE_ROWS", 4)
+    monkeypatch.setattr(jaccard, "LEADERS", leaders)
     monkeypatch.setattr(jaccard, "MATCH_ROWS", 50)
-    out = jaccard.link_documents(frame, n=3, similarity=(70, 100))
-    assert rows(out, *out.columns) == sorted(brute.link_components(corpus, 3, 70, 100), key=repr)
+    out = jaccard.link_documents(frame, n=3, similarity=(num, 100))
+    assert rows(out, *out.columns) == sorted(brute.link_components(corpus, 3, num, 100), key=repr)
+
+
+def test_links_in_tiles_of_few_bytes(frame, corpus, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE_BYTES", 2000)
+    out = jaccard.link_documents(frame, n=3, similarity=(80, 100))
+    assert rows(out, *out.columns) == sorted(brute.link_components(corpus, 3, 80, 100), key=repr)
+
+
+def test_links_do_not_depend_on_the_order_of_columns(frame, corpus, monkeypatch):
+    monkeypatch.setattr(jaccard, "column_order", lambda docs, n: (np.zeros(1 << jaccard.ORDER_BITS, np.uint8), 1000))
+    out = jaccard.link_documents(frame, n=3, similarity=(80, 100))
+    assert rows(out, *out.columns) == sorted(brute.link_components(corpus, 3, 80, 100), key=repr)
+
+
+def long_words():
+    """Long words that differ in the places of two bytes or in a pattern only."""
+    out = []
+    for size in (1024, 5000, 100_000):
+        word = ["abcdefgh"[i * i % 7] for i in range(size)]
+        for gap in (1, 64, 256, 1024, 4096):
+            if gap < size - 10:
+                swapped = list(word)
+                swapped[5], swapped[5 + gap] = "x", "y"
+                back = list(word)
+                back[5], back[5 + gap] = "y", "x"
+                out += ["".join(swapped), "".join(back)]
+        out += ["ab" * (size // 2), "ba" * (size // 2), "a" * size, "a" * (size - 1) + "b"]
+    return out
+
+
+def test_long_words_have_their_own_hash():
+    words = [*dict.fromkeys(long_words())]
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    _, _, code, _ = common.words_of(raw, np.array([0, len(raw)]), lower=False)
+    assert len(code) == len(words) == len(set(code.tolist()))
+
+
+def test_links_and_passages_of_long_words(spark):
+    docs = [(2 * i + j, " ".join([w, *(f"u{i}x{k}" for k in range(3))])) for i, w in enumerate(long_words()) for j in (0, 1)]
+    docs += [(1000 + i, f"{w} " * 3) for i, w in enumerate(long_words())]
+    tail = " ".join(f"t{k}" for k in range(19))
+    docs += [(2000 + i, f"{w} {tail}") for i, w in enumerate(long_words())]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    out = jaccard.link_documents(frame)
+    assert rows(out, *out.columns) == sorted(brute.link_components(docs, 3, 90, 100), key=repr)
+    out = phrases.dedup_passages(frame)
+    assert rows(out, "doc_id", "n_words", "n_removed", "text") == sorted(((i, *x) for i, x in brute.passage_dedup(docs).items()), key=repr)
 
 
 def test_links_edges(spark):
