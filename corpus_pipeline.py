@@ -6,7 +6,7 @@ the last return the columns of ``documents``. ``run`` writes each result to the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldscore.llm import decontaminate, jaccard, line_dedup, packing, quality
@@ -51,14 +51,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; of rows with one id and text, one."""
-    linked = jaccard.link_documents(docs.select("doc_id", "text"), n=SHINGLE_WORDS, similarity=SIMILARITY)
-    gone = linked.where("component_id < doc_id").select("doc_id").distinct()
-    rows = _packed(docs, "doc_id", "text").withColumn("__text", F.xxhash64("text")).join(gone, "doc_id", "left_anti")
-    # rows without an id are spread by their text and all stay
-    same = Window.partitionBy(F.coalesce("doc_id", "__text")).orderBy("__text")
-    kept = rows.withColumn("__before", F.lag("__text").over(same)).where("doc_id IS NULL OR __before IS NULL OR __before <> __text")
-    return _unpacked(kept, docs, "doc_id", "text")
+    """Of each group of linked documents the one with the smallest id stays (of different texts under that id, the one
+    with the smallest hash); of rows with one id and text, one. Rows without an id stay."""
+    linked = stage(jaccard.link_documents(docs.select("doc_id", "text"), n=SHINGLE_WORDS, similarity=SIMILARITY, keys=True).where("doc_id IS NOT NULL"))
+    key = F.struct("doc_id", "text_hash")
+    firsts = linked.where("component_key IS NOT NULL").groupBy("component_key").agg(F.min(key).alias("s")).select("component_key", "s.doc_id", "s.text_hash")
+    gone = linked.join(firsts, ["component_key", "doc_id", "text_hash"], "left_anti").where("component_key IS NOT NULL").select("doc_id", "text_hash").distinct()
+    rows = _packed(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).join(gone, ["doc_id", "text_hash"], "left_anti")
+    again = stage(linked.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_hash"))
+    if not again.isEmpty():  # repeated rows, each pair of id and text on its own
+        once = rows.join(again, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+        rows = rows.join(again, ["doc_id", "text_hash"], "left_anti").unionByName(once)
+    return _unpacked(rows, docs, "doc_id", "text")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
