@@ -89,7 +89,7 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
         at = end
 
 
-def words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, hash, document index) of every word in a block; a word never crosses documents.
 
     The hash adds up a pseudo-random 64-bit value for each byte and its place, however long the word.
@@ -98,7 +98,7 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndar
     none = np.zeros(0, np.int64)
     if not n:
         return none, none, np.zeros(0, np.uint64), none
-    space = SPACE[raw]
+    space = space[raw]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     begin = ~space

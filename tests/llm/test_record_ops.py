@@ -291,20 +291,60 @@ def test_quality_with_names_of_its_own(spark, labelled):
 
 
 def test_quality_hears_all_unlabelled_documents(spark, monkeypatch):
-    """More unlabelled documents than any sample held; all that a view is sure of are fitted, and all are counted for the vocabulary."""
+    """More unlabelled documents than any sample held: all that a view is sure of are counted, and so are all for the vocabulary."""
     bad = F.col("doc_id") % 4 == 0
     text = F.concat(F.when(bad, F.lit("vile rotten ")).otherwise(F.lit("plain fine ")), F.when(F.col("doc_id") >= 12_397, F.lit("seldom")).otherwise(F.lit("")))
     docs = spark.range(12_400).select(F.col("id").alias("doc_id")).withColumns({"text": text, "lang": F.lit("en"), "source": F.when(bad, F.lit("b")).otherwise(F.lit("g")), "n_chars": F.lit(9)})
     labels = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 4 != 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
-    fitted, fit = [], quality._fit
+    heard, told = [], quality._told
 
-    def spy(rows, view, *rest):
-        fitted.append((view, rows.where("weight < 1").count(), rows.first()[view].size))
-        return fit(rows, view, *rest)
+    def spy(free, models, sure):
+        heard.append((free.count(), [len(m.weight) for m in models]))
+        odds = told(free, models, sure)
+        heard.append([sorted(x.tolist()) for x in odds])
+        return odds
 
-    monkeypatch.setattr(quality, "_fit", spy)
+    monkeypatch.setattr(quality, "_told", spy)
     out = quality.classify(docs, labels, rounds=1)
     assert out.where(F.col("accepted") == bad).count() == 0
-    assert {v: n for v, n, _ in fitted[2:]} == {"content": 12_000, "metadata": 12_000}
-    words = {r.w for r in docs.select(F.explode(quality.content_tokens(F.col("text"))).alias("w")).groupBy("w").count().where("count >= 3").collect()}
-    assert "seldom" in words and {n for v, _, n in fitted if v == "content"} == {len(words)}
+    assert heard[0][0] == 12_000
+    content = heard[1][0]
+    # four words tell good from bad, "seldom" (three documents, two of them good) and the shape are counted too
+    assert sum(x <= -4 or x >= 4 for x in content) >= 4 and heard[0][1][0] > 5
+
+
+def test_quality_takes_what_the_other_view_knows(spark):
+    """Labels never show some words; the metadata view tells the content view about them."""
+    kinds = [("good", "plain fine", 1), ("bad", "vile rotten", 0)]
+    rows_, labels = [], []
+    for i in range(2000):
+        source, words, q = kinds[i % 2]
+        if i >= 400:
+            words = "bright tidy" if q else "foul murky"
+        rows_.append((i, f"{words} w{i % 37}", "en", source if i < 1600 else "other", 9))
+        if i < 400:
+            labels.append((i, q, 0))
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    unseen = F.col("doc_id") >= 1600  # their source says nothing, their words were never labelled
+    right = F.col("content_score").cast("double") > 0.5
+    scores = {r: quality.classify(docs, marks, rounds=r).where(unseen).where(right == (F.col("doc_id") % 2 == 0)).count() for r in (0, 1)}
+    assert scores[1] == 400 and scores[0] < 400
+
+
+def test_quality_on_the_labels_of_the_tables(spark):
+    """The shipped settings on documents whose labels were kept back."""
+    import os
+
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    out = quality.classify(docs, labels.where("doc_id % 2 = 0"))
+    truth = labels.where("doc_id % 2 = 1").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("truth"))
+    held = out.join(truth, "doc_id").select("truth", "accepted", *quality.RESULTS[:2]).toPandas()
+    right = {c: float(((held[c] >= 0.5) == held["truth"]).mean()) for c in quality.RESULTS[:2]} | {"both": float((held["accepted"] == held["truth"]).mean())}
+    print(len(held), right)
+    assert right["both"] >= 0.97 and right["both"] >= right["content_score"] - 0.005
+    good = held[held["truth"]]
+    assert good["accepted"].mean() >= 0.98
