@@ -1,9 +1,10 @@
 """Benchmark decontamination: a prefix-filtered set join (DataFrame functions only).
 
 The shingles of benchmark items (word pairs; the word of a one-word item) are counted over the whole corpus and
-ordered by rarity. Every window of an item keeps only its rarest shingle: containment is exact, so one token is the
-necessary prefix. Documents join on these tokens, a match fixes where the item would lie, length and position
-bounds discard what cannot fit, and the rest is compared word by word over item-sized windows.
+ordered by rarity. Every different window of the items keeps only its rarest shingle: containment is exact, so one
+token is the necessary prefix. Documents join on these tokens, a match fixes where the window would lie, length and
+position bounds discard what cannot fit, and the rest is compared word by word. A text of repeated words has few
+different windows, so it gets no more candidate places than it has words for each of them.
 
 Cases: a null or empty text has no words and no hits; items without an id, a text or words take no part; an id
 that several items share is one item with all their windows; rows of documents that repeat an id are judged each
@@ -21,6 +22,8 @@ from .common import ascii_lower, stage
 WINDOW = 13
 #: Benchmark shingles up to this number are sent to every task (16 bytes each); beyond it Spark picks the join.
 BROADCAST_ROWS = 1_000_000
+#: Likewise different windows with their words (about 200 bytes each).
+BROADCAST_WINDOWS = 100_000
 RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
@@ -46,6 +49,11 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return items.distinct().withColumn("key", F.xxhash64("item", "words"))
 
 
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """The table, sent to every task if it has no more than ``rows`` rows."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: tuple[int, int] = (1, 20),
@@ -58,10 +66,13 @@ def decontaminate(
         _shingles(items.where("size(words) > 1"), "key", pairs=True, singles=False)
         .unionByName(_shingles(items.where("size(words) = 1"), "key", pairs=False, singles=True))
     )
-    wanted = own.select("shingle").distinct()
-    small = lambda t: F.broadcast(t) if own.count() <= BROADCAST_ROWS else t
-    source = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"))
-    found = stage(_shingles(source, "id", **kind).join(small(wanted), "shingle", "left_semi"))
+    wanted = stage(own.select("shingle").distinct())
+    # the row travels as one column, so no name of the input meets a name used here
+    kept = [c for c in docs.columns if c not in RESULTS]
+    text = F.col(text_col)
+    rows = docs.select(F.struct(*kept).alias("row"), F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"))
+    source = rows.select("id", "mark", words(F.col("text")).alias("words"))
+    found = stage(_shingles(source, "id", "mark", **kind).join(_small(wanted, BROADCAST_ROWS), "shingle", "left_semi"))
 
     # the rarest shingle of each window of each item
     counts = found.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
@@ -69,38 +80,33 @@ def decontaminate(
     by_key = own.select("key", "pos").join(ranked, ["key", "pos"], "left")
     ahead = Window.partitionBy("key").orderBy("pos").rowsBetween(0, max(0, window - 2))
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pos", "shingle")).over(ahead)
-    length = items.select("key", F.size("words").alias("length"))
-    prefix = (
-        by_key.withColumn("rarest", rarest).join(length, "key")
-        .where((F.col("pos") <= F.greatest(F.col("length") - window, F.lit(0))) & (F.col("rarest.n") > 0))
-        .select("key", F.col("rarest.pos").alias("item_pos"), F.col("rarest.shingle").alias("shingle")).distinct()
+    length = F.size("words")
+    windows = stage(
+        by_key.withColumn("rarest", rarest).join(items, "key")
+        .where((F.col("pos") <= F.greatest(length - window, F.lit(0))) & (F.col("rarest.n") > 0))
+        .select("item", F.slice("words", F.col("pos") + 1, F.least(length, F.lit(window))).alias("words"), (F.col("rarest.pos") - F.col("pos")).alias("ahead"), F.col("rarest.shingle").alias("shingle"))
+        .groupBy("words").agg(F.first("ahead").alias("ahead"), F.first("shingle").alias("shingle"), F.collect_set(F.col("item").cast("string")).alias("items"))
+        .withColumn("window", F.monotonically_increasing_id())
     )
-    # where an item would lie; at least one of its windows has to fit before the document's start
+    # where a window would lie; it may not begin before the document does
     placed = (
-        found.join(small(prefix), "shingle").select("id", "key", (F.col("pos") - F.col("item_pos")).alias("at")).distinct()
-        .join(small(items.withColumnRenamed("words", "item_words")), "key")
-        .where(F.col("at") + F.size("item_words") - F.least(F.size("item_words"), F.lit(window)) >= 0)
+        found.join(_small(windows.select("window", "ahead", "shingle"), BROADCAST_ROWS), "shingle")
+        .select("id", "mark", "window", (F.col("pos") - F.col("ahead")).alias("at")).where("at >= 0")
+        .groupBy("id", "mark", "window").agg(F.collect_set("at").alias("starts"))
     )
-    places = placed.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("at", "item", "item_words")).alias("__places"))
-
-    docs = docs.drop(*[c for c in RESULTS if c in docs.columns])
-    joined = docs.join(places, docs[id_col].eqNullSafe(places["__id"]), "left").drop("__id")
-    k = f"least({window}, size(p.item_words))"
-    fits = f"p.at + j >= 0 AND p.at + j + {k} <= size(w) AND slice(w, p.at + j + 1, {k}) = slice(p.item_words, j + 1, {k})"
-    verified = f"""transform(__places, p -> named_struct('item', p.item, 'words',
-        flatten(transform(filter(sequence(0, size(p.item_words) - {k}), j -> {fits}), j -> sequence(p.at + j, p.at + j + {k} - 1)))))"""
-    # the one-element array makes each document's words once
-    judged = joined.withColumn("__w", F.array(words(F.col(text_col)))).withColumn(
-        "__r",
-        F.expr(f"""transform(__w, w -> named_struct('n', size(w), 'found',
-            CASE WHEN __places IS NULL THEN NULL ELSE filter({verified}, x -> size(x.words) > 0) END))[0]"""),
+    places = (
+        placed.join(_small(windows.select("window", "words", "items"), BROADCAST_WINDOWS), "window")
+        .groupBy(F.col("id").alias("id2"), F.col("mark").alias("mark2")).agg(F.collect_list(F.struct("words", "items", "starts")).alias("places"))
     )
-    hit = F.coalesce(F.size(F.array_distinct(F.flatten(F.col("__r.found.words")))), F.lit(0))
-    hit = F.when(F.col("__r.found").isNull(), F.lit(0)).otherwise(hit)
-    ids = F.when(F.col("__r.found").isNull(), F.expr("CAST(array() AS ARRAY<STRING>)")).otherwise(
-        F.array_sort(F.transform(F.array_distinct(F.col("__r.found.item")), lambda x: x.cast("string")))
-    )
-    out = judged.withColumn("n_words", F.col("__r.n").cast("long")).withColumn("n_hit", hit.cast("long")).withColumn("__ids", ids)
-    out = out.withColumn("n_items", F.size("__ids").cast("long")).withColumn("items_sha256", F.sha2(F.array_join("__ids", ","), 256))
+    joined = rows.join(places, F.col("id").eqNullSafe(F.col("id2")) & (F.col("mark") == F.col("mark2")), "left").select("row", "text", "places")
+    fits = "filter(p.starts, s -> s + size(p.words) <= size(w) AND slice(w, s + 1, size(p.words)) = p.words)"
+    verified = f"filter(transform(places, p -> named_struct('items', p.items, 'k', size(p.words), 'at', {fits})), x -> size(x.at) > 0)"
+    # the one-element array makes each document's words once
+    judged = joined.withColumn("w", F.array(words(F.col("text")))).withColumn("r", F.expr(f"transform(w, w -> named_struct('n', size(w), 'found', {verified}))[0]"))
+    # the union of the windows' places, in one pass over them in order
+    hit = F.expr("""aggregate(array_sort(flatten(transform(r.found, f -> transform(f.at, s -> named_struct('s', s, 'e', s + f.k))))),
+        named_struct('e', 0, 'n', 0L), (a, x) -> named_struct('e', greatest(a.e, x.e), 'n', a.n + greatest(0, x.e - greatest(a.e, x.s))), a -> a.n)""")
+    ids = F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.col("r.found.items")))), F.expr("CAST(array() AS ARRAY<STRING>)"))
+    out = judged.select("row", F.col("r.n").cast("long").alias("n_words"), F.coalesce(hit, F.lit(0)).cast("long").alias("n_hit"), ids.alias("ids"))
     dirty = (F.col("n_hit") > 0) & (share[1] * F.col("n_hit") >= share[0] * F.col("n_words"))
-    return out.withColumn("contaminated", dirty).drop("__w", "__r", "__ids", "__places")
+    return out.select("row.*", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), dirty.alias("contaminated"))

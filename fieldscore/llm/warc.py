@@ -27,7 +27,9 @@ from .common import shared_dir, stage
 
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 256 << 20
-CHUNK = 1 << 20
+CHUNK = 1 << 16
+#: Repeated payloads up to this number are sent to every task (about 60 bytes each).
+BROADCAST_ROWS = 1_000_000
 END = b"\r\n\r\n"
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
@@ -69,8 +71,14 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT,
     html = F.coalesce(F.col("html"), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.sha1(html).alias("digest"))
     digests = pages.where((F.octet_length("html") >= min_revisit) & F.col("page_id").isNotNull()).select("page_id", "digest")
-    last = digests.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    refs = digests.join(last, "digest").where("page_id < refers_to").distinct()
+    last = stage(digests.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    # payloads of so many pages go to every task, so none of them meets in one; there are at most BROADCAST_ROWS of them
+    n = last.count()
+    often = last.agg(F.sum("n")).first()[0] // BROADCAST_ROWS + 1 if n > BROADCAST_ROWS else 2
+    refs = digests.join(F.broadcast(last.where(F.col("n") >= often)), "digest")
+    if often > 2:
+        refs = refs.unionByName(digests.join(last.where(F.col("n") < often), "digest"))
+    refs = refs.where("page_id < refers_to").select("digest", "page_id", "refers_to").distinct()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = fs.FileSystem.from_uri(path)
@@ -189,3 +197,10 @@ def read_archives(spark: SparkSession, archives: DataFrame, payloads: bool = Fal
 
     n = max(1, archives.count())
     return archives.select("path").repartition(n, "path").mapInArrow(read, RECORD)
+
+
+def broken_revisits(rows: DataFrame) -> DataFrame:
+    """(refers_to, payload_digest, records) of revisits whose response is missing or holds another payload."""
+    asked = rows.where("record_type = 'revisit'").groupBy("refers_to", "payload_digest").agg(F.count(F.lit(1)).alias("records"))
+    there = rows.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest")
+    return asked.join(there, ["refers_to", "payload_digest"], "left_anti")

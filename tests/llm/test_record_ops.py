@@ -20,10 +20,10 @@ def rows(df, *columns):
 # -- WARC ------------------------------------------------------------------------------------------------------------
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, monkeypatch):
     big = "<p>é</p>" * 300
     pages = [(1, "http://a/ b", big, "x"), (2, None, big, "x"), (9, "http://c", big, "x"), (3, "http://d", "small", "x"), (4, "http://d", "small", "x"), (5, "u", None, "x"),
-             (None, "u", big, "x"), (9, "again", big, "x"), (6, "crlf\r\nX: y", "\r\n\r\n" * 400, "x"), (7, "u", "z" * 3_000_000, "x")]
+             (None, "u", big, "x"), (9, "again", big, "x"), (6, "crlf\r\nX: y", "\r\n\r\n" * 400, "x"), (7, "u", "z" * 3_000_000, "x"), (10, "u", "y" * 1200, "x"), (11, "u", "y" * 1200, "x")]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string, record_type string").repartition(3)
     out = warc.read_archives(spark, warc.write_archives(frame, shared_dir(spark)), payloads=True)
     got = rows(out, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -34,6 +34,11 @@ def test_warc_round_trip(spark):
         again = i is not None and len(b) >= 1000 and i < last
         expected.append((i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", last if again else None))
     assert got == sorted(expected, key=repr)
+    assert warc.broken_revisits(out).isEmpty()
+    assert warc.broken_revisits(out.where("page_id <> 9")).count() > 0
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 1)
+    again = warc.read_archives(spark, warc.write_archives(frame, shared_dir(spark)))
+    assert rows(again, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == got
     body = {r.page_id: r.payload for r in out.where("record_type = 'response'").collect()}
     assert body[7] == b"z" * 3_000_000 and body[6] == b"\r\n\r\n" * 400 and body[5] == b""
 

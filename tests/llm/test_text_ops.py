@@ -1,5 +1,7 @@
 """Line dedup, decontamination, n-gram links and passage dedup against plain versions."""
 
+import time
+
 import brute
 import numpy as np
 import pytest
@@ -61,6 +63,38 @@ def test_decontaminate_runs_no_python(spark, frame, items):
     assert "Python" not in plan and "MapInArrow" not in plan
 
 
+INNER = ("row", "id", "id2", "mark", "mark2", "text2", "words", "w", "r", "ids", "places", "key", "at", "drop", "found", "code", "start", "n", "c0", "phrase",
+         "shard", "__id", "__row", "__w", "__r", "__ids", "__places", "__drop", "__mark", "__text", "window", "starts", "item", "shingle", "kind", "grams", "cells")
+
+
+def test_columns_with_inner_names_stay(spark, frame, items):
+    """Extra columns named like anything the operators use inside."""
+    odd = frame.select("doc_id", "text").limit(40).withColumns({c: F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")) for c in INNER})
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for out in (line_dedup.dedup_lines(odd), decontaminate.decontaminate(odd, bench), phrases.dedup_passages(odd)):
+        assert out.columns[: len(odd.columns)] == odd.columns
+        found = out.collect()
+        assert len(found) == 40 and all(r[c] == f"{c}:{r.doc_id}" for r in found for c in INNER)
+
+
+def test_decontaminate_repeated_words(spark):
+    """One word, or two in turn, thousands of times: no more work than the texts are long."""
+    items = [(1, "the " * 2000), (2, "a b " * 1000), (3, "a b " * 300 + "c"), (4, "b a " * 6)]
+    docs = [(1, "the " * 20_000), (2, "a b " * 5000), (3, "the " * 12), (4, "b " + "a b " * 30 + "c"), (5, "b a " * 6), (6, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    began = time.time()
+    out = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    got = rows(out, "doc_id", *decontaminate.RESULTS)
+    assert time.time() - began < 60
+    assert got == sorted(brute.contamination(docs, items), key=repr)
+
+
+def test_line_dedup_with_more_keys_than_are_broadcast(frame, corpus, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 2)
+    out = line_dedup.dedup_lines(frame, min_chars=3, min_docs=2)
+    assert rows(out, "doc_id", "text", "n_lines", "n_dropped") == sorted(brute.line_dedup(corpus, 3, 2), key=repr)
+
+
 @pytest.mark.parametrize(("n", "num", "den"), [(3, 90, 100), (5, 80, 100), (1, 50, 100)])
 def test_links(frame, corpus, n, num, den):
     out = jaccard.link_documents(frame, n=n, similarity=(num, den))
