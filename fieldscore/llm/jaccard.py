@@ -1,17 +1,18 @@
 """N-gram Jaccard join by a blocked sparse product of the document by n-gram incidence.
 
-1. Columns (n-grams) are ordered by rarity: a table of ``2 ** ORDER_BITS`` counters over all documents says how many
-   n-grams fall on a column's counter. A set of ``s`` columns enters the product with its ``s - ceil(t * s) + 1`` rarest
-   ones first: sets of similarity ``t`` or more share one of these, so pairs without one are discarded unseen. Any order
-   gives whole results; rarity keeps passages that many documents share out of the prefixes.
-2. Within a column block a set is linked to the smallest set of each of its columns. Sets joined by such links are a
-   group; only the rows of a group can link.
+1. Columns (n-grams) are dealt to blocks by hash. The size bound says in how many columns a linked pair can differ: with
+   twice that many blocks and one, a linked pair has more than half of them equal. A set enters the product with the
+   digests of its better half of blocks first; pairs that share none are discarded unseen. A block is better the rarer
+   its rarest column is, by a table of ``2 ** ORDER_BITS`` counters over all documents. Any order gives whole results;
+   rarity keeps passages that many documents share out of the first half.
+2. A set is linked to the smallest set with an equal block. Sets joined by such links are a group; only the rows of a
+   group can link.
 3. Within a group the product of incidence rows is taken in tiles of bounded rows and bytes. A tile accumulates overlap
    counts column block by column block and discards pairs below ``overlap * (den + num) >= num * (size a + size b)``.
    Tiles of a large group meet only where their sizes allow a link, and first a few leaders of the group: the rows
    that leaders join need no product among themselves.
 
-No step emits the pairs of a group: equal sets are one node, a column gives one link for each other set in it, and a
+No step emits the pairs of a group: equal sets are one node, a block gives one link for each other set with it, and a
 tile returns only links that join trees it has not yet joined. Sets, columns and words are told apart by 64-bit hashes:
 for N different sets the chance that two are taken for one is below N * N / 2**65.
 
@@ -37,7 +38,7 @@ SIMILARITY = (90, 100)
 #: Counters of the order of columns: its size is fixed, whatever the input (one byte each is sent to the tasks).
 ORDER_BITS = 22
 ORDER_CHUNK = 1 << 16
-#: Rows and bytes of a tile, and column entries that a task looks at together.
+#: Rows and bytes of a tile, and digests that a task looks at together.
 TILE_ROWS = 1024
 TILE_BYTES = 16 << 20
 MATCH_ROWS = 2_000_000
@@ -61,21 +62,70 @@ def _grams(code: np.ndarray, doc: np.ndarray, n: int, rows: int) -> tuple[np.nda
     return np.append(owner, short), np.append(gram, whole)
 
 
-def shingle_sets(column: pa.Array, n: int, level: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    """(first row, document index, hash, rows) of the distinct shingles of runs of texts, sorted by document, then from rare to
-    frequent where an order is given."""
+def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(first row, document index, hash, rows) of the distinct shingles of runs of texts, sorted by document."""
     for at, raw, offsets in text_blocks(column):
         _, _, code, doc = words_of(raw, offsets, lower=True)
         rows = len(offsets) - 1
         owner, gram = _grams(code, doc, n, rows)
-        major = owner if level is None else owner << 8 | level[_counter(gram)]
-        order = np.lexsort((gram, major))
+        order = np.lexsort((gram, owner))
         owner, gram = owner[order], gram[order]
         keep = np.ones(len(gram), bool)
         keep[1:] = (owner[1:] != owner[:-1]) | (gram[1:] != gram[:-1])
         yield at, owner[keep], gram[keep], rows
 
 
+def size_classes(similarity: tuple[int, int], top: int) -> np.ndarray:
+    """Smallest size of each class, two beyond ``top``; sizes of a linked pair are in one class or in neighbours."""
+    num, den = similarity
+    bounds = [1]
+    while len(bounds) < 3 or bounds[-3] <= top:
+        bounds.append(bounds[-1] * den // num + 1)
+    return np.array(bounds, np.int64)
+
+
+def block_digests(owner: np.ndarray, gram: np.ndarray, level: np.ndarray, rows: int, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(document index, digest) of the column blocks that have to be matched, for pairs whose smaller set is in the
+    document's size class or in the one below.
+
+    A pair whose smaller set has ``n`` columns differs in at most ``apart = n * (den - num) // num`` of them. Of
+    ``2 * apart + 1`` blocks at least ``apart + 1`` are equal, and the best of these is among the ``apart + 1`` best of
+    both sets, as the order depends on a block's columns only.
+    """
+    num, den = similarity
+    size = np.bincount(owner, minlength=rows)
+    bounds = size_classes(similarity, int(size.max(initial=0)))
+    own_class = np.searchsorted(bounds, size, "right") - 1
+    common = level[_counter(gram)]
+    high = (mix(gram ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.int64)
+    out_doc, out_digest = [], []
+    for down in (0, 1):
+        k = own_class - down
+        apart = (bounds[np.maximum(k, 0) + 1] - 1) * (den - num) // num
+        blocks = np.where((k >= 0) & (size > 0), 2 * apart + 1, 0)
+        base = np.cumsum(blocks) - blocks
+        total = int(blocks.sum())
+        if not total:
+            continue
+        here = blocks[owner] > 0
+        cell = (base[owner] + (high * blocks[owner] >> 32))[here]
+        held = np.bincount(cell, minlength=total)
+        sums = np.zeros(total, np.uint64)
+        np.add.at(sums, cell, gram[here])
+        rarest = np.full(total, 255, np.uint8)
+        np.minimum.at(rarest, cell, common[here])
+        cell_doc = np.repeat(np.arange(rows), blocks)
+        part = np.arange(total) - base[cell_doc]
+        digest = mix(mix(sums + held.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)) + mix((k[cell_doc] << 32 | part).astype(np.uint64)))
+        # 8 levels are a factor of two in rarity; a second and a third column count for some of these; empty blocks are last
+        score = np.where(held > 0, 64 + np.maximum(0, 128 - rarest.astype(np.int64)) + 32 * np.minimum(held - 1, 2), 0)
+        order = np.lexsort((digest, -score, cell_doc))
+        best = order[part < (apart + 1)[cell_doc]]  # ``part`` counts within a document, before and after sorting
+        out_doc.append(cell_doc[best])
+        out_digest.append(digest[best])
+    return (np.concatenate(out_doc), np.concatenate(out_digest)) if out_doc else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
 def set_codes(owner: np.ndarray, gram: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(size, 64-bit code) of each document's set; equal sets are one node of the join."""
     size = np.bincount(owner, minlength=rows)
@@ -128,7 +178,7 @@ def column_order(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
 
 
 def _heads(gram: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(columns, the smallest node of each, links of the other nodes to it)."""
+    """(digests, the smallest node of each, links of the other nodes to it)."""
     order = np.lexsort((node, gram))
     gram, node = gram[order], node[order]
     lead = np.ones(len(gram), bool)
@@ -142,13 +192,12 @@ _CANDIDATES = "part int, kind int, x long, y long, id long, text_hash long, gram
 
 
 def _candidates(docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFrame:
-    """By ``kind``: 0 a row (id, its text's hash, x = set, y = size), 2 a link between sets (x, y) that share a column
-    of their prefixes."""
+    """By ``kind``: 0 a row (id, its text's hash, x = set, y = size), 2 a link between sets (x, y) with an equal block."""
     num, den = similarity
     level, total = column_order(docs, n)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(level)  # fixed size
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * (den - num) // den // MATCH_ROWS))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * total * (den - num) // num // MATCH_ROWS))
     parts = 8 * tasks
 
     def rows_of(kind: int, part: np.ndarray, **columns) -> pa.RecordBatch:
@@ -169,10 +218,10 @@ def _candidates(docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFra
         packed = lambda x: pa.Array.from_buffers(pa.binary(), len(which), [None, cut, pa.py_buffer(x[order].tobytes())])
         yield rows_of(1, which, grams=packed(gram), nodes=packed(node))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, n_held = np.zeros(0, np.uint64), [], 0
         for batch in batches:
-            for at, owner, gram, rows in shingle_sets(batch.column(1), n, shared.value):
+            for at, owner, gram, rows in shingle_sets(batch.column(1), n):
                 size, node = set_codes(owner, gram, rows)
                 yield rows_of(0, node % np.uint64(parts), x=signed(node), y=size, id=batch.column(0).slice(at, rows), text_hash=batch.column(2).slice(at, rows))
                 # a set that this task has had brings nothing new
@@ -180,10 +229,10 @@ def _candidates(docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFra
                 first[np.unique(node, return_index=True)[1]] = True
                 first &= ~np.isin(node, seen) & (size > 0)
                 seen = np.concatenate([seen, node[first]]) if len(seen) < MATCH_ROWS else node[first]
-                place = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
-                keep = first[owner] & (place <= (size - -(-num * size // den))[owner])
-                held.append((gram[keep], node[owner[keep]]))
-                n_held += int(keep.sum())
+                mine = first[owner]
+                doc, digest = block_digests(owner[mine], gram[mine], shared.value, rows, similarity)
+                held.append((digest, node[doc]))
+                n_held += len(doc)
                 if n_held >= MATCH_ROWS:
                     yield from settle(held)
                     held, n_held = [], 0
@@ -191,7 +240,7 @@ def _candidates(docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFra
             yield from settle(held)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # columns are spread evenly, and each task before sent one row for each of its own
+        # digests are spread evenly, and each task before sent one row for each of its own
         held = []
         for batch in batches:
             packed = batch.column(1).to_numpy() == 1
@@ -205,7 +254,7 @@ def _candidates(docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFra
 
     text = F.coalesce("text", F.lit(""))
     source = docs.select("id", F.when(F.col("id").isNotNull(), text).otherwise("").alias("text"), F.xxhash64(text).alias("text_hash"))
-    made = source.mapInArrow(prefixes, _CANDIDATES).repartition(tasks, "part").mapInArrow(match, _CANDIDATES)
+    made = source.mapInArrow(digests, _CANDIDATES).repartition(tasks, "part").mapInArrow(match, _CANDIDATES)
     return made.select("kind", "x", "y", "id", "text_hash")
 
 
