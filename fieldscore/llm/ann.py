@@ -1,47 +1,55 @@
 """Approximate nearest neighbours by collision counting over query-centred windows.
 
-Each block of vectors keeps, for every random projection, one sorted array of projected values: the index. A
-query's window in each array grows around its own value by virtual rehashing (radius times ``growth``), collisions
-are counted by vector, and a vector that collides in enough projections is verified with its exact cosine. A
-query stops in a block when as many verified vectors as wanted lie within the radius, or nothing is left.
+Each block of vectors keeps, for every random projection, one sorted array of projected values. These arrays are built
+once and stored: the index. For a radius R a query opens a window of ``half * R`` around its own value in each array,
+and a vector that falls into enough windows is verified with its exact cosine: one within R does so with a chance of
+about 84 %. A query is done when as many vectors as wanted lie within R; for the others the windows grow (virtual
+rehashing: R times ``growth``) until they cover everything.
 
-Blocks have about ``block_rows`` rows by a hash of the id; queries go to every block in chunks. The first radius is
-fitted on a bounded sample of rows (``fit_rows``); every row is indexed.
+Every block sees all queries, which are streamed from the shared folder in batches; a task holds one block and one
+batch. The first radius is the one that should hold three times the wanted neighbours, by the distances among a bounded
+sample of rows (``fit_rows``); every row is indexed.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, take no
-part; rows that repeat an id are one vector, the smallest in array order; vectors of different lengths are
-never neighbours; ties go to the smaller id; with fewer candidates than wanted all are returned; an empty table
-gives no rows; extra columns are not carried.
+part; rows that repeat an id are vectors of their own, each found by and asked for as itself; vectors of different
+lengths are never neighbours; ties go to the smaller id; with fewer candidates than wanted all are returned; an empty
+table gives no rows; extra columns are not carried.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import arrow_rows, shared_dir, stage
 
-PROJECTIONS = 40
-SHARE = 0.70
-GROWTH = 1.25
-HALF_WIDTH = 1.36
-BLOCK_ROWS = 8192
-CHUNK_QUERIES = 2048
+PROJECTIONS = 128
+#: Width of a window by radius: a vector at the radius falls into 75 % of the windows.
+HALF_WIDTH = 1.15
+GROWTH = 1.2
+#: Standard deviations below the expected number of collisions at which a vector is still verified.
+LENIENCE = 1.0
+BLOCK_ROWS = 4096
+QUERY_BATCH = 1024
 FIT_ROWS = 2000
 SEED = 20240
 
 
 def clean_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec as doubles) of the rows that take part, one for each id."""
+    """(row, id, vec as doubles) of the rows that take part."""
     vec = F.col(vec_col).cast("array<double>")
     bad = "exists(vec, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))"
     rows = table.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"))
     rows = rows.where(f"id IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0 AND NOT {bad} AND exists(vec, x -> x <> 0)")
-    return rows.groupBy("id").agg(F.min("vec").alias("vec"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "id", "vec")
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -56,91 +64,136 @@ def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return (v * q).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * math.sqrt((q * q).sum()))
 
 
+def axes_of(size: int, projections: int) -> np.ndarray:
+    return np.random.default_rng(SEED).standard_normal((size, projections))
+
+
 class Index:
     """The sorted projections of one block."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int, seed: int):
-        by_id = np.argsort(ids)
-        self.ids, self.vectors = ids[by_id], vectors[by_id]
-        self.axes = np.random.default_rng(seed).standard_normal((vectors.shape[1], projections))
-        values = _units(self.vectors) @ self.axes
-        self.order = np.argsort(values, axis=0).T.astype(np.int32).copy()
-        self.values = np.sort(values, axis=0).T.copy()
-
-    def search(self, query_id: int, query: np.ndarray, k: int, share: float, radius: float, growth: float, half: float) -> tuple[np.ndarray, np.ndarray]:
-        n, m = len(self.ids), len(self.order)
-        at = _units(query[None])[0] @ self.axes
-        low = np.array([np.searchsorted(v, x) for v, x in zip(self.values, at, strict=True)])
-        high = low.copy()
-        need = math.ceil(share * m)
-        counts = np.zeros(n, np.int64)
-        score = np.full(n, np.nan)
-        own = self.ids == query_id
-        todo = n - int(own.sum())
-        k = min(k, todo)
-        verified = own.copy()
-        while k:
-            fresh = []
-            for p in range(m):
-                v, lo, hi = self.values[p], low[p], high[p]
-                low[p] = np.searchsorted(v[:lo], at[p] - half * radius, "left") if lo else 0
-                high[p] = hi + np.searchsorted(v[hi:], at[p] + half * radius, "right")
-                fresh += [self.order[p, low[p] : lo], self.order[p, hi : high[p]]]
-            counts += np.bincount(np.concatenate(fresh), minlength=n)
-            found = np.flatnonzero((counts >= need) & ~verified)
-            verified[found] = True
-            score[found] = cosines(self.vectors[found], query)
-            # on the unit sphere a distance of r is a cosine of 1 - r * r / 2
-            near = int((score >= 1 - radius * radius / 2).sum())
-            if near >= k or verified.all():
-                break
-            radius *= growth
-        found = np.flatnonzero(~np.isnan(score))
-        best = found[np.lexsort((self.ids[found], -score[found]))][:k]
-        return self.ids[best], score[best]
-
-
-def first_radius(sample: np.ndarray, k: int) -> float:
-    """A radius within which few vectors have their neighbours, from a bounded sample."""
+    FIELDS = "row binary, id binary, vectors binary, sorted binary, places binary"
+
+    def __init__(self, row: np.ndarray, ids: np.ndarray, vectors: np.ndarray, values: np.ndarray, places: np.ndarray):
+        self.row, self.ids, self.vectors, self.values, self.places = row, ids, vectors, values, places
+        self.axes = axes_of(vectors.shape[1], len(values))
+
+    @classmethod
+    def build(cls, row: np.ndarray, ids: np.ndarray, vectors: np.ndarray, projections: int) -> Index:
+        values = (_units(vectors) @ axes_of(vectors.shape[1], projections)).T
+        places = np.argsort(values, axis=1, kind="stable")
+        return cls(row, ids, vectors, np.take_along_axis(values, places, 1), places)
+
+    def pack(self) -> list[bytes]:
+        return [x.tobytes() for x in (self.row, self.ids, self.vectors, self.values, self.places.astype(np.int32))]
+
+    @classmethod
+    def unpack(cls, row: bytes, ids: bytes, vectors: bytes, values: bytes, places: bytes) -> Index:
+        n = len(row) // 8
+        return cls(
+            np.frombuffer(row, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(vectors).reshape(n, -1),
+            np.frombuffer(values).reshape(-1, n), np.frombuffer(places, np.int32).reshape(-1, n).astype(np.int64),
+        )
+
+    def search(self, row: np.ndarray, queries: np.ndarray, k: int, radius: float, half: float, lenience: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """For each query (places in the block, cosines, vectors verified) of the ``k`` nearest that collide often enough."""
+        m, n = self.values.shape
+        at = _units(queries) @ self.axes
+        hit = math.erf(half / math.sqrt(2))
+        need = m * hit - lenience * math.sqrt(m * hit * (1 - hit))
+        low = np.stack([np.searchsorted(self.values[p], at[:, p] - half * radius, "left") for p in range(m)])
+        high = np.stack([np.searchsorted(self.values[p], at[:, p] + half * radius, "right") for p in range(m)])
+        for i, query in enumerate(queries):
+            if radius < 2:
+                windows = [self.places[p, a:b] for p, a, b in zip(range(m), low[:, i].tolist(), high[:, i].tolist(), strict=True)]
+                found = np.flatnonzero(np.bincount(np.concatenate(windows), minlength=n) >= need)
+            else:  # no two directions are further apart
+                found = np.arange(n)
+            found = found[self.row[found] != row[i]]
+            score = cosines(self.vectors[found], query)
+            best = np.lexsort((self.row[found], self.ids[found], -score))[:k]
+            yield found[best], score[best], len(found)
+
+
+def first_radius(sample: np.ndarray, wanted: float) -> float:
+    """The radius within which a share of ``wanted`` of all pairs of a bounded sample lie."""
     if len(sample) < 2:
-        return 1.0
+        return 2.0
     u = _units(sample)
-    near = []
-    for i in range(0, len(u), 500):
-        c = u[i : i + 500] @ u.T
-        near.append(np.sort(c, axis=1)[:, -min(k + 1, len(u))])
-    return max(0.05, float(np.sqrt(np.maximum(0, 2 - 2 * np.quantile(np.concatenate(near), 0.9)))) / 2)
+    c = (u @ u.T)[np.triu_indices(len(u), 1)]
+    return max(0.05, float(np.sqrt(max(0.0, 2 - 2 * np.quantile(c, 1 - min(1.0, wanted))))))
 
 
 def nearest(
     table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", projections: int = PROJECTIONS,
-    share: float = SHARE, growth: float = GROWTH, half: float = HALF_WIDTH, block_rows: int = BLOCK_ROWS, fit_rows: int = FIT_ROWS,
+    half: float = HALF_WIDTH, growth: float = GROWTH, lenience: float = LENIENCE, block_rows: int = BLOCK_ROWS, fit_rows: int = FIT_ROWS,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the ``k`` nearest found for the rows that satisfy ``is_query`` (on column ``id``)."""
+    """(query_id, rank, vec_id, score, verified) of the ``k`` nearest found for the rows that satisfy ``is_query`` (on column
+    ``id``); ``verified`` is the number of vectors that the query was compared with, over all radii."""
+    spark = table.sparkSession
     rows = stage(clean_vectors(table, id_col, vec_col))
-    queries = rows.where(is_query)
-    n, n_queries = rows.count(), queries.count()
-    blocks, chunks = max(1, -(-n // block_rows)), max(1, -(-n_queries // CHUNK_QUERIES))
-    sample = rows.orderBy(F.xxhash64("id")).limit(fit_rows).toPandas()["vec"]
+    n = rows.count()
+    blocks = max(1, -(-n // block_rows))
+    sample = rows.orderBy(F.xxhash64("row")).limit(fit_rows).toPandas()["vec"]
     widest = sample.map(len).mode()
-    radius = first_radius(np.stack([x for x in sample if len(x) == widest[0]]), k) if len(sample) else 1.0
-
-    base = rows.withColumn("size", F.size("vec")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    base = base.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    asked = queries.withColumn("size", F.size("vec")).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit("chunk")), F.lit(chunks)).cast("int"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def search(mine: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(mine) and len(q):
-            index = Index(mine["id"].to_numpy(), np.stack(mine["vec"]), projections, SEED)
-            for query_id, query in zip(q["id"], q["vec"], strict=True):
-                ids, score = index.search(query_id, query, k, share, radius, growth, half)
-                found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": score}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    keys = ["size", "block", "chunk"]
-    pairs = base.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    radius = first_radius(np.stack([x for x in sample if len(x) == widest[0]]), 3 * k / max(1, n)) if len(sample) else 2.0
+
+    def build(own: pd.DataFrame) -> pd.DataFrame:
+        index = Index.build(own["row"].to_numpy(), own["id"].to_numpy(), np.stack(own["vec"]), projections)
+        return pd.DataFrame([[own["size"].iloc[0], *index.pack()]], columns=["size", *(x.split()[0] for x in Index.FIELDS.split(", "))])
+
+    spread = F.pmod(F.xxhash64("row"), F.lit(blocks))
+    index = stage(rows.withColumn("size", F.size("vec")).groupBy("size", spread).applyInPandas(build, f"size int, {Index.FIELDS}"))
+
+    def search_with(path: str, now: float):
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            store, folder = fs.FileSystem.from_uri(path)
+            files = [f.path for f in store.get_file_info(fs.FileSelector(folder)) if f.path.endswith(".parquet")]
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    size, *packed = (c[i].as_py() for c in batch.columns)
+                    block = Index.unpack(*packed)
+                    for name in files:
+                        with store.open_input_file(name) as f:
+                            for asked in pq.ParquetFile(f).iter_batches(QUERY_BATCH):
+                                yield answer(block, size, asked, now)
+
+        return search
+
+    def answer(block: Index, size: int, asked: pa.RecordBatch, now: float) -> pa.RecordBatch:
+        asked = asked.filter(pa.array(asked.column(2).value_lengths().to_numpy(zero_copy_only=False) == size))
+        row, ids = asked.column(0).to_numpy(), asked.column(1).to_numpy()
+        found = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.int64, np.int64, float, np.int64)]
+        if len(row):
+            queries = asked.column(2).flatten().to_numpy().reshape(-1, size)
+            for i, (places, score, verified) in enumerate(block.search(row, queries, k, now, half, lenience)):
+                count = np.zeros(len(places), np.int64)
+                count[:1] = verified
+                for out, x in zip(found, (np.full(len(places), row[i]), np.full(len(places), ids[i]), block.row[places], block.ids[places], score, count), strict=True):
+                    out.append(x)
+        return arrow_rows(**dict(zip(("query", "query_id", "row", "vec_id", "score", "verified"), map(np.concatenate, found), strict=True)))
+
+    left, done = rows.where(is_query), None
+    before = None
+    while True:
+        path = shared_dir(spark)
+        left.select("row", "id", "vec").write.parquet(path)
+        left = spark.read.schema(rows.schema).parquet(path)
+        found = index.repartition(blocks).mapInArrow(search_with(path, radius), "query long, query_id long, row long, vec_id long, score double, verified long")
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
+        ranked = found.withColumns({"rank": F.row_number().over(order), "verified": F.sum("verified").over(Window.partitionBy("query"))}).where(F.col("rank") <= k)
+        if before is not None:
+            ranked = ranked.join(before, "query", "left").withColumn("verified", F.col("verified") + F.coalesce("before", F.lit(0))).drop("before")
+        ranked = stage(ranked)
+        # on the unit sphere a distance of r is a cosine of 1 - r * r / 2
+        near = ranked.groupBy("query").agg(F.count_if(F.col("score") >= (1 - radius * radius / 2 if radius < 2 else -2.0)).alias("near"), F.first("verified").alias("before"))
+        over = near.where(F.col("near") >= k) if radius < 2 else near
+        part = ranked.join(over.select("query"), "query")
+        done = part if done is None else done.unionByName(part)
+        if radius >= 2:
+            break
+        before = stage(near.where(F.col("near") < k).select("query", "before"))
+        left = left.join(over.select(F.col("query").alias("row")), "row", "left_anti")
+        if left.isEmpty():
+            break
+        radius = min(2.0, radius * growth)
+    return done.select("query_id", F.col("rank").cast("int"), "vec_id", "score", "verified")
