@@ -1,14 +1,15 @@
 """Substring dedup by repeated-phrase automata: words inside a window that also occurs earlier are removed.
 
-1. Every window of ``window`` words has one phrase of half as many words, the one with the smallest hash, so equal
-   windows have equal phrases. Phrases that occur once in the corpus are dropped; the others are confirmed to recur.
-2. Documents meet the recurring phrases they hold. Each shard of documents compiles an Aho-Corasick automaton of its
-   phrases, with words as letters, and streams its documents to locate every occurrence; only windows around these can
-   recur.
-3. Of equal windows (64-bit codes of the words) the earliest stays; each other one removes its words.
+1. Every window of ``window`` words has one phrase of PHRASE words, the one with the smallest hash, so equal windows have
+   equal phrases. A word is a letter of 21 bits, so a phrase is two numbers. Phrases that occur once in the corpus are
+   dropped; the others are confirmed to recur, and dealt to the shards of documents that hold them.
+2. Each shard compiles an Aho-Corasick automaton of its phrases and streams all its documents through it; this alone
+   says where recurring phrases stand. Only windows around these places can recur.
+3. Of equal windows (equal phrase and equal 64-bit code of all words) the earliest stays; each other one removes its
+   words.
 
 A task settles what recurs within it and passes on one row for each phrase or window, so that a passage in a third of
-all documents gives a task no more rows than there are tasks.
+all documents gives a task no more rows than there are tasks. A shard has about SHARD_BYTES of text, or less.
 
 Cases: a null or empty text has no words; a text shorter than a window loses nothing; rows with the same id and
 text are one document and get the same result; rows that share an id with different texts come in the order of
@@ -25,33 +26,58 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, mix, runs_of, signed, text_blocks, words_of
+from .common import arrow_rows, mix, runs_of, shared_dir, signed, text_blocks, words_of
 
 WINDOW = 20
+PHRASE = 6
 #: Rows that a task sorts together.
 CHUNK_ROWS = 2_000_000
+SHARD_BYTES = 64 << 20
 LAST = np.uint64(2**64 - 1)
-#: Code points beside 0 and the surrogates.
+#: Code points beside 0 and the surrogates; words that share a letter only bring more windows to be judged.
 LETTERS = 0x10FFFF - 0x800
 
 
-def window_phrases(code: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start of each window, place of its phrase, hash of the phrase at each word)."""
-    half = window // 2
-    at, gram = runs_of(code, doc, half)
+def window_phrases(code: np.ndarray, doc: np.ndarray, window: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start of each window, place of its phrase)."""
+    at, gram = runs_of(code, doc, length)
     hashes = np.full(len(code), LAST, np.uint64)
     hashes[at] = gram
     starts = np.flatnonzero(doc[: max(0, len(doc) - window + 1)] == doc[window - 1 :]) if len(doc) >= window else np.zeros(0, np.int64)
     place, best = starts.copy(), hashes[starts]
-    for j in range(1, window - half + 1):
+    for j in range(1, window - length + 1):
         other = hashes[starts + j]
         less = other < best
         best[less] = other[less]
         place[less] = starts[less] + j
-    return starts, place, hashes
+    return starts, place
+
+
+def letters_of(code: np.ndarray) -> np.ndarray:
+    """A code point for each word."""
+    letter = (code % np.uint64(LETTERS)).astype(np.int64) + 1
+    return letter + np.where(letter >= 0xD800, 0x800, 0)  # no surrogates
+
+
+def pack(letter: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """Phrases of up to six letters as pairs of numbers."""
+    out = np.zeros((2, len(place)), np.int64)
+    for j in range(length):
+        out[j // 3] = out[j // 3] << 21 | letter[place + j]
+    return out
+
+
+def unpack(first: np.ndarray, second: np.ndarray, length: int) -> list[str]:
+    """The phrases as strings."""
+    sizes = min(3, length), max(0, length - 3)
+    columns = [x >> (21 * (n - 1 - j)) & 0x1FFFFF for x, n in zip((first, second), sizes, strict=True) for j in range(n)]
+    text = np.stack(columns, 1).astype("<u4").tobytes().decode("utf-32-le")
+    return [text[i : i + length] for i in range(0, len(text), length)]
 
 
 def _runs(ids: np.ndarray, marks: np.ndarray, start: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,20 +98,18 @@ def _known(key: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[lead], order[~lead]
 
 
-def _recurring(docs: DataFrame, window: int) -> DataFrame:
-    """(id, mark, phrase): the recurring phrases of each document."""
+def _recurring(docs: DataFrame, window: int, length: int) -> DataFrame:
+    """(first, second, shard): the recurring phrases that a shard's documents hold."""
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, n = [], 0
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
-            ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            shard = batch.column(1).to_numpy()
             for at, raw, offsets in text_blocks(batch.column(2)):
                 _, _, code, doc = words_of(raw, offsets, lower=False)
-                _, place, hashes = window_phrases(code, doc, window)
-                place = np.unique(place)
-                own = at + doc[place]
-                kept.append((hashes[place], ids[own], marks[own]))
+                place = np.unique(window_phrases(code, doc, window, length)[1])
+                kept.append((*pack(letters_of(code), place, length), shard[at + doc[place]]))
                 n += len(place)
                 if n >= CHUNK_ROWS:
                     yield from settle(kept)
@@ -93,112 +117,120 @@ def _recurring(docs: DataFrame, window: int) -> DataFrame:
         if n:
             yield from settle(kept)
 
+    def group(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order of the rows by phrase, marks of the first row of each phrase, rows whose phrase has several)."""
+        order = np.lexsort((second, first))
+        lead = np.ones(len(order), bool)
+        lead[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
+        number = np.cumsum(lead) - 1
+        return order, lead, np.bincount(number)[number] > 1
+
     def settle(kept: list) -> Iterator[pa.RecordBatch]:
-        phrase, ids, marks = (np.concatenate(x) for x in zip(*kept, strict=True))
-        one, more = _known(phrase, np.argsort(phrase, kind="stable"))
-        again = np.isin(phrase, np.unique(phrase[more]))
-        one = np.sort(one)  # neighbours compress well
-        yield rows(phrase[one], ids[one], marks[one], False)
-        if again.any():
-            yield rows(phrase[again], ids[again], marks[again], True)
+        first, second, shard = (np.concatenate(x) for x in zip(*kept, strict=True))
+        order, lead, again = group(first, second)
+        one, more = np.sort(order[lead]), order[again]  # neighbours compress well
+        yield rows(first[one], second[one], shard[one], False)
+        if len(more):
+            each = np.unique(np.stack([first[more], second[more], shard[more]], 1), axis=0)
+            yield rows(each[:, 0].copy(), each[:, 1].copy(), each[:, 2].astype(np.int32), True)
 
-    def rows(phrase: np.ndarray, ids: np.ndarray, marks: np.ndarray, known: bool) -> pa.RecordBatch:
-        return arrow_rows(phrase=signed(phrase), id=ids, mark=marks, known=np.full(len(ids), known))
+    def rows(first: np.ndarray, second: np.ndarray, shard: np.ndarray, known: bool) -> pa.RecordBatch:
+        return arrow_rows(first=first, second=second, shard=shard, known=np.full(len(shard), known))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = []
         for batch in batches:
             known = batch.column(3)
-            yield batch.filter(known).select(["id", "mark", "phrase"])
+            yield batch.filter(known).select(["first", "second", "shard"])
             part = batch.filter(pc.invert(known))
             probes.append(tuple(part.column(i).to_numpy() for i in range(3)))
         if probes:
-            phrase, ids, marks = (np.concatenate(x) for x in zip(*probes, strict=True))
+            first, second, shard = (np.concatenate(x) for x in zip(*probes, strict=True))
             del probes
-            _, more = _known(phrase, np.argsort(phrase, kind="stable"))
-            again = np.isin(phrase, np.unique(phrase[more]))
-            order = np.flatnonzero(again)
-            order = order[np.lexsort((marks[order], ids[order]))]
-            yield arrow_rows(id=ids[order], mark=marks[order], phrase=phrase[order])
-
-    made = docs.mapInArrow(held, "phrase long, id long, mark int, known boolean")
-    spread = F.when(F.col("known"), F.xxhash64("id")).otherwise(F.col("phrase"))
-    return made.repartition(spread).mapInArrow(meet, "id long, mark int, phrase long")
-
-
-def locate(code: np.ndarray, doc: np.ndarray, hashes: np.ndarray, wanted: np.ndarray, half: int) -> np.ndarray:
-    """Where recurring phrases stand in a shard of documents: an automaton of them reads every document.
-
-    The alphabet are the words of the phrases, a code point for each. Should a shard have more words than there are
-    code points some share one; that only brings more windows to be judged.
-    """
-    where = np.flatnonzero(hashes != LAST)
-    seeds = where[np.isin(hashes[where], np.unique(wanted))]
-    seeds = seeds[np.unique(hashes[seeds], return_index=True)[1]]
-    here = np.zeros(len(code), bool)
-    if not len(seeds):
-        return here
-    alphabet = np.unique(code[(seeds[:, None] + np.arange(half)).ravel()])
-    at = np.minimum(np.searchsorted(alphabet, code), len(alphabet) - 1)
-    letter = at % LETTERS + 1
-    letter += np.where(letter >= 0xD800, 0x800, 0)  # no surrogates
-    known = alphabet[at] == code
-    letter[~known] = 0
-    text = letter.astype("<u4").tobytes().decode("utf-32-le")
+            order, _, again = group(first, second)
+            order = order[again]
+            yield arrow_rows(first=first[order], second=second[order], shard=shard[order])
+
+    made = docs.select("id", "shard", "text").mapInArrow(held, "first long, second long, shard int, known boolean")
+    spread = F.when(F.col("known"), F.xxhash64("first", "second", "shard")).otherwise(F.xxhash64("first", "second"))
+    return made.repartition(spread).mapInArrow(meet, "first long, second long, shard int")
+
+
+def automaton_of(phrases: list[str]) -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for p in seeds.tolist():
-        automaton.add_word(text[p : p + half])
+    for x in phrases:
+        automaton.add_word(x)
     automaton.make_automaton()
-    # a phrase has only words of the alphabet: runs of too few of them are passed over
-    new = np.append(True, (known[1:] != known[:-1]) | (doc[1:] != doc[:-1]))
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(doc))
-    read = known[first] & (last - first >= half)
+    return automaton
+
+
+def locate(automaton: ahocorasick.Automaton, letter: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """At which words a phrase of the automaton begins."""
+    here = np.zeros(len(letter), bool)
+    if not len(automaton) or not len(letter):
+        return here
+    text = letter.astype("<u4").tobytes().decode("utf-32-le")
+    edge = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])).tolist()
     ends = []
-    for a, b in zip(first[read].tolist(), last[read].tolist(), strict=True):
-        ends += [end for end, _ in automaton.iter(text, a, b)]
-    here[np.array(ends, np.int64) - half + 1] = True
+    for a, b in zip(edge, [*edge[1:], len(text)], strict=True):
+        if b - a >= length:
+            ends += [end for end, _ in automaton.iter(text, a, b)]
+    here[np.array(ends, np.int64) - length + 1] = True
     return here
 
 
-def _repeats(docs: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
-    """(id, mark, start, n): runs of windows of a document that occur earlier."""
-    lists = recurring.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_list("phrase").alias("found"))
-    # an outer join like the last one, on the same columns: Spark moves the texts once for both
-    joined = docs.join(lists, (F.col("id") == F.col("__id")) & (F.col("mark") == F.col("__mark")), "left").select("id", "mark", "text", "found")
+def _repeats(docs: DataFrame, path: str, window: int, length: int) -> DataFrame:
+    """(id, mark, start, n): runs of windows of a document that occur earlier; ``path`` has the phrases of each shard."""
+
+    def load(shard: int) -> ahocorasick.Automaton:
+        store, folder = fs.FileSystem.from_uri(f"{path}/shard={shard}")
+        found = []
+        for f in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            if f.path.endswith(".parquet"):
+                with store.open_input_file(f.path) as source:
+                    part = pq.ParquetFile(source).read(["first", "second"])
+                found += unpack(part.column(0).to_numpy(), part.column(1).to_numpy(), length)
+        return automaton_of(found)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, n, groups = [], 0, 0
+        kept, n, groups, now, automaton = [], 0, 0, None, None
         for batch in batches:
-            batch = batch.filter(batch.column(3).is_valid())
-            ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for at, raw, offsets in text_blocks(batch.column(2)):
-                wanted = batch.column(3).slice(at, len(offsets) - 1).flatten().to_numpy().view(np.uint64)
-                _, _, code, doc = words_of(raw, offsets, lower=False)
-                starts, place, hashes = window_phrases(code, doc, window)
-                here = locate(code, doc, hashes, wanted, window // 2)[place]
-                starts, place = starts[here], place[here]
-                at_run, window_code = runs_of(code, doc, window)
-                window_code = window_code[np.searchsorted(at_run, starts)]
-                first_word = np.searchsorted(doc, doc[starts])
-                own = at + doc[starts]
-                kept.append((window_code, ids[own], marks[own], (starts - first_word).astype(np.int32), hashes[place], place + groups))
-                n, groups = n + len(starts), groups + len(code)
-                if n >= CHUNK_ROWS:
-                    yield from settle(kept)
-                    kept, n, groups = [], 0, 0
+            batch = batch.filter(batch.column(0).is_valid())
+            for shard in np.unique(batch.column(2).to_numpy()).tolist():  # a partition is a shard
+                if shard != now:
+                    now, automaton = shard, load(shard)
+                own = batch.filter(pc.equal(batch.column(2), shard))
+                ids, marks = own.column(0).to_numpy(), own.column(1).to_numpy()
+                for at, raw, offsets in text_blocks(own.column(3)):
+                    _, _, code, doc = words_of(raw, offsets, lower=False)
+                    letter = letters_of(code)
+                    starts, place = window_phrases(code, doc, window, length)
+                    here = locate(automaton, letter, doc, length)[place]
+                    starts, place = starts[here], place[here]
+                    at_run, window_code = runs_of(code, doc, window)
+                    window_code = window_code[np.searchsorted(at_run, starts)]
+                    first_word = np.searchsorted(doc, doc[starts])
+                    row = at + doc[starts]
+                    first, second = pack(letter, place, length).view(np.uint64)
+                    phrase = mix(mix(first) + second)
+                    kept.append((window_code, ids[row], marks[row], (starts - first_word).astype(np.int32), phrase, place + groups))
+                    n, groups = n + len(starts), groups + len(code)
+                    if n >= CHUNK_ROWS:
+                        yield from settle(kept)
+                        kept, n, groups = [], 0, 0
         if n:
             yield from settle(kept)
 
-    def earliest(code: np.ndarray, ids: np.ndarray, marks: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def earliest(phrase: np.ndarray, code: np.ndarray, ids: np.ndarray, marks: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(the earliest place of each window, all later ones), each in the order of documents; the same place twice counts once."""
-        order = np.lexsort((start, marks, ids, code))
-        c, i, m, s = (x[order] for x in (code, ids, marks, start))
+        order = np.lexsort((start, marks, ids, code, phrase))
+        p, c, i, m, s = (x[order] for x in (phrase, code, ids, marks, start))
+        new = np.ones(len(order), bool)
+        new[1:] = (p[1:] != p[:-1]) | (c[1:] != c[:-1])
         same = np.zeros(len(order), bool)
-        same[1:] = (c[1:] == c[:-1]) & (i[1:] == i[:-1]) & (m[1:] == m[:-1]) & (s[1:] == s[:-1])
-        one, more = _known(code, order[~same])
+        same[1:] = ~new[1:] & (i[1:] == i[:-1]) & (m[1:] == m[:-1]) & (s[1:] == s[:-1])
         in_order = lambda x: x[np.lexsort((start[x], marks[x], ids[x]))]
-        return in_order(one), in_order(more)
+        return in_order(order[new]), in_order(order[~new & ~same])
 
     def gone(ids: np.ndarray, marks: np.ndarray, start: np.ndarray) -> dict:
         first, n = _runs(ids, marks, start)
@@ -206,7 +238,7 @@ def _repeats(docs: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
 
     def settle(kept: list) -> Iterator[pa.RecordBatch]:
         code, ids, marks, start, phrase, place = (np.concatenate(x) for x in zip(*kept, strict=True))
-        one, more = earliest(code, ids, marks, start)
+        one, more = earliest(phrase, code, ids, marks, start)
         code, i, m, s = code[one], ids[one], marks[one], start[one]
         first, n = _runs(i, m, s, place[one])
         cut = np.append(np.append(0, np.cumsum(n)[:-1]), len(code)) * 8
@@ -226,15 +258,15 @@ def _repeats(docs: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
                 row = np.repeat(np.arange(len(n)), n)
                 code = np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint64)
                 start = part.column(3).to_numpy()[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-                probes.append((code, part.column(1).to_numpy()[row], part.column(2).to_numpy()[row], start))
+                probes.append((part.column(0).to_numpy()[row], code, part.column(1).to_numpy()[row], part.column(2).to_numpy()[row], start))
         if probes:
-            code, ids, marks, start = (np.concatenate(x) for x in zip(*probes, strict=True))
+            phrase, code, ids, marks, start = (np.concatenate(x) for x in zip(*probes, strict=True))
             del probes
-            _, more = earliest(code, ids, marks, start)
+            _, more = earliest(phrase, code, ids, marks, start)
             yield arrow_rows(**gone(ids[more], marks[more], start[more]))
 
     # equal windows have equal phrases, so a phrase's windows travel as one row
-    made = joined.mapInArrow(windows, "phrase long, id long, mark int, start int, n int, codes binary")
+    made = docs.select("id", "mark", "shard", "text").mapInArrow(windows, "phrase long, id long, mark int, start int, n int, codes binary")
     return made.repartition("phrase").mapInArrow(judge, "id long, mark int, start int, n int")
 
 
@@ -245,10 +277,20 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     text = F.coalesce(F.col(text_col), F.lit(""))
     other = [F.col(c).alias(f"c{i}") for i, c in enumerate(names) if c not in (id_col, text_col)]
     source = docs.select(*other, F.col(id_col).cast("long").alias("id"), F.hash(text).alias("mark"), text.alias("text"))
-    texts = source.select("id", "mark", "text")
-    repeats = _repeats(texts, _recurring(texts, window), window)
+    spark, length = docs.sparkSession, max(1, min(PHRASE, window // 2))
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    # the shard of a row is its partition below
+    sharded = source.withColumn("doc_key", F.xxhash64("id", "mark")).withColumn("shard", F.pmod(F.hash("doc_key"), F.lit(shards)).cast("int"))
+    path = shared_dir(spark)
+    _recurring(sharded, window, length).distinct().repartition(shards, "shard").write.partitionBy("shard").parquet(path)
+    placed = sharded.repartition(shards, "doc_key")
+    repeats = _repeats(placed, path, window, length)
     lists = repeats.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_list(F.struct("start", "n")).alias("found"))
-    joined = source.join(lists, (F.col("id") == F.col("__id")) & (F.col("mark") == F.col("__mark")), "left").drop("__id", "__mark", "mark")
+    lists = lists.withColumn("__key", F.xxhash64("__id", "__mark"))
+    # on the key that the texts are placed by: Spark moves them once for both
+    same = (F.col("doc_key") == F.col("__key")) & (F.col("id") == F.col("__id")) & (F.col("mark") == F.col("__mark"))
+    joined = placed.join(lists, same, "left").drop("__id", "__mark", "__key", "mark", "doc_key", "shard")
     place = joined.columns.index("text")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -186,6 +186,19 @@ def test_passages_in_small_chunks(frame, corpus, monkeypatch):
     assert rows(out, "doc_id", "n_words", "n_removed", "text") == sorted(((i, *x) for i, x in brute.passage_dedup(corpus, 6).items()), key=repr)
 
 
+def test_only_the_automata_find_passages(frame, monkeypatch):
+    monkeypatch.setattr(phrases, "automaton_of", lambda found: phrases.ahocorasick.Automaton(phrases.ahocorasick.STORE_LENGTH))
+    out = phrases.dedup_passages(frame.select("doc_id", "text"))
+    assert out.where("n_removed > 0").count() == 0
+
+
+def test_phrases_round_trip():
+    letter = phrases.letters_of(np.arange(1, 10**6, 997, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for length in range(1, 7):
+        place = np.arange(len(letter) - length)
+        assert phrases.unpack(*phrases.pack(letter, place, length), length) == ["".join(map(chr, letter[i : i + length])) for i in place]
+
+
 def test_passages_edges(spark):
     long = " ".join(f"w{i}" for i in range(25))
     docs = [(1, long), (1, long), (None, long), (2, long), (3, None), (4, " \n"), (5, long + "\n" + long)]
