@@ -1,7 +1,7 @@
 """Substring dedup by repeated-phrase automata: words inside a window that also occurs earlier are removed.
 
 1. Every window of ``window`` words has one phrase of PHRASE words, the one with the smallest hash, so equal windows have
-   equal phrases. A word is a letter of 21 bits, so a phrase is two numbers. Phrases that occur once in the corpus are
+   equal phrases. A word is 16 bits of its hash, so a phrase is two numbers. Phrases that occur once in the corpus are
    dropped; the others are confirmed to recur, and dealt to the shards of documents that hold them.
 2. Each shard compiles an Aho-Corasick automaton of its phrases and streams all its documents through it; this alone
    says where recurring phrases stand. Only windows around these places can recur.
@@ -34,13 +34,11 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, mix, runs_of, shared_dir, signed, text_blocks, words_of
 
 WINDOW = 20
-PHRASE = 6
+PHRASE = 8
 #: Rows that a task sorts together.
 CHUNK_ROWS = 2_000_000
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 16 << 20
 LAST = np.uint64(2**64 - 1)
-#: Code points beside 0 and the surrogates; words that share a letter only bring more windows to be judged.
-LETTERS = 0x10FFFF - 0x800
 
 
 def window_phrases(code: np.ndarray, doc: np.ndarray, window: int, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,25 +57,31 @@ def window_phrases(code: np.ndarray, doc: np.ndarray, window: int, length: int)
 
 
 def letters_of(code: np.ndarray) -> np.ndarray:
-    """A code point for each word."""
-    letter = (code % np.uint64(LETTERS)).astype(np.int64) + 1
-    return letter + np.where(letter >= 0xD800, 0x800, 0)  # no surrogates
+    """16 bits for each word; words that share them only bring more windows to be judged."""
+    return (code & np.uint64(0xFFFF)).astype(np.uint16)
+
+
+def text_of(letter: np.ndarray) -> str:
+    """Two characters for each word, from two alphabets of 256: no node of an automaton has many branches, and no phrase
+    begins inside a word."""
+    both = np.stack([1 + (letter >> 8), 257 + (letter & 0xFF)], -1)
+    return both.astype("<u4").tobytes().decode("utf-32-le")
 
 
 def pack(letter: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
-    """Phrases of up to six letters as pairs of numbers."""
-    out = np.zeros((2, len(place)), np.int64)
+    """Phrases of up to eight words as pairs of numbers."""
+    out = np.zeros((2, len(place)), np.uint64)
     for j in range(length):
-        out[j // 3] = out[j // 3] << 21 | letter[place + j]
-    return out
+        out[j // 4] = out[j // 4] << np.uint64(16) | letter[place + j].astype(np.uint64)
+    return out.view(np.int64)
 
 
 def unpack(first: np.ndarray, second: np.ndarray, length: int) -> list[str]:
     """The phrases as strings."""
-    sizes = min(3, length), max(0, length - 3)
-    columns = [x >> (21 * (n - 1 - j)) & 0x1FFFFF for x, n in zip((first, second), sizes, strict=True) for j in range(n)]
-    text = np.stack(columns, 1).astype("<u4").tobytes().decode("utf-32-le")
-    return [text[i : i + length] for i in range(0, len(text), length)]
+    sizes = min(4, length), max(0, length - 4)
+    columns = [x.view(np.uint64) >> np.uint64(16 * (n - 1 - j)) & np.uint64(0xFFFF) for x, n in zip((first, second), sizes, strict=True) for j in range(n)]
+    text = text_of(np.stack(columns, 1).astype(np.uint16))
+    return [text[i : i + 2 * length] for i in range(0, len(text), 2 * length)]
 
 
 def _runs(ids: np.ndarray, marks: np.ndarray, start: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,13 +173,9 @@ def locate(automaton: ahocorasick.Automaton, letter: np.ndarray, doc: np.ndarray
     here = np.zeros(len(letter), bool)
     if not len(automaton) or not len(letter):
         return here
-    text = letter.astype("<u4").tobytes().decode("utf-32-le")
-    edge = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])).tolist()
-    ends = []
-    for a, b in zip(edge, [*edge[1:], len(text)], strict=True):
-        if b - a >= length:
-            ends += [end for end, _ in automaton.iter(text, a, b)]
-    here[np.array(ends, np.int64) - length + 1] = True
+    ends = np.array([end for end, _ in automaton.iter(text_of(letter))], np.int64)
+    at = (ends + 1) // 2 - length
+    here[at[doc[at] == doc[at + length - 1]]] = True  # a phrase never crosses documents
     return here
 
 
