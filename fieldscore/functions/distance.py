@@ -13,6 +13,11 @@ def edits(hyp: Column, ref: Column) -> Column:
     return F.when(hyp == ref, F.lit(0)).otherwise(F.levenshtein(hyp, ref))
 
 
+def edits_within(hyp: Column, ref: Column, most: Column) -> Column:
+    """The distance if it doesn't exceed ``most``, else -1; only that band of the table is made."""
+    return F.when(hyp == ref, F.lit(0)).when(F.abs(F.length(hyp) - F.length(ref)) > most, F.lit(-1)).otherwise(F.call_function("levenshtein", hyp, ref, most))
+
+
 def cer(hyp: Column, ref: Column) -> Column:
     """Edits for each reference character; it may exceed 1."""
     return edits(hyp, ref) / F.greatest(F.lit(1), F.length(ref))
@@ -24,7 +29,9 @@ def string_anls(pred: Column, gt: Column, threshold: float = 0.5) -> Column:
     The distance is banded: beyond the band the score is 0 whatever the distance.
     """
     longest = F.greatest(F.length(pred), F.length(gt))
-    score = 1 - edits(pred, gt) / longest
+    # one more than the threshold allows, so that rounding decides nothing here
+    near = edits_within(pred, gt, (F.ceil((1 - threshold) * longest) + 1).cast("int"))
+    score = F.when(near >= 0, 1 - near / longest).otherwise(0.0)
     return (
         F.when((F.length(pred) == 0) & (F.length(gt) == 0), F.lit(1.0))
         .when((F.length(pred) == 0) | (F.length(gt) == 0), F.lit(0.0))

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_key
+from ..sources.scratch import scratch_dir
+
+#: Characters of the runs by which a name finds the paths that may contain it.
+GRAM = 6
 
 
 def with_predictions(gt: DataFrame, pred: DataFrame, id_col: str, score: str) -> DataFrame:
@@ -38,14 +42,15 @@ def resolve_files(names: DataFrame, files: DataFrame, id_col: str, name_col: str
     """(id, path, rule): the file of each name, by the first rule that finds one, the smallest path of several.
 
     1 the name itself, 2 without accents and case, 3 its ``(number).extension`` ending, 4 contained in the path.
-    Rules 1 to 3 are equi-joins; only names that are left after them are compared with every path.
+    All rules are equi-joins: for the last one a name meets the paths that hold its rarest run of GRAM characters.
     """
     base = F.element_at(F.split(F.col(path_col), "/"), -1)
     numbered = lambda c: F.regexp_extract(c, r"(?i)(\(\s*\d+\s*\)\.(?:jpe?g|png|tiff?))$", 1)
-    files = files.select(F.col(path_col).alias("path"), base.alias("base")).withColumn("key", file_key(F.col("base")))
+    # the keys are made once
+    files = _written(files.select(F.col(path_col).alias("path"), base.alias("base"), file_key(base).alias("key"), file_key(F.col(path_col)).alias("whole")))
     files = files.withColumn("ending", numbered(F.col("key")))
     names = names.select(F.col(id_col), F.col(name_col).alias("name")).where("name <> ''")
-    names = names.withColumn("key", file_key(F.col("name"))).withColumn("ending", numbered(F.col("key")))
+    names = _written(names.withColumn("key", file_key(F.col("name")))).withColumn("ending", numbered(F.col("key")))
 
     def by(rule: int, left: str, right: str) -> DataFrame:
         a = names.select(id_col, F.col(left).alias("k")).where("k <> ''")
@@ -53,13 +58,40 @@ def resolve_files(names: DataFrame, files: DataFrame, id_col: str, name_col: str
         return a.join(b, "k").select(id_col, "path", F.lit(rule).alias("rule"))
 
     found = by(1, "name", "base").unionByName(by(2, "key", "key")).unionByName(by(3, "ending", "ending"))
-    found = found.groupBy(id_col).agg(F.min(F.struct("rule", "path")).alias("f")).select(id_col, "f.path", "f.rule")
-    left = names.join(found, id_col, "left_anti").select(id_col, "key")
-    paths = files.select("path", file_key(F.col("path")).alias("whole"))
-    inside = left.join(paths, F.col("whole").contains(F.col("key"))).groupBy(id_col).agg(F.min("path").alias("path"))
+    found = _written(found.groupBy(id_col).agg(F.min(F.struct("rule", "path")).alias("f")).select(id_col, "f.path", "f.rule"))
+    left = _written(names.join(found, id_col, "left_anti").select(id_col, "key"))
+    inside = left.join(_inside(left.select("key").distinct(), files.select("path", "whole")), "key").select(id_col, "path")
     return found.unionByName(inside.withColumn("rule", F.lit(4)))
 
 
+def _written(table: DataFrame) -> DataFrame:
+    path = scratch_dir(table.sparkSession)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def _inside(keys: DataFrame, paths: DataFrame) -> DataFrame:
+    """(key, path): the smallest path whose ``whole`` contains the key."""
+
+    def runs(text: str, size: int) -> Column:
+        return F.when(F.length(text) >= size, F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(F.col(text), i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+    size = F.least(F.length("key"), F.lit(GRAM))
+    sizes = sorted(r[0] for r in keys.where("key <> ''").select(size).distinct().collect())  # GRAM values at most
+    everywhere = keys.where("key = ''").crossJoin(paths.agg(F.min("path").alias("path")))  # one row at most
+    if not sizes:
+        return everywhere
+    of_path = paths.select("path", "whole", F.explode(F.array_distinct(F.flatten(F.array(*[runs("whole", n) for n in sizes])))).alias("gram"))
+    counts = of_path.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    of_key = keys.withColumn("own", F.expr("CAST(array() AS ARRAY<STRING>)"))
+    for n in sizes:
+        of_key = of_key.withColumn("own", F.when(size == n, runs("key", n)).otherwise(F.col("own")))
+    of_key = of_key.withColumn("own", F.array_distinct("own")).select("key", F.size("own").alias("grams"), F.explode("own").alias("gram"))
+    # a run that no path holds rules a name out
+    rarest = of_key.join(counts, "gram").groupBy("key").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count(F.lit(1)).alias("there"), F.first("grams").alias("grams")).where("there = grams")
+    return rarest.join(of_path, "gram").where(F.col("whole").contains(F.col("key"))).groupBy("key").agg(F.min("path").alias("path")).unionByName(everywhere)
+
+
 def resolve_by_stem(names: DataFrame, files: DataFrame, id_col: str, name_col: str, path_col: str = "path") -> DataFrame:
     """(id, path, reason): by name without case, else by name without extension; the reason of a miss."""
     base = F.lower(F.element_at(F.split(F.col(path_col), "/"), -1))

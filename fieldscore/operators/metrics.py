@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import cer, edits, string_anls
+from ..functions.distance import cer, edits, edits_within, string_anls
 from ..registry import BANDS, THRESHOLDS, thresholds
 from .align import align_paths
 
@@ -85,8 +85,8 @@ def overlap_counts(gt: DataFrame, pred: DataFrame, documents: DataFrame, id_col:
     """
     pairs = align_paths(gt.where("value <> ''"), pred.where("value <> ''"), [id_col], "full").join(documents.select(id_col, "valid"), id_col)
     gt_, pred_ = F.coalesce("gt", F.lit("")), F.coalesce("pred", F.lit(""))
-    band = F.floor((1 - min(levels)) * F.length(gt_)).cast("int")
-    near = F.when(gt_ == pred_, 0).when(F.abs(F.length(gt_) - F.length(pred_)) > band, -1).otherwise(edits(pred_, gt_))
+    # one more than the lowest threshold allows, so that rounding decides nothing here
+    near = edits_within(pred_, gt_, (F.ceil((1 - min(levels)) * F.length(gt_)) + 1).cast("int"))
     pairs = pairs.where("valid OR gt IS NOT NULL").withColumn("edits", F.when(F.col("valid") & (gt_ != "") & (pred_ != ""), near))
     share = F.when(F.col("edits") >= 0, 1 - F.col("edits") / F.length("gt"))
     crossed = pairs.withColumn("share", share).crossJoin(F.broadcast(thresholds(gt.sparkSession, tuple(levels))))  # a row for each threshold

@@ -72,7 +72,7 @@ FIXTURES: dict[str, str] = {
     "names": """SELECT c_custkey AS doc_id, CASE c_custkey % 6 WHEN 1 THEN upper(concat(replace(c_name, '#', ''), '.jpg')) WHEN 3 THEN concat('card (', CAST(c_custkey AS STRING), ').jpg')
         WHEN 5 THEN concat('omer', substr(c_name, 10)) ELSE concat(replace(c_name, '#', ''), '.jpg') END AS name FROM customer""",
     "files": """SELECT concat('/scans/', CASE c_custkey % 6 WHEN 2 THEN concat(replace(c_name, '#', ''), '.png') WHEN 3 THEN concat('IMG (', CAST(c_custkey AS STRING), ').JPG')
-        WHEN 4 THEN concat('other', CAST(c_custkey AS STRING), '.jpg') WHEN 5 THEN concat('cust', 'omer', substr(c_name, 10), '.tif') ELSE concat(replace(c_name, '#', ''), '.jpg') END) AS path, c_custkey FROM customer""",
+        WHEN 4 THEN concat('other', CAST(c_custkey AS STRING), '.jpg') WHEN 5 THEN concat('customer', substr(c_name, 10), '.tif') ELSE concat(replace(c_name, '#', ''), '.jpg') END) AS path, c_custkey FROM customer""",
     # requests
     "requests": "SELECT event_id, event_type AS model, props AS content, value AS latency, ts FROM events",
     # log lines

@@ -120,3 +120,29 @@ def test_subset_does_not_depend_on_order(spark):
     picks = [rows(datasets.seeded_subset(df.repartition(n).orderBy(F.rand(n)), "k", 20, 3)) for n in (1, 7, 64)]
     assert picks[0] == picks[1] == picks[2] and len(picks[0]) == 20
     assert rows(datasets.seeded_subset(df, "k", 20, 4)) != picks[0]
+
+
+def test_overlap_at_every_threshold(spark):
+    """Fields whose distance is the largest that a threshold allows, and one more, for all lengths to 120."""
+    levels = (0.8, 0.7, 0.5, 0.3)
+    cases = []
+    for n in range(1, 121):
+        for level in levels:
+            cases += [(n, e) for e in range(max(0, int((1 - level) * n) - 1), min(n - 1, int((1 - level) * n) + 2) + 1)]
+    cases = sorted(set(cases))
+    gt = spark.createDataFrame([(i, f"f{i}", "x" * n) for i, (n, _) in enumerate(cases)], "doc_id long, path string, value string")
+    pred = spark.createDataFrame([(i, f"f{i}", "x" * (n - e)) for i, (n, e) in enumerate(cases)], "doc_id long, path string, value string")
+    documents = spark.createDataFrame([(i, True) for i in range(len(cases))], "doc_id long, valid boolean")
+    got = {(r.path, r.threshold): (r.tp, r.fp, r.fn) for r in metrics.overlap_counts(gt, pred, documents, "doc_id", levels).collect()}
+    for i, (n, e) in enumerate(cases):
+        for level in levels:
+            hit = 1 - e / n >= level
+            assert got[f"f{i}", level] == ((1, 0, 0) if hit else (0, 1, 1)), (n, e, level)
+
+
+def test_files_by_what_their_paths_contain(spark):
+    paths = ["/a/holder cup.jpg", "/b/Krug-17.png", "/b/xy.tif", "/c/xyz.tif", "/c/zzzzzzzzz.tif"]
+    names = [(1, "cup"), (2, "rug-1"), (3, "xy"), (4, "z"), (5, "older c"), (6, "zzzzzzzz"), (7, "lder cups"), (8, "q")]
+    out = align.resolve_files(spark.createDataFrame(names, "doc_id long, name string"), spark.createDataFrame([(p,) for p in paths], "path string"), "doc_id", "name")
+    expected = {i: min((p for p in paths if n in p.lower()), default=None) for i, n in names}
+    assert {r.doc_id: r.path for r in out.collect()} == {i: p for i, p in expected.items() if p}
