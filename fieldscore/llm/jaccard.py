@@ -206,7 +206,7 @@ def _candidates(docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFra
         return arrow_rows(part=part.astype(np.int32), kind=np.full(len(part), kind, np.int32), **given)
 
     def links_of(links: np.ndarray) -> pa.RecordBatch:
-        return rows_of(2, links[:, 0] % parts, x=signed(links[:, 0]), y=signed(links[:, 1]))
+        return rows_of(2, mix(links[:, 0] + mix(links[:, 1])) % np.uint64(parts), x=signed(links[:, 0]), y=signed(links[:, 1]))
 
     def settle(held: list) -> Iterator[pa.RecordBatch]:
         gram, node, links = _heads(*(np.concatenate(x) for x in zip(*held, strict=True)))

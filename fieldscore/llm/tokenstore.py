@@ -126,6 +126,15 @@ class Reader:
         return unpack_bits(data, self.bits, min(self.n, last * self.block) - shift)[start - shift : stop - shift]
 
 
+def same_bytes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> bool:
+    """Whether every piece has the bytes of the piece ``other`` says."""
+    size = end - start
+    if (size != size[other]).any():
+        return False
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return bool((raw[np.repeat(start, size) + within] == raw[np.repeat(start[other], size) + within]).all())
+
+
 class Encoder:
     """Texts to ids. With ``by_space`` the ids of space-separated pieces are kept and reused.
 
@@ -151,7 +160,7 @@ class Encoder:
                     yield np.array(x.ids, np.uint32)
 
     def _by_pieces(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-        """Each different piece of a block (told apart by 64-bit codes) is looked up once, then ids are gathered for all."""
+        """Each different piece of a block is looked up once, then ids are gathered for all."""
         start, end, code, doc = words_of(raw, offsets, lower=False)
         rows = len(offsets) - 1
         if not len(start):
@@ -159,6 +168,10 @@ class Encoder:
             return
         _, first, which = np.unique(code, return_index=True, return_inverse=True)
         data = raw.tobytes()
+        if not same_bytes(raw, start, end, first[which]):  # pieces that share a code
+            places: dict[bytes, int] = {}
+            which = np.array([places.setdefault(data[a:b], len(places)) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+            first = np.unique(which, return_index=True)[1]
         found = self._look_up([data[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
         flat = np.frombuffer(b"".join(found), "<u4")
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4

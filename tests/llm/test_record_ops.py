@@ -136,6 +136,22 @@ def test_tokens(spark, corpus, by_space, monkeypatch):
     assert tokenstore.read_tokens(spark, none).count() == 0
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_pieces_are_told_apart_by_their_bytes(collide, monkeypatch):
+    """Long pieces that differ in the places of two bytes only, and pieces whose hashes are all equal."""
+    import pyarrow as pa
+
+    path = vocabulary()
+    texts = ["a" * k + "x" + "b" * 4095 + "y" + "c" * k for k in (3, 900)] + ["a" * k + "y" + "b" * 4095 + "x" + "c" * k for k in (3, 900)]
+    texts = [" ".join(texts), "one two three two one", "", "ab ba ab", "x" * 5000 + " " + "y" * 5000]
+    if collide:
+        real = tokenstore.words_of
+        monkeypatch.setattr(tokenstore, "words_of", lambda *a, **k: (lambda s, e, c, d: (s, e, np.zeros_like(c), d))(*real(*a, **k)))
+    encode = tokenstore.Encoder(path, True)
+    expected = [x.ids for x in encode.of.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encode(pa.array(texts))] == expected
+
+
 def test_random_access(tmp_path):
     import pyarrow.fs as fs
 
