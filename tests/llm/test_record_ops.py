@@ -152,6 +152,18 @@ def test_pieces_are_told_apart_by_their_bytes(collide, monkeypatch):
     assert [x.tolist() for x in encode(pa.array(texts))] == expected
 
 
+def test_same_bytes():
+    words = ["a", "abcdefgh", "abcdefghi", "abcdefghj", "x" * 33, "x" * 32 + "y"]
+    raw = np.frombuffer("".join(words + words).encode(), np.uint8)
+    end = np.cumsum([len(w) for w in words + words])
+    start = end - [len(w) for w in words + words]
+    assert tokenstore.same_bytes(raw, start, end, np.tile(np.arange(6), 2))
+    for i, j in ((8, 3), (10, 5), (11, 4), (7, 2)):
+        other = np.tile(np.arange(6), 2)
+        other[i] = j
+        assert not tokenstore.same_bytes(raw, start, end, other)
+
+
 def test_random_access(tmp_path):
     import pyarrow.fs as fs
 
