@@ -33,12 +33,33 @@ def sorted_string(variant: Column) -> Column:
     return F.to_json(variant)
 
 
+def members(text: Column) -> Column:
+    """(key, text, v) of the members of an object in the order of the text: ``text`` keeps the order within, ``v`` tells the kind."""
+    texts, values = F.map_entries(F.from_json(text, "map<string,string>")), F.map_entries(F.from_json(text, "map<string,variant>"))
+    return F.zip_with(texts, values, lambda a, b: F.struct(a["key"].alias("key"), a["value"].alias("text"), b["value"].alias("v")))
+
+
+def items(text: Column) -> Column:
+    """(text, v) of the items of a list."""
+    return F.zip_with(F.from_json(text, "array<string>"), F.from_json(text, "array<variant>"), lambda a, b: F.struct(a.alias("text"), b.alias("v")))
+
+
+def is_list(variant: Column) -> Column:
+    """Whether a variant is a list."""
+    return F.coalesce(F.schema_of_variant(variant).startswith("ARRAY<"), F.lit(False))
+
+
+def leaf_string(v: Column) -> Column:
+    """A leaf as text: strings as they are, null as '', everything else as compact JSON."""
+    return F.when(F.schema_of_variant(v).isin("VOID"), "").otherwise(F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v), F.lit("")))
+
+
 def ordered_string(text: Column, indent: bool = False) -> Column:
-    """JSON with the keys of the top level in the order of the text, compact or a key on each line; null if it is no object."""
-    entries = F.map_entries(F.from_json(text, "map<string,variant>"))
+    """JSON with the keys of all levels in the order of the text, compact or a top-level key on each line; null if it is no object."""
     quoted = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")
     space, before, after = (" ", "\n  ", "\n") if indent else ("", "", "")
-    pairs = F.transform(entries, lambda e: F.concat(F.lit(before), quoted(e["key"]), F.lit(":" + space), F.coalesce(F.to_json(e["value"]), F.lit("null"))))
+    inner = lambda e: F.when(is_object(e["v"]) | is_list(e["v"]), e["text"]).otherwise(F.coalesce(F.to_json(e["v"]), F.lit("null")))
+    pairs = F.transform(members(text), lambda e: F.concat(F.lit(before), quoted(e["key"]), F.lit(":" + space), inner(e)))
     whole = F.concat(F.lit("{"), F.array_join(pairs, ","), F.when(F.size(pairs) > 0, after).otherwise(""), F.lit("}"))
     return F.when(strict_object(text).isNotNull(), whole)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import cer, edits, edits_within, string_anls
+from ..functions.distance import cer, edits, edits_within, list_anls, string_anls
 from ..registry import BANDS, THRESHOLDS, thresholds
 from .align import align_paths
 
@@ -107,17 +107,31 @@ def overlap_scores(counts: DataFrame) -> DataFrame:
 
 
 def anls_leaves(gt: DataFrame, pred: DataFrame, id_col: str, threshold: float = 0.5) -> DataFrame:
-    """(id, path, score): leaf scores over the paths of both sides; a path of one side only scores 0."""
-    pairs = align_paths(gt, pred, [id_col], "full")
-    both = F.col("gt").isNotNull() & F.col("pred").isNotNull()
-    return pairs.select(id_col, "path", F.when(both, string_anls(F.col("pred"), F.col("gt"), threshold)).otherwise(0.0).alias("score"))
+    """(id, path, score, weight): leaf scores over the paths of both sides; a path of one side only scores 0.
+
+    Where the sides have ``items`` (see ``shape.leaves``), two lists score by their best one-to-one matching and weigh
+    as many leaves as the longer one has; a list and something else score 0.
+    """
+    if "items" not in gt.columns:
+        pairs = align_paths(gt, pred, [id_col], "full")
+        both = F.col("gt").isNotNull() & F.col("pred").isNotNull()
+        return pairs.select(id_col, "path", F.when(both, string_anls(F.col("pred"), F.col("gt"), threshold)).otherwise(0.0).alias("score"), F.lit(1).alias("weight"))
+    side = lambda d, name: d.select(id_col, "path", F.struct("value", "items").alias(name))
+    pairs = side(gt, "gt").join(side(pred, "pred"), [id_col, "path"], "full")
+    g, p = F.col("gt.items"), F.col("pred.items")
+    lists, texts = g.isNotNull() & p.isNotNull(), g.isNull() & p.isNull()
+    matched = list_anls(F.when(lists, p), F.when(lists, g), threshold)
+    score = F.when(F.col("gt").isNull() | F.col("pred").isNull(), 0.0).when(lists, matched).when(texts, string_anls(F.col("pred.value"), F.col("gt.value"), threshold)).otherwise(0.0)
+    size = lambda x: F.coalesce(F.size(x), F.lit(1))
+    return pairs.select(id_col, "path", score.alias("score"), F.greatest(size(g), size(p), F.lit(1)).alias("weight"))
 
 
 def anls_paths(leaves: DataFrame, id_col: str) -> DataFrame:
-    """(id, path, score): every node, inner ones as the mean of the leaves below, the whole record under ''."""
+    """(id, path, score): every node, inner ones as the mean of the leaves below by their weights, the whole record under ''."""
     parts = F.split("path", r"\.")
     prefixes = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
-    return leaves.select(id_col, F.explode(prefixes).alias("path"), "score").groupBy(id_col, "path").agg(F.avg("score").alias("score"))
+    nodes = leaves.select(id_col, F.explode(prefixes).alias("path"), "score", "weight").groupBy(id_col, "path")
+    return nodes.agg((F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).alias("score"))
 
 
 def validity(rows: DataFrame, valid: Column, by: Sequence[str] = ()) -> DataFrame:

@@ -7,34 +7,47 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsontext import is_object, strict_object
+from ..functions.jsontext import is_list, is_object, items, leaf_string, members, strict_object
+from ..functions.text import strip
 from ..registry import schema_fields
 
-MAX_DEPTH = 4
 
+def leaves(rows: DataFrame, id_cols: Sequence[str], json_col: str, open_lists: bool = False) -> DataFrame:
+    """(ids, position, path, value, items): one row for each leaf of an object of any depth, numbered in the order of the text.
 
-def _as_text(v: Column) -> Column:
-    """A leaf as text: strings as they are, null as '', everything else as compact JSON."""
-    return F.when(F.schema_of_variant(v).isin("VOID"), "").otherwise(F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v), F.lit("")))
+    An empty object has no leaf. A list is a leaf with its ``items`` as texts; with ``open_lists`` its items are leaves
+    under their number instead. Text that isn't one JSON object gives no rows. All levels are opened within the row, as
+    often as it has brackets or until nothing is left to open, so the table is read once.
+    """
+    text, root = F.col(json_col), strict_object(F.col(json_col))
+    node = lambda path, text, v: F.struct(path.alias("path"), text.alias("text"), v.alias("v"))
+    below = lambda n, key: F.when(n["path"] == "", key).otherwise(F.concat(n["path"], F.lit("."), key))
+    closed = lambda n: is_object(n["v"]) | is_list(n["v"]) if open_lists else is_object(n["v"])
 
+    def opened(n: Column) -> Column:
+        out = F.when(is_object(n["v"]), F.transform(members(n["text"]), lambda e: node(below(n, e["key"]), e["text"], e["v"])))
+        if open_lists:
+            out = out.when(is_list(n["v"]), F.transform(items(n["text"]), lambda e, i: node(below(n, i.cast("string")), e["text"], e["v"])))
+        return out.otherwise(F.array(n))
 
-def flatten(rows: DataFrame, id_cols: Sequence[str], json_col: str) -> DataFrame:
-    """(ids, path, value): one row for each leaf of an object; lists are leaves, an empty object has none.
+    brackets = F.length(text) - F.length(F.translate(text, "{[", ""))
+    start = F.struct(F.array(node(F.lit(""), text, root)).alias("nodes"), F.lit(True).alias("more"))
 
-    Objects are opened level by level to a fixed depth; text that isn't one JSON object gives no rows.
-    """
-    spark = rows.sparkSession
-    ids = list(id_cols)
-    level = rows.select(*ids, F.lit("").alias("path"), strict_object(F.col(json_col)).alias("v"))
-    leaves: DataFrame | None = None
-    for depth in range(MAX_DEPTH):
-        opened = level.where(is_object(F.col("v"))).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-        head = F.when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key"))
-        level = opened.select(*ids, head.alias("path"), F.col("value").alias("v"))
-        last = depth == MAX_DEPTH - 1
-        own = (level if last else level.where(~is_object(F.col("v")))).select(*ids, "path", _as_text(F.col("v")).alias("value"))
-        leaves = own if leaves is None else leaves.unionByName(own)
-    return leaves
+    def level(a: Column, _: Column) -> Column:
+        more = F.exists(a["nodes"], closed)
+        return F.when(a["more"] & more, F.struct(F.flatten(F.transform(a["nodes"], opened)).alias("nodes"), F.lit(True).alias("more"))).otherwise(
+            F.struct(a["nodes"].alias("nodes"), F.lit(False).alias("more"))
+        )
+
+    done = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), brackets)), start, level)["nodes"]
+    made = rows.where(root.isNotNull()).select(*id_cols, F.posexplode(done).alias("position", "n"))
+    of_list = F.when(is_list(F.col("n.v")), F.transform(items(F.col("n.text")), lambda e: leaf_string(e["v"])))
+    return made.select(*id_cols, "position", F.col("n.path").alias("path"), leaf_string(F.col("n.v")).alias("value"), of_list.alias("items"))
+
+
+def flatten(rows: DataFrame, id_cols: Sequence[str], json_col: str) -> DataFrame:
+    """(ids, path, value): one row for each leaf of an object; lists are leaves, an empty object has none."""
+    return leaves(rows, id_cols, json_col).select(*id_cols, "path", "value")
 
 
 def flatten_typed(rows: DataFrame, id_cols: Sequence[str], json_col: str, paths: Sequence[str]) -> DataFrame:
@@ -44,7 +57,7 @@ def flatten_typed(rows: DataFrame, id_cols: Sequence[str], json_col: str, paths:
     made = rows.select(*id_cols, v.alias("v")).where("v IS NOT NULL")
     leaf = F.array(*[F.struct(F.lit(p).alias("path"), F.try_variant_get("v", at(p), "variant").alias("leaf")) for p in paths])
     out = made.select(*id_cols, F.explode(leaf).alias("x")).where("x.leaf IS NOT NULL")
-    return out.select(*id_cols, F.col("x.path").alias("path"), _as_text(F.col("x.leaf")).alias("value"))
+    return out.select(*id_cols, F.col("x.path").alias("path"), leaf_string(F.col("x.leaf")).alias("value"))
 
 
 def conform(long: DataFrame, id_cols: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -69,6 +82,27 @@ def template_string(conformed: DataFrame, id_cols: Sequence[str]) -> DataFrame:
     return conformed.groupBy(*id_cols).agg(entries.alias("e")).select(*id_cols, F.concat(F.lit("{"), body, F.lit("}")).alias("record"))
 
 
+def nested_string(conformed: DataFrame, id_cols: Sequence[str], fields: Sequence[str], inner: Sequence[str]) -> DataFrame:
+    """(ids, record): as ``template_string``, with the fields below each name of ``inner`` as an object of its own.
+
+    The object stands where the first of its fields does; dots in other names are part of the name.
+    """
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    groups: dict[str, list[str]] = {}
+    for f in fields:
+        groups.setdefault(next((x for x in inner if f.startswith(x + ".")), f), []).append(f)
+    member = lambda key, path: F.concat(quoted(F.lit(key)), F.lit(":"), quoted(F.coalesce(F.try_element_at("by_path", F.lit(path)), F.lit(""))))
+    parts = []
+    for name, below in groups.items():
+        if name in inner:
+            own = F.concat_ws(",", *[member(f[len(name) + 1 :], f) for f in below])
+            parts.append(F.concat(quoted(F.lit(name)), F.lit(":{"), own, F.lit("}")))
+        else:
+            parts.append(member(name, name))
+    by_path = F.map_from_entries(F.collect_list(F.struct("path", "value")))
+    return conformed.groupBy(*id_cols).agg(by_path.alias("by_path")).select(*id_cols, F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("record"))
+
+
 def rename_keys(long: DataFrame, key_map: DataFrame) -> DataFrame:
     """Rename path segments by a table (old, new), at every level."""
     pairs = F.broadcast(key_map.agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("names")))  # one row
@@ -89,9 +123,10 @@ def merge_into_template(long: DataFrame, id_col: str, fields: Sequence[str], id_
 
 
 def leaf_text(long: DataFrame, id_cols: Sequence[str]) -> DataFrame:
-    """(ids, text): all values that aren't empty, in path order, joined by a space."""
-    rows = long.where("value <> ''").groupBy(*id_cols)
-    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "value"))), lambda x: x["value"]), " ").alias("text"))
+    """(ids, text): all values that aren't blank, stripped, joined by a space; by ``position`` where there is one, else by path."""
+    order = "position" if "position" in long.columns else "path"
+    rows = long.withColumn("value", strip(F.col("value"))).where("value <> ''").groupBy(*id_cols)
+    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "value"))), lambda x: x["value"]), " ").alias("text"))
 
 
 def field_report(long: DataFrame, id_cols: Sequence[str]) -> DataFrame:
@@ -101,3 +136,61 @@ def field_report(long: DataFrame, id_cols: Sequence[str]) -> DataFrame:
     rows = long.withColumn("line", line).groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct("path", "line"))).alias("e"))
     body = F.array_join(F.transform("e", lambda x: x["line"]), "\n")
     return rows.select(*id_cols, F.concat(F.lit("| Field | Value |\n| --- | --- |\n"), body).alias("report"))
+
+
+def nested_report(rows: DataFrame, id_cols: Sequence[str], json_col: str) -> DataFrame:
+    """(ids, report): markdown of a record of any shape, in the order of the text.
+
+    Single values first, as a table of fields. Then a section for each member that is an object or a list: objects whose
+    members are objects with the same keys, and lists of such objects, as a grid (rows of a list are ``#1``, ``#2``);
+    other objects as a table of fields; lists of single values as one column; the rest as JSON. Lists within a cell are
+    joined by a comma, objects within a cell are JSON.
+    """
+    escaped = lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))
+    inside = lambda v: is_object(v) | is_list(v)
+
+    def shown(v: Column, text: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        single = F.when(kind == "BOOLEAN", F.when(leaf_string(v) == "true", "✓").otherwise("")).otherwise(leaf_string(v))
+        return F.when(is_object(v), text).otherwise(single)
+
+    def cell(e: Column) -> Column:
+        parts = items(e["text"])
+        flat = is_list(e["v"]) & ~F.exists(parts, lambda x: inside(x["v"]))
+        listed = F.array_join(F.transform(parts, lambda x: shown(x["v"], x["text"])), ", ")
+        return escaped(F.when(flat, listed).when(is_list(e["v"]), e["text"]).otherwise(shown(e["v"], e["text"])))
+
+    row = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |\n"))
+    table = lambda es: F.concat(F.lit("| Field | Value |\n| --- | --- |\n"), F.array_join(F.transform(es, lambda e: row(F.array(escaped(e["key"]), cell(e)))), ""), F.lit("\n"))
+
+    def grid(named: Column) -> Column:
+        """Rows (key, members) with the same keys: the first gives the order."""
+        keys = F.transform(named[0]["own"], lambda e: e["key"])
+        line = lambda r: row(F.concat(F.array(escaped(r["key"])), F.transform(keys, lambda k: cell(F.filter(r["own"], lambda e: e["key"] == k)[0]))))
+        rule = F.concat(F.lit("| --- | "), F.array_join(F.transform(keys, lambda k: F.lit("---")), " | "), F.lit(" |\n"))
+        return F.concat(F.lit("|  | "), F.array_join(F.transform(keys, escaped), " | "), F.lit(" |\n"), rule, F.array_join(F.transform(named, line), ""), F.lit("\n"))
+
+    def alike(named: Column) -> Column:
+        keys = lambda r: F.array_sort(F.transform(r["own"], lambda e: e["key"]))
+        return (F.size(named) > 0) & (F.size(named[0]["own"]) > 0) & F.forall(named, lambda r: keys(r) == keys(named[0]))
+
+    named = lambda key, text: F.struct(key.alias("key"), members(text).alias("own"))
+
+    def section(e: Column) -> Column:
+        own, parts = members(e["text"]), items(e["text"])
+        of_object = F.transform(own, lambda x: named(x["key"], x["text"]))
+        of_list = F.transform(parts, lambda x, i: named(F.concat(F.lit("#"), (i + 1).cast("string")), x["text"]))
+        column = F.concat(F.lit("| Value |\n| --- |\n"), F.array_join(F.transform(parts, lambda x: row(F.array(escaped(shown(x["v"], x["text"]))))), ""), F.lit("\n"))
+        body = (
+            F.when(is_object(e["v"]) & F.forall(own, lambda x: is_object(x["v"])) & alike(of_object), grid(of_object))
+            .when(is_object(e["v"]), F.when(F.size(own) > 0, table(own)).otherwise(""))
+            .when(~F.exists(parts, lambda x: inside(x["v"])), column)
+            .when(F.forall(parts, lambda x: is_object(x["v"])) & alike(of_list), grid(of_list))
+            .otherwise(F.concat(F.lit("```json\n"), e["text"], F.lit("\n```\n\n")))
+        )
+        return F.concat(F.lit("#### "), e["key"], F.lit("\n\n"), body)
+
+    made = rows.where(strict_object(F.col(json_col)).isNotNull()).select(*id_cols, members(F.col(json_col)).alias("all"))
+    single, other = F.filter("all", lambda e: ~inside(e["v"])), F.filter("all", lambda e: inside(e["v"]))
+    head = F.when(F.size(single) > 0, table(single)).otherwise("")
+    return made.select(*id_cols, F.concat(head, F.array_join(F.transform(other, section), "")).alias("report"))

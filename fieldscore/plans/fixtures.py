@@ -23,11 +23,27 @@ _F1 = f"""SELECT p_partkey AS doc_id, {_record()} AS gt,
       WHEN 7 THEN {_record(note="'by hand'")} WHEN 8 THEN {_record(kind="'STANDARD'")} ELSE {_record()} END AS pred
   FROM part"""
 
+
+def _stairs(up: str, zone: str = "p_brand", gap: str = "") -> str:
+    """A record with objects five levels deep, lists and a grid."""
+    return f"""concat('{{{gap}"Zone":{gap}"', {zone}, '","Runs":{{"Up":', {up}, ',{gap}"Down":{{"Deep":{{"At":{{"Last":{{"Leaf":"', p_type, '"}}}}}}}}}},"Area":{{"north":{{"w":', CAST(p_size AS STRING), ',"note":" ',
+        p_name, '"}},"south":{{"note":"a|b",{gap}"w":', CAST(p_size + 1 AS STRING), '}}}},"Marks":[{gap}', CAST(p_size AS STRING), ',true],"Also":{{}},"Free":null}}')"""
+
+
+_UP = """concat('["', p_name, '","', p_brand, '"]')"""
+_STAIRS = f"""SELECT p_partkey AS doc_id, {_stairs(_UP)} AS gt,
+    CASE p_partkey % 6 WHEN 0 THEN {_stairs(_UP, gap="' || chr(10) || '  ")} WHEN 1 THEN {_stairs("""concat('["', p_brand, '","', replace(p_name, 'e', 'c'), '"]')""")}
+      WHEN 2 THEN 'no text can be read' WHEN 3 THEN {_stairs("""concat('"', p_name, '"')""")} WHEN 4 THEN {_stairs("""concat('["', p_name, '"]')""", zone="''")}
+      ELSE {_stairs("'[]'", zone="substr(p_brand, 1, 5)")} END AS pred
+  FROM part"""
+
 _FOLDED = "regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9 ]', ''{g})"
 
 FIXTURES: dict[str, str] = {
     # record pairs
     "f1": _F1,
+    # record pairs with deep objects, lists and grids
+    "stairs": _STAIRS,
     # prediction lines under five sets of key names
     "f1b": f"""SELECT doc_id, CASE doc_id % 5
         WHEN 0 THEN concat('{{"image_name":"', CAST(doc_id AS STRING), '","predicted_json":', CASE WHEN doc_id % 10 = 0 THEN gt ELSE '{{}}' END, ',"predicted_text":"free text","target_json":', gt, '}}')

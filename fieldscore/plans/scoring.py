@@ -368,4 +368,67 @@ def q_key_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.missing_and_extra(gt, pred, ["doc_id", "path"]).groupBy("path", "side").agg(F.count(F.lit(1)).alias("n"))
 
 
+# -- records of any depth ---------------------------------------------------------------------------------------------
+
+_STAIR = f"r AS (SELECT doc_id, gt::JSON AS g, {_OBJ.format(x='pred')} AS q FROM {duck('stairs')})"
+
+
+def _tree(j: str, where: str = "instr(t.fullkey, '[') = 0 AND t.type <> 'OBJECT'") -> str:
+    return f"""SELECT r.doc_id, t.id, replace(substr(t.fullkey, 3), '"', '') AS path, t.type, t.value AS j, CASE WHEN t.type = 'NULL' THEN '' ELSE coalesce(t.atom ->> '$', CAST(json(t.value) AS VARCHAR)) END AS value
+        FROM r, json_tree(r.{j}) AS t WHERE r.{j} IS NOT NULL AND {where}"""
+
+
+@query(f"WITH {_STAIR}, l AS ({_tree('q')}) SELECT doc_id, path, value FROM l")
+def q_paths_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape.flatten(fixture(spark, sf_dir, "stairs"), ["doc_id"], "pred")
+
+
+@query(f"""WITH {_STAIR}, l AS ({_tree('q', "t.type NOT IN ('OBJECT', 'ARRAY', 'NULL')")}) SELECT doc_id, string_agg(trim(value), ' ' ORDER BY id) AS text FROM l WHERE trim(value) <> '' GROUP BY doc_id""")
+def q_leaf_text_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape.leaf_text(shape.leaves(fixture(spark, sf_dir, "stairs"), ["doc_id"], "pred", open_lists=True), ["doc_id"])
+
+
+@query(f"WITH {_STAIR} SELECT doc_id, CAST(json(q) AS VARCHAR) AS record FROM r")
+def q_canonical_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "stairs").select("doc_id", J.ordered_string(F.col("pred")).alias("record"))
+
+
+@query(f"""WITH {_PARSED} SELECT doc_id, concat('{{"Brand":"', coalesce(q->>'Brand', ''), '","Dims":{{"Size":"', q->'Dims'->>'Size', '","Weight":"","Type":"', q->'Dims'->>'Type', '"}},"Note":"', q->>'Note', '","No. 2":""}}') AS record FROM p WHERE q IS NOT NULL""")
+def q_template_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ("Brand", "Dims.Size", "Dims.Weight", "Dims.Type", "Note", "No. 2")
+    return shape.nested_string(shape.conform(_longs(spark, sf_dir)[1], ["doc_id"], fields), ["doc_id"], fields, ("Dims",))
+
+
+def _rows(*cells: str) -> str:
+    """SQL of markdown lines: values of the record in ``g``, or quoted text."""
+    return ", ".join(x if x.startswith("g") else "'" + x.replace("/", "' || chr(10) || '") + "'" for x in cells)
+
+
+@query(f"""WITH {_STAIR} SELECT doc_id, concat({_rows('| Field | Value |/| --- | --- |/| Zone | ', "g->>'Zone'", ' |/| Free |  |//#### Runs//| Field | Value |/| --- | --- |/| Up | ', "g->'Runs'->'Up'->>0", ', ', "g->'Runs'->'Up'->>1",
+    ' |/| Down | ', "g->'Runs'->'Down'", ' |//#### Area//|  | w | note |/| --- | --- | --- |/| north | ', "g->'Area'->'north'->>'w'", ' | ', "g->'Area'->'north'->>'note'", ' |/| south | ', "g->'Area'->'south'->>'w'",
+    ' | a\\|b |//#### Marks//| Value |/| --- |/| ', "g->'Marks'->>0", ' |/| ✓ |//#### Also//')}) AS report FROM r""")
+def q_nested_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape.nested_report(fixture(spark, sf_dir, "stairs"), ["doc_id"], "gt")
+
+
+def _sim(a: str, b: str) -> str:
+    near = f"1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))::DOUBLE"
+    return f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN 0.0 WHEN {a} = {b} THEN 1.0 WHEN {a} = '' OR {b} = '' THEN 0.0 WHEN {near} >= 0.5 THEN {near} ELSE 0.0 END"
+
+
+@query(f"""WITH {_STAIR}, gl AS ({_tree('g')}), ql AS ({_tree('q')}),
+    j AS (SELECT coalesce(gl.doc_id, ql.doc_id) AS doc_id, coalesce(gl.path, ql.path) AS path, gl.type AS gt_type, ql.type AS pred_type, gl.value AS gt, ql.value AS pred,
+        CASE WHEN gl.type = 'ARRAY' THEN CAST(gl.j AS VARCHAR[]) END AS a, CASE WHEN ql.type = 'ARRAY' THEN CAST(ql.j AS VARCHAR[]) END AS b FROM gl FULL JOIN ql ON gl.doc_id = ql.doc_id AND gl.path = ql.path),
+    s AS (SELECT doc_id, path, greatest(coalesce(len(a), 1), coalesce(len(b), 1), 1) AS weight, CASE WHEN gt IS NULL OR pred IS NULL OR (a IS NULL) <> (b IS NULL) THEN 0.0
+        WHEN a IS NULL THEN {_sim('gt', 'pred')}
+        ELSE greatest({_sim('a[1]', 'b[1]')} + {_sim('a[2]', 'b[2]')}, {_sim('a[1]', 'b[2]')} + {_sim('a[2]', 'b[1]')}) / greatest(len(a), len(b)) END AS score FROM j),
+    n AS (SELECT doc_id, array_to_string(parts[1:k], '.') AS path, score, weight FROM (SELECT *, unnest(range(0, len(parts) + 1)) AS k FROM (SELECT *, string_split(path, '.') AS parts FROM s))),
+    d AS (SELECT doc_id, path, sum(score * weight) / sum(weight) AS score FROM n GROUP BY ALL) SELECT path, count(*) AS records, round(avg(score), 6) AS anls FROM d GROUP BY path""")
+def q_anls_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stairs = fixture(spark, sf_dir, "stairs")
+    side = lambda c: shape.leaves(stairs, ["doc_id"], c)
+    nodes = metrics.anls_paths(metrics.anls_leaves(side("gt"), side("pred"), "doc_id"), "doc_id")
+    return rounded(nodes.groupBy("path").agg(F.count(F.lit(1)).alias("records"), F.avg("score").alias("anls")))
+
+
 __all__ = ["ORACLE", "QUERIES", "ascii_fold", "thresholds"]

@@ -47,8 +47,8 @@ def test_extract_options(spark):
 
 def test_ordered_string(spark):
     texts = ['{"b": 1, "a":{"d":"é","c":null}, "k\\"":[1, 2]}', "{}", "[1]", None]
-    assert column(spark, texts, J.ordered_string) == ['{"b":1,"a":{"c":null,"d":"é"},"k\\"":[1,2]}', "{}", None, None]
-    assert column(spark, texts[:1], lambda c: J.ordered_string(c, indent=True)) == ['{\n  "b": 1,\n  "a": {"c":null,"d":"é"},\n  "k\\"": [1,2]\n}']
+    assert column(spark, texts, J.ordered_string) == ['{"b":1,"a":{"d":"é","c":null},"k\\"":[1,2]}', "{}", None, None]
+    assert column(spark, texts[:1], lambda c: J.ordered_string(c, indent=True)) == ['{\n  "b": 1,\n  "a": {"d":"é","c":null},\n  "k\\"": [1,2]\n}']
 
 
 def test_prefix_and_escape(spark):

@@ -27,6 +27,48 @@ def test_flatten(spark):
     assert rows(shape.flatten_typed(df, ["i"], "t", ["a", "b.c", "b.d.e", "g", "z"])) == [(0, "a", "1"), (0, "b.c", ""), (0, "b.d.e", '["x","y"]'), (0, "g", "true"), (2, "a", '{"b":{"c":{"d":"deep"}}}')]
 
 
+def test_leaves(spark):
+    texts = ['{ "z": {"y": 1.50, "b": [{"q":" r ","p":[1,null]}, "s"]}, "a":"\\u00e9|x", "g":{"b":{"c":{"d":{"e":{"f":"deep"}}}}}}', "[1]", None, "{}", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert rows(shape.leaves(df, ["i"], "t")) == [
+        (0, 0, "z.y", "1.5", None), (0, 1, "z.b", '[{"p":[1,null],"q":" r "},"s"]', ['{"p":[1,null],"q":" r "}', "s"]), (0, 2, "a", "é|x", None), (0, 3, "g.b.c.d.e.f", "deep", None),
+    ]
+    opened = shape.leaves(df, ["i"], "t", open_lists=True)
+    assert [r.path for r in opened.orderBy("position").collect()] == ["z.y", "z.b.0.q", "z.b.0.p.0", "z.b.0.p.1", "z.b.1", "a", "g.b.c.d.e.f"]
+    assert rows(shape.leaf_text(opened, ["i"])) == [(0, "1.5 r 1 s é|x deep")]
+    assert shape.leaves(df.limit(0), ["i"], "t").count() == 0
+
+
+def test_flatten_reads_once(spark, tmp_path):
+    spark.createDataFrame([(1, '{"a":{"b":1}}')], "i int, t string").write.parquet(str(tmp_path / "t"))
+    plan = shape.flatten(spark.read.parquet(str(tmp_path / "t")), ["i"], "t")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "Exchange" not in plan
+
+
+def test_nested_string(spark):
+    made = spark.createDataFrame([(1, "M.L", "3"), (1, "Inv.Nr", 'q"')], "doc_id int, path string, value string")
+    fields = ("Inv.Nr", "M.L", "M.B", "Z")
+    assert rows(shape.nested_string(shape.conform(made, ["doc_id"], fields), ["doc_id"], fields, ("M",))) == [(1, '{"Inv.Nr":"q\\"","M":{"L":"3","B":""},"Z":""}')]
+
+
+def test_nested_report(spark):
+    texts = ['{"a|b":[1,"x"],"k":[{"x":1,"y":true},{"y":false,"x":"|"}],"m":[{"x":1},2],"s":null}', "no", "{}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert rows(shape.nested_report(df, ["i"], "t")) == [
+        (0, "| Field | Value |\n| --- | --- |\n| s |  |\n\n#### a|b\n\n| Value |\n| --- |\n| 1 |\n| x |\n\n#### k\n\n|  | x | y |\n| --- | --- | --- |\n| #1 | 1 | ✓ |\n| #2 | \\| |  |\n\n"
+            '#### m\n\n```json\n[{"x":1},2]\n```\n\n'),
+        (2, ""),
+    ]
+
+
+def test_anls_of_lists(spark):
+    records = [(1, '{"r":{"up":["abcd","x","y"],"n":"z"}}', '{"r":{"up":["y","abcx"],"n":"z"}}'), (2, '{"r":["a"]}', '{"r":"a"}'), (3, '{"r":["a","b"]}', "{}"), (4, '{"r":[]}', '{"r":[]}')]
+    df = spark.createDataFrame(records, "doc_id int, g string, p string")
+    leaves = metrics.anls_leaves(shape.leaves(df, ["doc_id"], "g"), shape.leaves(df, ["doc_id"], "p"), "doc_id")
+    assert rows(leaves) == [(1, "r.n", 1.0, 1), (1, "r.up", pytest.approx(1.75 / 3), 3), (2, "r", 0.0, 1), (3, "r", 0.0, 2), (4, "r", 1.0, 1)]
+    assert {r.path: r.score for r in metrics.anls_paths(leaves, "doc_id").where("doc_id = 1").collect()}["r"] == pytest.approx(2.75 / 4)
+
+
 def long(spark, *values):
     return spark.createDataFrame(list(values), "doc_id int, path string, value string")
 
