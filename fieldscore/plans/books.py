@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.distance import cer
@@ -256,10 +256,11 @@ def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- streams ---------------------------------------------------------------------------------------------------------
 
 
-def _stream(spark: SparkSession, rows: DataFrame, files: int, key: str) -> DataFrame:
-    """Rows as a stream of files."""
+def _stream(spark: SparkSession, rows: DataFrame, files: int, *keys: str, parts: tuple[Column, ...] = ()) -> DataFrame:
+    """Rows as a stream of files, two a batch; with ``parts`` the rows of each condition come after those of the one before."""
     path = scratch_dir(spark)
-    rows.repartition(files, key).write.parquet(path)
+    for part in parts or (F.lit(True),):
+        rows.where(part).repartition(files, *keys).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
@@ -267,8 +268,10 @@ def _stream(spark: SparkSession, rows: DataFrame, files: int, key: str) -> DataF
 def q_stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = fixture(spark, sf_dir, "pairs")
     target = scratch_dir(spark)
-    doubled = pairs.unionByName(pairs.where("doc_id % 3 = 0"))
-    jobs.score_new(_stream(spark, doubled, 6, "lang"), "doc_id", target, scratch_dir(spark)).awaitTermination()
+    # a third of the rows comes again in later batches
+    doubled = pairs.withColumn("again", F.lit(False)).unionByName(pairs.where("doc_id % 3 = 0").withColumn("again", F.lit(True)))
+    stream = _stream(spark, doubled, 4, "doc_id", parts=(~F.col("again"), F.col("again")))
+    jobs.score_new(stream, "doc_id", target, scratch_dir(spark)).awaitTermination()
     return spark.read.parquet(target).select("doc_id", "edits", "ref_len")
 
 
@@ -294,7 +297,7 @@ def q_stream_running_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT DISTINCT model, content FROM {duck('requests')}")
 def q_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = fixture(spark, sf_dir, "requests").select("model", "content", F.col("ts").cast("timestamp").alias("ts"))
-    once = jobs.suppress_repeats(_stream(spark, requests, 4, "model"), ["model", "content"], "ts", "1000 days")
+    once = jobs.suppress_repeats(_stream(spark, requests, 4, "ts"), ["model", "content"], "ts", "1000 days")
     return _into_memory(once.select("model", "content"), "append")
 
 
@@ -302,11 +305,12 @@ def q_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT run, epoch, value FROM b WHERE before IS NULL OR value < before""")
 def q_stream_new_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _epochs(spark, sf_dir)
+    early_to_late = (F.col("epoch") <= 3, F.col("epoch").between(4, 9), F.col("epoch") > 9)  # a run's rows come in several batches
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return _into_memory(jobs.new_best_alerts(_stream(spark, rows, 2, "run")), "append")
+        return _into_memory(jobs.new_best_alerts(_stream(spark, rows, 2, "run", parts=early_to_late)), "append")
     finally:
         spark.conf.set(provider, before)
 

@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from fieldscore.plans import oracles, queries
 from fieldscore.plans.fixtures import fixture
@@ -71,3 +72,15 @@ def test_whole_documents(spark):
     assert {r.doc_id: r.ref_len for r in queries()["q_cer_all"](spark, SF).collect()} == {i: len(t) for i, t in folded.items()}
     words = fixture(spark, SF, "words_all").groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in words} == {i: len(re.sub("[^a-z0-9]+", " ", t.lower()).split(" ")) for i, t in texts.items()}
+
+
+def test_streams_cross_batches(spark):
+    """A run's rows and repeated requests come in several batches, so the state decides."""
+    from fieldscore.plans import books
+
+    seen = {}
+    rows = books._epochs(spark, SF)
+    stream = books._stream(spark, rows, 2, "run", parts=(F.col("epoch") <= 3, F.col("epoch") > 3))
+    query = stream.writeStream.foreachBatch(lambda df, i: seen.update({i: {r.run for r in df.select("run").distinct().collect()}}))
+    query.option("checkpointLocation", books.scratch_dir(spark)).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) > 1 and seen[0] & seen[1]
