@@ -406,3 +406,33 @@ def test_quality_on_the_labels_of_the_tables(spark):
     assert right["both"] >= 0.97 and right["both"] >= right["content_score"] - 0.005
     good = held[held["truth"]]
     assert good["accepted"].mean() >= 0.98
+
+
+def partitions(items):
+    """Every way to put the items into bins."""
+    if not items:
+        yield []
+        return
+    for rest in partitions(items[1:]):
+        yield [[items[0]], *rest]
+        for i in range(len(rest)):
+            yield [*rest[:i], [items[0], *rest[i]], *rest[i + 1 :]]
+
+
+def test_packing_against_every_packing(spark):
+    """Best fit never beats the best of all packings, mostly equals it, and never costs half as much again."""
+    lengths, overhead, rng = (8, 16, 32), 1, np.random.default_rng(4)
+    costs = packing.costs_of(lengths, overhead)
+    ratios = []
+    for _ in range(25):
+        sizes = rng.integers(1, 33, rng.integers(1, 8)).tolist()
+        length_of = lambda b: next((x for x in lengths if x >= sum(b)), None)
+        best = min(sum(costs[length_of(b)] for b in p) for p in partitions(sizes) if all(length_of(b) for b in p))
+        df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_tokens long").coalesce(1)
+        rows = packing.pack_documents(df, lengths=lengths, overhead=overhead).collect()
+        bins = {}
+        for r in rows:
+            bins.setdefault((r.bin_id, r.bin_length), []).append(r.n_tokens)
+        assert sorted(r.n_tokens for r in rows) == sorted(sizes) and all(sum(b) <= n for (_, n), b in bins.items())
+        ratios.append(sum(costs[n] for _, n in bins) / best)
+    assert min(ratios) >= 1 and max(ratios) <= 1.5 and np.mean(np.array(ratios) == 1) >= 0.6, ratios
