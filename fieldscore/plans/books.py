@@ -109,10 +109,12 @@ def q_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- data sets -------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT dataset, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM (SELECT doc_id, 'en' AS dataset FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 'de' FROM documents WHERE lang = 'de' UNION ALL SELECT item_id, 'benchmark' FROM benchmark) GROUP BY dataset")
+@query("SELECT dataset, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM (SELECT doc_id, coalesce(lang, 'none') AS dataset FROM documents UNION ALL SELECT item_id, 'benchmark' FROM benchmark) GROUP BY dataset")
 def q_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fixture(spark, sf_dir, "texts")
-    parts = {x: (docs.where(F.col("lang") == x).select(F.col("doc_id").alias("image_name"), "text"), "image_name") for x in ("en", "de")}
+    named = docs.withColumn("lang", F.coalesce("lang", F.lit("none")))
+    languages = [r.lang for r in named.select("lang").distinct().orderBy("lang").collect()]  # one data set each
+    parts = {x: (named.where(F.col("lang") == x).select(F.col("doc_id").alias("image_name"), "text"), "image_name") for x in languages}
     out = datasets.union_datasets({**parts, "benchmark": (spark.table("benchmark"), "item_id")})
     return out.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
 
@@ -136,18 +138,18 @@ def q_fewshot_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.diverse_shots(labels, ["quality", "toxic"], "doc_id", 6).select("doc_id", "quality", "toxic", "turn")
 
 
-@query("""SELECT conv_id, turn, concat('[{"role":"user","content":[{"type":"image","text":"', conv_id, '"},{"type":"text","text":"Lies die Karte."}]},{"role":"assistant","content":[{"type":"text","text":"', length(text), '"}]}]') AS messages FROM conversations""")
+@query("""SELECT conv_id, turn, concat('[{"role":"user","content":[{"type":"image","text":"', conv_id, '"},{"type":"text","text":"Lies die Karte."}]},{"role":"assistant","content":[{"type":"text","text":', CAST(to_json(coalesce(text, '')) AS VARCHAR), '}]}]') AS messages FROM conversations""")
 def q_chat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("label", F.length("text").cast("string"))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("label", F.coalesce("text", F.lit("")))
     return datasets.chat_rows(rows, "Lies die Karte.", "conv_id", "label").select("conv_id", "turn", F.to_json("messages").alias("messages"))
 
 
-@query("""SELECT doc_id, concat('user:item 0|assistant:', (SELECT length(text) FROM benchmark WHERE item_id = 0), '|user:item 1|assistant:', (SELECT length(text) FROM benchmark WHERE item_id = 1), '|user:doc ', doc_id) AS prompt FROM documents""")
+@query("""SELECT doc_id, md5(concat('user:item 0|assistant:', (SELECT text FROM benchmark WHERE item_id = 0), '|user:item 1|assistant:', (SELECT text FROM benchmark WHERE item_id = 1), '|user:', text)) AS prompt FROM documents""")
 def q_fewshot_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = fixture(spark, sf_dir, "texts").select("doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("ask"))
-    shots = spark.table("benchmark").where("item_id < 2").select("item_id", F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("q"), F.length("text").cast("string").alias("a"))
+    docs = fixture(spark, sf_dir, "texts").select("doc_id", F.coalesce("text", F.lit("")).alias("ask"))
+    shots = spark.table("benchmark").where("item_id < 2").select("item_id", F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("q"), F.coalesce("text", F.lit("")).alias("a"))
     out = datasets.shot_prompt(docs, shots, "item_id", "q", "a", "ask")
-    return out.select("doc_id", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["text"])), "|").alias("prompt"))
+    return out.select("doc_id", F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["text"])), "|")).alias("prompt"))
 
 
 @query("""SELECT doc_id, copy, CASE WHEN copy > 0 THEN concat(doc_id, '_aug', copy) ELSE CAST(doc_id AS VARCHAR) END AS new_id, CASE WHEN copy > 0 THEN 2 + (doc_id + copy) % 2 ELSE 0 END AS n,
@@ -225,13 +227,13 @@ def q_jsonl_permissive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select(F.lit("ok").alias("reason")).unionByName(bad.select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT count(*) AS documents, CAST(sum(length(n_name)) AS BIGINT) AS characters FROM nation")
+@query("SELECT count(*) AS documents, CAST(sum(length(s_name)) AS BIGINT) AS characters FROM supplier")
 def q_documents_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark)
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    nation.repartition(25, "n_nationkey").select("n_nationkey", F.to_json(F.struct("n_name")).alias("value")).write.partitionBy("n_nationkey").text(path)
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    supplier.repartition("s_suppkey").select("s_suppkey", F.to_json(F.struct("s_name")).alias("value")).write.partitionBy("s_suppkey").text(path)
     docs = jsonl.read_documents(spark, path)
-    name = F.length(F.try_variant_get(F.try_parse_json("record"), "$.n_name", "string"))
+    name = F.length(F.try_variant_get(F.try_parse_json("record"), "$.s_name", "string"))
     return docs.agg(F.count(F.lit(1)).alias("documents"), F.sum(name).alias("characters"))
 
 
@@ -264,15 +266,15 @@ def _stream(spark: SparkSession, rows: DataFrame, files: int, *keys: str, parts:
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
-@query(f"SELECT doc_id, CASE WHEN hyp = '' THEN length(ref) WHEN ref = '' THEN length(hyp) ELSE levenshtein(hyp, ref) END AS edits, length(ref) AS ref_len FROM {duck('pairs')}")
+@query(f"SELECT concat(doc_id, ':', pos) AS pair, CASE WHEN hyp = '' THEN length(ref) WHEN ref = '' THEN length(hyp) ELSE levenshtein(hyp, ref) END AS edits, length(ref) AS ref_len FROM {duck('pairs')}")
 def q_stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = fixture(spark, sf_dir, "pairs")
+    pairs = fixture(spark, sf_dir, "pairs").withColumn("pair", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("pos").cast("string")))
     target = scratch_dir(spark)
     # a third of the rows comes again in later batches
     doubled = pairs.withColumn("again", F.lit(False)).unionByName(pairs.where("doc_id % 3 = 0").withColumn("again", F.lit(True)))
-    stream = _stream(spark, doubled, 4, "doc_id", parts=(~F.col("again"), F.col("again")))
-    jobs.score_new(stream, "doc_id", target, scratch_dir(spark)).awaitTermination()
-    return spark.read.parquet(target).select("doc_id", "edits", "ref_len")
+    stream = _stream(spark, doubled, 4, "pair", parts=(~F.col("again"), F.col("again")))
+    jobs.score_new(stream, "pair", target, scratch_dir(spark)).awaitTermination()
+    return spark.read.parquet(target).select("pair", "edits", "ref_len")
 
 
 def _into_memory(frame: DataFrame, mode: str) -> DataFrame:

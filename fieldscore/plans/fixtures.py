@@ -37,8 +37,6 @@ _STAIRS = f"""SELECT p_partkey AS doc_id, {_stairs(_UP)} AS gt,
       ELSE {_stairs("'[]'", zone="substr(p_brand, 1, 5)")} END AS pred
   FROM part"""
 
-_FOLDED = "regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9 ]', ''{g})"
-
 FIXTURES: dict[str, str] = {
     # record pairs
     "f1": _F1,
@@ -96,22 +94,11 @@ FIXTURES: dict[str, str] = {
         FROM (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, value FROM events) AS e""",
 }
 
-_SPARK_PAIRS = """SELECT doc_id, lang, source, {fold} AS ref FROM documents"""
-
-
-def pairs_sql(duck: bool) -> str:
-    """Text pairs: a folded reference and what a reader made of it, by ``doc_id % 5``."""
-    g = ", 'g'" if duck else ""
-    fold = _FOLDED.format(g=g)
-    return f"""SELECT doc_id, lang, source, ref, CASE doc_id % 5 WHEN 0 THEN ref WHEN 1 THEN replace(ref, 'e', 'c') WHEN 2 THEN concat(ref, ' and more') WHEN 3 THEN '' ELSE concat(substr(ref, 1, 10), substr(ref, 15)) END AS hyp
-        FROM ({_SPARK_PAIRS.format(fold=fold)}) AS d"""
-
-
 #: Characters of a piece; they bound the edit distances.
 PIECE = 200
 
 
-def pieces_sql(duck: bool) -> str:
+def pairs_sql(duck: bool) -> str:
     """Text pairs of the whole text of a document: consecutive pieces numbered from 0, each with what a reader made of it."""
     g, explode = (", 'g'", "unnest(range(0, greatest(1, (length(s) + {n} - 1) // {n})))") if duck else ("", "explode(sequence(0, greatest(1, (length(s) + {n} - 1) DIV {n}) - 1))")
     return f"""SELECT doc_id, lang, source, pos, ref, CASE doc_id % 5 WHEN 0 THEN ref WHEN 1 THEN replace(ref, 'e', 'c') WHEN 2 THEN concat(ref, ' and more') WHEN 3 THEN '' ELSE concat(substr(ref, 1, 10), substr(ref, 15)) END AS hyp
@@ -120,17 +107,23 @@ def pieces_sql(duck: bool) -> str:
             FROM (SELECT doc_id, lang, source, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9 ]', ''{g}) AS s FROM documents) AS a) AS b) AS d"""
 
 
-def words_all_sql(duck: bool) -> str:
-    """Words of the whole text of a document, as ``words``."""
-    return words_sql(duck).replace("substr(text, 1, 200)", "text")
+#: Characters of a piece that is compared in two forms.
+FORM_PIECE = 150
+
+
+def forms_sql(duck: bool) -> str:
+    """Consecutive pieces of the printable ASCII characters of whole documents, numbered from 0."""
+    g, explode = (", 'g'", "unnest(range(0, greatest(1, (length(s) + {n} - 1) // {n})))") if duck else ("", "explode(sequence(0, greatest(1, (length(s) + {n} - 1) DIV {n}) - 1))")
+    return f"""SELECT doc_id, pos, substr(s, CAST(pos * {FORM_PIECE} + 1 AS INT), {FORM_PIECE}) AS ref
+        FROM (SELECT doc_id, s, {explode.format(n=FORM_PIECE)} AS pos FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^ -~]', ''{g}) AS s FROM documents) AS a) AS b"""
 
 
 def words_sql(duck: bool) -> str:
-    """Words of the first 200 characters of a document, numbered from 0, at the places of boxes."""
+    """Words of the whole text of a document, numbered from 0, at the places of boxes."""
     if duck:
-        source = "(SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS word FROM (SELECT doc_id, string_split(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', ' ', 'g'), ' ') AS w FROM documents)) AS q"
+        source = "(SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS word FROM (SELECT doc_id, string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ') AS w FROM documents)) AS q"
         return FIXTURES["words"].format(words=source)
-    source = "(SELECT doc_id, i, word FROM documents LATERAL VIEW posexplode(split(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', ' '), ' ')) w AS i, word) AS q"
+    source = "(SELECT doc_id, i, word FROM documents LATERAL VIEW posexplode(split(regexp_replace(lower(text), '[^a-z0-9]+', ' '), ' ')) w AS i, word) AS q"
     return FIXTURES["words"].format(words=source).replace("i // 8", "i DIV 8")
 
 
@@ -142,11 +135,11 @@ def tables(spark: SparkSession, sf_dir: str) -> None:
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table in Spark."""
     tables(spark, sf_dir)
-    special = {"pairs": pairs_sql, "words": words_sql, "pieces": pieces_sql, "words_all": words_all_sql}
+    special = {"pairs": pairs_sql, "words": words_sql, "forms": forms_sql}
     return spark.sql(special[name](False) if name in special else FIXTURES[name])
 
 
 def duck(name: str) -> str:
     """The same table as DuckDB SQL, in brackets."""
-    special = {"pairs": pairs_sql, "words": words_sql, "pieces": pieces_sql, "words_all": words_all_sql}
+    special = {"pairs": pairs_sql, "words": words_sql, "forms": forms_sql}
     return f"({special[name](True) if name in special else FIXTURES[name]})"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,28 +183,28 @@ _BOXES = f"""b AS (SELECT doc_id, i AS det_id, word AS text, x, y, h FROM {duck(
     r AS (SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, string_agg(text, ' ' ORDER BY x, y, det_id) AS line FROM n GROUP BY ALL)"""
 
 
-def _detections(spark: SparkSession, sf_dir: str, words: str) -> DataFrame:
-    words = fixture(spark, sf_dir, words)
+def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = fixture(spark, sf_dir, "words")
     corner = lambda dx, dy: F.array(*[(F.col(a) + d).cast("double") for a, d in (("x", dx), ("y", dy))])
     box = F.array(corner(0, F.lit(0)), corner(40, F.lit(0)), corner(40, F.col("h")), corner(0, F.col("h")))
     return words.select("doc_id", F.col("i").alias("det_id"), box.alias("bbox"), F.col("word").alias("text"), F.col("conf").cast("double").alias("conf"))
 
 
 @query(f"WITH {_BOXES} SELECT doc_id, line_no, line FROM r")
-def q_reading_order(spark: SparkSession, sf_dir: str, words: str = "words") -> DataFrame:
-    boxes = layout.box_edges(layout.confident(_detections(spark, sf_dir, words), 30))
+def q_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = layout.box_edges(layout.confident(_detections(spark, sf_dir), 30))
     return layout.reading_order(boxes, "doc_id")
 
 
 @query(f"WITH {_BOXES} SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM r GROUP BY doc_id")
-def q_page_text(spark: SparkSession, sf_dir: str, words: str = "words") -> DataFrame:
-    boxes = layout.box_edges(layout.confident(_detections(spark, sf_dir, words), 30))
+def q_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = layout.box_edges(layout.confident(_detections(spark, sf_dir), 30))
     return layout.page_text(layout.reading_order(boxes, "doc_id"), "doc_id")
 
 
 @query(f"SELECT doc_id, CAST(i AS INTEGER) AS det_id, word AS text, CAST(conf AS DOUBLE) AS conf, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(h AS DOUBLE) AS h FROM {duck('words')} WHERE i % 5 > 0")
-def q_detections(spark: SparkSession, sf_dir: str, words: str = "words") -> DataFrame:
-    words = fixture(spark, sf_dir, words)
+def q_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = fixture(spark, sf_dir, "words")
     n = lambda *c: F.array(*[x.cast("double") for x in c])
     x, y, h = F.col("x"), F.col("y"), F.col("h")
     polygon = F.when(F.col("i") % 5 > 0, n(x, y, x + 40, y, x + 40, y + h, x, y + h)).otherwise(n(x, y))
@@ -216,9 +214,9 @@ def q_detections(spark: SparkSession, sf_dir: str, words: str = "words") -> Data
     return layout.box_edges(layout.detections(raw, "doc_id")).drop("bbox")
 
 
-for _name in ("q_reading_order", "q_page_text", "q_detections"):  # the same over whole documents
-    QUERIES[f"{_name}_all"] = partial(QUERIES[_name], words="words_all")
-    ORACLE[f"{_name}_all"] = ORACLE[_name].replace(duck("words"), duck("words_all"))
+for _name in ("q_reading_order", "q_page_text", "q_detections"):  # their names of old
+    QUERIES[f"{_name}_all"] = QUERIES[_name]
+    ORACLE[f"{_name}_all"] = ORACLE[_name]
 
 
 @query("SELECT n, CAST(row_number() OVER (ORDER BY CAST(regexp_extract(n, '([0-9]+)', 1) AS BIGINT), n) AS INTEGER) AS place FROM (SELECT concat('img', s_suppkey % 50, '_', s_nationkey, '_', s_suppkey) AS n FROM supplier)")
@@ -231,9 +229,12 @@ def q_natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.withColumn("place", F.row_number().over(Window.orderBy(number, "n")))
 
 
-@query(f"SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS tokens FROM (SELECT doc_id, string_split(ref, ' ') AS w FROM {duck('pairs')})")
+@query("""WITH w AS (SELECT doc_id, string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9 ]', '', 'g'), ' ') AS w FROM documents),
+    t AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM w), f AS (SELECT doc_id, word, min(i) AS i FROM t GROUP BY ALL)
+    SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS tokens FROM f GROUP BY doc_id""")
 def q_distinct_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture(spark, sf_dir, "pairs").select("doc_id", F.array_join(F.array_distinct(F.split("ref", " ")), " ").alias("tokens"))
+    folded = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9 ]", "")
+    return fixture(spark, sf_dir, "texts").select("doc_id", F.array_join(F.array_distinct(F.split(folded, " ")), " ").alias("tokens"))
 
 
 # -- files -----------------------------------------------------------------------------------------------------------

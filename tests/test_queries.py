@@ -70,10 +70,22 @@ def test_whole_documents(spark):
     folded = {i: re.sub("[^a-z0-9 ]", "", t.lower()) for i, t in texts.items()}
     assert max(map(len, folded.values())) > 200
     assert {r.doc_id: r.ref_len for r in queries()["q_cer_all"](spark, SF).collect()} == {i: len(t) for i, t in folded.items()}
-    words = fixture(spark, SF, "words_all").groupBy("doc_id").count().collect()
+    words = fixture(spark, SF, "words").groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in words} == {i: len(re.sub("[^a-z0-9]+", " ", t.lower()).split(" ")) for i, t in texts.items()}
 
 
+def test_lists_of_whole_documents(spark):
+    """Every word of every piece stands in one list of six."""
+    pairs = fixture(spark, SF, "pairs").select("doc_id", "hyp", "ref").collect()
+    want = {}
+    for r in pairs:
+        n = max(len(r.hyp.split(" ")), len(r.ref.split(" ")))
+        want[r.doc_id] = want.get(r.doc_id, 0) + -(-n // 6)
+    rows = queries()["q_anls_lists"](spark, SF).collect()
+    assert {r.doc_id: r.lists for r in rows} == want
+    assert all(r.score == 1.0 for r in rows if r.doc_id % 5 == 0)  # the reader's text is the reference there
+
+
 def test_streams_cross_batches(spark):
     """A run's rows and repeated requests come in several batches, so the state decides."""
     from fieldscore.plans import books
