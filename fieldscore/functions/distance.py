@@ -33,13 +33,15 @@ def string_anls(pred: Column, gt: Column, threshold: float = 0.5) -> Column:
     longest = F.greatest(F.length(pred), F.length(gt))
     # one more than the threshold allows, so that rounding decides nothing here
     near = edits_within(pred, gt, (F.ceil((1 - threshold) * longest) + 1).cast("int"))
-    score = F.when(near >= 0, 1 - near / longest).otherwise(0.0)
+    passed = lambda d: F.when((d >= 0) & (1 - d / longest >= threshold), 1 - d / longest).otherwise(0.0)
+    # as an element, so that the distance is made once
+    score = F.get(F.transform(F.array(near), passed), 0)
     return (
         F.when((F.length(pred) == 0) & (F.length(gt) == 0), F.lit(1.0))
         .when((F.length(pred) == 0) | (F.length(gt) == 0), F.lit(0.0))
         # the lengths alone bound the score from above
         .when(F.least(F.length(pred), F.length(gt)) < threshold * longest, F.lit(0.0))
-        .otherwise(F.when(score >= threshold, score).otherwise(0.0))
+        .otherwise(score)
     )
 
 
