@@ -9,9 +9,10 @@ level's nodes cover the ones below them with their radius.
    anchor, so no more of them are kept (``first`` + 1, as an anchor is no partner of its own); equal anchors are asked once.
 2. Candidates are dealt to the nearest of a bounded sample of centres (``PIVOTS``, the tree's root level) and by hash to
    blocks of about ``BLOCK_ROWS`` below it; each block is one tree, stored.
-3. Anchors are streamed in batches against every block. The descent is best first: of the nodes whose bounds reach a
-   window the one with the highest bound is opened; it stops when no node can hold a row better than the last of the rows
-   that the window has. Nodes outside of all windows are skipped. Leaves are verified with exact integer products.
+3. Anchors are streamed in batches against every block. The descent is best first, for a batch of anchors at once: bounds
+   of all levels are carried down, the leaves with the highest bounds are opened first, and what can't hold a row better
+   than the last of those that a window has stays closed, like nodes outside of all windows. Opened leaves are verified
+   with exact integer products.
 4. A first search finds each anchor's rows of its own label, which set the windows; the second finds the rows of other
    labels in these windows. A task keeps what is best over its ``TASK_BLOCKS`` blocks, so a window gets as many rows of
    each task as are wanted at most.
@@ -25,7 +26,6 @@ that, so that scores fit a long; an empty table gives no rows; extra columns are
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,8 +48,11 @@ TASK_BLOCKS = 2
 QUERY_BATCH = 256
 PIVOTS = 256
 LEAF_ROWS = 64
+FAN = 16
+#: Leaves that are open for an anchor after each wave.
+WAVES = (1, 8, 1 << 40)
 LARGEST = 1 << 26
-SEED = 20311
+UNSEEN = np.iinfo(np.int64).min
 
 
 def integer_rows(table: DataFrame, label, id_col: str, vec_col: str) -> DataFrame:
@@ -63,125 +66,117 @@ def integer_rows(table: DataFrame, label, id_col: str, vec_col: str) -> DataFram
 
 
 class CoverTree:
-    """The candidates of a block below levels of covering centres.
+    """The candidates of a block below levels of covering centres, a root for each label.
 
-    A node is a centre (a candidate), a radius that covers all candidates below, and the places of its children or, at
-    the lowest level, a run of rows. Nodes lie level by level, so that a node's children are a run as well.
+    A node is a centre (a candidate), a radius that covers all candidates below, and the run of its children or, at the
+    lowest level, of its rows. Nodes lie level by level, so that a node's children are a run as well.
     """
 
-    FIELDS = "ids binary, labels binary, vectors binary, centre binary, radius binary, begin binary, end binary, leaf binary"
+    FIELDS = "ids binary, vectors binary, label binary, centre binary, radius binary, begin binary, end binary, leaf binary"
+    TYPES = (np.int64, np.int64, np.int64, np.int64, float, np.int64, np.int64, bool)
 
-    def __init__(self, ids, labels, vectors, centre, radius, begin, end, leaf):
-        self.ids, self.labels, self.vectors, self.centre, self.radius, self.begin, self.end, self.leaf = ids, labels, vectors, centre, radius, begin, end, leaf
+    def __init__(self, ids, vectors, label, centre, radius, begin, end, leaf):
+        self.ids, self.vectors, self.label, self.centre, self.radius, self.begin, self.end, self.leaf = ids, vectors, label, centre, radius, begin, end, leaf
         self.floats = vectors.astype(float)
-        self.most = float(np.abs(vectors).max(initial=0)) * max(1, vectors.shape[1] if vectors.ndim > 1 else 1)
+        self.most = float(np.abs(vectors).max(initial=0)) * vectors.shape[1]
+        self.leaves = np.flatnonzero(leaf)
 
     @classmethod
     def build(cls, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> CoverTree:
         norms = np.sqrt((vectors.astype(float) ** 2).sum(axis=1))
         top = norms.max()
         lifted = np.column_stack([vectors.astype(float), np.sqrt(np.maximum(0.0, top * top - norms * norms))])
-        # from the top: nodes of a level, each with its rows; a node splits among centres that are far from each other
-        order = np.arange(len(ids))
-        centre, radius, begin, end, leaf = [], [], [], [], []
-        queue, rows_out, placed = [(order, 0)], [], 0
-        at = 0
+        # from the top: the rows of a node and the place of its centre there; a node splits among centres far from each other
+        queue = [(np.flatnonzero(labels == x), 0) for x in np.unique(labels)]
+        nodes, rows_out, placed, at = [], [], 0, 0
         while at < len(queue):
             rows, c = queue[at]
             at += 1
             away = np.sqrt(((lifted[rows] - lifted[rows[c]]) ** 2).sum(axis=1))
-            centre.append(rows[c])
-            radius.append(away.max())
             if len(rows) <= LEAF_ROWS or away.max() == 0:
-                begin.append(placed)
+                nodes.append((labels[rows[0]], rows[c], away.max(), placed, placed + len(rows), True))
                 placed += len(rows)
-                end.append(placed)
-                leaf.append(True)
                 rows_out.append(rows)
                 continue
             picks, near, own = [c], away, np.zeros(len(rows), np.int64)
-            cover = away.max() / 2  # the next level's radius
-            while near.max() > cover and len(picks) < 16:
+            cover = away.max() / 2  # the next level's radius, as far as ``FAN`` centres bring it
+            while near.max() > cover and len(picks) < FAN:
                 far = int(near.argmax())
                 d = np.sqrt(((lifted[rows] - lifted[rows[far]]) ** 2).sum(axis=1))
                 own[d < near] = len(picks)
                 near = np.minimum(near, d)
                 picks.append(far)
-            begin.append(len(queue))
+            nodes.append((labels[rows[0]], rows[c], away.max(), len(queue), len(queue) + len(picks), False))
             for i, p in enumerate(picks):
                 mine = np.flatnonzero(own == i)
                 queue.append((rows[mine], int(np.searchsorted(mine, p))))
-            end.append(len(queue))
-            leaf.append(False)
         order = np.concatenate(rows_out)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        return cls(ids[order], labels[order], vectors[order], place[np.array(centre)], np.array(radius), np.array(begin, np.int64), np.array(end, np.int64), np.array(leaf))
+        label, centre, radius, begin, end, leaf = (np.array(x, t) for x, t in zip(zip(*nodes, strict=True), cls.TYPES[2:], strict=True))
+        return cls(ids[order], vectors[order], label, place[centre], radius, begin, end, leaf)
 
     def pack(self) -> list[bytes]:
-        return [x.tobytes() for x in (self.ids, self.labels, self.vectors, self.centre, self.radius, self.begin, self.end, self.leaf)]
+        return [x.tobytes() for x in (self.ids, self.vectors, self.label, self.centre, self.radius, self.begin, self.end, self.leaf)]
 
     @classmethod
     def unpack(cls, *packed: bytes) -> CoverTree:
-        ids, labels, vectors, centre, radius, begin, end, leaf = (np.frombuffer(x, t) for x, t in zip(packed, (np.int64, np.int64, np.int64, np.int64, float, np.int64, np.int64, bool), strict=True))
-        return cls(ids, labels, vectors.reshape(len(ids), -1), centre, radius, begin, end, leaf)
+        ids, vectors, *rest = (np.frombuffer(x, t) for x, t in zip(packed, cls.TYPES, strict=True))
+        return cls(ids, vectors.reshape(len(ids), -1), *rest)
 
     def bounds(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(lowest, highest) product that rows below each node can have with each anchor."""
+        """(lowest, highest) product that rows of each leaf can have with each anchor, by all nodes above it."""
         middle = anchors.astype(float) @ self.floats[self.centre].T
         # a hair wider than the radii, for what doubles lose
         reach = np.sqrt((anchors.astype(float) ** 2).sum(axis=1))[:, None] * self.radius[None, :] * (1 + 1e-9) + 1e-3 + np.abs(middle) * 1e-9
-        return middle - reach, middle + reach
-
-    def best(self, label: int, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, windows: list[Best], same: bool) -> int:
-        """Offer the rows of this tree to the windows of an anchor; returns how many rows were verified.
-
-        ``windows`` hold what earlier trees offered; a window takes products of at least its least and at most its most.
+        low, high = middle - reach, middle + reach
+        for node in np.flatnonzero(~self.leaf).tolist():
+            below = slice(self.begin[node], self.end[node])
+            low[:, below] = np.maximum(low[:, below], low[:, node, None])
+            high[:, below] = np.minimum(high[:, below], high[:, node, None])
+        return low[:, self.leaves], high[:, self.leaves]
+
+    def search(self, anchors: np.ndarray, label: np.ndarray, fewest: np.ndarray, most: np.ndarray, keep: int, same: bool) -> np.ndarray:
+        """The products of each anchor with the rows here, ``UNSEEN`` where none was made.
+
+        ``fewest`` and ``most`` are the windows of each anchor. The leaves of the right labels are opened in waves, those
+        with the highest bounds first; after each wave those that can't reach the last of a window's first ``keep`` rows
+        stay closed, like those outside of all windows.
         """
-        heap, verified = [(-high[0], 0)], 0
-        # whole numbers that doubles hold exactly, or longs
-        doubles = self.most * float(np.abs(anchor).max(initial=0)) < 2**53
-        mine = anchor.astype(float) if doubles else anchor
-        while heap:
-            up, node = heapq.heappop(heap)
-            up = -up
-            if up < min(w.least() for w in windows):
-                break  # no other node reaches higher
-            if not any(up >= w.least() and low[node] <= w.most for w in windows):
-                continue
-            if not self.leaf[node]:
-                for child in range(self.begin[node], self.end[node]):
-                    if any(high[child] >= w.least() and low[child] <= w.most for w in windows):
-                        heapq.heappush(heap, (-high[child], child))
-                continue
-            own = slice(self.begin[node], self.end[node])
-            fits = self.labels[own] == label if same else self.labels[own] != label
-            if fits.any():
-                score = ((self.floats if doubles else self.vectors)[own][fits] @ mine).astype(np.int64)
-                verified += len(score)
-                for w in windows:
-                    w.offer(score, self.ids[own][fits])
-        return verified
-
-
-class Best:
-    """The first ``size`` rows of a window by (score down, id up)."""
-
-    def __init__(self, size: int, fewest: int | None = None, most: int | None = None):
-        self.size = size
-        self.fewest = -np.inf if fewest is None else fewest
-        self.most = np.inf if most is None else most
-        self.score, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def least(self) -> float:
-        return self.fewest if len(self.score) < self.size else max(self.fewest, self.score[-1])
-
-    def offer(self, score: np.ndarray, ids: np.ndarray) -> None:
-        fit = (score >= self.least()) & (score <= self.most)
-        if fit.any():
-            score, ids = np.append(self.score, score[fit]), np.append(self.ids, ids[fit])
-            order = np.lexsort((ids, -score))[: self.size]
-            self.score, self.ids = score[order], ids[order]
+        doubles = self.most * float(np.abs(anchors).max(initial=0)) < 2**53  # whole numbers that doubles hold exactly
+        mine, rows = (anchors.astype(float), self.floats) if doubles else (anchors, self.vectors)
+        low, high = self.bounds(anchors)
+        score = np.full((len(anchors), len(self.ids)), UNSEEN)
+        own = label[:, None] == self.label[self.leaves][None, :]
+        closed = own if same else ~own
+        order = np.argsort(np.where(closed, -high, np.inf), axis=1)
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), 1)
+        least = fewest
+        for wave in WAVES:
+            fits = np.zeros_like(closed)
+            for j in range(fewest.shape[1]):
+                fits |= (high >= least[:, j, None]) & (low <= most[:, j, None])
+            opened = closed & fits & (rank < wave)
+            closed &= ~opened
+            for k in np.flatnonzero(opened.any(axis=0)).tolist():
+                some, node = np.flatnonzero(opened[:, k]), self.leaves[k]
+                part = slice(self.begin[node], self.end[node])
+                score[some, part] = (mine[some] @ rows[part].T).astype(np.int64)
+            if wave != WAVES[-1]:
+                least = self._least(score, fewest, most, keep)
+        return score
+
+    @staticmethod
+    def _least(score: np.ndarray, fewest: np.ndarray, most: np.ndarray, keep: int) -> np.ndarray:
+        """What a row must reach to be among the first ``keep`` of each window."""
+        up = np.sort(score, axis=1)
+        out = fewest.copy()
+        for i in range(len(score)):
+            at = np.searchsorted(up[i], most[i], "right") - keep
+            some = at >= 0
+            out[i, some] = np.maximum(fewest[i, some], up[i, at[some]])
+        return out
 
 
 _FOUND = "asked long, window long, id long, score long, verified long"
@@ -197,7 +192,7 @@ def _search(trees: DataFrame, asked: DataFrame, keep: int, same: bool, tasks: in
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = fs.FileSystem.from_uri(path)
         files = [f.path for f in store.get_file_info(fs.FileSelector(folder)) if f.path.endswith(".parquet")]
-        # the packed trees of this task, a bounded number of blocks
+        # the packed trees of this task, a few blocks
         own = [[c[i].as_py() for c in batch.columns] for batch in batches for i in range(batch.num_rows)]
         own = [(size, CoverTree.unpack(*packed)) for size, *packed in own]
         for name in files if own else []:
@@ -206,30 +201,44 @@ def _search(trees: DataFrame, asked: DataFrame, keep: int, same: bool, tasks: in
                     yield answer(own, batch)
 
     def answer(own: list, batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [[], [], [], [], []]
+        out = [[np.zeros(0, np.int64)] for _ in range(5)]
         length = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
         for size in sorted({s for s, _ in own} & set(length.tolist())):
             part = batch.filter(pa.array(length == size))
+            keys, label = part.column(0).to_numpy(), part.column(1).to_numpy()
             vec = part.column(2).flatten().to_numpy().reshape(-1, size)
-            label = part.column(1).to_numpy()
-            asks = [[Best(keep, w["fewest"], w["most"]) for w in ws] for ws in part.column(3).to_pylist()]
+            windows = part.column(3).to_pylist()
+            wide = max(map(len, windows))
+            fewest, most = np.full((len(vec), wide), UNSEEN + 1), np.full((len(vec), wide), np.iinfo(np.int64).max)
+            for i, ws in enumerate(windows):
+                for j in range(wide):
+                    if j >= len(ws):  # no such window
+                        fewest[i, j], most[i, j] = np.iinfo(np.int64).max, UNSEEN
+                    elif ws[j]["fewest"] is not None:
+                        fewest[i, j], most[i, j] = ws[j]["fewest"], ws[j]["most"]
+            least = fewest.copy()
+            held = [[[] for _ in ws] for ws in windows]
             count = np.zeros(len(vec), np.int64)
-            for s, tree in own:
-                if s == size:
-                    low, high = tree.bounds(vec)
-                    for i in range(len(vec)):
-                        count[i] += tree.best(label[i], vec[i], low[i], high[i], asks[i], same)
-            for i, (key, ws) in enumerate(zip(part.column(0).to_pylist(), asks, strict=True)):
+            for tree in (t for s, t in own if s == size):
+                score = tree.search(vec, label, least, most, keep, same)
+                count += (score != UNSEEN).sum(axis=1)
+                last = tree._least(score, least, most, keep)
+                for i, ws in enumerate(held):
+                    for j, w in enumerate(ws):
+                        found = np.flatnonzero((score[i] >= last[i, j]) & (score[i] <= most[i, j]))
+                        w.append((score[i, found], tree.ids[found]))
+                least = np.maximum(least, last)
+            for i, ws in enumerate(held):
                 for j, w in enumerate(ws):
-                    n = len(w.ids)
-                    first = np.zeros(n, np.int64)
-                    if j == 0:
-                        first[:1] = count[i]
-                    for o, x in zip(out, (np.full(n, key, np.int64), np.full(n, j, np.int64), w.ids, w.score, first), strict=True):
+                    score, ids = (np.concatenate(x) for x in zip(*w, strict=True))
+                    first = np.lexsort((ids, -score))[:keep]
+                    verified = np.zeros(len(first), np.int64)
+                    verified[:1] = count[i] if j == 0 else 0
+                    for o, x in zip(out, (np.full(len(first), keys[i]), np.full(len(first), j), ids[first], score[first], verified), strict=True):
                         o.append(x)
-        return arrow_rows(**{c: np.concatenate(x) if x else np.zeros(0, np.int64) for c, x in zip(("asked", "window", "id", "score", "verified"), out, strict=True)})
+        return arrow_rows(**{c: np.concatenate(x) for c, x in zip(("asked", "window", "id", "score", "verified"), out, strict=True)})
 
-    return trees.repartition(tasks, "block").drop("block", "cell").mapInArrow(search, _FOUND)
+    return trees.repartition(tasks, "block").drop("block").mapInArrow(search, _FOUND)
 
 
 def plant_trees(rows: DataFrame, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
