@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprints, jaccard, line_dedup, negatives, packing, phrases, quality, sharding, tokenstore, warc
+from . import ann, fingerprints, jaccard, line_dedup, negatives, packing, phrases, quality, sharding, spelling, tokenstore, warc
 from . import decontaminate as decontam
 from .common import shared_dir
 
@@ -90,6 +90,10 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
@@ -103,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "op10_sharding": op10_sharding,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_fingerprints": op12_fingerprints,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
