@@ -10,8 +10,8 @@
    the others, each at its place counted from the left or, behind the edit, from the right. So two near words share one of
    their ``affected + 1`` rarest grams: only these are listed, under gram, side, place and length.
 4. The lists of a gram are merged in the task that holds them: words that share it are compared where the numbers of shared
-   grams and the exact edit allow, and a pair is kept by the first of its shared grams. Only near pairs leave a task. Lists
-   longer than ``LIST_ROWS`` are cut to tiles that meet in tasks of their own.
+   letters and the exact edit allow. Only near pairs leave a task, once for each gram of theirs that both list. Lists longer
+   than ``LIST_ROWS`` are cut to tiles that meet in tasks of their own.
 
 Cases: null texts and texts without letters have no words; a row without an id has the id ``null`` in the noise rule; rows
 that repeat an id are counted each; an empty table gives no rows; extra columns are not carried; words of any length are
@@ -40,6 +40,8 @@ SHORTEST, LONGEST = 2, 5
 FREQUENT = 64
 DICTIONARY = 250_000
 LIST_ROWS = 2048
+#: Pairs of words that are compared one by one.
+FEW = 400
 #: Different words that a task counts before it passes them on.
 HELD_WORDS = 400_000
 
@@ -174,7 +176,7 @@ def one_edit(a: str, b: str) -> bool:
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """(a, b) of all near words in both directions; ``words`` has different words in column ``word``."""
+    """(a, b) of all near words, the smaller word first; ``words`` has different words in column ``word``."""
     spark = words.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_grams(words))
 
@@ -239,10 +241,12 @@ def near_words(words: DataFrame) -> DataFrame:
             out += compared(own, same)
         elif len(own) > 1:
             out += compared(own, own)
-        return out
+        return [(a, b) if a < b else (b, a) for a, b in out]
 
     def compared(left: list[str], right: list[str]) -> list[tuple[str, str]]:
-        """Near words among two short lists: first by how many letters differ at most, then exactly."""
+        """Near words among two lists: in longer ones first by how many letters differ at most, then exactly."""
+        if len(left) * len(right) <= FEW:
+            return [(x, y) for x in left for y in right if -2 < len(x) - len(y) < 2 and one_edit(x, y)]
         a, b = bags(left), bags(right)
         out = []
         for i in range(len(left)):
@@ -261,8 +265,7 @@ def near_words(words: DataFrame) -> DataFrame:
         return arrow_rows(a=pa.array([x for x, _ in found], pa.string()), b=pa.array([y for _, y in found], pa.string()))
 
     met = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(merge, "a string, b string")
-    both = met.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
-    return stage(both.select("p.a", "p.b").distinct())
+    return stage(met.distinct())
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -279,7 +282,7 @@ def roots(forms: DataFrame) -> DataFrame:
 def group_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", times: int = TIMES) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of every word that occurs often enough."""
     words = stage(count_words(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))))
-    near = near_words(words)
+    near = near_words(words).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.a", "p.b")
     counted = near.join(words.select(F.col("word").alias("b"), F.col("n").alias("m")), "b")
     # the largest count, and of equal ones the smallest word
     best = counted.groupBy(F.col("a").alias("word")).agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("m")).alias("less"), F.col("b").alias("near"))).alias("s"))
