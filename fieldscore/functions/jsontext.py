@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .text import strip
 
 FENCE = "```"
+#: A JSON string; possessive, so that long ones need no stack.
+_STRING = r'(?s)"(?:[^"\\]++|\\.)*+"'
 
 
 def is_object(variant: Column, allow_empty: bool = True) -> Column:
@@ -18,14 +20,37 @@ def is_object(variant: Column, allow_empty: bool = True) -> Column:
 
 
 def strict_object(text: Column) -> Column:
-    """The text as a variant if it is one JSON object and nothing else, otherwise null.
+    """The text as a variant if it is one JSON object and nothing else, otherwise null; of a repeated key the last value counts.
 
-    The parser takes trailing text, so the text is read as the only element of a list.
+    The parser takes trailing text, so the text is read as the only element of a list; that the text's own brackets don't
+    end this list is seen by their depth.
     """
-    one = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    first = F.try_variant_get(one, "$[0]", "variant")
-    second = F.try_variant_get(one, "$[1]", "variant")
-    return F.when(is_object(first) & second.isNull(), first)
+    first = F.try_variant_get(parsed(F.concat(F.lit("["), text, F.lit("]"))), "$[0]", "variant")
+    return F.when(is_object(first) & closes_at_end(text), first)
+
+
+def parsed(text: Column) -> Column:
+    """JSON as a variant, null if it is none; of a repeated key the last value counts.
+
+    Spark has a setting for repeated keys and no argument: it is read when the column is made, so it is set here.
+    """
+    SparkSession.active().conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return F.try_parse_json(text)
+
+
+def closes_at_end(text: Column) -> Column:
+    """Whether the depth of the brackets outside of strings is zero after the last of them and not before."""
+    brackets = F.regexp_replace(F.regexp_replace(text, _STRING, ""), r"[^\[\]{}]+", "")
+    fold = F.aggregate(
+        F.split(brackets, ""),
+        F.struct(F.lit(0).alias("depth"), F.lit(0).alias("ends")),
+        lambda a, c: F.struct(
+            (a["depth"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)).alias("depth"),
+            (a["ends"] + F.when(c.isin("}", "]") & (a["depth"] <= 1), 1).otherwise(0)).alias("ends"),
+        ),
+        lambda a: (a["depth"] == 0) & (a["ends"] == 1),
+    )
+    return F.when(brackets == "{}", True).otherwise(fold)
 
 
 def sorted_string(variant: Column) -> Column:
@@ -35,8 +60,18 @@ def sorted_string(variant: Column) -> Column:
 
 def members(text: Column) -> Column:
     """(key, text, v) of the members of an object in the order of the text: ``text`` keeps the order within, ``v`` tells the kind."""
+    SparkSession.active().conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     texts, values = F.map_entries(F.from_json(text, "map<string,string>")), F.map_entries(F.from_json(text, "map<string,variant>"))
-    return F.zip_with(texts, values, lambda a, b: F.struct(a["key"].alias("key"), a["value"].alias("text"), b["value"].alias("v")))
+    every = F.zip_with(texts, values, lambda a, b: F.struct(a["key"].alias("key"), a["value"].alias("text"), b["value"].alias("v")))
+    return last_of_each(every, "key")
+
+
+def last_of_each(entries: Column, name: str) -> Column:
+    """Of the structs with one value of a field the last, where the first of them stands."""
+    one = lambda es: F.transform(F.array_distinct(F.transform(es, lambda e: e[name])), lambda k: F.element_at(F.filter(es, lambda e: e[name] == k), -1))
+    alone = lambda es: F.size(F.array_distinct(F.transform(es, lambda e: e[name]))) == F.size(es)
+    # the one-element array makes the entries once
+    return F.transform(F.array(entries), lambda es: F.when(alone(es), es).otherwise(one(es)))[0]
 
 
 def items(text: Column) -> Column:
@@ -54,6 +89,33 @@ def leaf_string(v: Column) -> Column:
     return F.when(F.schema_of_variant(v).isin("VOID"), "").otherwise(F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v), F.lit("")))
 
 
+def number_text(text: Column) -> Column:
+    """A JSON number as Python shows it: whole ones as they are, others by the shortest digits (``1.0``, ``1e-05``)."""
+    shown = text.try_cast("double").cast("string")
+    part = lambda i: F.regexp_extract(shown, r"^(-?)(\d)\.(\d+)E(-?\d+)$", i)
+    power = part(4).try_cast("int")
+    digits = F.concat(part(2), F.when(part(3) == "0", "").otherwise(part(3)))
+    wide = F.rpad(digits, power + 1, "0")
+    behind = F.substring(digits, power + 2, F.length(digits))
+    plain = F.concat(part(1), F.when(F.length(digits) > power + 1, F.substring(digits, F.lit(1), power + 1)).otherwise(wide), F.lit("."), F.when(behind == "", "0").otherwise(behind))
+    small = F.concat(part(1), F.lit("0.000"), digits)
+    far = F.concat(part(1), part(2), F.when(part(3) == "0", "").otherwise(F.concat(F.lit("."), part(3))), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), "0"))
+    return (
+        F.when(text.rlike(r"^-?\d+$"), F.when(text == "-0", "0").otherwise(text))
+        .when(power.isNull(), F.replace(F.lower(shown), F.lit("infinity"), F.lit("inf")))
+        .when(power.between(7, 15), plain).when(power == -4, small).otherwise(far)
+    )
+
+
+def is_number(variant: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(variant).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False))
+
+
+def shown_leaf(v: Column, text: Column) -> Column:
+    """A leaf as text with numbers as Python shows them; ``text`` is the number in the JSON."""
+    return F.when(is_number(v), number_text(text)).otherwise(leaf_string(v))
+
+
 def ordered_string(text: Column, indent: bool = False) -> Column:
     """JSON with the keys of all levels in the order of the text, compact or a top-level key on each line; null if it is no object."""
     quoted = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")
@@ -114,7 +176,7 @@ def candidates(text: Column, mode: str, min_keys: int = 0) -> Column:
 
 def extract_object(text: Column, mode: str, on_fail: str = "empty", template: str = "{}", min_keys: int = 0) -> Column:
     """The first candidate span that is a JSON object, or what ``on_fail`` says: '{}', the template, or the raw text."""
-    spans = F.filter(candidates(text, mode), lambda s: strict_object(s).isNotNull() & (F.size(F.json_object_keys(s)) > min_keys - 1 if min_keys else F.lit(True)))
+    spans = F.filter(candidates(text, mode), lambda s: strict_object(s).isNotNull() & (F.size(F.array_distinct(F.json_object_keys(s))) > min_keys - 1 if min_keys else F.lit(True)))
     failed = {"empty": F.lit("{}"), "template": F.lit(template), "raw": text}[on_fail]
     return F.coalesce(F.get(spans, 0), failed)
 

@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.text import LETTERS, clean_labels, collapse_space, decimal_comma, is_measurement, is_noise, is_paragraph, label_key, strip
 from ..registry import CARD_ALIASES, CARD_FIELDS
+from .order import numbered
 
 START, END = "\u0001", "\u0002"
 
@@ -23,13 +25,21 @@ def _join(pieces, sep: str = " "):
 def detections(raw: DataFrame, id_col: str) -> DataFrame:
     """(id, det_id, bbox, text, conf) from the parallel arrays rec_texts, rec_scores and rec_polys.
 
-    A box is four points or eight numbers in a row (as text, ``x,y,...``); rows without one are dropped.
+    A box is four points or more (the first four count) or eight numbers in a row; rows without one are dropped. Where
+    ``rec_polys`` is empty, ``dt_polys`` stands in if there is such a column. The arrays may differ in length: a missing text
+    is empty, a missing confidence null.
     """
-    zipped = F.posexplode(F.arrays_zip("rec_texts", "rec_scores", "rec_polys")).alias("det_id", "d")
-    rows = raw.select(id_col, zipped)
-    flat = F.col("d.rec_polys")
-    points = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.array(flat[i * 2], flat[i * 2 + 1]))
-    return rows.where(F.size(flat) == 8).select(id_col, "det_id", points.alias("bbox"), F.col("d.rec_texts").alias("text"), F.col("d.rec_scores").alias("conf"))
+    arrays = {c: F.coalesce(F.col(c), F.expr(f"CAST(array() AS {raw.schema[c].dataType.simpleString()})")) for c in ("rec_texts", "rec_scores", "rec_polys")}
+    if "dt_polys" in raw.columns:
+        arrays["rec_polys"] = F.when(F.size(arrays["rec_polys"]) > 0, arrays["rec_polys"]).otherwise(F.coalesce("dt_polys", arrays["rec_polys"]))
+    rows = raw.select(id_col, *[x.alias(c) for c, x in arrays.items()]).select(id_col, F.posexplode(F.arrays_zip(*arrays)).alias("det_id", "d"))
+    poly = F.col("d.rec_polys")
+    if isinstance(raw.schema["rec_polys"].dataType.elementType.elementType, ArrayType):
+        box = F.when(F.size(poly) >= 4, F.transform(F.slice(poly, 1, 4), lambda p: F.array(p[0], p[1])))
+    else:
+        box = F.when(F.size(poly) == 8, F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.array(poly[i * 2], poly[i * 2 + 1])))
+    out = rows.withColumn("bbox", box).where("bbox IS NOT NULL")
+    return out.select(id_col, "det_id", "bbox", F.coalesce("d.rec_texts", F.lit("")).alias("text"), F.col("d.rec_scores").alias("conf"))
 
 
 def confident(dets: DataFrame, least: float, conf: str = "conf") -> DataFrame:
@@ -102,9 +112,13 @@ def line_classes(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"noise": is_noise(line), "paragraph": is_paragraph(line), "measurement": is_measurement(line)})
 
 
-def natural_order(rows: DataFrame, name: str) -> DataFrame:
-    """By the first number in the name, then by name; names without a number come first."""
-    return rows.orderBy(F.regexp_extract(name, r"(\d+)", 1).try_cast("long").asc_nulls_first(), name)
+def natural_order(rows: DataFrame, name: str, place: str = "place") -> DataFrame:
+    """The rows with their place from 1 by the first number in the name, then by name; names without a number come first.
+
+    Places come from ranges and their counts, so no task sees all rows.
+    """
+    numbered_rows = numbered(rows, F.regexp_extract(name, r"(\d+)", 1).try_cast("long").asc_nulls_first(), F.col(name), name=place)
+    return numbered_rows.withColumn(place, (F.col(place) + 1).cast("int"))
 
 
 # -- cards: labels and values ----------------------------------------------------------------------------------------
@@ -191,18 +205,29 @@ def fields_by_header(lines: DataFrame, id_col: str) -> DataFrame:
 # -- inventory sheets ------------------------------------------------------------------------------------------------
 
 
+# fixed values: patterns of measures and of inventory numbers, points of tokens and lines, and what they must reach
+_SIZE = r"(\d+(?:,\d+)?)"
+_CROSS = rf"{_SIZE}\s*[xX×]\s*{_SIZE}\s*[xX×]\s*{_SIZE}"
+_LENGTH = rf"[£L]\s*[:=]?\s*{_SIZE}"
+_BREADTH = rf"(?i)\bB\s*[:=]?\s*{_SIZE}(\s*cm)?"
+_DEPTH = rf"(?i)\b(?:D|T)\s*[:=]?\s*{_SIZE}"
+_NUMBER = rf"[{LETTERS}]{{1,3}}=?[{LETTERS}]{{0,4}}\.?[{LETTERS}]{{0,3}}\d{{1,4}}"
+_LOOSE_NUMBER = rf"[{LETTERS}0-9=/.\-]{{4,25}}"
+TOKEN_LEAST, LINE_LEAST = 10, 8
+
+
+def _breadth(line):
+    value = F.regexp_extract(line, _BREADTH, 1)
+    return F.when(F.regexp_extract(line, _BREADTH, 2) != "", F.concat(value, F.lit("cm"))).otherwise(value)
+
+
+_MEASURES = {"L": lambda line: F.regexp_extract(line, _LENGTH, 1), "B": _breadth, "D": lambda line: F.regexp_extract(line, _DEPTH, 1)}
+
+
 def measures(lines: DataFrame, id_col: str) -> DataFrame:
     """(id, L, B, D, used): labelled numbers, the first of each, then ``a x b x c`` for those still empty."""
-    number = r"(\d+(?:,\d+)?)"
     line, able = F.col("line"), is_measurement(F.col("line"))
-    b = F.regexp_extract(line, rf"(?i)\bB\s*[:=]?\s*{number}(\s*cm)?", 1)
-    b = F.when(F.regexp_extract(line, rf"(?i)\bB\s*[:=]?\s*{number}(\s*cm)?", 2) != "", F.concat(b, F.lit("cm"))).otherwise(b)
-    found = {
-        "L": F.regexp_extract(line, rf"[£L]\s*[:=]?\s*{number}", 1),
-        "B": b,
-        "D": F.regexp_extract(line, rf"(?i)\b(?:D|T)\s*[:=]?\s*{number}", 1),
-    }
-    cross = rf"{number}\s*[xX×]\s*{number}\s*[xX×]\s*{number}"
+    found, cross = {k: v(line) for k, v in _MEASURES.items()}, _CROSS
     first = lambda value, ok: F.min(F.when(ok & (value != ""), F.struct(F.col("line_no"), value.alias("v"))))
     aggs = [first(v, able).alias(f"own_{k}") for k, v in found.items()]
     aggs += [F.min(F.when(line.rlike(cross), F.struct("line_no", *[F.regexp_extract(line, cross, i + 1).alias(k) for i, k in enumerate(found)]))).alias("cross")]
@@ -233,62 +258,136 @@ def line_score(line):
     return F.when(F.length(line).between(3, 35), score).otherwise(-999)
 
 
+def _number_tokens(line):
+    """Different tokens of a line that may be its number, in order."""
+    packed = F.replace(F.trim(line), F.lit(" "), F.lit(""))
+    hits = F.regexp_extract_all(packed, F.lit(_NUMBER), F.lit(0))
+    loose = F.filter(F.regexp_extract_all(packed, F.lit(_LOOSE_NUMBER), F.lit(0)), lambda t: t.rlike(f"[{LETTERS}]") & t.rlike(r"\d"))
+    return F.array_distinct(F.when(F.size(hits) > 0, hits).otherwise(loose))
+
+
 def inventory_number(lines: DataFrame, id_col: str, upto: int = 10) -> DataFrame:
     """(id, number, line_no): the best token of the first lines, else the best of the last ten lines."""
-    own = r"[L]{1,3}=?[L]{0,4}\.?[L]{0,3}\d{1,4}".replace("[L]", f"[{LETTERS}]")
     sized = lines.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(id_col)))
-    packed = F.replace(F.trim("line"), F.lit(" "), F.lit(""))
-    hits = F.regexp_extract_all(packed, F.lit(own), F.lit(0))
-    loose = F.filter(F.regexp_extract_all(packed, F.lit(rf"[{LETTERS}0-9=/.\-]{{4,25}}"), F.lit(0)), lambda t: t.rlike(f"[{LETTERS}]") & t.rlike(r"\d"))
-    tokens = F.array_distinct(F.when(F.size(hits) > 0, hits).otherwise(loose))
+    tokens = _number_tokens(F.col("line"))
     early = sized.where(F.col("line_no") < F.least("n", F.lit(upto))).select(id_col, "line_no", "n", F.posexplode(tokens).alias("pos", "token"))
     early = early.withColumn("score", token_score(F.col("token")) + F.least("n", F.lit(upto)) - F.col("line_no"))
     best = early.groupBy(id_col).agg(F.min(F.struct(-F.col("score"), "line_no", "pos", F.trim("token").alias("number"))).alias("a"))
     late = sized.where(F.col("line_no") >= F.col("n") - 10).withColumn("score", line_score(F.col("line")) + F.col("line_no"))
     last = late.groupBy(id_col).agg(F.min(F.struct(-F.col("score"), "line_no", F.trim("line").alias("number"))).alias("b"))
     joined = last.join(best, id_col, "left")
-    pick = F.when(-F.col("a.col1") >= 10, F.struct("a.number", "a.line_no")).when(-F.col("b.col1") >= 8, F.struct("b.number", "b.line_no"))
+    pick = F.when(-F.col("a.col1") >= TOKEN_LEAST, F.struct("a.number", "a.line_no")).when(-F.col("b.col1") >= LINE_LEAST, F.struct("b.number", "b.line_no"))
     return joined.select(id_col, pick.alias("p")).select(id_col, F.coalesce("p.number", F.lit("")).alias("number"), "p.line_no")
 
 
-def marker_value(lines: DataFrame, id_col: str, marker: str, stops: Sequence[str]) -> DataFrame:
-    """(id, value, line_no): what follows a marker in the first line that has it, up to the next stop marker."""
-    at = F.instr(F.lower("line"), marker.lower())
-    rest = F.substring("line", at + len(marker), F.length("line"))
+def _after_marker(line, marker: str, stops: Sequence[str]):
+    rest = F.substring(line, F.instr(F.lower(line), marker.lower()) + len(marker), F.length(line))
     for stop in stops:
         cut = F.instr(F.lower(rest), stop.lower())
         rest = F.when(cut > 0, F.substring(rest, F.lit(1), cut - 1)).otherwise(rest)
-    value = collapse_space(F.regexp_replace(rest, r"^[\s:;\-–—]+", ""))
+    return collapse_space(F.regexp_replace(rest, r"^[\s:;\-–—]+", ""))
+
+
+def marker_value(lines: DataFrame, id_col: str, marker: str, stops: Sequence[str]) -> DataFrame:
+    """(id, value, line_no): what follows a marker in the first line that has it, up to the next stop marker."""
+    at, value = F.instr(F.lower("line"), marker.lower()), _after_marker(F.col("line"), marker, stops)
     first = lines.where(at > 0).groupBy(id_col).agg(F.min(F.struct("line_no", value.alias("value"))).alias("m"))
     return first.select(id_col, "m.value", "m.line_no")
 
 
+def _once(value, then):
+    """``then`` of a column that is made once, as an element of an array."""
+    return F.transform(F.array(value), then)[0]
+
+
+def sheet_lines(text):
+    """The lines of an inventory sheet as one array: joined at hyphens, decimal commas, noise dropped.
+
+    A state goes over the lines: a line that ends with '-' waits for the next one, which it takes if that starts with a small
+    letter.
+    """
+    raw = F.filter(F.transform(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n"), collapse_space), lambda x: x != "")
+    none = F.lit(None).cast("string")
+    add = lambda lines, *more: F.concat(lines, F.array(*more))
+
+    def step(a, x):
+        waiting, takes = a["open"].isNotNull(), x.rlike("^[a-zäöüß]")
+        joined = F.substring(a["open"], F.lit(1), F.length(a["open"]) - 1)
+        ends = x.endswith("-")
+        return (
+            F.when(waiting & takes, F.struct(add(a["lines"], F.concat(joined, x)).alias("lines"), none.alias("open")))
+            .when(waiting & ends, F.struct(add(a["lines"], a["open"]).alias("lines"), x.alias("open")))
+            .when(waiting, F.struct(add(a["lines"], a["open"], x).alias("lines"), none.alias("open")))
+            .when(ends, F.struct(a["lines"].alias("lines"), x.alias("open")))
+            .otherwise(F.struct(add(a["lines"], x).alias("lines"), none.alias("open")))
+        )
+
+    start = F.struct(F.array().cast("array<string>").alias("lines"), none.alias("open"))
+    joined = F.aggregate(raw, start, step, lambda a: F.when(a["open"].isNull(), a["lines"]).otherwise(add(a["lines"], a["open"])))
+    return F.filter(F.transform(joined, decimal_comma), lambda x: ~is_noise(x))
+
+
+def _number_in(lines, upto: int = 10):
+    """(number, at) of the best token of the first lines, else of the best of the last ten lines; nulls if neither is good."""
+    n = F.size(lines)
+    until = F.least(n, F.lit(upto))
+    early = F.flatten(F.transform(F.slice(lines, 1, upto), lambda x, i: F.transform(_number_tokens(x), lambda t, p: F.struct((-(token_score(t) + until - i)).alias("less"), i.alias("at"), p.alias("pos"), F.trim(t).alias("number")))))
+    first = F.greatest(n - 10, F.lit(0))
+    late = F.transform(F.slice(lines, first + 1, F.lit(10)), lambda x, i: F.struct((-(line_score(x) + i + first)).alias("less"), (i + first).alias("at"), F.trim(x).alias("number")))
+    void = F.struct(F.lit(None).cast("string").alias("number"), F.lit(None).cast("int").alias("at"))
+    pick = lambda b: F.struct(b["number"].alias("number"), b["at"].alias("at"))
+    return _once(
+        F.struct(F.array_min(early).alias("early"), F.array_min(late).alias("late")),
+        lambda b: F.when(-b["early"]["less"] >= TOKEN_LEAST, pick(b["early"])).when(-b["late"]["less"] >= LINE_LEAST, pick(b["late"])).otherwise(void),
+    )
+
+
+def _first(lines, value, able=None):
+    """(v, at) of the first line that gives a value which isn't empty."""
+    found = F.transform(lines, lambda x, i: F.struct(i.alias("at"), (value(x) if able is None else F.when(able(x), value(x))).alias("v")))
+    return F.get(F.filter(found, lambda e: e["v"] != ""), F.lit(0))
+
+
+def _marked(lines, marker: str, stop: str):
+    """(v, at) of what follows a marker in the first line that has it."""
+    has = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda e: F.instr(F.lower(e["line"]), marker.lower()) > 0)
+    return F.get(F.transform(F.slice(has, 1, 1), lambda e: F.struct(e["at"].alias("at"), _after_marker(e["line"], marker, [stop]).alias("v"))), F.lit(0))
+
+
 def sheet_records(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, fields of the sheet): heading, number, measures and markers first; the object's name are up to two of the six
-    lines after the last marker that are still free, before any paragraph; the description is what is left."""
-    lines = clean_sheet_lines(docs, id_col, text_col)
-    number, sizes = inventory_number(lines, id_col), measures(lines, id_col)
-    place, time = marker_value(lines, id_col, "Fundort", ["Fundzeit"]), marker_value(lines, id_col, "Fundzeit", ["Fundort"])
-    heads = lines.where("line_no = 0").select(id_col, F.col("line").alias("heading"))
-    known = (
-        heads.join(number.withColumnRenamed("line_no", "number_at"), id_col, "left").join(sizes, id_col, "left")
-        .join(place.select(id_col, F.col("value").alias("place"), F.col("line_no").alias("place_at")), id_col, "left")
-        .join(time.select(id_col, F.col("value").alias("time"), F.col("line_no").alias("time_at")), id_col, "left")
-    )
-    taken = F.concat(F.array(F.lit(0)), F.coalesce("used", F.array()), F.array_compact(F.array("number_at", "place_at", "time_at")))
-    known = known.withColumn("taken", taken).withColumn("from", F.coalesce(F.col("time_at") + 1, F.col("place_at") + 1, F.lit(1)))
-    free = lines.join(known.select(id_col, "taken", "from"), id_col).where(~F.array_contains("taken", F.col("line_no")))
-    # up to two free lines in the window of six, none after a paragraph
-    inside = F.col("line_no").between(F.col("from"), F.col("from") + 5)
-    w = Window.partitionBy(id_col).orderBy("line_no")
-    free = free.withColumn("stop", F.max((inside & is_paragraph(F.col("line"))).cast("int")).over(w))
-    name = inside & (F.col("stop") == 0)
-    free = free.withColumn("is_name", name & (F.sum(F.when(name, 1).otherwise(0)).over(w) <= 2))
-    joined = lambda ok: collapse_space(_join(F.collect_list(F.when(ok, F.struct("line_no", F.col("line").alias("text"))))))
-    rest = free.groupBy(id_col).agg(joined(F.col("is_name")).alias("name"), joined(~F.col("is_name")).alias("description"))
-    out = known.join(rest, id_col, "left")
-    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    lines after the last marker that are still free, before any paragraph; the description is what is left.
+
+    Each sheet is one array of lines, over which everything is folded: no exchange, whatever the sheet's length. A sheet
+    without lines gives no row.
+    """
+    sheets = docs.select(id_col, sheet_lines(F.col(text_col)).alias("lines")).where(F.size("lines") > 0)
+    lines = F.col("lines")
+    own = {k: _first(lines, v, is_measurement) for k, v in _MEASURES.items()}
+    cross = F.get(F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), *[F.regexp_extract(x, _CROSS, j + 1).alias(k) for j, k in enumerate(own)])), lambda e: e["L"] != ""), F.lit(0))
+    found = sheets.select(id_col, "lines", _number_in(lines).alias("number"), *[x.alias(f"own_{k}") for k, x in own.items()], cross.alias("cross"), _marked(lines, "Fundort", "Fundzeit").alias("place"), _marked(lines, "Fundzeit", "Fundort").alias("time"))
+    lacking = F.col("own_L").isNull() | F.col("own_B").isNull() | F.col("own_D").isNull()
+    taken = F.array_compact(F.array(F.lit(0), "number.at", "place.at", "time.at", *[F.col(f"own_{k}.at") for k in own], F.when(lacking, F.col("cross.at"))))
+    known = found.withColumns({"taken": taken, "from": F.coalesce(F.col("time.at") + 1, F.col("place.at") + 1, F.lit(1))})
+
+    def step(a, e):
+        """Free lines in order: a name until two are found, a paragraph ends that, or the window does; else description."""
+        inside = e["at"].between(F.col("from"), F.col("from") + 5)
+        ends = inside & is_paragraph(e["line"])
+        name = inside & ~a["over"] & ~ends & (F.size(a["name"]) < 2)
+        return F.struct(
+            F.when(name, F.concat(a["name"], F.array(e["line"]))).otherwise(a["name"]).alias("name"),
+            F.when(name, a["rest"]).otherwise(F.concat(a["rest"], F.array(e["line"]))).alias("rest"),
+            (a["over"] | ends).alias("over"),
+        )
+
+    free = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda e: ~F.array_contains("taken", e["at"]))
+    none = F.array().cast("array<string>")
+    out = known.withColumn("folded", F.aggregate(free, F.struct(none.alias("name"), none.alias("rest"), F.lit(False).alias("over")), step))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    size = lambda k: blank(F.coalesce(F.col(f"own_{k}.v"), F.col(f"cross.{k}")))
     return out.select(
-        id_col, F.col("heading"), blank("number").alias("number"), blank("L").alias("size_l"), blank("B").alias("size_b"), blank("D").alias("size_d"),
-        blank("name").alias("object_name"), blank("place").alias("place"), blank("time").alias("time"), blank("description").alias("description"),
+        id_col, lines[0].alias("heading"), blank(F.col("number.number")).alias("number"), size("L").alias("size_l"), size("B").alias("size_b"), size("D").alias("size_d"),
+        collapse_space(F.array_join("folded.name", " ")).alias("object_name"), blank(F.col("place.v")).alias("place"), blank(F.col("time.v")).alias("time"),
+        collapse_space(F.array_join("folded.rest", " ")).alias("description"),
     )

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsontext import extract_object, is_object, member, sorted_string, strict_object
+from ..functions.jsontext import extract_object, is_object, member, parsed, sorted_string, strict_object
 from ..functions.text import strip
 from ..registry import GT_DICT_KEYS, GT_STRING_KEYS, PRED_DICT_KEYS, PRED_STRING_KEYS
 
@@ -32,8 +32,7 @@ def resolve_string(row: Column, keys: Sequence[str]) -> Column:
 def resolve_rows(lines: DataFrame, raw: str = "raw") -> DataFrame:
     """Lines with ``pred_json``, ``pred_str``, ``gt_json`` and ``gt_str``, whatever key names they use."""
     row = F.col("__row")
-    parsed = lines.withColumn("__row", F.try_parse_json(F.col(raw)))
-    return parsed.select(
+    return lines.withColumn("__row", parsed(F.col(raw))).select(
         *lines.columns,
         sorted_string(resolve_dict(row, PRED_DICT_KEYS, PRED_STRING_KEYS)).alias("pred_json"),
         resolve_string(row, PRED_STRING_KEYS).alias("pred_str"),

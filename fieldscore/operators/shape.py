@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsontext import is_list, is_object, items, leaf_string, members, strict_object
+from ..functions.jsontext import is_list, is_number, is_object, items, last_of_each, leaf_string, members, number_text, shown_leaf, strict_object
 from ..functions.text import strip
 from ..registry import schema_fields
 
@@ -16,7 +16,8 @@ def leaves(rows: DataFrame, id_cols: Sequence[str], json_col: str, open_lists: b
     """(ids, position, path, value, items): one row for each leaf of an object of any depth, numbered in the order of the text.
 
     An empty object has no leaf. A list is a leaf with its ``items`` as texts; with ``open_lists`` its items are leaves
-    under their number instead. Text that isn't one JSON object gives no rows. All levels are opened within the row, as
+    under their number instead. Text that isn't one JSON object gives no rows. Where a key with dots makes the path of another
+    leaf, the later one counts. Numbers are shown as Python shows them. All levels are opened within the row, as
     often as it has brackets or until nothing is left to open, so the table is read once.
     """
     text, root = F.col(json_col), strict_object(F.col(json_col))
@@ -40,9 +41,9 @@ def leaves(rows: DataFrame, id_cols: Sequence[str], json_col: str, open_lists: b
         )
 
     done = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), brackets)), start, level)["nodes"]
-    made = rows.where(root.isNotNull()).select(*id_cols, F.posexplode(done).alias("position", "n"))
+    made = rows.where(root.isNotNull()).select(*id_cols, F.posexplode(last_of_each(done, "path")).alias("position", "n"))
     of_list = F.when(is_list(F.col("n.v")), F.transform(items(F.col("n.text")), lambda e: leaf_string(e["v"])))
-    return made.select(*id_cols, "position", F.col("n.path").alias("path"), leaf_string(F.col("n.v")).alias("value"), of_list.alias("items"))
+    return made.select(*id_cols, "position", F.col("n.path").alias("path"), shown_leaf(F.col("n.v"), F.col("n.text")).alias("value"), of_list.alias("items"))
 
 
 def flatten(rows: DataFrame, id_cols: Sequence[str], json_col: str) -> DataFrame:
@@ -51,13 +52,24 @@ def flatten(rows: DataFrame, id_cols: Sequence[str], json_col: str) -> DataFrame
 
 
 def flatten_typed(rows: DataFrame, id_cols: Sequence[str], json_col: str, paths: Sequence[str]) -> DataFrame:
-    """The same for a known template: its paths are read in one pass, without opening levels; absent paths give no row."""
+    """The same for a known template: its paths are read in one pass, without opening levels; absent paths give no row.
+
+    A path with dots is looked up level by level, then as one key of the top level.
+    """
     v = strict_object(F.col(json_col))
-    at = lambda p: "$" + "".join(f'["{x}"]' for x in p.split("."))
-    made = rows.select(*id_cols, v.alias("v")).where("v IS NOT NULL")
-    leaf = F.array(*[F.struct(F.lit(p).alias("path"), F.try_variant_get("v", at(p), "variant").alias("leaf")) for p in paths])
-    out = made.select(*id_cols, F.explode(leaf).alias("x")).where("x.leaf IS NOT NULL")
-    return out.select(*id_cols, F.col("x.path").alias("path"), leaf_string(F.col("x.leaf")).alias("value"))
+    at = lambda p, mark: "$" + "".join(f"[{mark}{x}{mark}]" for x in p.split("."))
+
+    def leaf(p: str) -> Column:
+        both = lambda mark: dict.fromkeys([at(p, mark), f"$[{mark}{p}{mark}]"])
+        found = [F.try_variant_get("v", x, "variant") for x in both('"')]
+        texts = [F.get_json_object("text", x) for x in both("'")]
+        own = F.coalesce(*found)
+        fraction = is_number(own) & (F.schema_of_variant(own) != "BIGINT")
+        return F.struct(F.lit(p).alias("path"), own.alias("leaf"), F.when(fraction, F.coalesce(*texts)).alias("number"))
+
+    made = rows.select(*id_cols, v.alias("v"), F.col(json_col).alias("text")).where("v IS NOT NULL")
+    out = made.select(*id_cols, F.explode(F.array(*map(leaf, paths))).alias("x")).where("x.leaf IS NOT NULL")
+    return out.select(*id_cols, F.col("x.path").alias("path"), F.when(F.col("x.number").isNotNull(), number_text(F.col("x.number"))).otherwise(leaf_string(F.col("x.leaf"))).alias("value"))
 
 
 def conform(long: DataFrame, id_cols: Sequence[str], fields: Sequence[str]) -> DataFrame:

@@ -96,14 +96,8 @@ def q_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.measures(lines, "doc_id").withColumn("used", F.array_join("used", ","))
 
 
-@query("SELECT p_partkey AS doc_id, concat(CASE p_partkey % 3 WHEN 0 THEN 'J=ab' WHEN 1 THEN 'Kq.' ELSE 'x' END, 1000 + p_partkey % 9000) AS number, 1 AS line_no FROM part WHERE p_partkey % 3 < 2")
-def q_inventory_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = layout.clean_sheet_lines(fixture(spark, sf_dir, "sheets").where("doc_id % 3 < 2"), "doc_id", "text")
-    return layout.inventory_number(lines, "doc_id")
-
-
 @query("SELECT p_partkey AS doc_id, concat(CASE p_partkey % 3 WHEN 0 THEN 'J=ab' WHEN 1 THEN 'Kq.' ELSE 'x' END, 1000 + p_partkey % 9000) AS number, 1 AS line_no FROM part")
-def q_inventory_number_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_inventory_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sheet, also those whose number is found by the fallback."""
     lines = layout.clean_sheet_lines(fixture(spark, sf_dir, "sheets"), "doc_id", "text")
     return layout.inventory_number(lines, "doc_id")
@@ -115,21 +109,12 @@ def q_marker_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.marker_value(lines, "doc_id", "Fundort", ["Fundzeit"])
 
 
-@query("""SELECT p_partkey AS doc_id, p_name AS heading, concat(CASE p_partkey % 3 WHEN 0 THEN 'J=ab' ELSE 'Kq.' END, 1000 + p_partkey % 9000) AS number,
-    CASE p_partkey % 4 WHEN 0 THEN '4,3' WHEN 1 THEN '3,0' WHEN 2 THEN '5,5' ELSE '' END AS size_l, CASE p_partkey % 4 WHEN 0 THEN '2,1' WHEN 1 THEN '2,0' WHEN 2 THEN '' ELSE '7cm' END AS size_b,
-    CASE p_partkey % 4 WHEN 0 THEN '0,7' WHEN 1 THEN '1,0' ELSE '' END AS size_d, concat(lower(p_type), ' scheibe klein ', p_brand) AS object_name,
-    CASE WHEN p_partkey % 2 = 0 THEN 'Halde' ELSE p_brand END AS place, CASE WHEN p_partkey % 2 = 0 THEN '1890' ELSE '' END AS time,
-    concat('eine lange Beschreibung mit vielen Worten steht hier auf einer einzigen Zeile, die kein Ende hat. Rest ', p_name) AS description FROM part WHERE p_partkey % 3 < 2""")
-def q_sheet_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.sheet_records(fixture(spark, sf_dir, "sheets").where("doc_id % 3 < 2"), "doc_id", "text")
-
-
 @query("""SELECT p_partkey AS doc_id, p_name AS heading, concat(CASE p_partkey % 3 WHEN 0 THEN 'J=ab' WHEN 1 THEN 'Kq.' ELSE 'x' END, 1000 + p_partkey % 9000) AS number,
     CASE p_partkey % 4 WHEN 0 THEN '4,3' WHEN 1 THEN '3,0' WHEN 2 THEN '5,5' ELSE '' END AS size_l, CASE p_partkey % 4 WHEN 0 THEN '2,1' WHEN 1 THEN '2,0' WHEN 2 THEN '' ELSE '7cm' END AS size_b,
     CASE p_partkey % 4 WHEN 0 THEN '0,7' WHEN 1 THEN '1,0' ELSE '' END AS size_d, concat(lower(p_type), ' scheibe klein ', p_brand) AS object_name,
     CASE WHEN p_partkey % 2 = 0 THEN 'Halde' ELSE p_brand END AS place, CASE WHEN p_partkey % 2 = 0 THEN '1890' ELSE '' END AS time,
     concat('eine lange Beschreibung mit vielen Worten steht hier auf einer einzigen Zeile, die kein Ende hat. Rest ', p_name) AS description FROM part""")
-def q_sheet_records_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_sheet_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sheet."""
     return layout.sheet_records(fixture(spark, sf_dir, "sheets"), "doc_id", "text")
 
@@ -152,29 +137,23 @@ def q_segment_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.fields_by_line(layout.text_lines(fixture(spark, sf_dir, "cards"), "doc_id", "text"), "doc_id")
 
 
-@query("""WITH c AS (SELECT *, CASE p_partkey % 3 WHEN 0 THEN 'J=ab' WHEN 1 THEN 'Kq.' ELSE 'Zz/' END || p_partkey AS inv FROM part)
-    SELECT p_partkey AS doc_id, 'Inv.Nr' AS key, inv AS value FROM c UNION ALL SELECT p_partkey, 'Herkunft', 'Fundus Gewicht: 12 g' FROM c WHERE p_partkey % 4 > 0
-    UNION ALL SELECT p_partkey, 'Beschreibung', p_name || ' glatt' FROM c WHERE p_partkey % 5 = 0 UNION ALL SELECT p_partkey, 'Literatur', 'keine' FROM c WHERE p_partkey % 5 > 0""")
-def q_segment_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = layout.fields_by_header(layout.text_lines(fixture(spark, sf_dir, "cards"), "doc_id", "text"), "doc_id")
-    return fields.where("key IN ('Inv.Nr', 'Herkunft', 'Beschreibung', 'Literatur')")
-
-
 @query("""WITH c AS (SELECT *, CASE p_partkey % 3 WHEN 0 THEN 'J=ab' WHEN 1 THEN 'Kq.' ELSE 'Zz/' END || p_partkey AS inv FROM part)
     SELECT p_partkey AS doc_id, 'Inv.Nr' AS key, inv AS value FROM c UNION ALL SELECT p_partkey, 'Herkunft', 'Fundus Gewicht: 12 g' FROM c WHERE p_partkey % 4 > 0
     UNION ALL SELECT p_partkey, 'Beschreibung', p_name || ' glatt' FROM c WHERE p_partkey % 5 = 0 UNION ALL SELECT p_partkey, 'Literatur', 'keine' FROM c WHERE p_partkey % 5 > 0
     UNION ALL SELECT p_partkey, 'Gegenstand', p_name FROM c UNION ALL SELECT p_partkey, 'Material', lower(p_type) || CASE WHEN p_partkey % 2 = 0 THEN ' , gold' ELSE ',silber' END || ' und ' || lower(p_brand) FROM c
     UNION ALL SELECT p_partkey, 'Preis', p_size || ' DM Wert unklar' FROM c WHERE p_partkey % 4 = 0""")
-def q_segment_header_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_segment_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every field that is found."""
     return layout.fields_by_header(layout.text_lines(fixture(spark, sf_dir, "cards"), "doc_id", "text"), "doc_id")
 
 
-@query("SELECT p_partkey AS doc_id, concat('inv nr | Foto Nr ', p_partkey, ' | Vers.-Wert 3') AS text, 'Foto Notes' AS key FROM part")
+@query(f"""WITH t AS (SELECT doc_id, regexp_replace(replace(text, 'Inv. Nr.', 'Inv.Nr'), 'Inv Nr:', 'Inv Nr:') AS text FROM {duck('cards')}),
+    l AS (SELECT doc_id, text, string_split(text, chr(10))[2] AS line FROM t)
+    SELECT doc_id, text, 'Inv.Nr' AS key FROM l""")
 def q_label_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = fixture(spark, sf_dir, "cards")
-    raw = F.concat(F.lit("inv nr  |\tFoto   Nr. "), F.col("doc_id").cast("string"), F.lit(" | Vers. — Wert 3"))
-    return cards.select("doc_id", T.clean_labels(raw).alias("text"), layout.canonical(F.lit(" FOTO nr : ")).alias("key"))
+    text = T.clean_labels(F.col("text"))
+    label = F.regexp_extract(text, r"\n(Inv[^:]*):", 1)
+    return fixture(spark, sf_dir, "cards").select("doc_id", text.alias("text"), layout.canonical(label).alias("key"))
 
 
 _BOXES = f"""b AS (SELECT doc_id, i AS det_id, word AS text, x, y, h FROM {duck('words')} WHERE conf IS NULL OR conf >= 30),
@@ -214,19 +193,10 @@ def q_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.box_edges(layout.detections(raw, "doc_id")).drop("bbox")
 
 
-for _name in ("q_reading_order", "q_page_text", "q_detections"):  # their names of old
-    QUERIES[f"{_name}_all"] = QUERIES[_name]
-    ORACLE[f"{_name}_all"] = ORACLE[_name]
-
-
 @query("SELECT n, CAST(row_number() OVER (ORDER BY CAST(regexp_extract(n, '([0-9]+)', 1) AS BIGINT), n) AS INTEGER) AS place FROM (SELECT concat('img', s_suppkey % 50, '_', s_nationkey, '_', s_suppkey) AS n FROM supplier)")
 def q_natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     names = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("img"), (F.col("s_suppkey") % 50).cast("string"), F.lit("_"), F.col("s_nationkey").cast("string"), F.lit("_"), F.col("s_suppkey").cast("string")).alias("n"))
-    ordered = layout.natural_order(names, "n")
-    number = F.regexp_extract("n", r"(\d+)", 1).cast("long")
-    return ordered.withColumn("place", F.row_number().over(Window.orderBy(number, "n")))
+    return layout.natural_order(names, "n")
 
 
 @query("""WITH w AS (SELECT doc_id, string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9 ]', '', 'g'), ' ') AS w FROM documents),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.jsontext import strict_object
+from ..functions.jsontext import parsed, strict_object
 from ..functions.text import strip
 
 
@@ -22,7 +22,7 @@ def read_jsonl(spark: SparkSession, path: str, mode: str = "failfast") -> DataFr
 
 def good_and_bad(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows that parsed, (raw, reason) of the others) of a permissive read."""
-    reason = F.when(F.try_parse_json("raw").isNull(), "not JSON").otherwise("not one object")
+    reason = F.when(parsed(F.col("raw")).isNull(), "not JSON").otherwise("not one object")
     return rows.where("row IS NOT NULL"), rows.where("row IS NULL").select("raw", reason.alias("reason"))
 
 

@@ -1,6 +1,7 @@
 """Scalars: the rules written out on hand-made rows, and properties of the distances."""
 
 import itertools
+import json
 import random
 
 import numpy as np
@@ -20,8 +21,19 @@ def column(spark, values, make, kind="string"):
 
 
 def test_strict_object(spark):
-    texts = ['{"a":1}', " {} ", '{"a":1} more', "[1]", '"x"', "", None, '{"a":1},{"b":2}', '{"a":{"b":null}}', "1", '{"a":NaN}', '{"a":1,"a":2}']
-    assert column(spark, texts, lambda c: J.strict_object(c).isNotNull()) == [True, True, False, False, False, False, False, False, True, False, False, False]
+    good = ['{"a":1}', " {} ", '{"a":{"b":null}}', '{"a":1,"a":2}', '{"a":"]}"}', ' {"a":{"b":[1,{"c":"\\"]"}]}} ', '{"a":"[","b":"\\\\"}', '{"a":"' + 'x\\"' * 20000 + '"}']
+    bad = ['{"a":1} more', "[1]", '"x"', "", None, '{"a":1},{"b":2}', "1", '{"a":NaN}', '{"a":1}] trailing', '{"a":1}],[{"b":2}', '{"a":1}]', '{"a":[1,2}]', '{"a":"x"}] and "then', '{"a":1}}', '[{"a":1}]']
+    assert column(spark, good + bad, lambda c: J.strict_object(c).isNotNull()) == [True] * len(good) + [False] * len(bad)
+    for t in good:
+        assert isinstance(json.loads(t), dict)
+    assert column(spark, ['{"a":1,"b":3,"a":2}'], lambda c: F.to_json(J.strict_object(c))) == ['{"a":2,"b":3}']
+    # a repeated key stands where it came first, with its last value
+    assert column(spark, ['{"a":1,"b":{"c":1,"c":"x"},"a":2}'], J.ordered_string) == ['{"a":2,"b":{"c":1,"c":"x"}}']
+
+
+def test_numbers_as_python_shows_them(spark):
+    texts = ["1.0", "1e5", "0.00001", "0.0001", "-0", "1e16", "123456789.5", "1.5e300", "12", "1e15", "-2.5e-7", "0.1", "-0.0", "1234567890123456789012", "9007199254740993.0", "1e22", "5e-324", "1E400", "-1E400"]
+    assert column(spark, texts, J.number_text) == [str(json.loads(t)) for t in texts]
 
 
 @pytest.mark.parametrize(("mode", "text", "found"), [

@@ -1,5 +1,7 @@
 """Operators on hand-made rows: the quirks that have to be kept."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +190,36 @@ def test_files_by_what_their_paths_contain(spark):
     out = align.resolve_files(spark.createDataFrame(names, "doc_id long, name string"), spark.createDataFrame([(p,) for p in paths], "path string"), "doc_id", "name")
     expected = {i: min((p for p in paths if n in p.lower()), default=None) for i, n in names}
     assert {r.doc_id: r.path for r in out.collect()} == {i: p for i, p in expected.items() if p}
+
+
+def test_detections_of_all_shapes(spark):
+    """Four points and more, boxes that are missing, arrays of different lengths, null arrays."""
+    box = lambda x: [[x, 0.0], [x + 1, 0.0], [x + 1, 1.0], [x, 1.0]]
+    rows = [(1, ["a", "b"], [0.5], [box(0.0), None, [*box(2.0), [9.0, 9.0]]], None), (2, None, None, None, [box(5.0)]), (3, ["t"], [0.1], [[[1.0, 2.0]]], None), (4, None, None, None, None)]
+    kind = "array<array<array<double>>>"
+    frame = spark.createDataFrame(rows, f"id int, rec_texts array<string>, rec_scores array<double>, rec_polys {kind}, dt_polys {kind}")
+    got = [tuple(r) for r in layout.detections(frame, "id").orderBy("id", "det_id").collect()]
+    assert got == [(1, 0, box(0.0), "a", 0.5), (1, 2, box(2.0), "", None), (2, 0, box(5.0), "", None)]
+    flat = spark.createDataFrame([(1, ["a", "b"], [0.5, None], [[0.0] * 8, [1.0] * 7])], "id int, rec_texts array<string>, rec_scores array<double>, rec_polys array<array<double>>")
+    assert [tuple(r) for r in layout.detections(flat, "id").collect()] == [(1, 0, [[0.0, 0.0]] * 4, "a", 0.5)]
+
+
+def test_paths_that_meet(spark):
+    """Of two leaves with one path the later counts, where the first stands; numbers are shown as Python does."""
+    text = '{"a.b":"x","a":{"b":"y","c":1.0},"k":1,"d":1e5,"k":2}'
+    frame = spark.createDataFrame([(1, text)], "id int, j string")
+    assert [(r.position, r.path, r.value) for r in shape.leaves(frame, ["id"], "j").orderBy("position").collect()] == [(0, "a.b", "y"), (1, "a.c", "1.0"), (2, "k", "2"), (3, "d", "100000.0")]
+    typed = {r.path: r.value for r in shape.flatten_typed(frame, ["id"], "j", ["a.b", "a.c", "d", "k", "none"]).collect()}
+    assert typed == {"a.b": "y", "a.c": "1.0", "d": "100000.0", "k": "2"}
+    same = metrics.overlap_counts(shape.flatten(frame, ["id"], "j"), shape.flatten(frame, ["id"], "j"), frame.select("id", F.lit(True).alias("valid")), "id")
+    assert {(r.tp, r.fp, r.fn) for r in same.collect()} == {(1, 0, 0)}
+
+
+def test_natural_order_in_ranges(spark):
+    names = [f"img{n % 17}_{n}" for n in range(300)] + ["none", "a", "x99999999999999999999"]
+    number = lambda n: int(m[0]) if (m := re.findall(r"\d+", n)) and int(m[0]) < 2**63 else -1
+    rows = layout.natural_order(spark.createDataFrame([(n,) for n in names], "n string").repartition(7), "n")
+    assert [r.n for r in rows.orderBy("place").collect()] == sorted(names, key=lambda n: (number(n), n))
+    assert sorted(r.place for r in rows.collect()) == list(range(1, len(names) + 1))
+    assert "SinglePartition" not in rows._jdf.queryExecution().toString()
+    assert layout.natural_order(spark.createDataFrame([], "n string"), "n").count() == 0

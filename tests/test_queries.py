@@ -57,10 +57,10 @@ def test_partitions_do_not_matter(spark):
 
 def test_every_sheet_and_field(spark):
     n = spark.read.parquet(f"{SF}/part.parquet").count()
-    numbers = {r.doc_id: r.number for r in queries()["q_inventory_number_all"](spark, SF).collect()}
+    numbers = {r.doc_id: r.number for r in queries()["q_inventory_number"](spark, SF).collect()}
     assert len(numbers) == n and numbers[2] == "x1002"
-    assert {r.doc_id: r.number for r in queries()["q_sheet_records_all"](spark, SF).collect()} == numbers
-    fields = queries()["q_segment_header_all"](spark, SF)
+    assert {r.doc_id: r.number for r in queries()["q_sheet_records"](spark, SF).collect()} == numbers
+    fields = queries()["q_segment_header"](spark, SF)
     assert {r.key: r["count"] for r in fields.where("key IN ('Gegenstand', 'Material', 'Preis')").groupBy("key").count().collect()} == {"Gegenstand": n, "Material": n, "Preis": n // 4}
 
 
