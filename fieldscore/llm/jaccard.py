@@ -44,6 +44,9 @@ TILE_BYTES = 16 << 20
 MATCH_ROWS = 2_000_000
 #: Leaders of a group that needs several tiles.
 LEADERS = 64
+#: Tables with a row for each large group, or a few for each of its sizes, are sent to every task up to this many rows, so
+#: that the rows of a group needn't meet to learn them; beyond it Spark joins them and splits what is skewed.
+BROADCAST_ROWS = 500_000
 
 
 def _grams(code: np.ndarray, doc: np.ndarray, n: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,16 +222,21 @@ def _candidates(docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFra
         yield rows_of(1, which, grams=packed(gram), nodes=packed(node))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held, n_held = np.zeros(0, np.uint64), [], 0
+        seen, held, n_held, n_rows = np.zeros(0, np.uint64), [], 0, 0
         for batch in batches:
             for at, owner, gram, rows in shingle_sets(batch.column(1), n):
                 size, node = set_codes(owner, gram, rows)
-                yield rows_of(0, node % np.uint64(parts), x=signed(node), y=size, id=batch.column(0).slice(at, rows), text_hash=batch.column(2).slice(at, rows))
+                # rows are dealt by their place, so that equal texts don't meet
+                dealt = mix(np.arange(n_rows, n_rows + rows).astype(np.uint64)) % np.uint64(parts)
+                n_rows += rows
+                yield rows_of(0, dealt, x=signed(node), y=size, id=batch.column(0).slice(at, rows), text_hash=batch.column(2).slice(at, rows))
                 # a set that this task has had brings nothing new
                 first = np.zeros(rows, bool)
                 first[np.unique(node, return_index=True)[1]] = True
-                first &= ~np.isin(node, seen) & (size > 0)
-                seen = np.concatenate([seen, node[first]]) if len(seen) < MATCH_ROWS else node[first]
+                at_seen = np.searchsorted(seen, node)
+                first &= (seen[np.minimum(at_seen, len(seen) - 1)] != node if len(seen) else True) & (size > 0)
+                new = np.sort(node[first])
+                seen = np.insert(seen, np.searchsorted(seen, new), new) if len(seen) < MATCH_ROWS else new
                 mine = first[owner]
                 doc, digest = block_digests(owner[mine], gram[mine], shared.value, rows, similarity)
                 held.append((digest, node[doc]))
@@ -307,6 +315,11 @@ def _spanning(pairs: np.ndarray, n: int) -> np.ndarray:
     return pairs[keep]
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """The staged table, sent to every task if it has few rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _cells_by_size(members: DataFrame, groups: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """(x, cell, right) of the rows of groups with several tiles.
 
@@ -318,8 +331,8 @@ def _cells_by_size(members: DataFrame, groups: DataFrame, similarity: tuple[int,
     rows = members.join(groups, "grp").withColumn("k", k)
     tiles = F.greatest(F.ceil(F.count(F.lit(1)) / TILE_ROWS), F.ceil(F.sum("y") * 8 / TILE_BYTES)).cast("int")
     parts = stage(rows.groupBy("grp", "k", "main").agg(tiles.alias("tiles")))
-    mine = rows.join(parts, ["grp", "k", "main"]).withColumn("tile", F.pmod(F.xxhash64("x"), F.col("tiles")).cast("int")).drop("tiles")
-    other = parts.select("grp", F.col("k").alias("k2"), F.col("main").alias("main2"), "tiles")
+    mine = rows.join(_small(parts), ["grp", "k", "main"]).withColumn("tile", F.pmod(F.xxhash64("x"), F.col("tiles")).cast("int")).drop("tiles")
+    other = _small(parts).select("grp", F.col("k").alias("k2"), F.col("main").alias("main2"), "tiles")
     met = (
         mine.withColumn("k2", F.explode(F.array(*[F.col("k") + d for d in (-1, 0, 1)]))).join(other, ["grp", "k2"]).where("NOT (main AND main2)")
         .withColumn("tile2", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -387,25 +400,26 @@ def _product(docs: DataFrame, groups: DataFrame, sets: DataFrame, n: int, simila
     large = F.when((F.count(F.lit(1)) > TILE_ROWS) | (F.sum("y") * 8 > TILE_BYTES), F.greatest(F.ceil(F.count(F.lit(1)) / TILE_ROWS), F.ceil(F.sum("y") * 8 / TILE_BYTES)))
     sized = stage(members.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), large.cast("int").alias("tiles")))
     one_tile = members.join(sized.where("tiles IS NULL").select("grp"), "grp").select("x", "id", "text_hash", F.col("grp").alias("cell"), F.lit(False).alias("right"))
-    several = sized.where("tiles IS NOT NULL")
+    several = stage(sized.where("tiles IS NOT NULL"))
     if several.isEmpty():
         return _multiply(docs, one_tile, n, similarity)
 
     # every tile of a large group meets the group's leaders
-    rows = members.join(several, "grp")
+    rows = members.join(_small(several), "grp")
     leads = F.pmod(F.xxhash64("x", F.lit("lead")), F.ceil(F.col("rows") / LEADERS)) == 0
     tiled = rows.withColumn("leads", leads).withColumn("tile", F.when(F.col("leads"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(F.pmod(F.xxhash64("x"), F.col("tiles")).cast("int"))))
     met = tiled.withColumn("tile", F.explode("tile")).select("x", "id", "text_hash", F.xxhash64("grp", "tile", F.lit("lead")).alias("cell"), (~F.col("leads")).alias("right"))
     first = _multiply(docs, met.unionByName(one_tile), n, similarity)
     joined = components(first).select(F.col("node").alias("x"), "label")
     # the label that most rows of a group have
-    counts = members.join(several.select("grp"), "grp").join(joined, "x").groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
-    most = counts.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+    in_large = members.join(_small(several.select("grp")), "grp")
+    counts = in_large.join(joined, "x").groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = stage(counts.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("most")))
     marked = stage(
-        members.join(several.select("grp"), "grp").join(joined, "x", "left").join(most, "grp", "left")
+        in_large.join(joined, "x", "left").join(_small(most), "grp", "left")
         .select("x", "y", "id", "text_hash", "grp", F.coalesce(F.col("label") == F.col("most"), F.lit(False)).alias("main"))
     )
-    second = _multiply(docs, _cells_by_size(marked, several.select("grp"), similarity), n, similarity)
+    second = _multiply(docs, _cells_by_size(marked, _small(several.select("grp")), similarity), n, similarity)
     return first.unionByName(second)
 
 
@@ -426,7 +440,10 @@ def link_documents(
     named = smallest.join(merged.withColumnRenamed("node", "x"), "x", "left").select("x", F.coalesce("label", "x").alias("label"), "id")
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
     final = named.join(least, "label").select(F.col("x").alias("__x"), "component_id", F.col("label").alias("component_key"))
-    out = sets.join(final, (sets["x"] == final["__x"]) & (sets["y"] > 0), "left")
+    # rows without shingles have one set and nothing to learn, so they take no part in the join
+    void = sets.where("y = 0").withColumns({"component_id": F.lit(None).cast("long"), "component_key": F.lit(None).cast("long")})
+    linked = sets.where("y > 0").withColumnRenamed("x", "__x").join(final, "__x", "left").withColumnRenamed("__x", "x")
+    out = linked.select(*void.columns).unionByName(void)
     return out.select(
         F.col("id").alias(id_col), F.col("y").alias("n_shingles"),
         F.when(F.col("y") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
