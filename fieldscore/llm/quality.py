@@ -6,8 +6,10 @@ documents that it is sure of for the other: the other counts its tokens over the
 takes the tokens' log-odds of "good" (their mean and least value in a document) into its next fit. Both views are
 calibrated on labelled rows kept aside, combined by a logistic model on yet other rows, and applied to every document.
 
-``labelled_rows`` bounds the labelled sample (those with the smallest hash of their id). The vocabulary is counted over
-all documents: the ``vocabulary`` most frequent tokens of each view that at least MIN_ROWS documents hold.
+``labelled_rows`` bounds the labelled sample (those with the smallest hash of their id). Every token counts, in fitting and
+in scoring: a view's weights are a table of 2 ** SLOT_BITS places that tokens are hashed to, so its size doesn't follow the
+data; tokens that share a place share a weight. Of each kind of label three of five rows fit, one calibrates, one combines;
+a step without rows of both kinds keeps its default (log-odds as they are, their sum).
 
 Cases: a label row with a null takes no part; a document with several labels is bad if one says so; repeated
 document rows are each scored, and each may pass on its label; a row without an id is unlabelled; a null or empty text has only its shape as content, null metadata is a value of
@@ -34,17 +36,15 @@ LABELLED_ROWS = 10_000
 ROUNDS = 2
 SURE = 0.97
 THRESHOLD = 0.5
-VOCABULARY = 20_000
-#: Documents that a token has to stand in, by view, whatever the size of the input.
-MIN_ROWS = (3, 1)
+#: Places of the tokens' weights, as a power of two; 16 fit into two bytes.
+SLOT_BITS = 16
+SLOTS = 1 << SLOT_BITS
 PENALTY = 0.002
 #: How strongly the weights of told log-odds are held at what they start with.
 PULL = 0.01
 FOLDS = 5  # of the labelled sample: one for calibration, one for combination, the others for fitting
 VIEWS = ("content", "metadata")
 RESULTS = ("content_score", "metadata_score", "quality_score", "accepted")
-#: Tokens that a task counts together.
-COUNT_TOKENS = 2_000_000
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -104,14 +104,11 @@ def metadata_tokens(columns: list[pa.Array], size: pa.Array | None) -> tuple[np.
 
 
 class Lists:
-    """The known tokens of some rows: sorted places in the vocabulary, row after row."""
-
-    def __init__(self, row: np.ndarray, token: np.ndarray, rows: int, vocabulary: np.ndarray):
-        at = np.searchsorted(vocabulary, token)
-        at[at == len(vocabulary)] = 0
-        known = vocabulary[at] == token if len(vocabulary) else np.zeros(len(token), bool)
-        key = np.unique(row[known] * max(1, len(vocabulary)) + at[known])
-        row, self.index = np.divmod(key, max(1, len(vocabulary)))
+    """The tokens of some rows: their sorted places in the table of weights, row after row."""
+
+    def __init__(self, row: np.ndarray, token: np.ndarray, rows: int):
+        key = np.unique(row << SLOT_BITS | (token >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
+        row, self.index = key >> SLOT_BITS, key & (SLOTS - 1)
         self.ends = np.cumsum(np.bincount(row, minlength=rows))
         self.rows = rows
 
@@ -119,7 +116,7 @@ class Lists:
     def of(cls, column: pa.Array) -> Lists:
         """From a column of lists."""
         self = cls.__new__(cls)
-        self.index, self.rows = column.flatten().to_numpy().astype(np.int64), len(column)
+        self.index, self.rows = column.flatten().to_numpy().view(np.uint16).astype(np.int64), len(column)
         self.ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         return self
 
@@ -128,7 +125,7 @@ class Lists:
         return np.repeat(np.arange(self.rows), np.diff(np.append(0, self.ends)))
 
     def arrow(self) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.append(0, self.ends).astype(np.int32)), pa.array(self.index.astype(np.int32)))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, self.ends).astype(np.int32)), pa.array(self.index.astype(np.uint16).view(np.int16)))
 
     def numbers(self, odds: np.ndarray) -> np.ndarray:
         """The mean and the least log-odds of the tokens of each row; 0 for a row without known tokens."""
@@ -234,7 +231,7 @@ def _told(free: DataFrame, models: list[Model], sure: float) -> list[np.ndarray]
     """Each view's log-odds of "good" for its tokens, counted over all unlabelled documents that the other view is sure of."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a number for each token of the bounded vocabularies, and the documents at the end
+        # a number for each place of the tables, and the documents at the end
         sums = [np.zeros((2, len(m.weight) + 1), np.int64) for m in models]
         for batch in batches:
             lists = [Lists.of(batch.column(i)) for i in range(2)]
@@ -248,7 +245,7 @@ def _told(free: DataFrame, models: list[Model], sure: float) -> list[np.ndarray]
             yield arrow_rows(view=np.full(len(some), i, np.int32), token=some, bad=x[0, some], good=x[1, some])
 
     made = free.select(*VIEWS).mapInArrow(count, "view int, token long, bad long, good long")
-    sums = made.groupBy("view", "token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas()  # no more rows than tokens
+    sums = made.groupBy("view", "token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas()  # a row for each place at most
     out = []
     for i, model in enumerate(models):
         own = sums[sums["view"] == i]
@@ -263,7 +260,7 @@ def _told(free: DataFrame, models: list[Model], sure: float) -> list[np.ndarray]
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source"),
     size_col: str | None = "n_chars", labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS,
-    sure: float = SURE, threshold: float = THRESHOLD, vocabulary: int = VOCABULARY,
+    sure: float = SURE, threshold: float = THRESHOLD,
 ) -> DataFrame:
     """The documents with both calibrated scores, the combined one, and ``accepted``.
 
@@ -289,39 +286,9 @@ def classify(
         .groupBy(F.col(id_col).alias("known_id")).agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("good"))
     )
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[list, list]] = [([], []), ([], [])]
-        n = 0
-        for batch in batches:
-            for _, _, views in views_of(batch.columns):
-                for (tokens, counts), (row, token) in zip(held, views, strict=True):
-                    own, times = np.unique(token[_first_of_pair(row, token)], return_counts=True)
-                    tokens.append(own)
-                    counts.append(times)
-                    n += len(own)
-            if n >= COUNT_TOKENS:
-                yield from settle(held)
-                held, n = [([], []), ([], [])], 0
-        if n:
-            yield from settle(held)
-
-    def settle(held: list) -> Iterator[pa.RecordBatch]:
-        for view, (tokens, counts) in enumerate(held):
-            if tokens:
-                own, which = np.unique(np.concatenate(tokens), return_inverse=True)
-                times = np.bincount(which, weights=np.concatenate(counts)).astype(np.int64)
-                yield arrow_rows(view=np.full(len(own), view, np.int32), token=signed(own), n=times)
-
-    counted = base.drop("id").mapInArrow(count, "view int, token long, n long").groupBy("view", "token").agg(F.sum("n").alias("n"))
-    counted = stage(counted.where(F.col("n") >= F.when(F.col("view") == 0, MIN_ROWS[0]).otherwise(MIN_ROWS[1])))
-    vocabularies = []
-    for view in range(2):  # a bounded number of tokens
-        top = counted.where(F.col("view") == view).orderBy(F.desc("n"), "token").select("token").limit(vocabulary).toPandas()["token"]
-        vocabularies.append(np.sort(top.to_numpy(np.int64).view(np.uint64)))
-
     def lists_of(columns: list[pa.Array]) -> Iterator[tuple[int, int, list[Lists]]]:
         for at, rows, views in views_of(columns):
-            yield at, rows, [Lists(row, token, rows, v) for (row, token), v in zip(views, vocabularies, strict=True)]
+            yield at, rows, [Lists(row, token, rows) for row, token in views]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,25 +296,26 @@ def classify(
                 yield arrow_rows(id=batch.column(0).slice(at, rows), content=lists[0].arrow(), metadata=lists[1].arrow())
 
     kind = dict(base.dtypes)["id"]
-    seen = base.mapInArrow(index, f"id {kind}, content array<int>, metadata array<int>")
+    seen = base.mapInArrow(index, f"id {kind}, content array<smallint>, metadata array<smallint>")
     seen = stage(seen.join(known, seen["id"] == known["known_id"], "left").select("id", *VIEWS, "good"))
     # several rows of one labelled document: one of them is enough for fitting
     sample = seen.where("good IS NOT NULL").dropDuplicates(["id"]).orderBy(F.xxhash64("id", F.lit("fit")), "id").limit(labelled_rows)
-    sample = sample.select("good", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).alias("fold"), *VIEWS).toArrow().combine_chunks()
+    sample = sample.select("good", *VIEWS).toArrow().combine_chunks()  # in the order of the hash
     good = sample.column("good").to_numpy().astype(float)
     if len(np.unique(good)) < 2:
         return flat(good.mean() if len(good) else 1.0)
-    fold = sample.column("fold").to_numpy()
+    # dealt in turn, each kind of label on its own
+    fold = np.zeros(len(good), np.int64)
+    for kind_of in (0, 1):
+        own = np.flatnonzero(good == kind_of)
+        fold[own] = np.arange(len(own)) % FOLDS
 
     def part(mask: np.ndarray) -> tuple[list[Lists], np.ndarray]:
         rows = sample.filter(pa.array(mask))
         return [Lists.of(rows.column(v).combine_chunks()) for v in VIEWS], good[mask]
 
-    folds = [part(fold >= 2), part(fold == 0), part(fold == 1)]
-    if any(len(np.unique(y)) < 2 for _, y in folds):
-        folds = [part(fold >= 0)] * 3  # too few labels to keep some aside
-    (train, y_train), (aside, y_aside), (last, y_last) = folds
-    models = [Model(len(v)) for v in vocabularies]
+    (train, y_train), (aside, y_aside), (last, y_last) = part((fold != 1) & (fold != 2)), part(fold == 1), part(fold == 2)
+    models = [Model(SLOTS) for _ in VIEWS]
     for k in range(rounds + 1):
         if k:
             for model, odds in zip(models, _told(seen.where("good IS NULL"), models, sure), strict=True):

@@ -71,8 +71,13 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import stage
 
+    maps = shared_dir(spark)
     slotted = stage(sharding.with_slot(table(spark, sf_dir, "documents")))
-    slot_map = stage(sharding.new_map(sharding.slot_bytes(slotted)))
+    by_slot = stage(sharding.slot_bytes(slotted))
+    # version 1 is stored, edited to version 2 by the bytes, and the newest is used
+    sharding.save_map(sharding.new_map(by_slot), maps)
+    sharding.save_map(sharding.rebalance_map(sharding.load_map(spark, maps), by_slot, sharding.SHARDS), maps)
+    slot_map = sharding.load_map(spark, maps)
     out = sharding.assign(slotted, slot_map)
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"),
