@@ -297,7 +297,8 @@ def classify(
 
     kind = dict(base.dtypes)["id"]
     seen = base.mapInArrow(index, f"id {kind}, content array<smallint>, metadata array<smallint>")
-    seen = stage(seen.join(known, seen["id"] == known["known_id"], "left").select("id", *VIEWS, "good"))
+    # both sides grow with the input, so they are joined in one way at every size
+    seen = stage(seen.join(known.hint("merge"), seen["id"] == known["known_id"], "left").select("id", *VIEWS, "good"))
     # several rows of one labelled document: one of them is enough for fitting
     sample = seen.where("good IS NOT NULL").dropDuplicates(["id"]).orderBy(F.xxhash64("id", F.lit("fit")), "id").limit(labelled_rows)
     sample = sample.select("good", *VIEWS).toArrow().combine_chunks()  # in the order of the hash

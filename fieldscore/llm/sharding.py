@@ -5,7 +5,7 @@ slots are dealt to shards, and that slot-to-shard map is stored with a version.
 the map: a record moves only when its slot is moved.
 
 Cases: a null text has no bytes; null ids and repeated rows are records like any other; an empty table gives
-an empty result; extra columns are carried only where the caller asks for them. Everything the map needs is a
+an empty result; extra columns are not carried. Everything the map needs is a
 table of ``slots`` rows, whatever the size of the input.
 """
 
