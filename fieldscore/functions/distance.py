@@ -15,6 +15,74 @@ def edits(hyp: Column, ref: Column) -> Column:
     return F.when(hyp == ref, F.lit(0)).otherwise(F.levenshtein(hyp, ref))
 
 
+#: Characters of a text whose distances the built-in function makes; beyond, a band that doubles until it holds.
+WHOLE_CHARS = 256
+
+
+def edits_of_any_length(hyp: Column, ref: Column) -> Column:
+    """Character edit distance of texts of any length, exact, in memory that grows with the length only.
+
+    Short texts stay in the JVM. For long ones the common ends are cut off and the band of the table doubles until the
+    distance lies within it, so near texts cost their length times their distance.
+    """
+    short = F.greatest(F.length(hyp), F.length(ref)) <= WHOLE_CHARS
+    # a Python function is called for every row, so it gets nulls where it has nothing to do
+    far = lambda c: F.when((hyp != ref) & ~short, c)
+    return F.when(hyp == ref, F.lit(0)).when(short, F.levenshtein(hyp, ref)).otherwise(_long_edits()(far(hyp), far(ref)))
+
+
+def long_distance(a: str, b: str) -> int:
+    """The edit distance of two texts by bands of the table, diagonal after diagonal."""
+    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a, b))
+    n = min(len(x), len(y))
+    same = np.flatnonzero(x[:n] != y[:n])
+    head = int(same[0]) if len(same) else n
+    x, y = x[head:], y[head:]
+    n = min(len(x), len(y))
+    same = np.flatnonzero(x[len(x) - n :][::-1] != y[len(y) - n :][::-1])
+    tail = int(same[0]) if len(same) else n
+    x, y = x[: len(x) - tail], y[: len(y) - tail]
+    if not len(x) or not len(y):
+        return max(len(x), len(y))
+    if len(x) > len(y):
+        x, y = y, x
+    most = max(len(y), 1)
+    band = max(16, 2 * (len(y) - len(x)))
+    while True:
+        found = _banded(x, y, min(band, most))
+        if found <= band or band >= most:
+            return found
+        band *= 2
+
+
+def _banded(x: np.ndarray, y: np.ndarray, band: int) -> int:
+    """The distance if it is at most ``band``, else some larger number; rows of ``2 * band + 1`` cells."""
+    far = len(x) + len(y) + 1
+    width = 2 * band + 1
+    place = np.arange(width)
+    # cell k of row i is column i + k - band
+    row = np.where((place >= band) & (place - band <= len(y)), place - band, far)
+    padded = np.concatenate([np.zeros(band, np.uint32), y, np.zeros(band + 1, np.uint32)])
+    for i in range(1, len(x) + 1):
+        column = place + (i - band)
+        cost = padded[i - 1 : i - 1 + width] != x[i - 1]
+        step = np.minimum(row + cost, np.append(row[1:], far) + 1)
+        step = np.where(column == 0, i, np.where((column < 0) | (column > len(y)), far, step))
+        # insertions run along the row
+        row = np.minimum(np.minimum.accumulate(step - place) + place, far)
+        row[(column < 0) | (column > len(y))] = far
+    return int(row[len(y) - len(x) + band])
+
+
+@lru_cache
+def _long_edits():
+    @F.pandas_udf("int")
+    def made(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else long_distance(a, b) for a, b in zip(hyp, ref, strict=True)], dtype="Int32")
+
+    return made
+
+
 def edits_within(hyp: Column, ref: Column, most: Column) -> Column:
     """The distance if it doesn't exceed ``most``, else -1; only that band of the table is made."""
     return F.when(hyp == ref, F.lit(0)).when(F.abs(F.length(hyp) - F.length(ref)) > most, F.lit(-1)).otherwise(F.call_function("levenshtein", hyp, ref, most))

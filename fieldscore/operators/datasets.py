@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def union_datasets(parts: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """Tables of several datasets under one id column ``doc_id``, tagged with their name."""
-    tagged = [df.withColumnRenamed(id_col, "doc_id").withColumn("dataset", F.lit(name)) for name, (df, id_col) in parts.items()]
+def union_datasets(parts: dict[str, tuple[DataFrame, str]], tagged: Sequence[tuple[DataFrame, str]] = ()) -> DataFrame:
+    """Tables of several datasets under one id column ``doc_id``, tagged with their name; ``tagged`` are tables that hold
+    several datasets and have their names in a column ``dataset``."""
+    named = [df.withColumnRenamed(id_col, "doc_id") for df, id_col in tagged]
+    tagged = [*named, *[df.withColumnRenamed(id_col, "doc_id").withColumn("dataset", F.lit(name)) for name, (df, id_col) in parts.items()]]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 

@@ -7,23 +7,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import cer, edits, edits_within, list_anls, string_anls
+from ..functions.distance import cer, edits, edits_of_any_length, edits_within, list_anls, string_anls
 from ..registry import BANDS, THRESHOLDS, thresholds
 from .align import align_paths
 
 
-def pair_scores(pairs: DataFrame, hyp: str = "hyp", ref: str = "ref") -> DataFrame:
-    """Pairs with ``edits``, ``ref_len`` and ``cer``; the distance is made once."""
-    out = pairs.withColumn("edits", edits(F.col(hyp), F.col(ref)).cast("long")).withColumn("ref_len", F.length(ref).cast("long"))
+def pair_scores(pairs: DataFrame, hyp: str = "hyp", ref: str = "ref", whole: bool = False) -> DataFrame:
+    """Pairs with ``edits``, ``ref_len`` and ``cer``; the distance is made once. With ``whole`` texts may be of any length."""
+    distance = edits_of_any_length if whole else edits
+    out = pairs.withColumn("edits", distance(F.col(hyp), F.col(ref)).cast("long")).withColumn("ref_len", F.length(ref).cast("long"))
     return out.withColumn("cer", F.col("edits") / F.greatest(F.lit(1), F.col("ref_len")))
 
 
 def macro_cer(scored: DataFrame, by: Sequence[str] = (), empty: str = "skip", if_none: float = 1.0) -> DataFrame:
     """Mean of row rates. ``empty='skip'`` leaves out empty references; ``'rate'`` counts them as 0 against an empty text, else 1."""
+    return scored.groupBy(*by).agg(macro_rate(empty, if_none).alias("macro_cer"))
+
+
+def macro_rate(empty: str = "skip", if_none: float = 1.0) -> Column:
+    """The same as an aggregate, to be taken with others in one pass."""
     kept = F.when(F.col("ref_len") > 0, F.col("cer"))
     if empty == "rate":
-        kept = F.when(F.col("ref_len") > 0, F.col("cer")).when(F.col("edits") == 0, 0.0).otherwise(1.0)
-    return scored.groupBy(*by).agg(F.coalesce(F.avg(kept), F.lit(if_none)).alias("macro_cer"))
+        kept = kept.when(F.col("edits") == 0, 0.0).otherwise(1.0)
+    return F.coalesce(F.avg(kept), F.lit(if_none))
+
+
+def error_rates(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(macro_cer, macro_rated, micro_cer, edits, ref_chars): both means of rows and the rate of all characters, in one pass."""
+    return scored.groupBy(*by).agg(
+        macro_rate().alias("macro_cer"), macro_rate("rate").alias("macro_rated"), (F.sum("edits") / F.sum("ref_len")).alias("micro_cer"),
+        F.sum("edits").alias("edits"), F.sum("ref_len").alias("ref_chars"),
+    )
 
 
 def micro_cer(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -33,8 +47,13 @@ def micro_cer(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def weighted_cer(scored: DataFrame, by: Sequence[str] = (), rounding: str = "floor") -> DataFrame:
     """Row rates times lengths, cut or rounded half-even to whole characters, over all characters."""
+    return scored.groupBy(*by).agg(weighted_rate(rounding).alias("weighted_cer"))
+
+
+def weighted_rate(rounding: str = "floor") -> Column:
+    """The same as an aggregate."""
     whole = F.floor(F.col("cer") * F.col("ref_len")) if rounding == "floor" else F.bround(F.col("cer") * F.col("ref_len"), 0)
-    return scored.groupBy(*by).agg((F.sum(whole) / F.sum("ref_len")).alias("weighted_cer"))
+    return F.sum(whole) / F.sum("ref_len")
 
 
 def cer_statistics(scored: DataFrame, by: Sequence[str] = (), good_below: float = 0.1) -> DataFrame:

@@ -93,17 +93,20 @@ def q_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.first_rows(fixture(spark, sf_dir, "texts").select("doc_id", "source"), "source", "doc_id", 5)
 
 
-_LOG = f"l AS (SELECT run, line FROM {duck('logs')} WHERE line LIKE 'epoch %'), m AS (SELECT run, CAST(regexp_extract(line, '^epoch ([0-9]+)', 1) AS INTEGER) AS epoch, CAST(regexp_extract(line, ': ([0-9.]+)$', 1) AS DOUBLE) AS value FROM l)"
+_LOG = f"""e AS (SELECT DISTINCT run, dataset, CAST(line_no // 3 AS INTEGER) AS epoch, line_no % 3 AS k, line_no, line, regexp_extract(line, '0[.]([0-9]+)', 0) AS v FROM {duck('logs')}),
+    m AS (SELECT run, dataset, line_no, epoch, CASE WHEN k = 2 THEN 'val_cer' WHEN epoch % 7 = 1 THEN 'best_cer' ELSE 'loss' END AS name, CAST(v AS DOUBLE) AS value FROM e WHERE k = 2 OR (k = 1 AND epoch % 7 > 0))"""
 
 
-@query(f"WITH {_LOG} SELECT run, epoch, 'val_cer' AS name, value FROM m")
+@query(f"WITH {_LOG} SELECT run, line_no, epoch, name, value FROM m")
 def q_log_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.log_metrics(fixture(spark, sf_dir, "logs"), "run", "line")
+    return history.log_metrics(fixture(spark, sf_dir, "logs"), "run", "line", "line_no")
 
 
-@query(f"WITH {_LOG}, b AS (SELECT run, min(value) AS best FROM m GROUP BY run) SELECT run, best, CAST(rank() OVER (ORDER BY best) AS INTEGER) AS rank FROM b")
+@query(f"WITH {_LOG}, b AS (SELECT dataset, run, min(value) AS best FROM m WHERE name = 'val_cer' GROUP BY ALL) SELECT dataset, run, best, CAST(rank() OVER (PARTITION BY dataset ORDER BY best) AS INTEGER) AS rank FROM b")
 def q_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.leaderboard(history.log_metrics(fixture(spark, sf_dir, "logs"), "run", "line"), "run", "val_cer")
+    logs = fixture(spark, sf_dir, "logs")
+    found = history.log_metrics(logs, "run", "line", "line_no")
+    return history.leaderboard(found.join(logs.select("run", "dataset").distinct(), "run"), "dataset", "run", "val_cer")
 
 
 # -- data sets -------------------------------------------------------------------------------------------------------
@@ -112,10 +115,8 @@ def q_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT dataset, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM (SELECT doc_id, coalesce(lang, 'none') AS dataset FROM documents UNION ALL SELECT item_id, 'benchmark' FROM benchmark) GROUP BY dataset")
 def q_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fixture(spark, sf_dir, "texts")
-    named = docs.withColumn("lang", F.coalesce("lang", F.lit("none")))
-    languages = [r.lang for r in named.select("lang").distinct().orderBy("lang").collect()]  # one data set each
-    parts = {x: (named.where(F.col("lang") == x).select(F.col("doc_id").alias("image_name"), "text"), "image_name") for x in languages}
-    out = datasets.union_datasets({**parts, "benchmark": (spark.table("benchmark"), "item_id")})
+    tagged = docs.select(F.coalesce("lang", F.lit("none")).alias("dataset"), F.col("doc_id").alias("image_name"), "text")
+    out = datasets.union_datasets({"benchmark": (spark.table("benchmark"), "item_id")}, tagged=[(tagged, "image_name")])
     return out.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
 
 

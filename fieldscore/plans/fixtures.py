@@ -89,11 +89,18 @@ FIXTURES: dict[str, str] = {
         WHEN 4 THEN concat('other', CAST(c_custkey AS STRING), '.jpg') WHEN 5 THEN concat('customer', substr(c_name, 10), '.tif') ELSE concat(replace(c_name, '#', ''), '.jpg') END) AS path, c_custkey FROM customer""",
     # requests
     "requests": "SELECT event_id, event_type AS model, props AS content, value AS latency, ts FROM events",
-    # log lines
-    "logs": """SELECT run, CASE WHEN epoch % 7 = 0 THEN 'saving checkpoint' ELSE concat('epoch ', CAST(epoch AS STRING), ' val_cer: ', CAST(CAST(round(value * 100) AS BIGINT) AS STRING), '.5') END AS line
-        FROM (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, value FROM events) AS e""",
+    # log lines of runs, in the order of their files
+    "logs": """SELECT run, dataset, CAST(epoch * 3 + k AS INT) AS line_no, CASE k
+          WHEN 0 THEN concat('Inventory CER Callback: COMPUTING CER ON VALIDATION SUBSET (Epoch ', CAST(epoch AS STRING), ')')
+          WHEN 1 THEN CASE WHEN epoch % 7 = 0 THEN '   Validating 1/30: a.jpg' WHEN epoch % 7 = 1 THEN concat('   NEW BEST CER: 0.', m, ' (improved by inf)') ELSE concat('{', chr(39), 'loss', chr(39), ': 0.', m, ', ', chr(39), 'grad_norm', chr(39), ': 1.5, ', chr(39), 'epoch', chr(39), ': ', CAST(epoch AS STRING), '.0}') END
+          ELSE concat('   Validation CER (Epoch ', CAST(epoch AS STRING), '): 0.', m, ' (9.99%)') END AS line
+        FROM (SELECT run, dataset, epoch, m, unnest_k AS k FROM (SELECT user_id AS run, concat('set', CAST(user_id % 3 AS STRING)) AS dataset, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch,
+            CAST(1000 + CAST(round(value * 100) AS BIGINT) % 9000 AS STRING) AS m FROM events) AS e CROSS JOIN (SELECT 0 AS unnest_k UNION ALL SELECT 1 UNION ALL SELECT 2) AS three) AS f""",
 }
 
+#: Letters that the texts have beside ASCII, mapped so that both engines count them as one character each.
+LETTERS_FROM, LETTERS_TO = "äöüßéèêàâçñíóúáîôûëïùœ", "aouseeeaacniouaioueiuo"
+
 #: Characters of a piece; they bound the edit distances.
 PIECE = 200
 
@@ -104,7 +111,7 @@ def pairs_sql(duck: bool) -> str:
     return f"""SELECT doc_id, lang, source, pos, ref, CASE doc_id % 5 WHEN 0 THEN ref WHEN 1 THEN replace(ref, 'e', 'c') WHEN 2 THEN concat(ref, ' and more') WHEN 3 THEN '' ELSE concat(substr(ref, 1, 10), substr(ref, 15)) END AS hyp
         FROM (SELECT doc_id, lang, source, pos, substr(s, CAST(pos * {PIECE} + 1 AS INT), {PIECE}) AS ref
           FROM (SELECT doc_id, lang, source, s, {explode.format(n=PIECE)} AS pos
-            FROM (SELECT doc_id, lang, source, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9 ]', ''{g}) AS s FROM documents) AS a) AS b) AS d"""
+            FROM (SELECT doc_id, lang, source, regexp_replace(translate(lower(coalesce(text, '')), '{LETTERS_FROM}', '{LETTERS_TO}'), '[^a-z0-9 ]', ''{g}) AS s FROM documents) AS a) AS b) AS d"""
 
 
 #: Characters of a piece that is compared in two forms.

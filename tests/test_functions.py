@@ -120,3 +120,27 @@ def test_distances(spark):
 def test_list_anls(spark):
     df = spark.createDataFrame([(["ab", "cd"], ["cd", "ab"]), (["ab"], ["ab", "x"]), ([], []), ([], ["a"]), (None, ["a"])], "p array<string>, g array<string>")
     assert [r[0] for r in df.select(D.list_anls(F.col("p"), F.col("g"))).collect()] == [1.0, 0.5, 1.0, 0.0, 0.0]
+
+
+def test_distance_of_long_texts(spark):
+    """Against a plain table, whatever the band; long near texts end."""
+    r = random.Random(6)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    for _ in range(150):
+        a = "".join(r.choices("abé", k=r.randint(0, 60)))
+        b = "".join(r.choices("abé", k=r.randint(0, 60))) if r.random() < 0.3 else "".join(c for c in a if r.random() > 0.1) + r.choice(["", "ab", "é" * 30])
+        assert D.long_distance(a, b) == plain(a, b)
+    long = "".join(r.choices("äöüabc ", k=120_000))
+    assert D.long_distance(long, long[:500] + "x" + long[600:]) == 100
+    rows = [(long, long[:-3]), (long, long), ("", long), ("kurz", "kürz"), (None, long)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert [x[0] for x in df.select(D.edits_of_any_length(F.col("a"), F.col("b"))).collect()] == [3, 0, len(long), 1, None]

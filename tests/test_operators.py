@@ -223,3 +223,24 @@ def test_natural_order_in_ranges(spark):
     assert sorted(r.place for r in rows.collect()) == list(range(1, len(names) + 1))
     assert "SinglePartition" not in rows._jdf.queryExecution().toString()
     assert layout.natural_order(spark.createDataFrame([], "n string"), "n").count() == 0
+
+
+def test_log_lines_of_real_shapes(spark):
+    lines = [
+        "Inventory CER Callback: COMPUTING CER ON VALIDATION SUBSET (Epoch 1)", "   Validation CER (Epoch 1): 0.2566 (25.66%)", "   NEW BEST CER: 0.2566 (improved by inf)",
+        "{'loss': 0.5, 'grad_norm': 1.0, 'epoch': 1.5}", "Epoch 2/20", "Validation CER (Epoch 20): 0.0690 (6.90%)", "{'train_runtime': 2.5, 'train_loss': 0.24, 'epoch': 20.0}", "Average CER: 0.0581 (5.81%)", "Perfect matches: 3/47 (6.38%)", "nothing",
+    ]
+    frame = spark.createDataFrame([("r", i, x) for i, x in enumerate(lines)] + [("s", 0, "Average CER: 0.5 (50%)")], "run string, n int, line string").repartition(3)
+    got = [tuple(r)[1:] for r in history.log_metrics(frame, "run", "line", "n").where("run = 'r'").orderBy("line_no").collect()]
+    assert got == [(1, 1, "val_cer", 0.2566), (2, 1, "best_cer", 0.2566), (3, 1, "loss", 0.5), (5, 20, "val_cer", 0.069), (6, 20, "train_loss", 0.24), (7, 20, "test_cer", 0.0581), (8, 20, "test_perfect", 3.0)]
+    assert history.log_metrics(frame, "run", "line", "n").where("run = 's' AND epoch IS NULL").count() == 1
+
+
+def test_leaderboard_ranks_within_data_sets(spark):
+    r = __import__("random").Random(1)
+    rows = [(f"d{i % 3}", f"r{i}", "m", r.randrange(40) / 10) for i in range(300)]
+    board = history.leaderboard(spark.createDataFrame(rows, "d string, run string, name string, value double"), "d", "run", "m")
+    want = {(d, n): 1 + sum(x[0] == d and x[3] < v for x in rows) for d, n, _, v in rows}
+    assert {(x.d, x.run): x["rank"] for x in board.collect()} == want
+    places = history.ranked(spark.createDataFrame([("a", v, 1) for v in range(50)], "d string, v int, n int"), "d", "v", "n", width=7)
+    assert {x.v: x["rank"] for x in places.collect()} == {v: v + 1 for v in range(50)}

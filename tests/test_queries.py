@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldscore.plans import oracles, queries
-from fieldscore.plans.fixtures import fixture
+from fieldscore.plans.fixtures import LETTERS_FROM, LETTERS_TO, fixture
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -67,7 +67,8 @@ def test_every_sheet_and_field(spark):
 def test_whole_documents(spark):
     """Every folded character and every word of the documents."""
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    folded = {i: re.sub("[^a-z0-9 ]", "", t.lower()) for i, t in texts.items()}
+    ascii_letters = str.maketrans(LETTERS_FROM, LETTERS_TO)
+    folded = {i: re.sub("[^a-z0-9 ]", "", t.lower().translate(ascii_letters)) for i, t in texts.items()}
     assert max(map(len, folded.values())) > 200
     assert {r.doc_id: r.ref_len for r in queries()["q_cer_all"](spark, SF).collect()} == {i: len(t) for i, t in folded.items()}
     words = fixture(spark, SF, "words").groupBy("doc_id").count().collect()
