@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -114,47 +115,90 @@ def string_anls(pred: Column, gt: Column, threshold: float = 0.5) -> Column:
 
 
 def alignment(ref: str, hyp: str) -> tuple[int, int, int]:
-    """(substitutions, deletions, insertions) of one cheapest alignment, substitutions preferred."""
-    if ref == hyp:
-        return 0, 0, 0
-    r, h = np.array([ord(c) for c in ref], np.int64), np.array([ord(c) for c in hyp], np.int64)
-    table = np.zeros((len(r) + 1, len(h) + 1), np.int32)
-    table[0] = np.arange(len(h) + 1)
-    place = np.arange(1, len(h) + 1)
-    for i in range(1, len(r) + 1):
-        table[i, 0] = i
-        other = np.minimum(table[i - 1, 1:] + 1, table[i - 1, :-1] + (h != r[i - 1]))
+    """(substitutions, deletions, insertions) of one cheapest alignment, substitutions preferred, then deletions."""
+    return tuple(int(n[0]) for n in alignments([ref], [hyp]))
+
+
+#: Cells of a row of all tables that are made at once; they stay in the processor's cache.
+CELLS = 1 << 17
+
+
+def alignments(refs: Sequence[str], hyps: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for many pairs, as three arrays.
+
+    Tables of pairs of similar lengths are filled together, row after row. A cell holds its distance and the
+    substitutions on the way there; with both lengths these give the other two, so no table is kept and none is walked
+    back. Repeated pairs are made once.
+    """
+    pairs: dict[tuple[str, str], int] = {}
+    at = np.array([pairs.setdefault(p, len(pairs)) for p in zip(refs, hyps, strict=True)], np.int64)
+    lengths = np.array([(len(a), len(b)) for a, b in pairs], np.int64).reshape(-1, 2)
+    total, swapped = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
+    texts = list(pairs)
+    differs = np.array([a != b for a, b in texts], bool)
+    bare = differs & (lengths.min(axis=1) == 0) if texts else differs
+    total[bare] = lengths[bare].max(axis=1)
+    for size in range(int(lengths[:, 0].max(initial=0)).bit_length() + 1):  # first texts of at most twice the length
+        work = np.flatnonzero(differs & ~bare & (lengths[:, 0] >= 1 << size >> 1) & (lengths[:, 0] < 1 << size))
+        work = work[np.argsort(lengths[work, 1], kind="stable")]
+        while len(work):
+            # the last pair of a group has the longest second text
+            some = work[: CELLS // (lengths[work[0], 1] + 1) + 1]
+            fit = int((np.arange(1, len(some) + 1) <= CELLS // (lengths[some, 1] + 1)).sum())
+            some, work = some[: max(1, fit)], work[max(1, fit) :]
+            total[some], swapped[some] = _tables([texts[i] for i in some])
+    apart = lengths[:, 0] - lengths[:, 1]
+    deleted, added = (total - swapped + apart) // 2, (total - swapped - apart) // 2
+    return swapped[at], deleted[at], added[at]
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    """Code points, a row for each text, filled up with zeros."""
+    out = np.zeros((len(texts), max(map(len, texts), default=0)), np.uint32)
+    for row, t in zip(out, texts, strict=True):
+        row[: len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
+
+
+def _tables(pairs: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, substitutions) of pairs; one row of each table at a time."""
+    ref, hyp = _codes([a for a, _ in pairs]), _codes([b for _, b in pairs])
+    n, m = (np.array([len(p[side]) for p in pairs]) for side in (0, 1))
+    kind = np.int16 if max(n.max(), m.max()) < 1 << 14 else np.int32
+    place = np.arange(hyp.shape[1] + 1, dtype=kind)
+    before, subs = np.tile(place, (len(pairs), 1)), np.zeros((len(pairs), len(place)), kind)
+    total, swapped = m.copy(), np.zeros(len(pairs), np.int64)  # of empty first texts
+    rows = (np.arange(len(pairs)) * len(place))[:, None]
+    for i in range(1, ref.shape[1] + 1):
+        differs = (hyp != ref[:, i - 1 : i]).astype(kind)
+        best, above = np.empty_like(before), before + kind(1)
+        diagonal = before[:, :-1] + differs
+        best[:, 0] = i
+        np.minimum(above[:, 1:], diagonal, out=best[:, 1:])
         # insertions: the running minimum of what is left of the cell
-        table[i, 1:] = np.minimum.accumulate(np.append(i, other - place)).astype(np.int32)[1:] + place
-    s = d = n = 0
-    i, j = len(r), len(h)
-    while i or j:
-        if i and j and table[i, j] == table[i - 1, j - 1] + (r[i - 1] != h[j - 1]):
-            s += int(r[i - 1] != h[j - 1])
-            i, j = i - 1, j - 1
-        elif i and table[i, j] == table[i - 1, j] + 1:
-            d, i = d + 1, i - 1
-        else:
-            n, j = n + 1, j - 1
-    return s, d, n
-
-
-def _distance(a: str, b: str) -> int:
-    """The edit distance of two short texts, where arrays cost more than they save."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        corner, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (x != y))
-    return row[-1]
+        now = np.minimum.accumulate(best - place, axis=1) + place
+        straight = now[:, 1:] == diagonal
+        own = np.empty_like(subs)
+        own[:, 0] = 0
+        own[:, 1:] = np.where(straight, subs[:, :-1] + differs, subs[:, 1:])
+        # a cell reached by an insertion counts what the last other cell on its left does
+        other = np.empty(now.shape, bool)
+        other[:, 0] = True
+        other[:, 1:] = straight | (now[:, 1:] == above[:, 1:])
+        source = np.maximum.accumulate(np.where(other, place, 0), axis=1)
+        before, subs = now, own.ravel()[source + rows]
+        ends = np.flatnonzero(n == i)
+        total[ends], swapped[ends] = now[ends, m[ends]], subs[ends, m[ends]]
+    return total, swapped
 
 
 def edit_ops(ref: Column, hyp: Column) -> Column:
-    """struct(substitutions, deletions, insertions); the built-in distance has only their sum."""
+    """struct(substitutions, deletions, insertions); the built-in distance has only their sum. A null counts as an empty text."""
 
     @F.pandas_udf("substitutions long, deletions long, insertions long")
     def ops(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([alignment(x or "", y or "") for x, y in zip(a, b, strict=True)], columns=["substitutions", "deletions", "insertions"])
+        made = alignments([x or "" for x in a], [x or "" for x in b])
+        return pd.DataFrame(dict(zip(("substitutions", "deletions", "insertions"), made, strict=True)))
 
     return ops(ref, hyp)
 
@@ -196,29 +240,62 @@ def best_matching(score: np.ndarray) -> float:
     return float(sum(score[match[j] - 1, j - 1] for j in range(1, m + 1) if match[j]))
 
 
+def matching_by_parts(score: np.ndarray) -> float:
+    """The same sum, each connected part of the positive scores matched on its own.
+
+    Equal items aren't paired off first: the normalised distance keeps no triangle rule, so an equal pair may cost two
+    good ones (``ab aba`` against ``aba ba``).
+    """
+    left, right = np.nonzero(score > 0)
+    if not len(left):
+        return 0.0
+    n = score.shape[0]
+    label = np.arange(n + score.shape[1])
+    while True:  # the smallest neighbour's label, until nothing changes
+        least = np.minimum(label[left], label[right + n])
+        new = label.copy()
+        np.minimum.at(new, left, least)
+        np.minimum.at(new, right + n, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    out = 0.0
+    for part in np.unique(label[left]):
+        own = label == part
+        out += best_matching(score[np.ix_(own[:n], own[n:])])
+    return out
+
+
 def list_anls(pred: Column, gt: Column, threshold: float = 0.5) -> Column:
-    """ANLS of two lists of texts: the best one-to-one matching over the longer length; two empty lists are equal."""
+    """ANLS of two lists of texts: the best one-to-one matching over the longer length; two empty lists are equal.
 
-    def leaf(a: str, b: str) -> float:
-        if a == b:
-            return 1.0
-        if not a or not b or min(len(a), len(b)) < threshold * max(len(a), len(b)):
-            return 0.0
-        edits = _distance(a, b) if len(a) * len(b) < 400 else sum(alignment(a, b))
-        s = 1 - edits / max(len(a), len(b))
-        return s if s >= threshold else 0.0
+    The distances of all pairs of items of an Arrow batch are made together, each different pair once; pairs whose lengths
+    alone put them below the threshold have none.
+    """
 
     @F.pandas_udf("double")
     def assign(p: pd.Series, g: pd.Series) -> pd.Series:
-        out, near = [], lru_cache(maxsize=1 << 16)(leaf)  # words come again and again
-        for a, b in zip(p, g, strict=True):
-            a, b = [x or "" for x in (a if a is not None else [])], [x or "" for x in (b if b is not None else [])]
-            longest = max(len(a), len(b))
-            if sorted(a) == sorted(b):
-                out.append(1.0)
-                continue
-            best = best_matching(np.array([[near(x, y) for y in b] for x in a])) if a and b else 0.0
-            out.append(best / longest if longest else 1.0)
+        lists = [tuple([x or "" for x in (side if side is not None else [])] for side in row) for row in zip(p, g, strict=True)]
+        open_ = [i for i, (a, b) in enumerate(lists) if a and b and sorted(a) != sorted(b)]
+        score: dict[tuple[str, str], float] = {}
+        for i in open_:
+            for x in lists[i][0]:
+                for y in lists[i][1]:
+                    if x == y:
+                        score[x, y] = 1.0
+                    elif (x, y) not in score:
+                        near = x and y and min(len(x), len(y)) >= threshold * max(len(x), len(y))
+                        score[x, y] = -1.0 if near else 0.0  # to be made
+        wanted = [k for k, s in score.items() if s < 0]
+        edits = np.sum(alignments([x for x, _ in wanted], [y for _, y in wanted]), axis=0)
+        for (x, y), n in zip(wanted, edits, strict=True):
+            s = 1 - int(n) / max(len(x), len(y))
+            score[x, y] = s if s >= threshold else 0.0
+        out = [1.0 if sorted(a) == sorted(b) else 0.0 for a, b in lists]
+        for i in open_:
+            a, b = lists[i]
+            out[i] = matching_by_parts(np.array([[score[x, y] for y in b] for x in a])) / max(len(a), len(b))
         return pd.Series(out, dtype="float64")
 
     return assign(pred, gt)

@@ -97,6 +97,44 @@ def test_alignment(a, b):
     assert len(a) - d + i == len(b)
 
 
+def test_alignments_of_many_pairs():
+    """Made together as one by one: substitutions preferred, then deletions, walked back through a plain table."""
+    r = random.Random(5)
+    word = lambda most: "".join(r.choices("abé", k=r.randint(0, most)))
+
+    def plain(a, b):
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for x, y in itertools.product(range(len(a) + 1), range(len(b) + 1)):
+            table[x, y] = x + y if not x or not y else min(table[x - 1, y] + 1, table[x, y - 1] + 1, table[x - 1, y - 1] + (a[x - 1] != b[y - 1]))
+        x, y, out = len(a), len(b), [0, 0, 0]
+        while x or y:
+            if x and y and table[x, y] == table[x - 1, y - 1] + (a[x - 1] != b[y - 1]):
+                out[0] += a[x - 1] != b[y - 1]
+                x, y = x - 1, y - 1
+            elif x and table[x, y] == table[x - 1, y] + 1:
+                out[1], x = out[1] + 1, x - 1
+            else:
+                out[2], y = out[2] + 1, y - 1
+        return tuple(out)
+
+    pairs = [(word(12), word(12)) for _ in range(400)] + [(word(60), word(60)) for _ in range(30)] + [("x", "y"), ("", ""), ("ab", ""), ("", "ab"), ("x\0", "x")]
+    pairs += pairs[:50]
+    made = D.alignments([a for a, _ in pairs], [b for _, b in pairs])
+    assert list(zip(*[m.tolist() for m in made], strict=True)) == [plain(a, b) for a, b in pairs]
+    assert D.alignments(["e" * 2_000, "k"], ["e" * 1_990, "l" * 140_000])[1].tolist() == [10, 0]  # tables of any width
+    assert [m.tolist() for m in D.alignments([], [])] == [[], [], []]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 5), st.integers(1, 5), st.integers(0, 10**6))
+def test_matching_by_parts(n, m, seed):
+    r = np.random.default_rng(seed)
+    score = r.choice([0.5, 0.7, 0.9, 1.0], (n, m)) * (r.random((n, m)) < 0.4)
+    a = score if n <= m else score.T
+    best = max(sum(a[i, p[i]] for i in range(len(a))) for p in itertools.permutations(range(a.shape[1]), len(a)))
+    assert abs(D.matching_by_parts(score) - best) < 1e-9
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(1, 5), st.integers(1, 5), st.integers(0, 10**6))
 def test_matching(n, m, seed):
@@ -120,6 +158,12 @@ def test_distances(spark):
 def test_list_anls(spark):
     df = spark.createDataFrame([(["ab", "cd"], ["cd", "ab"]), (["ab"], ["ab", "x"]), ([], []), ([], ["a"]), (None, ["a"])], "p array<string>, g array<string>")
     assert [r[0] for r in df.select(D.list_anls(F.col("p"), F.col("g"))).collect()] == [1.0, 0.5, 1.0, 0.0, 0.0]
+    # two good pairs are worth more than an equal one
+    df = spark.createDataFrame([(["ab", "aba"], ["aba", "ba"])], "p array<string>, g array<string>")
+    assert [r[0] for r in df.select(D.list_anls(F.col("p"), F.col("g"))).collect()] == [pytest.approx(2 / 3)]
+    words = [f"w{i}" * 3 for i in range(300)]  # a long list in another order, one word misspelt
+    df = spark.createDataFrame([(words[::-1], [*words[:-1], words[-1] + "x"])], "p array<string>, g array<string>")
+    assert [r[0] for r in df.select(D.list_anls(F.col("p"), F.col("g"))).collect()] == [pytest.approx((299 + 1 - 1 / 13) / 300)]
 
 
 def test_distance_of_long_texts(spark):
