@@ -12,6 +12,8 @@ from ..sources.scratch import scratch_dir
 
 #: Characters of the runs by which a name finds the paths that may contain it.
 GRAM = 6
+#: Places to which the paths of one such run are dealt.
+PLACES = 256
 
 
 def with_predictions(gt: DataFrame, pred: DataFrame, id_col: str, score: str) -> DataFrame:
@@ -82,14 +84,17 @@ def _inside(keys: DataFrame, paths: DataFrame) -> DataFrame:
     if not sizes:
         return everywhere
     of_path = paths.select("path", "whole", F.explode(F.array_distinct(F.flatten(F.array(*[runs("whole", n) for n in sizes])))).alias("gram"))
-    counts = of_path.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # paths of a run are dealt to places; a name goes to those that have some, at most as many as there are paths
+    of_path = of_path.withColumn("place", F.pmod(F.xxhash64("path"), F.lit(PLACES)).cast("int"))
+    counts = of_path.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.collect_set("place").alias("places"))
     of_key = keys.withColumn("own", F.expr("CAST(array() AS ARRAY<STRING>)"))
     for n in sizes:
         of_key = of_key.withColumn("own", F.when(size == n, runs("key", n)).otherwise(F.col("own")))
     of_key = of_key.withColumn("own", F.array_distinct("own")).select("key", F.size("own").alias("grams"), F.explode("own").alias("gram"))
     # a run that no path holds rules a name out
-    rarest = of_key.join(counts, "gram").groupBy("key").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count(F.lit(1)).alias("there"), F.first("grams").alias("grams")).where("there = grams")
-    return rarest.join(of_path, "gram").where(F.col("whole").contains(F.col("key"))).groupBy("key").agg(F.min("path").alias("path")).unionByName(everywhere)
+    rarest = of_key.join(counts, "gram").groupBy("key").agg(F.min_by(F.struct("gram", "places"), F.struct("n", "gram")).alias("r"), F.count(F.lit(1)).alias("there"), F.first("grams").alias("grams")).where("there = grams")
+    rarest = rarest.select("key", "r.gram", F.explode("r.places").alias("place"))
+    return rarest.join(of_path, ["gram", "place"]).where(F.col("whole").contains(F.col("key"))).groupBy("key").agg(F.min("path").alias("path")).unionByName(everywhere)
 
 
 def resolve_by_stem(names: DataFrame, files: DataFrame, id_col: str, name_col: str, path_col: str = "path") -> DataFrame:

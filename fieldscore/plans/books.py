@@ -228,6 +228,20 @@ def q_jsonl_permissive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select(F.lit("ok").alias("reason")).unionByName(bad.select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+_LINES = f"""SELECT doc_id % 5 AS part, doc_id, 0 AS k, replace(pred, chr(10), ' ') AS raw FROM {{f1}} AS f UNION ALL SELECT doc_id % 5, doc_id, 1, '[1, 2]' FROM {{f1}} AS g WHERE doc_id % 4 = 0
+    UNION ALL SELECT doc_id % 5, doc_id, 2, '   ' FROM {{f1}} AS h WHERE doc_id % 3 = 0"""
+
+
+@query(f"""WITH l AS (SELECT part, raw, row_number() OVER (PARTITION BY part ORDER BY doc_id, k) AS line_no FROM ({_LINES.format(f1=duck('f1'))}))
+    SELECT part, line_no, raw, CASE WHEN raw = '[1, 2]' THEN 'not one object' ELSE 'not JSON' END AS reason FROM l WHERE trim(raw) <> '' AND json_type(TRY_CAST(raw AS JSON)) IS DISTINCT FROM 'OBJECT'""")
+def q_jsonl_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark)
+    fixture(spark, sf_dir, "f1").createOrReplaceTempView("f1")
+    lines = spark.sql(_LINES.format(f1="f1"))
+    lines.repartition("part").sortWithinPartitions("part", "doc_id", "k").select("part", F.col("raw").alias("value")).write.partitionBy("part").text(path)  # a file a part
+    return jsonl.bad_lines(spark, path).select(F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part"), "line_no", "raw", "reason")
+
+
 @query("SELECT count(*) AS documents, CAST(sum(length(s_name)) AS BIGINT) AS characters FROM supplier")
 def q_documents_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import parsed, strict_object
 from ..functions.text import strip
+from .scratch import scratch_dir
 
 
 def read_jsonl(spark: SparkSession, path: str, mode: str = "failfast") -> DataFrame:
@@ -22,8 +23,34 @@ def read_jsonl(spark: SparkSession, path: str, mode: str = "failfast") -> DataFr
 
 def good_and_bad(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows that parsed, (raw, reason) of the others) of a permissive read."""
-    reason = F.when(parsed(F.col("raw")).isNull(), "not JSON").otherwise("not one object")
-    return rows.where("row IS NOT NULL"), rows.where("row IS NULL").select("raw", reason.alias("reason"))
+    return rows.where("row IS NOT NULL"), rows.where("row IS NULL").select("raw", _reason().alias("reason"))
+
+
+def _reason() -> Column:
+    return F.when(parsed(F.col("raw")).isNull(), "not JSON").otherwise("not one object")
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, raw, reason) of the lines that aren't one JSON object; lines count from 1, blank ones too.
+
+    Files may be split: a line has its place in its block, and a block starts behind the lines of the blocks before it in
+    its file. Both are taken in one scan, which sends on a row for each block and the bad lines only.
+    """
+    lines = spark.read.text(path).select(
+        F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),  # rises by one from line to line of a block
+    )
+    bad = (strip(F.col("raw")) != "") & strict_object(F.col("raw")).isNull()
+    lines = lines.groupBy("file", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.collect_list(F.when(bad, F.struct("at", "raw", _reason().alias("reason")))).alias("bad")
+    )
+    stored = scratch_dir(spark)
+    lines.write.parquet(stored)
+    blocks = spark.read.schema(lines.schema).parquet(stored)
+    behind = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("file", "block", F.coalesce(F.sum("n").over(behind), F.lit(0)).alias("start"))
+    found = blocks.select("file", "block", "first", F.explode("bad").alias("b")).join(starts, ["file", "block"])
+    return found.select("file", (F.col("start") + F.col("b.at") - F.col("first") + 1).alias("line_no"), "b.raw", "b.reason")
 
 
 def write_jsonl(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:

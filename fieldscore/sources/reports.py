@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .trials import TrialStore
+
 
 def write_report(metrics: DataFrame, path: str) -> None:
     """A report of few rows: ``json/``, ``csv/`` with a header, and ``text/`` with a line for each number."""
@@ -16,7 +18,10 @@ def write_report(metrics: DataFrame, path: str) -> None:
 
 
 def read_trials(spark: SparkSession, source: str, table: str | None = None, **options: str) -> DataFrame:
-    """(study, trial, state, value) from a JDBC store, or from a folder of Parquet files without ``table``."""
-    if table is None:
-        return spark.read.parquet(source).select("study", "trial", "state", "value")
-    return spark.read.format("jdbc").options(url=source, dbtable=table, **options).load().select("study", "trial", "state", "value")
+    """(study, trial, state, value) from a JDBC store (with ``table``), an SQLite file (``*.db``, ``*.sqlite``) or a folder of Parquet files."""
+    if table is not None:
+        return spark.read.format("jdbc").options(url=source, dbtable=table, **options).load().select("study", "trial", "state", "value")
+    if source.endswith((".db", ".sqlite")):
+        spark.dataSource.register(TrialStore)
+        return spark.read.format("trial_store").options(path=source, **options).load()
+    return spark.read.parquet(source).select("study", "trial", "state", "value")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,24 +12,34 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.metrics import pair_scores
+from ..sources.scratch import exists
 
 
 def score_new(pairs: DataFrame, id_col: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Score pairs of a stream once and append them: rows that the target has are skipped, also after a restart."""
-
-    def batch(rows: DataFrame, _: int) -> None:
-        spark = rows.sparkSession
-        scored = pair_scores(rows.dropDuplicates([id_col])).select(id_col, "edits", "ref_len", "cer")
-        try:
-            done = spark.read.parquet(target).select(id_col)
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        else:
-            scored = scored.join(done, id_col, "left_anti")
-        scored.write.mode("append").parquet(target)
-
-    return pairs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Score pairs of a stream once and append them to ``target``; of rows with one id one counts, null is an id too.
+
+    Scored ids are the stream's keyed state, so a batch reads nothing of what it has written before, also after a restart.
+    Rows that the target held when the checkpoint was new count as scored: their ids enter the state with the first batch,
+    the only one that is joined with them. The target is partitioned by ``batch``; a batch that is run again replaces its
+    part. For more ids than fit into the executors' memory, set the RocksDB state store.
+    """
+    spark, kind = pairs.sparkSession, pairs.select(id_col).schema
+    earlier = f"{checkpoint}-earlier"
+    if not exists(spark, f"{checkpoint}/offsets/0"):  # later it must stay as it is
+        ids = spark.read.schema(kind).parquet(target).select(id_col).distinct() if exists(spark, target) else spark.createDataFrame([], kind)
+        ids.write.mode("overwrite").parquet(earlier)
+    before = spark.readStream.schema(kind).parquet(earlier)
+    both = pairs.withColumn("__new", F.lit(True)).unionByName(before.withColumn("__new", F.lit(False)), allowMissingColumns=True)
+    folder = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows = rows.where("__new")
+        if number == 0:  # the state may have met the new row of an id first
+            rows = rows.join(spark.read.schema(kind).parquet(earlier).withColumnRenamed(id_col, "__id"), F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+        pair_scores(rows).select(id_col, "edits", "ref_len", "cer").write.mode("overwrite").parquet(f"{target}/batch={folder}-{number:08d}")
+
+    once = both.dropDuplicates([id_col])
+    return once.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def running_cer(pairs: DataFrame, dataset: str) -> DataFrame:
