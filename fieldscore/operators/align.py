@@ -119,14 +119,25 @@ def resolve_by_extension(names: DataFrame, files: DataFrame, id_col: str, stem_c
 
 
 def attach(rows: DataFrame, dimension: DataFrame, on: str) -> DataFrame:
-    """A dimension of a dataset (instruction, id key, excluded keys) on each row; one row for each dataset."""
-    return rows.join(F.broadcast(dimension), on, "left")
+    """A dimension of a dataset (instruction, id key, excluded keys) on each row; one row for each dataset.
+    Spark broadcasts it if it is small."""
+    return rows.join(dimension, on, "left")
+
+
+#: Rows of a table that may be packed into one value and sent to every task.
+FEW = 10_000
+
+
+def packed(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """One row with an aggregate of few rows; more than FEW end the job instead of filling every task's memory."""
+    bad = F.raise_error(F.lit(f"more than {FEW} rows to be sent to every task"))
+    return rows.limit(FEW + 1).agg(F.when(F.count(F.lit(1)) > FEW, bad).otherwise(value).alias(name))
 
 
 def with_shots(rows: DataFrame, shots: DataFrame, order: str) -> DataFrame:
     """Every row with the same ordered array ``shots``, made once; ``shots`` are the few examples of a prompt."""
-    packed = shots.agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in shots.columns if c != order]))).alias("shots"))
-    return rows.crossJoin(F.broadcast(packed))  # one row
+    one = packed(shots, F.array_sort(F.collect_list(F.struct(order, *[c for c in shots.columns if c != order]))), "shots")
+    return rows.crossJoin(F.broadcast(one))  # one row
 
 
 def first_by(rows: DataFrame, keys: Sequence[str], *order) -> DataFrame:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .align import packed
+
 
 def union_datasets(parts: dict[str, tuple[DataFrame, str]], tagged: Sequence[tuple[DataFrame, str]] = ()) -> DataFrame:
     """Tables of several datasets under one id column ``doc_id``, tagged with their name; ``tagged`` are tables that hold
@@ -51,9 +53,9 @@ def chat_rows(rows: DataFrame, instruction: str, doc: str, label: str) -> DataFr
 def shot_prompt(rows: DataFrame, shots: DataFrame, order: str, question: str, answer: str, ask: str) -> DataFrame:
     """Rows with ``messages``: user and assistant turns of the shots in order, then the row's own question."""
     turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("text"))
-    packed = shots.agg(F.array_sort(F.collect_list(F.struct(order, F.col(question).alias("q"), F.col(answer).alias("a")))).alias("s"))
+    one = packed(shots, F.array_sort(F.collect_list(F.struct(order, F.col(question).alias("q"), F.col(answer).alias("a")))), "s")
     before = F.flatten(F.transform("s", lambda x: F.array(turn("user", x["q"]), turn("assistant", x["a"]))))
-    return rows.crossJoin(F.broadcast(packed)).withColumn("messages", F.concat(before, F.array(turn("user", F.col(ask))))).drop("s")
+    return rows.crossJoin(F.broadcast(one)).withColumn("messages", F.concat(before, F.array(turn("user", F.col(ask))))).drop("s")
 
 
 def augmentation_plan(rows: DataFrame, key: str, copies: int, transforms: Sequence[str], seed: int = 0) -> DataFrame:

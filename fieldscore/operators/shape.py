@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.jsontext import is_list, is_number, is_object, items, last_of_each, leaf_string, members, number_text, shown_leaf, strict_object
 from ..functions.text import strip
 from ..registry import schema_fields
+from .align import packed
 
 
 def leaves(rows: DataFrame, id_cols: Sequence[str], json_col: str, open_lists: bool = False) -> DataFrame:
@@ -117,7 +118,7 @@ def nested_string(conformed: DataFrame, id_cols: Sequence[str], fields: Sequence
 
 def rename_keys(long: DataFrame, key_map: DataFrame) -> DataFrame:
     """Rename path segments by a table (old, new), at every level."""
-    pairs = F.broadcast(key_map.agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("names")))  # one row
+    pairs = F.broadcast(packed(key_map, F.map_from_entries(F.collect_list(F.struct("old", "new"))), "names"))  # one row
     renamed = F.array_join(F.transform(F.split("path", r"\."), lambda s: F.coalesce(F.try_element_at("names", s), s)), ".")
     return long.crossJoin(pairs).withColumn("path", renamed).drop("names")
 
@@ -125,7 +126,7 @@ def rename_keys(long: DataFrame, key_map: DataFrame) -> DataFrame:
 def drop_keys(long: DataFrame, excluded: DataFrame) -> DataFrame:
     """Leave out the top-level keys that ``excluded`` (dataset, key) names for a dataset."""
     top = F.substring_index(F.col("path"), ".", 1)
-    return long.withColumn("key", top).join(F.broadcast(excluded), ["dataset", "key"], "left_anti").drop("key")
+    return long.withColumn("key", top).join(excluded, ["dataset", "key"], "left_anti").drop("key")
 
 
 def merge_into_template(long: DataFrame, id_col: str, fields: Sequence[str], id_field: str) -> DataFrame:

@@ -114,6 +114,13 @@ def test_files_with_one_common_run(spark):
     assert {r.doc_id: r.path for r in out.collect()} == {i: p for i, p in expected.items() if p}
 
 
+def test_tables_for_every_task_are_few(spark):
+    rows = spark.range(3).withColumnRenamed("id", "k")
+    assert {len(r.shots) for r in align.with_shots(rows, spark.range(4), "id").collect()} == {4}
+    with pytest.raises(Exception, match="rows to be sent to every task"):
+        align.with_shots(rows, spark.range(align.FEW + 1), "id").collect()
+
+
 def test_places_of_a_common_run(spark):
     """The paths of one run are dealt to many keys of the join."""
     keys = spark.createDataFrame([("common",), ("ommon/",)], "key string")
