@@ -9,7 +9,8 @@
    words.
 
 A task settles what recurs within it and passes on one row for each phrase or window, so that a passage in a third of
-all documents gives a task no more rows than there are tasks. A shard has about SHARD_BYTES of text, or less.
+all documents gives a task no more rows than there are tasks. A shard has about SHARD_BYTES of text, or less; phrases
+and windows meet in as many tasks as there are shards, so that a task's rows don't grow with the data.
 
 Cases: a null or empty text has no words; a text shorter than a window loses nothing; rows with the same id and
 text are one document and get the same result; rows that share an id with different texts come in the order of
@@ -102,8 +103,8 @@ def _known(key: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[lead], order[~lead]
 
 
-def _recurring(docs: DataFrame, window: int, length: int) -> DataFrame:
-    """(first, second, shard): the recurring phrases that a shard's documents hold."""
+def _recurring(docs: DataFrame, window: int, length: int, parts: int) -> DataFrame:
+    """(first, second, shard): the recurring phrases that a shard's documents hold; they meet in ``parts`` tasks."""
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, n = [], 0
@@ -157,7 +158,7 @@ def _recurring(docs: DataFrame, window: int, length: int) -> DataFrame:
 
     made = docs.select("id", "shard", "text").mapInArrow(held, "first long, second long, shard int, known boolean")
     spread = F.when(F.col("known"), F.xxhash64("first", "second", "shard")).otherwise(F.xxhash64("first", "second"))
-    return made.repartition(spread).mapInArrow(meet, "first long, second long, shard int")
+    return made.repartition(parts, spread).mapInArrow(meet, "first long, second long, shard int")
 
 
 def automaton_of(phrases: list[str]) -> ahocorasick.Automaton:
@@ -179,8 +180,11 @@ def locate(automaton: ahocorasick.Automaton, letter: np.ndarray, doc: np.ndarray
     return here
 
 
-def _repeats(docs: DataFrame, path: str, window: int, length: int) -> DataFrame:
-    """(id, mark, start, n): runs of windows of a document that occur earlier; ``path`` has the phrases of each shard."""
+def _repeats(docs: DataFrame, path: str, window: int, length: int, parts: int) -> DataFrame:
+    """(id, mark, start, n): runs of windows of a document that occur earlier; ``path`` has the phrases of each shard.
+
+    Windows meet in ``parts`` tasks.
+    """
 
     def load(shard: int) -> ahocorasick.Automaton:
         store, folder = fs.FileSystem.from_uri(f"{path}/shard={shard}")
@@ -267,7 +271,7 @@ def _repeats(docs: DataFrame, path: str, window: int, length: int) -> DataFrame:
 
     # equal windows have equal phrases, so a phrase's windows travel as one row
     made = docs.select("id", "mark", "shard", "text").mapInArrow(windows, "phrase long, id long, mark int, start int, n int, codes binary")
-    return made.repartition("phrase").mapInArrow(judge, "id long, mark int, start int, n int")
+    return made.repartition(parts, "phrase").mapInArrow(judge, "id long, mark int, start int, n int")
 
 
 def dedup_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,9 +287,9 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     # the shard of a row is its partition below
     sharded = source.withColumn("doc_key", F.xxhash64("id", "mark")).withColumn("shard", F.pmod(F.hash("doc_key"), F.lit(shards)).cast("int"))
     path = shared_dir(spark)
-    _recurring(sharded, window, length).distinct().repartition(shards, "shard").write.partitionBy("shard").parquet(path)
+    _recurring(sharded, window, length, shards).distinct().repartition(shards, "shard").write.partitionBy("shard").parquet(path)
     placed = sharded.repartition(shards, "doc_key")
-    repeats = _repeats(placed, path, window, length)
+    repeats = _repeats(placed, path, window, length, shards)
     lists = repeats.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_list(F.struct("start", "n")).alias("found"))
     lists = lists.withColumn("__key", F.xxhash64("__id", "__mark"))
     # on the key that the texts are placed by: Spark moves them once for both

@@ -192,6 +192,15 @@ def test_only_the_automata_find_passages(frame, monkeypatch):
     assert out.where("n_removed > 0").count() == 0
 
 
+def test_phrases_meet_in_as_many_tasks_as_asked_for(frame):
+    """Whatever the session's number of partitions is: the operator asks for as many as it has shards."""
+    docs = frame.select(F.col("doc_id").alias("id"), F.lit(0).alias("mark"), (F.col("doc_id") % 3).cast("int").alias("shard"), F.coalesce("text", F.lit("")).alias("text"))
+    found = phrases._recurring(docs, 20, 8, 13)
+    sizes = found.groupBy(F.spark_partition_id()).count().collect()
+    assert found.rdd.getNumPartitions() == 13
+    assert len(sizes) > 6 and max(r["count"] for r in sizes) < 0.5 * sum(r["count"] for r in sizes)
+
+
 def test_phrases_round_trip():
     letter = phrases.letters_of(common.mix(np.arange(1, 2000, dtype=np.uint64)))
     text = phrases.text_of(letter)
