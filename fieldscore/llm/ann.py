@@ -4,7 +4,8 @@ Each block of vectors keeps, for every random projection, one sorted array of pr
 once and stored: the index. For a radius R a query opens a window of ``half * R`` around its own value in each array,
 and a vector that falls into enough windows is verified with its exact cosine: one within R does so with a chance of
 about 84 %. A query is done when as many vectors as wanted lie within R; for the others the windows grow (virtual
-rehashing: R times ``growth``) until they cover everything.
+rehashing: R times ``growth``) until they cover everything. A block sends only what lies within R, at most ``k`` rows a
+query.
 
 Every block sees all queries, which are streamed from the shared folder in batches; a task holds one block and one
 batch. The first radius is the one that should hold three times the wanted neighbours, by the distances among a bounded
@@ -40,6 +41,8 @@ LENIENCE = 1.0
 BLOCK_ROWS = 4096
 QUERY_BATCH = 1024
 FIT_ROWS = 2000
+#: The score of rows that only count; below every cosine.
+BEHIND = -3.0
 SEED = 20240
 
 
@@ -95,7 +98,8 @@ class Index:
         )
 
     def search(self, row: np.ndarray, queries: np.ndarray, k: int, radius: float, half: float, lenience: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        """For each query (places in the block, cosines, vectors verified) of the ``k`` nearest that collide often enough."""
+        """For each query (places in the block, cosines, vectors verified) of the ``k`` nearest that collide often enough
+        and lie within the radius; nothing else ends a query."""
         m, n = self.values.shape
         at = _units(queries) @ self.axes
         hit = math.erf(half / math.sqrt(2))
@@ -109,9 +113,16 @@ class Index:
             else:  # no two directions are further apart
                 found = np.arange(n)
             found = found[self.row[found] != row[i]]
-            score = cosines(self.vectors[found], query)
+            score, verified = cosines(self.vectors[found], query), len(found)
+            if radius < 2:
+                found, score = found[score >= least_cosine(radius)], score[score >= least_cosine(radius)]
             best = np.lexsort((self.row[found], self.ids[found], -score))[:k]
-            yield found[best], score[best], len(found)
+            yield found[best], score[best], verified
+
+
+def least_cosine(radius: float) -> float:
+    """The cosine of two unit vectors at a distance of ``radius``."""
+    return 1 - radius * radius / 2
 
 
 def first_radius(sample: np.ndarray, wanted: float) -> float:
@@ -126,9 +137,13 @@ def first_radius(sample: np.ndarray, wanted: float) -> float:
 def nearest(
     table: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", projections: int = PROJECTIONS,
     half: float = HALF_WIDTH, growth: float = GROWTH, lenience: float = LENIENCE, block_rows: int = BLOCK_ROWS, fit_rows: int = FIT_ROWS,
+    counts: bool = True,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score, verified) of the ``k`` nearest found for the rows that satisfy ``is_query`` (on column
-    ``id``); ``verified`` is the number of vectors that the query was compared with, over all radii."""
+    """(query_id, rank, vec_id, score) of the ``k`` nearest found for the rows that satisfy ``is_query`` (on column ``id``).
+
+    With ``counts`` also ``verified``, the number of vectors that the query was compared with, over all radii; it takes
+    one more row from each block for each query and radius.
+    """
     spark = table.sparkSession
     rows = stage(clean_vectors(table, id_col, vec_col))
     n = rows.count()
@@ -166,9 +181,10 @@ def nearest(
         if len(row):
             queries = asked.column(2).flatten().to_numpy().reshape(-1, size)
             for i, (places, score, verified) in enumerate(block.search(row, queries, k, now, half, lenience)):
-                count = np.zeros(len(places), np.int64)
-                count[:1] = verified
-                for out, x in zip(found, (np.full(len(places), row[i]), np.full(len(places), ids[i]), block.row[places], block.ids[places], score, count), strict=True):
+                made = block.row[places], block.ids[places], score, np.zeros(len(places), np.int64)
+                if counts:  # a row of its own, behind all others
+                    made = tuple(np.append(x, y) for x, y in zip(made, (-1, 0, BEHIND, verified), strict=True))
+                for out, x in zip(found, (np.full(len(made[0]), row[i]), np.full(len(made[0]), ids[i]), *made), strict=True):
                     out.append(x)
         return arrow_rows(**dict(zip(("query", "query_id", "row", "vec_id", "score", "verified"), map(np.concatenate, found), strict=True)))
 
@@ -179,21 +195,23 @@ def nearest(
         left.select("row", "id", "vec").write.parquet(path)
         left = spark.read.schema(rows.schema).parquet(path)
         found = index.repartition(blocks).mapInArrow(search_with(path, radius), "query long, query_id long, row long, vec_id long, score double, verified long")
-        order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
-        ranked = found.withColumns({"rank": F.row_number().over(order), "verified": F.sum("verified").over(Window.partitionBy("query"))}).where(F.col("rank") <= k)
+        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")))
+        if counts:
+            ranked = ranked.withColumn("verified", F.sum("verified").over(Window.partitionBy("query")))
+        ranked = ranked.where((F.col("rank") <= k) | (F.col("row") < 0) if counts else F.col("rank") <= k)
         if before is not None:
             ranked = ranked.join(before, "query", "left").withColumn("verified", F.col("verified") + F.coalesce("before", F.lit(0))).drop("before")
         ranked = stage(ranked)
-        # on the unit sphere a distance of r is a cosine of 1 - r * r / 2
-        near = ranked.groupBy("query").agg(F.count_if(F.col("score") >= (1 - radius * radius / 2 if radius < 2 else -2.0)).alias("near"), F.first("verified").alias("before"))
+        near = ranked.groupBy("query").agg(F.count_if(F.col("row") >= 0).alias("near"), F.first("verified").alias("before"))
         over = near.where(F.col("near") >= k) if radius < 2 else near
-        part = ranked.join(over.select("query"), "query")
+        part = ranked.where("row >= 0").join(over.select("query"), "query")
         done = part if done is None else done.unionByName(part)
         if radius >= 2:
             break
-        before = stage(near.where(F.col("near") < k).select("query", "before"))
+        if counts:
+            before = stage(near.where(F.col("near") < k).select("query", "before"))
         left = left.join(over.select(F.col("query").alias("row")), "row", "left_anti")
         if left.isEmpty():
             break
         radius = min(2.0, radius * growth)
-    return done.select("query_id", F.col("rank").cast("int"), "vec_id", "score", "verified")
+    return done.select("query_id", F.col("rank").cast("int"), "vec_id", "score", *(["verified"] if counts else []))

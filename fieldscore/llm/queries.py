@@ -65,7 +65,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, counts=False)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -234,6 +234,28 @@ def test_rows_that_repeat_an_id_are_candidates(spark):
     assert got == [(0, 1, 0), (0, 1, 0), (0, 2, 7), (0, 2, 7)]
 
 
+def test_a_block_sends_only_what_lies_within_the_radius():
+    vectors = np.random.default_rng(3).standard_normal((500, 16))
+    row = np.arange(500)
+    index = ann.Index.build(row, row, vectors, 32)
+    least = ann.least_cosine(0.9)
+    sent = list(index.search(row[:40], vectors[:40], 5, 0.9, ann.HALF_WIDTH, ann.LENIENCE))
+    for i, (found, score, verified) in enumerate(sent):
+        assert len(found) <= 5 and verified >= len(found) and i not in found
+        assert (score >= least).all()
+    # most queries have fewer than five neighbours so near
+    assert sum(len(found) for found, _, _ in sent) < 40 * 5 < sum(verified for *_, verified in sent)
+
+
+def test_counts_change_no_neighbours(spark):
+    vectors = [(i, [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(4).standard_normal((300, 8)))]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    names = ("query_id", "rank", "vec_id", "score")
+    plain = ann.nearest(frame, F.col("id") % 50 == 0, counts=False, block_rows=64)
+    assert plain.columns == list(names)
+    assert rows(plain, *names) == rows(ann.nearest(frame, F.col("id") % 50 == 0, block_rows=64), *names)
+
+
 def test_neighbours_edges(spark):
     nan, inf = float("nan"), float("inf")
     vectors = [(0, [1.0, 0.0]), (50, [0.0, 1.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (None, [1.0, 1.0]), (8, [1.0, 2.0, 3.0]), (100, [1.0, 1.0, 1.0])]
