@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import cer, edits, edits_of_any_length, edits_within, list_anls, string_anls
+from ..functions.distance import cer, edit_ops, edits, edits_of_any_length, edits_within, list_anls, string_anls
 from ..registry import BANDS, THRESHOLDS, thresholds
 from .align import align_paths
 
@@ -40,6 +40,19 @@ def error_rates(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def error_split(pairs: DataFrame, *by: str, hyp: str = "hyp", ref: str = "ref") -> DataFrame:
+    """(substitutions, deletions, insertions, ref_chars, micro, macro) in one pass over the pairs.
+
+    Pairs whose reference is null or empty are left out, and a group that has no others gives no row; a null hypothesis counts as an empty text.
+    """
+    kinds = ("substitutions", "deletions", "insertions")
+    rows = pairs.where(F.length(ref) > 0).select(*by, F.length(ref).cast("long").alias("n"), edit_ops(F.col(ref), F.col(hyp)).alias("ops"))
+    total = F.col("ops.substitutions") + F.col("ops.deletions") + F.col("ops.insertions")
+    return rows.groupBy(*by).agg(
+        *[F.sum(f"ops.{k}").alias(k) for k in kinds], F.sum("n").alias("ref_chars"), (F.sum(total) / F.sum("n")).alias("micro"), F.avg(total / F.col("n")).alias("macro"),
+    )
+
+
 def micro_cer(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """All edits over all reference characters."""
     return scored.groupBy(*by).agg((F.sum("edits") / F.sum("ref_len")).alias("micro_cer"), F.sum("edits").alias("edits"), F.sum("ref_len").alias("ref_chars"))

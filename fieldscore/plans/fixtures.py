@@ -78,6 +78,9 @@ FIXTURES: dict[str, str] = {
     # boxes: words of documents at computed places
     "words": """SELECT doc_id, i, word, (i // 8) * 20 + (i * 7919) % 5 AS y, (i % 8) * 50 AS x, 12 + i % 3 AS h,
         CASE WHEN i % 17 = 0 THEN NULL ELSE (i * 31) % 100 END AS conf FROM {words}""",
+    # short texts and what readers made of them, some with letters beyond ASCII
+    "readings": """SELECT p_partkey AS doc_id, p_brand AS brand, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_name END AS ref,
+        CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, 'i', 'ü') WHEN 2 THEN reverse(p_name) WHEN 3 THEN concat(substr(p_name, 3), p_brand) WHEN 4 THEN '' ELSE p_type END AS hyp FROM part""",
     # histories and trials
     "epochs": "SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, value, ts FROM events",
     "trials": """SELECT o_custkey % 20 AS study, o_orderkey AS trial, CASE WHEN o_orderstatus = 'F' THEN 'COMPLETE' WHEN o_orderstatus = 'P' THEN 'PRUNED' ELSE 'FAIL' END AS state,

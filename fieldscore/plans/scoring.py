@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import partial
+from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,17 +123,39 @@ def q_anls_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(nodes.groupBy("path").agg(F.count(F.lit(1)).alias("records"), F.avg("score").alias("anls")))
 
 
-@query()
-def q_anls_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists of six words, all of a document; they have a best matching, which SQL can't express; tested against permutations."""
+def _list_scores(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """All words of a document as lists of ``size``, matched against what a reader made of them."""
     pairs = fixture(spark, sf_dir, "pairs").select("doc_id", F.split("hyp", " ").alias("h"), F.split("ref", " ").alias("r"))
-    last = F.expr("(greatest(size(h), size(r)) - 1) DIV 6").cast("int")
+    last = F.floor((F.greatest(F.size("h"), F.size("r")) - 1) / size).cast("int")
     rows = pairs.select("doc_id", "h", "r", F.explode(F.sequence(F.lit(0), last)).alias("k"))
-    six = lambda c: F.slice(c, F.col("k") * 6 + 1, F.lit(6))
-    scored = _spread(rows.select("doc_id", "k", six("h").alias("h"), six("r").alias("r")), "doc_id", "k").select("doc_id", list_anls(F.col("h"), F.reverse("r")).alias("score"))
+    part = lambda c: F.slice(c, F.col("k") * size + 1, F.lit(size))
+    scored = _spread(rows.select("doc_id", "k", part("h").alias("h"), part("r").alias("r")), "doc_id", "k").select("doc_id", list_anls(F.col("h"), F.reverse("r")).alias("score"))
     return rounded(scored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lists"), F.avg("score").alias("score")))
 
 
+@query()
+def q_anls_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of six words, all of a document; too many orders for SQL, tested against permutations."""
+    return _list_scores(spark, sf_dir, 6)
+
+
+FOUR = range(1, 5)
+#: The score of an item on each side; items that a list doesn't have score 0.
+_ITEM = """CAST(CASE WHEN h[{i}] = r[{j}] THEN 1 WHEN h[{i}] = '' OR r[{j}] = '' THEN 0 WHEN 1 - levenshtein(h[{i}], r[{j}]) / greatest(length(h[{i}]), length(r[{j}]))::DOUBLE >= 0.5
+    THEN 1 - levenshtein(h[{i}], r[{j}]) / greatest(length(h[{i}]), length(r[{j}]))::DOUBLE ELSE 0 END AS DOUBLE) AS s{i}{j}"""
+_ITEMS = ", ".join(_ITEM.format(i=i, j=j) for i in FOUR for j in FOUR)
+_ORDERS = ", ".join(" + ".join(f"s{i}{j}" for i, j in zip(FOUR, order, strict=True)) for order in permutations(FOUR))
+
+
+@query(f"""WITH w AS (SELECT doc_id, string_split(hyp, ' ') AS h, string_split(ref, ' ') AS r FROM {duck('pairs')}),
+    k AS (SELECT doc_id, h, r, unnest(range(0, (greatest(len(h), len(r)) - 1) // 4 + 1)) AS k FROM w),
+    l AS (SELECT doc_id, h[k * 4 + 1 : k * 4 + 4] AS h, r[k * 4 + 1 : k * 4 + 4] AS r FROM k), s AS (SELECT doc_id, greatest(len(h), len(r)) AS n, {_ITEMS} FROM l)
+    SELECT doc_id, count(*) AS lists, round(avg(greatest({_ORDERS}) / n), 6) AS score FROM s GROUP BY doc_id""")
+def q_anls_lists_of_four(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of four words, all of a document; the SQL tries all 24 orders."""
+    return _list_scores(spark, sf_dir, 4)
+
+
 @query(f"""SELECT doc_id, pos, round(CASE WHEN hyp = '' AND ref = '' THEN 1.0 WHEN hyp = '' OR ref = '' THEN 0.0 WHEN 1 - levenshtein(hyp, ref) / greatest(length(hyp), length(ref))::DOUBLE >= 0.5
     THEN 1 - levenshtein(hyp, ref) / greatest(length(hyp), length(ref))::DOUBLE ELSE 0.0 END, 6) AS anls FROM {duck('pairs')}""")
 def q_anls_string(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,6 +237,29 @@ def q_edit_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("lang").agg(total.alias("edits"), (total == F.sum("edits")).alias("adds_up"))
 
 
+#: The table of distances cell by cell, ``1000 * distance + substitutions`` in each: of equally cheap ways a match or
+#: substitution comes first, then a deletion.
+_CELLS = f"""WITH RECURSIVE t AS (SELECT doc_id, brand, ref, hyp, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS above, [x * 1000 for x in range(0, length(hyp) + 1)] AS here FROM {duck('readings')}
+    UNION ALL SELECT doc_id, brand, ref, hyp, CASE WHEN j > length(hyp) THEN i + 1 ELSE i END, CASE WHEN j > length(hyp) THEN here ELSE above END,
+        CASE WHEN j > length(hyp) THEN [(i + 1) * 1000] ELSE list_append(here, CASE WHEN slant // 1000 <= above[j + 1] // 1000 + 1 AND slant // 1000 <= here[j] // 1000 + 1 THEN slant
+            WHEN above[j + 1] // 1000 <= here[j] // 1000 THEN above[j + 1] + 1000 ELSE here[j] + 1000 END) END
+      FROM (SELECT *, len(here) AS j, above[len(here)] + CASE WHEN substr(ref, i, 1) = substr(hyp, len(here), 1) THEN 0 ELSE 1001 END AS slant FROM t WHERE i < length(ref) OR len(here) <= length(hyp)) AS c),
+    o AS (SELECT doc_id, brand, length(ref) AS n, here[-1] // 1000 AS edits, here[-1] % 1000 AS substitutions, length(ref) - length(hyp) AS apart FROM t WHERE i = length(ref) AND len(here) = length(hyp) + 1),
+    e AS (SELECT doc_id, brand, n, edits, substitutions, (edits - substitutions + apart) // 2 AS deletions, (edits - substitutions - apart) // 2 AS insertions FROM o)"""
+
+
+@query(f"{_CELLS} SELECT doc_id, substitutions, deletions, insertions FROM e")
+def q_edit_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _spread(fixture(spark, sf_dir, "readings"), "doc_id")
+    return rows.select("doc_id", edit_ops(F.col("ref"), F.col("hyp")).alias("ops")).select("doc_id", "ops.*")
+
+
+@query(f"""{_CELLS} SELECT brand, CAST(sum(substitutions) AS BIGINT) AS substitutions, CAST(sum(deletions) AS BIGINT) AS deletions, CAST(sum(insertions) AS BIGINT) AS insertions,
+    CAST(sum(n) AS BIGINT) AS ref_chars, round(sum(edits) / sum(n), 6) AS micro, round(avg(edits / n), 6) AS macro FROM e WHERE n > 0 GROUP BY brand""")
+def q_error_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.error_split(_spread(fixture(spark, sf_dir, "readings"), "doc_id"), "brand"))
+
+
 @query(f"""WITH x AS (SELECT doc_id, regexp_replace(lower(gt), '[^a-z0-9{{}}":,]', '', 'g') AS a, regexp_replace(lower(pred), '[^a-z0-9{{}}":,]', '', 'g') AS b FROM {duck('f1')}),
     y AS (SELECT doc_id, CASE WHEN json_type(TRY_CAST(b AS JSON)) = 'OBJECT' THEN 1 ELSE 0 END AS structured, levenshtein(a, b) AS raw FROM x)
     SELECT count(*) AS n, CAST(sum(structured) AS BIGINT) AS structured, CAST(sum(raw) AS BIGINT) AS raw_edits FROM y""")

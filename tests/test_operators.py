@@ -244,3 +244,11 @@ def test_leaderboard_ranks_within_data_sets(spark):
     assert {(x.d, x.run): x["rank"] for x in board.collect()} == want
     places = history.ranked(spark.createDataFrame([("a", v, 1) for v in range(50)], "d string, v int, n int"), "d", "v", "n", width=7)
     assert {x.v: x["rank"] for x in places.collect()} == {v: v + 1 for v in range(50)}
+
+
+def test_error_split_leaves_out_empty_references(spark):
+    pairs = [("a", "abc", "abd"), ("a", "abc", "ab"), ("a", "abc", None), ("a", "", "x"), ("a", None, "x"), ("b", "", ""), ("c", "ä", "xä")]
+    out = metrics.error_split(spark.createDataFrame(pairs, "kind string, ref string, hyp string"), "kind")
+    assert out.columns == ["kind", "substitutions", "deletions", "insertions", "ref_chars", "micro", "macro"]
+    assert rows(out) == [("a", 1, 4, 0, 9, 5 / 9, pytest.approx((1 / 3 + 1 / 3 + 1) / 3)), ("c", 0, 0, 1, 1, 1.0, 1.0)]
+    assert metrics.error_split(spark.createDataFrame([], "kind string, ref string, hyp string"), "kind").count() == 0
