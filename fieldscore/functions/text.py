@@ -51,7 +51,12 @@ def schema_form(text: Column, fold=None) -> Column:
 
 def content_form(text: Column, fold=None) -> Column:
     """For scores that don't: also without what is no digit, letter or hyphen."""
-    return F.regexp_replace(schema_form(text, fold), r"[^0-9a-zäöüß\-]+", "")
+    return content_only(schema_form(text, fold))
+
+
+def content_only(form: Column) -> Column:
+    """The digits, letters and hyphens of a schema form."""
+    return F.regexp_replace(form, r"[^0-9a-zäöüß\-]+", "")
 
 
 def decimal_comma(text: Column) -> Column:

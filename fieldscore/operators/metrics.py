@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import cer, edit_ops, edits, edits_of_any_length, edits_within, list_anls, string_anls
+from ..functions.distance import edit_ops, edits, edits_of_any_length, edits_within, list_anls, string_anls
 from ..registry import BANDS, THRESHOLDS, thresholds
 from .align import align_paths
 
@@ -192,10 +192,10 @@ def latency_summary(requests: DataFrame, model: str, latency: str, hit: str) ->
 
 def two_forms(pairs: DataFrame, hyp: str, ref: str, fold=None) -> DataFrame:
     """Rates of the schema form and the content form side by side, micro over all rows."""
-    from ..functions.text import content_form, schema_form
+    from ..functions.text import content_only, schema_form
 
-    out = pairs
-    for name, form in (("schema", schema_form), ("content", content_form)):
-        h, r = form(F.col(hyp), fold), form(F.col(ref), fold)
-        out = out.withColumn(f"{name}_edits", edits(h, r).cast("long")).withColumn(f"{name}_len", F.length(r).cast("long")).withColumn(f"{name}_cer", cer(h, r))
-    return out.agg(*[x for n in ("schema", "content") for x in ((F.sum(f"{n}_edits") / F.sum(f"{n}_len")).alias(f"{n}_micro"), F.avg(f"{n}_cer").alias(f"{n}_macro"))])
+    forms = pairs.select(schema_form(F.col(hyp), fold).alias("schema_hyp"), schema_form(F.col(ref), fold).alias("schema_ref"))
+    forms = forms.withColumns({f"content_{side}": content_only(F.col(f"schema_{side}")) for side in ("hyp", "ref")})
+    out = forms.select(*[x for n in ("schema", "content") for x in (edits(F.col(f"{n}_hyp"), F.col(f"{n}_ref")).cast("long").alias(f"{n}_edits"), F.length(f"{n}_ref").cast("long").alias(f"{n}_len"))])
+    rate = lambda n: F.col(f"{n}_edits") / F.greatest(F.lit(1), F.col(f"{n}_len"))
+    return out.agg(*[x for n in ("schema", "content") for x in ((F.sum(f"{n}_edits") / F.sum(f"{n}_len")).alias(f"{n}_micro"), F.avg(rate(n)).alias(f"{n}_macro"))])

@@ -12,7 +12,7 @@ from ..sources import jsonl, reports
 from ..sources.scratch import scratch_dir
 from ..streaming import jobs
 from .fixtures import duck, fixture
-from .scoring import rounded
+from .scoring import _spread, rounded
 
 QUERIES, ORACLE = {}, {}
 
@@ -265,7 +265,7 @@ def q_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT count(*) AS n, round(avg(CASE WHEN hyp = '' THEN length(ref) WHEN ref = '' THEN length(hyp) ELSE levenshtein(hyp, ref) END / greatest(1, length(ref))), 6) AS mean FROM {duck('pairs')}")
 def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark)
-    few = rounded(metrics.cer_statistics(metrics.pair_scores(fixture(spark, sf_dir, "pairs"))).select("n", "mean"))
+    few = rounded(metrics.cer_statistics(metrics.pair_scores(_spread(fixture(spark, sf_dir, "pairs"), "doc_id", "pos"))).select("n", "mean"))
     reports.write_report(few, path)
     return spark.read.schema("n long, mean double").option("header", True).csv(f"{path}/csv")
 

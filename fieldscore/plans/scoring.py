@@ -159,7 +159,8 @@ def q_anls_lists_of_four(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT doc_id, pos, round(CASE WHEN hyp = '' AND ref = '' THEN 1.0 WHEN hyp = '' OR ref = '' THEN 0.0 WHEN 1 - levenshtein(hyp, ref) / greatest(length(hyp), length(ref))::DOUBLE >= 0.5
     THEN 1 - levenshtein(hyp, ref) / greatest(length(hyp), length(ref))::DOUBLE ELSE 0.0 END, 6) AS anls FROM {duck('pairs')}""")
 def q_anls_string(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(fixture(spark, sf_dir, "pairs").select("doc_id", F.col("pos").cast("long"), string_anls(F.col("hyp"), F.col("ref")).alias("anls")))
+    pairs = _spread(fixture(spark, sf_dir, "pairs").select("doc_id", "pos", "hyp", "ref"), "doc_id", "pos")
+    return rounded(pairs.select("doc_id", F.col("pos").cast("long"), string_anls(F.col("hyp"), F.col("ref")).alias("anls")))
 
 
 # -- text pairs ------------------------------------------------------------------------------------------------------
@@ -232,7 +233,7 @@ for _name in ("q_cer", "q_cer_stats", "q_macro_micro", "q_weighted", "q_bands",
 
 @query(f"{_SCORED} SELECT lang, CAST(sum(edits) AS BIGINT) AS edits, true AS adds_up FROM s GROUP BY lang")
 def q_edit_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _spread(_scored(spark, sf_dir), "doc_id", "pos").withColumn("ops", edit_ops(F.col("ref"), F.col("hyp")))
+    rows = _scored(spark, sf_dir).withColumn("ops", edit_ops(F.col("ref"), F.col("hyp")))
     total = F.sum(F.col("ops.substitutions") + F.col("ops.deletions") + F.col("ops.insertions"))
     return rows.groupBy("lang").agg(total.alias("edits"), (total == F.sum("edits")).alias("adds_up"))
 
@@ -286,7 +287,7 @@ def q_structured_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
            round(sum(CASE WHEN chyp = '' THEN length(cref) WHEN cref = '' THEN length(chyp) ELSE levenshtein(chyp, cref) END) / sum(length(cref)), 6) AS content_micro,
            round(avg(CASE WHEN chyp = '' THEN length(cref) WHEN cref = '' THEN length(chyp) ELSE levenshtein(chyp, cref) END / greatest(1, length(cref))), 6) AS content_macro FROM c""")
 def q_two_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = fixture(spark, sf_dir, "forms").select("ref", F.replace(F.lower("ref"), F.lit("e"), F.lit(".")).alias("hyp"))
+    pairs = _spread(fixture(spark, sf_dir, "forms"), "doc_id", "pos").select("ref", F.replace(F.lower("ref"), F.lit("e"), F.lit(".")).alias("hyp"))
     return rounded(metrics.two_forms(pairs, "hyp", "ref"))
 
 

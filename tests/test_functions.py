@@ -3,6 +3,8 @@
 import itertools
 import json
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -188,3 +190,53 @@ def test_distance_of_long_texts(spark):
     rows = [(long, long[:-3]), (long, long), ("", long), ("kurz", "kürz"), (None, long)]
     df = spark.createDataFrame(rows, "a string, b string")
     assert [x[0] for x in df.select(D.edits_of_any_length(F.col("a"), F.col("b"))).collect()] == [3, 0, len(long), 1, None]
+
+
+def plain(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def _near(rng, text, letters):
+    out = list(text)
+    for _ in range(rng.randint(0, 6)):
+        at = rng.randint(0, len(out))
+        out[at : at + rng.randint(0, 2)] = rng.choices(letters, k=rng.randint(0, 2))
+    return "".join(out)
+
+
+def test_distances_of_many_pairs():
+    """Pairs of all lengths around whole words of bits, near and far ones, against the plain table; long texts in little time."""
+    rng, letters = random.Random(3), "abcäß€𝄞"
+    pairs = []
+    for _ in range(300):
+        a = "".join(rng.choices(letters, k=rng.choice([0, 1, 2, 20, 63, 64, 65, 128, 140])))
+        pairs.append((a, _near(rng, a, letters) if rng.random() < 0.6 else "".join(rng.choices(letters, k=rng.randint(0, 140)))))
+    want = [plain(a, b) for a, b in pairs]
+    assert D.distances(*zip(*pairs)).tolist() == want
+    assert [D._by_bits(a, b) for a, b in pairs if a and b] == [w for (a, b), w in zip(pairs, want) if a and b]
+    assert [D._farthest(a, b, 300) for a, b in pairs if len(a) <= len(b)] == [w for (a, b), w in zip(pairs, want) if len(a) <= len(b)]
+    text = "".join(rng.choices("abcdefghij ", k=40_000))
+    started = time.time()
+    assert D.long_distance(text, re.sub("(.{80}).", r"\1", text)) == 493
+    assert time.time() - started < 20
+
+
+@pytest.mark.parametrize("n, m", [(1, 1), (2, 4), (4, 2), (4, 4), (5, 6)])
+def test_matchings_of_many_tables(n, m):
+    score = np.random.default_rng(n).choice([0, 0.5, 0.6, 0.9, 1.0], (40, n, m))
+    for s, got in zip(score, D.best_matchings(score), strict=True):
+        wide = s if n <= m else s.T
+        assert abs(got - max(sum(wide[i, c] for i, c in enumerate(o)) for o in itertools.permutations(range(wide.shape[1]), wide.shape[0]))) < 1e-9
+
+
+def test_plain_substitutions_fill_no_table(monkeypatch):
+    monkeypatch.setattr(D, "_tables", None)
+    ref = "the letter e is read as another one, here and there" * 4
+    swapped, deleted, added = D.alignments([ref, ref, ref], [ref.replace("e", "c"), ref + " and more", ref[:10] + ref[14:]])
+    assert swapped.tolist() == [ref.count("e"), 0, 0] and deleted.tolist() == [0, 0, 4] and added.tolist() == [0, 9, 0]
