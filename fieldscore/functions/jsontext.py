@@ -79,6 +79,11 @@ def items(text: Column) -> Column:
     return F.zip_with(F.from_json(text, "array<string>"), F.from_json(text, "array<variant>"), lambda a, b: F.struct(a.alias("text"), b.alias("v")))
 
 
+def once(value: Column, then) -> Column:
+    """``then`` of a column that is made once, as the element of an array."""
+    return F.transform(F.array(value), then)[0]
+
+
 def is_list(variant: Column) -> Column:
     """Whether a variant is a list."""
     return F.coalesce(F.schema_of_variant(variant).startswith("ARRAY<"), F.lit(False))

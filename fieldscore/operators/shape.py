@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsontext import is_list, is_number, is_object, items, last_of_each, leaf_string, members, number_text, shown_leaf, strict_object
+from ..functions.jsontext import is_list, is_number, is_object, items, last_of_each, leaf_string, members, number_text, once, shown_leaf, strict_object
 from ..functions.text import strip
 from ..registry import schema_fields
 from .align import packed
@@ -22,21 +22,23 @@ def leaves(rows: DataFrame, id_cols: Sequence[str], json_col: str, open_lists: b
     often as it has brackets or until nothing is left to open, so the table is read once.
     """
     text, root = F.col(json_col), strict_object(F.col(json_col))
-    node = lambda path, text, v: F.struct(path.alias("path"), text.alias("text"), v.alias("v"))
+    kinds = ("OBJECT", "ARRAY<") if open_lists else ("OBJECT",)
+    # whether there is something to open is seen once, when a node is made
+    closed = lambda v: F.coalesce(F.substring(F.schema_of_variant(v), 1, 6).isin(*kinds), F.lit(False))
+    node = lambda path, text, v: F.struct(path.alias("path"), text.alias("text"), v.alias("v"), closed(v).alias("closed"))
     below = lambda n, key: F.when(n["path"] == "", key).otherwise(F.concat(n["path"], F.lit("."), key))
-    closed = lambda n: is_object(n["v"]) | is_list(n["v"]) if open_lists else is_object(n["v"])
 
     def opened(n: Column) -> Column:
-        out = F.when(is_object(n["v"]), F.transform(members(n["text"]), lambda e: node(below(n, e["key"]), e["text"], e["v"])))
+        out = F.when(~n["closed"], F.array(n)).when(is_object(n["v"]), F.transform(members(n["text"]), lambda e: node(below(n, e["key"]), e["text"], e["v"])))
         if open_lists:
-            out = out.when(is_list(n["v"]), F.transform(items(n["text"]), lambda e, i: node(below(n, i.cast("string")), e["text"], e["v"])))
-        return out.otherwise(F.array(n))
+            out = out.otherwise(F.transform(items(n["text"]), lambda e, i: node(below(n, i.cast("string")), e["text"], e["v"])))
+        return out
 
     brackets = F.length(text) - F.length(F.translate(text, "{[", ""))
     start = F.struct(F.array(node(F.lit(""), text, root)).alias("nodes"), F.lit(True).alias("more"))
 
     def level(a: Column, _: Column) -> Column:
-        more = F.exists(a["nodes"], closed)
+        more = F.exists(a["nodes"], lambda n: n["closed"])
         return F.when(a["more"] & more, F.struct(F.flatten(F.transform(a["nodes"], opened)).alias("nodes"), F.lit(True).alias("more"))).otherwise(
             F.struct(a["nodes"].alias("nodes"), F.lit(False).alias("more"))
         )
@@ -179,28 +181,33 @@ def nested_report(rows: DataFrame, id_cols: Sequence[str], json_col: str) -> Dat
     def grid(named: Column) -> Column:
         """Rows (key, members) with the same keys: the first gives the order."""
         keys = F.transform(named[0]["own"], lambda e: e["key"])
-        line = lambda r: row(F.concat(F.array(escaped(r["key"])), F.transform(keys, lambda k: cell(F.filter(r["own"], lambda e: e["key"] == k)[0]))))
+        line = lambda r: row(F.concat(F.array(escaped(r["key"])), F.transform(keys, lambda k: F.transform(F.filter(r["own"], lambda e: e["key"] == k), cell)[0])))
         rule = F.concat(F.lit("| --- | "), F.array_join(F.transform(keys, lambda k: F.lit("---")), " | "), F.lit(" |\n"))
         return F.concat(F.lit("|  | "), F.array_join(F.transform(keys, escaped), " | "), F.lit(" |\n"), rule, F.array_join(F.transform(named, line), ""), F.lit("\n"))
 
     def alike(named: Column) -> Column:
         keys = lambda r: F.array_sort(F.transform(r["own"], lambda e: e["key"]))
-        return (F.size(named) > 0) & (F.size(named[0]["own"]) > 0) & F.forall(named, lambda r: keys(r) == keys(named[0]))
+        return (F.size(named) > 0) & (F.size(named[0]["own"]) > 0) & once(keys(named[0]), lambda first: F.forall(named, lambda r: keys(r) == first))
 
     named = lambda key, text: F.struct(key.alias("key"), members(text).alias("own"))
 
     def section(e: Column) -> Column:
-        own, parts = members(e["text"]), items(e["text"])
-        of_object = F.transform(own, lambda x: named(x["key"], x["text"]))
-        of_list = F.transform(parts, lambda x, i: named(F.concat(F.lit("#"), (i + 1).cast("string")), x["text"]))
-        column = F.concat(F.lit("| Value |\n| --- |\n"), F.array_join(F.transform(parts, lambda x: row(F.array(escaped(shown(x["v"], x["text"]))))), ""), F.lit("\n"))
-        body = (
-            F.when(is_object(e["v"]) & F.forall(own, lambda x: is_object(x["v"])) & alike(of_object), grid(of_object))
-            .when(is_object(e["v"]), F.when(F.size(own) > 0, table(own)).otherwise(""))
-            .when(~F.exists(parts, lambda x: inside(x["v"])), column)
-            .when(F.forall(parts, lambda x: is_object(x["v"])) & alike(of_list), grid(of_list))
-            .otherwise(F.concat(F.lit("```json\n"), e["text"], F.lit("\n```\n\n")))
-        )
+        objects = lambda es: F.forall(es, lambda x: is_object(x["v"]))
+        no_grid = F.lit(None).cast("string")
+        grid_of = lambda able, es, name: F.when(able, once(F.transform(es, name), lambda rows: F.when(alike(rows), grid(rows)))).otherwise(no_grid)
+
+        def of_object(own: Column) -> Column:
+            fields = F.when(F.size(own) > 0, table(own)).otherwise("")
+            return F.coalesce(grid_of(objects(own), own, lambda x: named(x["key"], x["text"])), fields)
+
+        def of_list(parts: Column) -> Column:
+            column = F.concat(F.lit("| Value |\n| --- |\n"), F.array_join(F.transform(parts, lambda x: row(F.array(escaped(shown(x["v"], x["text"]))))), ""), F.lit("\n"))
+            numbered = lambda x, i: named(F.concat(F.lit("#"), (i + 1).cast("string")), x["text"])
+            rest = F.concat(F.lit("```json\n"), e["text"], F.lit("\n```\n\n"))
+            return F.when(~F.exists(parts, lambda x: inside(x["v"])), column).otherwise(F.coalesce(grid_of(objects(parts), parts, numbered), rest))
+
+        # members, items and rows of a grid are made once
+        body = F.when(is_object(e["v"]), once(members(e["text"]), of_object)).otherwise(once(items(e["text"]), of_list))
         return F.concat(F.lit("#### "), e["key"], F.lit("\n\n"), body)
 
     made = rows.where(strict_object(F.col(json_col)).isNotNull()).select(*id_cols, members(F.col(json_col)).alias("all"))

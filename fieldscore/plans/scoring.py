@@ -42,7 +42,7 @@ def _spread(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def _longs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    f1 = fixture(spark, sf_dir, "f1")
+    f1 = _spread(fixture(spark, sf_dir, "f1"), "doc_id")
     documents = f1.select("doc_id", J.strict_object(F.col("pred")).isNotNull().alias("valid"))
     return shape.flatten_typed(f1, ["doc_id"], "gt", PATHS), shape.flatten_typed(f1, ["doc_id"], "pred", PATHS), documents
 
@@ -441,12 +441,12 @@ def _tree(j: str, where: str = "instr(t.fullkey, '[') = 0 AND t.type <> 'OBJECT'
 
 @query(f"WITH {_STAIR}, l AS ({_tree('q')}) SELECT doc_id, path, value FROM l")
 def q_paths_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shape.flatten(fixture(spark, sf_dir, "stairs"), ["doc_id"], "pred")
+    return shape.flatten(_spread(fixture(spark, sf_dir, "stairs"), "doc_id"), ["doc_id"], "pred")
 
 
 @query(f"""WITH {_STAIR}, l AS ({_tree('q', "t.type NOT IN ('OBJECT', 'ARRAY', 'NULL')")}) SELECT doc_id, string_agg(trim(value), ' ' ORDER BY id) AS text FROM l WHERE trim(value) <> '' GROUP BY doc_id""")
 def q_leaf_text_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shape.leaf_text(shape.leaves(fixture(spark, sf_dir, "stairs"), ["doc_id"], "pred", open_lists=True), ["doc_id"])
+    return shape.leaf_text(shape.leaves(_spread(fixture(spark, sf_dir, "stairs"), "doc_id"), ["doc_id"], "pred", open_lists=True), ["doc_id"])
 
 
 @query(f"WITH {_STAIR} SELECT doc_id, CAST(json(q) AS VARCHAR) AS record FROM r")
@@ -469,7 +469,7 @@ def _rows(*cells: str) -> str:
     ' |/| Down | ', "g->'Runs'->'Down'", ' |//#### Area//|  | w | note |/| --- | --- | --- |/| north | ', "g->'Area'->'north'->>'w'", ' | ', "g->'Area'->'north'->>'note'", ' |/| south | ', "g->'Area'->'south'->>'w'",
     ' | a\\|b |//#### Marks//| Value |/| --- |/| ', "g->'Marks'->>0", ' |/| ✓ |//#### Also//')}) AS report FROM r""")
 def q_nested_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shape.nested_report(fixture(spark, sf_dir, "stairs"), ["doc_id"], "gt")
+    return shape.nested_report(_spread(fixture(spark, sf_dir, "stairs"), "doc_id"), ["doc_id"], "gt")
 
 
 def _sim(a: str, b: str) -> str:
@@ -486,7 +486,7 @@ def _sim(a: str, b: str) -> str:
     n AS (SELECT doc_id, array_to_string(parts[1:k], '.') AS path, score, weight FROM (SELECT *, unnest(range(0, len(parts) + 1)) AS k FROM (SELECT *, string_split(path, '.') AS parts FROM s))),
     d AS (SELECT doc_id, path, sum(score * weight) / sum(weight) AS score FROM n GROUP BY ALL) SELECT path, count(*) AS records, round(avg(score), 6) AS anls FROM d GROUP BY path""")
 def q_anls_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stairs = fixture(spark, sf_dir, "stairs")
+    stairs = _spread(fixture(spark, sf_dir, "stairs"), "doc_id")
     side = lambda c: shape.leaves(stairs, ["doc_id"], c)
     nodes = metrics.anls_paths(metrics.anls_leaves(side("gt"), side("pred"), "doc_id"), "doc_id")
     return rounded(nodes.groupBy("path").agg(F.count(F.lit(1)).alias("records"), F.avg("score").alias("anls")))

@@ -97,3 +97,15 @@ def test_streams_cross_batches(spark):
     query = stream.writeStream.foreachBatch(lambda df, i: seen.update({i: {r.run for r in df.select("run").distinct().collect()}}))
     query.option("checkpointLocation", books.scratch_dir(spark)).trigger(availableNow=True).start().awaitTermination()
     assert len(seen) > 1 and seen[0] & seen[1]
+
+
+@pytest.mark.parametrize("name", ["q_paths_deep", "q_leaf_text_ordered", "q_nested_report", "q_anls_nested", "q_sheet_records", "q_field_cer", "q_two_forms", "q_anls_string"])
+def test_rows_of_one_file_are_spread(spark, name):
+    """A small file is one task; what costs much for each row runs behind an exchange."""
+    assert "REPARTITION_BY_NUM" in queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_detections_send_numbers_only(spark):
+    plan = queries()["q_detections"](spark, SF)._jdf.queryExecution().optimizedPlan()
+    packed = [line for line in plan.toString().split("\n") if "Aggregate" in line]
+    assert packed and not any("array(" in line for line in packed)  # boxes are made behind the exchange
