@@ -116,7 +116,10 @@ def q_marker_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     concat('eine lange Beschreibung mit vielen Worten steht hier auf einer einzigen Zeile, die kein Ende hat. Rest ', p_name) AS description FROM part""")
 def q_sheet_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sheet."""
-    return layout.sheet_records(fixture(spark, sf_dir, "sheets"), "doc_id", "text")
+    sheets = fixture(spark, sf_dir, "sheets")
+    # one small file is one task
+    sheets = sheets.repartition(4 * spark.sparkContext.defaultParallelism, "doc_id")
+    return layout.sheet_records(sheets, "doc_id", "text")
 
 
 _CARD = """WITH c AS (SELECT *, CASE p_partkey % 3 WHEN 0 THEN 'J=ab' WHEN 1 THEN 'Kq.' ELSE 'Zz/' END || p_partkey AS inv, lower(p_type) || CASE WHEN p_partkey % 2 = 0 THEN '{a}' ELSE '{b}' END || ' und ' || lower(p_brand) AS mat FROM part),
@@ -185,11 +188,19 @@ def q_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = fixture(spark, sf_dir, "words")
     n = lambda *c: F.array(*[x.cast("double") for x in c])
-    x, y, h = F.col("x"), F.col("y"), F.col("h")
-    polygon = F.when(F.col("i") % 5 > 0, n(x, y, x + 40, y, x + 40, y + h, x, y + h)).otherwise(n(x, y))
-    one = F.struct("i", F.col("word").alias("t"), F.col("conf").cast("double").alias("c"), polygon.alias("p"))
-    part = lambda f: F.transform(F.array_sort(F.collect_list(one)), lambda e: e[f])
-    raw = words.groupBy("doc_id").agg(part("t").alias("rec_texts"), part("c").alias("rec_scores"), part("p").alias("rec_polys"))
+    # only the numbers travel, as arrays of four bytes each; a list leaves out nulls, so a missing confidence is the least number
+    least = F.lit(-(1 << 31))
+    numbers = [F.collect_list(F.coalesce(F.col(c).cast("int"), least)).alias(c) for c in ("i", "conf", "x", "y", "h")]
+    packed = words.groupBy("doc_id").agg(*numbers, F.collect_list("word").alias("word"))
+    boxes = packed.select("doc_id", F.array_sort(F.arrays_zip("i", "conf", "x", "y", "h", "word")).alias("b"))
+
+    def polygon(e):
+        x, y, h = e["x"], e["y"], e["h"]
+        return F.when(e["i"] % 5 > 0, n(x, y, x + 40, y, x + 40, y + h, x, y + h)).otherwise(n(x, y))
+
+    part = lambda make: F.transform("b", make)
+    score = part(lambda e: F.when(e["conf"] > least, e["conf"].cast("double")))
+    raw = boxes.select("doc_id", part(lambda e: e["word"]).alias("rec_texts"), score.alias("rec_scores"), part(polygon).alias("rec_polys"))
     return layout.box_edges(layout.detections(raw, "doc_id")).drop("bbox")
 
 
