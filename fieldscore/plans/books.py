@@ -246,7 +246,9 @@ def q_jsonl_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_documents_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark)
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    supplier.repartition("s_suppkey").select("s_suppkey", F.to_json(F.struct("s_name")).alias("value")).write.partitionBy("s_suppkey").text(path)
+    # tasks move their files themselves; the driver would do so one after the other
+    files = supplier.repartition("s_suppkey").select("s_suppkey", F.to_json(F.struct("s_name")).alias("value")).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    files.partitionBy("s_suppkey").text(path)
     docs = jsonl.read_documents(spark, path)
     name = F.length(F.try_variant_get(F.try_parse_json("record"), "$.s_name", "string"))
     return docs.agg(F.count(F.lit(1)).alias("documents"), F.sum(name).alias("characters"))
@@ -276,6 +278,10 @@ def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stream(spark: SparkSession, rows: DataFrame, files: int, *keys: str, parts: tuple[Column, ...] = ()) -> DataFrame:
     """Rows as a stream of files, two a batch; with ``parts`` the rows of each condition come after those of the one before."""
     path = scratch_dir(spark)
+    if parts:  # made once for all of them
+        made = scratch_dir(spark)
+        rows.write.parquet(made)
+        rows = spark.read.schema(rows.schema).parquet(made)
     for part in parts or (F.lit(True),):
         rows.where(part).repartition(files, *keys).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
