@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,13 +64,17 @@ class BestSoFar(StatefulProcessor):
         self.best = handle.getValueState("best", "value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        frame = pd.concat(list(rows)).sort_values("epoch")
-        best = self.best.get()[0] if self.best.exists() else float("inf")
-        before = frame["value"].cummin().shift(fill_value=float("inf")).clip(upper=best)
-        better = frame[frame["value"] < before]
-        if len(better):
-            self.best.update((float(better["value"].min()),))
-            yield pd.DataFrame({"run": key[0], "epoch": better["epoch"], "value": better["value"]})
+        # plain arrays: a run has few rows, and a table for each would cost more than they do
+        parts = [(f["epoch"].to_numpy(), f["value"].to_numpy(np.float64, na_value=np.nan)) for f in rows]
+        epoch, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(epoch, kind="stable")
+        epoch, value = epoch[order], value[order]
+        best = self.best.get()
+        before = np.fmin.accumulate(np.append(best[0] if best else np.inf, value))[:-1]
+        better = value < before
+        if better.any():
+            self.best.update((float(value[better][-1]),))
+            yield pd.DataFrame({"run": key[0], "epoch": epoch[better], "value": value[better]})
 
     def close(self) -> None:
         pass
