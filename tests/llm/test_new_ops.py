@@ -142,6 +142,45 @@ def test_fingerprint_cases(spark):
     assert fingerprints.fingerprint(spark.createDataFrame([], schema)).count() == 0
 
 
+def plain_fingerprints(spark, docs, texts):
+    """Of ``texts``, by the lexicon of ``docs``: all terms of the band, or all terms."""
+    terms = lambda t: {w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t)) if w}
+    counts = collections.Counter(w for t in docs for w in terms(t))
+    high = max(2, int(len(docs) * fingerprints.MOST))
+    rows = [(i, sorted({w for w in terms(t) if 2 <= counts[w] <= high} or terms(t))) for i, t in enumerate(texts)]
+    used = spark.createDataFrame(rows, "i int, w array<string>").select("i", fingerprints.hashes("w").alias("t"))
+    return [r.s for r in sorted(used.select("i", fingerprints.signature("t").alias("h")).select("i", fingerprints.as_text("h").alias("s")).collect())]
+
+
+def edited_texts(docs):
+    texts = [t for _, t in sorted(docs)]
+    return [t[: len(t) - len(t) // 4] + u[: len(t) // 4] for t, u in zip(texts, texts[1:] + texts[:1], strict=True)]
+
+
+def test_fingerprints_use_all_terms(spark):
+    """Long texts of words that all hold, with few of the band; the two of a pair share these and nothing else tells them apart."""
+    r = random.Random(8)
+    docs = []
+    for i in range(200):
+        words = [f"common{k}" for k in range(400)] + [f"pair{i // 2}x{k}" for k in range(3)] + [f"only{i}x{k}" for k in range(40)]
+        r.shuffle(words)
+        docs.append((i, " ".join(words)))
+    rows = sorted(fingerprints.fingerprint_edits(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect())
+    assert [x.fingerprint for x in rows] == plain_fingerprints(spark, [t for _, t in docs], [t for _, t in docs])
+    assert [x.edited_fingerprint for x in rows] == plain_fingerprints(spark, [t for _, t in docs], edited_texts(docs))
+    assert all((x.near_next == 1) == (x.doc_id % 2 == 0) for x in rows) and len({x.fingerprint for x in rows}) == 100
+
+
+def test_fingerprints_as_by_hand(spark, corpus):
+    """Short words, so that those which an edit cuts or joins are often the lexicon's; copies, empty and odd texts."""
+    r = random.Random(6)
+    docs = [(i, t or "") for i, t in corpus] + [(1000 + i, "".join(r.choices("aB,é ", k=r.randint(0, 60)))) for i in range(300)]
+    rows = sorted(fingerprints.fingerprint_edits(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect())
+    assert [x.fingerprint for x in rows] == plain_fingerprints(spark, [t for _, t in docs], [t for _, t in docs])
+    assert [x.edited_fingerprint for x in rows] == plain_fingerprints(spark, [t for _, t in docs], edited_texts(docs))
+    assert {r.doc_id: r.fingerprint for r in fingerprints.fingerprint(spark.createDataFrame([(str(i), t) for i, t in docs], "doc_id string, text string")).collect()} == {str(x.doc_id): x.fingerprint for x in rows}
+
+
 # -- spelling variants -----------------------------------------------------------------------------------------------
 
 
