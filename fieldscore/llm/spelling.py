@@ -9,8 +9,8 @@
 3. For each word the largest number of its grams that one edit can touch is known (``affected``); a near word shares all
    the others, each at its place counted from the left or, behind the edit, from the right. So two near words share one of
    their ``affected + 1`` rarest grams: only these are listed, under gram, side, place and length.
-4. The lists of a gram are merged in the task that holds them: words that share it are compared where the numbers of shared
-   letters and the exact edit allow. Only near pairs leave a task, once for each gram of theirs that both list. Lists longer
+4. The lists of a gram are merged in the task that holds them: few words that share it are compared one by one, more of them
+   are looked up by what is left without one letter, so that the work of a list grows with its length and its near pairs. Only near pairs leave a task, once for each gram of theirs that both list. Lists longer
    than ``LIST_ROWS`` are cut to tiles that meet in tasks of their own.
 
 Cases: null texts and texts without letters have no words; a row without an id has the id ``null`` in the noise rule; rows
@@ -40,10 +40,14 @@ SHORTEST, LONGEST = 2, 5
 FREQUENT = 64
 DICTIONARY = 250_000
 LIST_ROWS = 2048
-#: Pairs of words that are compared one by one.
-FEW = 400
+#: Pairs of words that are compared one by one; more meet by what is left of a word without one of its letters.
+FEW = 9
+#: Words with more letters are compared by their letters' counts, as what is left without each letter would take much room.
+LONG_WORD = 100
 #: Different words that a task counts before it passes them on.
 HELD_WORDS = 400_000
+#: Runs of more bytes are hashed one by one.
+SHORT_RUN = 64
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -72,14 +76,35 @@ def letter_runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, np.flatnonzero(stop) + 1, np.searchsorted(offsets, start, "right") - 1
 
 
-def noisy(prefix: int, run: bytes) -> str:
-    """The word that a run counts for: one of 97 loses a letter. ``prefix`` is the CRC-32 of ``<id>:``."""
-    h = zlib.crc32(run, prefix)
+def noisy(h: int, run: bytes) -> str:
+    """The word that a run with a hash that ``NOISE`` divides counts for: it loses a letter."""
     word = run.decode()
-    if h % NOISE == 0:
-        k = h % len(word)
-        word = word[:k] + word[k + 1 :]
-    return word
+    k = h % len(word)
+    return word[:k] + word[k + 1 :]
+
+
+def _shifts() -> np.ndarray:
+    """What n zero bytes make of each byte of a CRC-32: by n, place and byte."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = (table >> 1) ^ np.where(table & 1, np.uint32(0xEDB88320), np.uint32(0))
+    now = np.arange(256, dtype=np.uint32) << np.arange(0, 32, 8, dtype=np.uint32)[:, None]
+    out = [now]
+    for _ in range(SHORT_RUN):
+        now = table[now & 255] ^ (now >> 8)
+        out.append(now)
+    return np.array(out)
+
+
+_SHIFTS = _shifts()
+
+
+def joined_crc(prefix: np.ndarray, crc: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """The CRC-32 of texts put together, from those of their parts; second parts have ``SHORT_RUN`` bytes at most."""
+    out = crc.copy()
+    for place in range(4):
+        out ^= _SHIFTS[long, place, prefix >> np.uint32(8 * place) & np.uint32(255)]
+    return out
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -99,15 +124,21 @@ def count_words(docs: DataFrame) -> DataFrame:
             for at, raw, offsets in text_blocks(batch.column(1)):
                 start, end, doc = letter_runs(raw, offsets)
                 text = _LOWER[raw].tobytes()
-                bound = np.searchsorted(doc, np.arange(len(offsets)))
-                for d in range(len(offsets) - 1):
-                    lo, hi = bound[d], bound[d + 1]
-                    if lo < hi:
-                        i = ids[at + d]
-                        prefix = zlib.crc32(f"{'null' if i is None else i}:".encode())
-                        runs = Counter([text[a:b] for a, b in zip(start[lo:hi].tolist(), end[lo:hi].tolist(), strict=True)])
-                        for run, n in runs.items():
-                            held[noisy(prefix, run)] += n
+                prefix = np.array([zlib.crc32(f"{'null' if i is None else i}:".encode()) for i in ids[at : at + len(offsets) - 1]], np.uint32)[doc]
+                index: dict[bytes, int] = {}
+                which = np.array([index.setdefault(text[a:b], len(index)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
+                runs = list(index)
+                crc, long = np.array([zlib.crc32(x) for x in runs], np.uint32)[which], end - start
+                # the hash of id and run, made of those of both
+                h = joined_crc(prefix, crc, np.minimum(long, SHORT_RUN))
+                for i in np.flatnonzero(long > SHORT_RUN).tolist():
+                    h[i] = zlib.crc32(runs[which[i]], int(prefix[i]))
+                noise = h % NOISE == 0
+                for w, n in zip(runs, np.bincount(which[~noise], minlength=len(runs)).tolist(), strict=True):
+                    if n:
+                        held[w.decode()] += n
+                for i in np.flatnonzero(noise).tolist():
+                    held[noisy(int(h[i]), runs[which[i]])] += 1
                 if len(held) >= HELD_WORDS:
                     yield flush()
         if held:
@@ -236,13 +267,41 @@ def near_words(words: DataFrame) -> DataFrame:
 
     def pairs_in(rows) -> list[tuple[str, str]]:
         shown, asking, same, own = rows
-        out = compared(shown, asking) if asking and shown else []
+        out = shorter(shown, asking) if asking and shown else []
         if same:
-            out += compared(own, same)
+            out += replaced(own, same)
         elif len(own) > 1:
-            out += compared(own, own)
+            out += replaced(own, None)
         return [(a, b) if a < b else (b, a) for a, b in out]
 
+    def shorter(left: list[str], right: list[str]) -> list[tuple[str, str]]:
+        """Words of the right list that one of the left is when a letter is deleted."""
+        if len(left) * len(right) <= FEW or max(map(len, left)) > LONG_WORD:
+            return compared(left, right)
+        known = set(right)
+        return [(x, y) for x in left for y in {x[:i] + x[i + 1 :] for i in range(len(x))} & known]
+
+    def replaced(left: list[str], right: list[str] | None) -> list[tuple[str, str]]:
+        """Words of one length that differ in one letter, of both lists or of one: without that letter they are equal."""
+        if len(left) * len(right or left) <= FEW or max(map(len, left)) > LONG_WORD:
+            return compared(left, right or left)
+        rest: dict[tuple[int, str], list[str]] = {}
+        out = []
+        if right is None:
+            for x in left:
+                for i in range(len(x)):
+                    held = rest.setdefault((i, x[:i] + x[i + 1 :]), [])
+                    out += [(x, y) for y in held if x != y]
+                    held.append(x)
+            return out
+        for x in left:
+            for i in range(len(x)):
+                rest.setdefault((i, x[:i] + x[i + 1 :]), []).append(x)
+        for x in right:
+            for i in range(len(x)):
+                out += [(x, y) for y in rest.get((i, x[:i] + x[i + 1 :]), ()) if x != y]
+        return out
+
     def compared(left: list[str], right: list[str]) -> list[tuple[str, str]]:
         """Near words among two lists: in longer ones first by how many letters differ at most, then exactly."""
         if len(left) * len(right) <= FEW:

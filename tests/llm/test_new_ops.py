@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -248,6 +249,31 @@ def test_variants_as_by_hand(spark, misspelt, monkeypatch):
     assert variants(spelling.group_variants(frame)) == want
 
 
+def test_hashes_of_id_and_run():
+    r = random.Random(1)
+    parts = [(f"{r.randrange(10**9)}:".encode(), bytes(r.choices(range(256), k=r.randint(1, spelling.SHORT_RUN)))) for _ in range(500)]
+    crcs = np.array([[zlib.crc32(a), zlib.crc32(b)] for a, b in parts], np.uint32)
+    assert spelling.joined_crc(crcs[:, 0], crcs[:, 1], np.array([len(b) for _, b in parts])).tolist() == [zlib.crc32(a + b) for a, b in parts]
+
+
+def test_long_lists_need_few_comparisons(spark, monkeypatch, tmp_path):
+    """A list of words that are far from each other is not compared pair by pair."""
+    calls, plain = str(tmp_path / "calls"), spelling.one_edit
+
+    def counted(a, b):
+        with open(calls, "ab") as f:
+            f.write(b"x")
+        return plain(a, b)
+
+    monkeypatch.setattr(spelling, "one_edit", counted)
+    monkeypatch.setattr(spelling, "FREQUENT", 1000)
+    r = random.Random(7)
+    words = sorted({"".join(r.choices("abcd", k=8)) for _ in range(250)})
+    near = sorted(tuple(x) for x in spelling.near_words(spark.createDataFrame([(w,) for w in words], "word string")).collect())
+    assert near == sorted((a, b) for a in words for b in words if a < b and distance_one(a, b))
+    assert not os.path.exists(calls) or os.path.getsize(calls) < 3 * len(words)
+
+
 def test_no_words(spark):
     assert spelling.group_variants(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert spelling.group_variants(spark.createDataFrame([(1, None), (2, "ab 12")], "doc_id long, text string")).count() == 0
