@@ -206,6 +206,12 @@ def one_edit(a: str, b: str) -> bool:
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
+def merged(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Both sides shuffled and sorted by the key. Spark sizes a table by its file before any explode, so it would send
+    the grams of a whole vocabulary through the driver to each executor."""
+    return left.hint("merge").join(right, on, how)
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """(a, b) of all near words, the smaller word first; ``words`` has different words in column ``word``."""
     spark = words.sparkSession
@@ -227,7 +233,8 @@ def near_words(words: DataFrame) -> DataFrame:
     counts = words.select("word").mapInArrow(grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     spelt = words.select("word").mapInArrow(split, "word string, grams array<string>, touched int")
     # the rarest grams of each word, one more than an edit can touch
-    placed = spelt.select("word", "touched", F.size("grams").alias("size"), F.posexplode("grams").alias("place", "gram")).join(counts, "gram")
+    placed = spelt.select("word", "touched", F.size("grams").alias("size"), F.posexplode("grams").alias("place", "gram"))
+    placed = merged(placed, counts, "gram")
     ranked = placed.groupBy("word", "touched", "size").agg(F.array_sort(F.collect_list(F.struct("n", "gram", "place"))).alias("all"))
     chosen = ranked.select("word", "size", F.explode(F.slice("all", 1, F.col("touched") + 1)).alias("g")).select("word", "size", F.col("g.gram").alias("gram"), F.col("g.place").alias("place"))
     # a gram left of the edit keeps its place from the left, one right of it its place from the right; words of one length
@@ -242,7 +249,7 @@ def near_words(words: DataFrame) -> DataFrame:
     listed = stage(chosen.select("word", F.explode(entries).alias("e"), "gram").select("word", F.xxhash64("gram", "e.side", "e.at", "e.long").alias("list"), "e.asks", "e.side"))
     sizes = listed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asking")).where("n > 1 AND n > asking")
     tiles = F.ceil(F.col("n") / LIST_ROWS).cast("int")
-    cut = listed.join(sizes.select("list", tiles.alias("tiles")), "list").withColumn("tile", F.pmod(F.xxhash64("word"), F.col("tiles")).cast("int"))
+    cut = merged(listed, sizes.select("list", tiles.alias("tiles")), "list").withColumn("tile", F.pmod(F.xxhash64("word"), F.col("tiles")).cast("int"))
     # both sides of a cell: rows of the listed tile, and those that are compared with it
     meet = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     shown = meet.where("NOT asks").select("list", F.col("tile").alias("row"), F.col("other").alias("col"), "word", F.lit(0).alias("part"), "side")
@@ -332,7 +339,7 @@ def roots(forms: DataFrame) -> DataFrame:
     ahead = stage(forms.select("word", F.col("form").alias("root")))
     while True:
         step = ahead.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        jumped = stage(ahead.join(step, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        jumped = stage(merged(ahead, step, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         ahead = jumped.select("word", "root")
         if jumped.where("moved").isEmpty():
             return ahead
@@ -342,10 +349,10 @@ def group_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(word, form, root, n, n_near, form_n) of every word that occurs often enough."""
     words = stage(count_words(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))))
     near = near_words(words).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.a", "p.b")
-    counted = near.join(words.select(F.col("word").alias("b"), F.col("n").alias("m")), "b")
+    counted = merged(near, words.select(F.col("word").alias("b"), F.col("n").alias("m")), "b")
     # the largest count, and of equal ones the smallest word
     best = counted.groupBy(F.col("a").alias("word")).agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("m")).alias("less"), F.col("b").alias("near"))).alias("s"))
-    judged = words.join(best, "word", "left").select("word", "n", "n_near", F.when(-F.col("s.less") >= times * F.col("n"), F.struct(F.col("s.near").alias("form"), (-F.col("s.less")).alias("m"))).alias("f"))
+    judged = merged(words, best, "word", "left").select("word", "n", "n_near", F.when(-F.col("s.less") >= times * F.col("n"), F.struct(F.col("s.near").alias("form"), (-F.col("s.less")).alias("m"))).alias("f"))
     forms = stage(judged.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.col("f.form").alias("form"), F.col("f.m").alias("form_n")))
     ends = roots(forms.where("form IS NOT NULL"))
-    return forms.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return merged(forms, ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -249,6 +249,18 @@ def test_variants_as_by_hand(spark, misspelt, monkeypatch):
     assert variants(spelling.group_variants(frame)) == want
 
 
+def test_variants_are_not_broadcast(spark, misspelt):
+    """A table of grams looks as small as the file of its words; here any broadcast ends the job."""
+    docs = misspelt[:60]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1")
+    try:
+        assert variants(spelling.group_variants(frame)) == plain_variants(docs)
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", before)
+
+
 def test_hashes_of_id_and_run():
     r = random.Random(1)
     parts = [(f"{r.randrange(10**9)}:".encode(), bytes(r.choices(range(256), k=r.randint(1, spelling.SHORT_RUN)))) for _ in range(500)]
