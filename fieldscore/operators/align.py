@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,10 +36,17 @@ def without_done(work: DataFrame, done: DataFrame, id_col: str) -> DataFrame:
 
 
 def missing_and_extra(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows of only one side, with ``side``."""
+    """Rows of only one side, with ``side``; a row with a null key has no like on the other side.
+
+    Both sides are counted together and not joined: exploded rows look as few as those they come from, and Spark would send them all.
+    """
     on = list(on)
-    only = lambda a, b, side: a.select(*on).distinct().join(b.select(*on).distinct(), on, "left_anti").withColumn("side", F.lit(side))
-    return only(left, right, "missing").unionByName(only(right, left, "extra"))
+    both = left.select(*on, F.lit(True).alias("__left")).unionByName(right.select(*on, F.lit(False).alias("__left")))
+    seen = both.groupBy(*on).agg(F.bool_or("__left").alias("__left"), F.bool_or(~F.col("__left")).alias("__right"))
+    null = reduce(or_, [F.col(c).isNull() for c in on])
+    only = lambda here, there, side: F.when(F.col(here) & (~F.col(there) | null), side)
+    sides = F.array_compact(F.array(only("__left", "__right", "missing"), only("__right", "__left", "extra")))
+    return seen.select(*on, F.explode(sides).alias("side"))
 
 
 def resolve_files(names: DataFrame, files: DataFrame, id_col: str, name_col: str, path_col: str = "path") -> DataFrame:

@@ -252,3 +252,17 @@ def test_error_split_leaves_out_empty_references(spark):
     assert out.columns == ["kind", "substitutions", "deletions", "insertions", "ref_chars", "micro", "macro"]
     assert rows(out) == [("a", 1, 4, 0, 9, 5 / 9, pytest.approx((1 / 3 + 1 / 3 + 1) / 3)), ("c", 0, 0, 1, 1, 1.0, 1.0)]
     assert metrics.error_split(spark.createDataFrame([], "kind string, ref string, hyp string"), "kind").count() == 0
+
+
+def test_missing_and_extra_sends_no_side(spark):
+    """Exploded rows look few, so either side was broadcast; here any broadcast ends the job. Null keys are like no others."""
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, None), (3, "c")], "i int, path string")
+    right = spark.createDataFrame([(1, "a"), (2, None), (None, "c"), (4, "d"), (4, "d")], "i int, path string")
+    before = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1")
+    try:
+        assert rows(align.missing_and_extra(left, right, ["i", "path"])) == [
+            (1, "b", "missing"), (2, None, "extra"), (2, None, "missing"), (3, "c", "missing"), (4, "d", "extra"), (None, "c", "extra"),
+        ]
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", before)
