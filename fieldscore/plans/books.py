@@ -246,9 +246,7 @@ def q_jsonl_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_documents_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark)
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    # tasks move their files themselves; the driver would do so one after the other
-    files = supplier.repartition("s_suppkey").select("s_suppkey", F.to_json(F.struct("s_name")).alias("value")).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-    files.partitionBy("s_suppkey").text(path)
+    jsonl.write_documents(supplier.select(F.col("s_suppkey").alias("name"), F.to_json(F.struct("s_name")).alias("record")), path)
     docs = jsonl.read_documents(spark, path)
     name = F.length(F.try_variant_get(F.try_parse_json("record"), "$.s_name", "string"))
     return docs.agg(F.count(F.lit(1)).alias("documents"), F.sum(name).alias("characters"))

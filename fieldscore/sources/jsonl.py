@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +63,36 @@ def write_jsonl(rows: DataFrame, path: str, mode: str = "errorifexists") -> None
     rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode(mode).text(path)
 
 
+def write_documents(rows: DataFrame, path: str) -> int:
+    """A file ``name.json`` for each row of (name, record), which ``read_documents`` takes back; returns how many were written.
+
+    Rows of one name are numbered (``name~1`` is the second), no name is ``null``. Tasks write through Arrow's file systems:
+    Hadoop's starts a process for each file of a local folder, and folders made by a key are listed one by one. A repeated
+    task makes the same files again, each put in its place when it is whole.
+    """
+    store, folder = fs.FileSystem.from_uri(path)
+    store.create_dir(folder, recursive=True)
+    name = F.coalesce(F.col("name").cast("string"), F.lit("null"))
+    bad = F.raise_error(F.concat(F.lit("not a file name: "), name))
+    rows = rows.select(F.when(name.rlike(r"^$|^[._]|[/~\x00]"), bad).otherwise(name).alias("name"), F.coalesce("record", F.lit("")).alias("record"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = fs.FileSystem.from_uri(path)
+        last, again, n = None, 0, 0
+        for batch in batches:
+            for name, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                last, again = name, again + 1 if name == last else 0
+                made = f"{folder}/_{uuid.uuid4().hex}"  # Spark passes over such names
+                with store.open_output_stream(made, compression=None) as out:
+                    out.write(record.encode())
+                store.move(made, f"{folder}/{name}~{again}.json" if again else f"{folder}/{name}.json")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    spread = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "name").sortWithinPartitions("name", "record")
+    return spread.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(name, record): one JSON file for each document; the name is the file's, without its ending."""
     files = spark.read.option("wholetext", True).text(path)

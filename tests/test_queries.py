@@ -109,3 +109,15 @@ def test_detections_send_numbers_only(spark):
     plan = queries()["q_detections"](spark, SF)._jdf.queryExecution().optimizedPlan()
     packed = [line for line in plan.toString().split("\n") if "Aggregate" in line]
     assert packed and not any("array(" in line for line in packed)  # boxes are made behind the exchange
+
+
+def test_documents_share_a_folder(spark, monkeypatch):
+    """A folder for each document is listed, and its file moved, one by one."""
+    from fieldscore.sources import jsonl
+
+    seen, plain_read = [], jsonl.read_documents
+    monkeypatch.setattr(jsonl, "read_documents", lambda spark, path: seen.append(path) or plain_read(spark, path))
+    n = queries()["q_documents_combined"](spark, SF).first().documents
+    folder = seen[0].removeprefix("file://")
+    assert sum(x.endswith(".json") for x in os.listdir(folder)) == n > 0
+    assert not any(x.is_dir() for x in os.scandir(folder))

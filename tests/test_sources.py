@@ -128,3 +128,20 @@ def test_places_of_a_common_run(spark):
     plan = align._inside(keys, paths)._jdf.queryExecution().optimizedPlan().toString()
     assert "(gram" in plan and "place" in plan
     assert {r.key: r.path for r in align._inside(keys, paths).collect()} == {"common": "/common/0", "ommon/": "/common/0"}
+
+
+def test_documents_of_a_file_each(spark, tmp_path):
+    """One flat folder; rows of one name or of none are all kept, and a name that Spark would pass over ends the job."""
+    texts = [(str(i), f'{{"a":{i}}}') for i in range(50)] + [("7", '{"a":"ä\\n"}'), ("7", '{"a":7}'), (None, "{}"), ("8.b", "[]")]
+    path = f"file://{tmp_path}/docs"
+    assert jsonl.write_documents(spark.createDataFrame(texts, "name string, record string"), path) == len(texts)
+    again = sorted(tuple(r) for r in jsonl.read_documents(spark, path).collect())
+    want = sorted([(str(i), f'{{"a":{i}}}') for i in range(50) if i != 7] + [("7", '{"a":"ä\\n"}'), ("7~1", '{"a":7}'), ("7~2", '{"a":7}'), ("null", "{}"), ("8.b", "[]")])
+    assert again == want
+    assert not [x for x in os.listdir(tmp_path / "docs") if not x.endswith(".json")]
+    for name in ("_a", ".a", "a/b", "", "a~1"):
+        with pytest.raises(Exception, match="not a file name"):
+            jsonl.write_documents(spark.createDataFrame([(name, "{}")], "name string, record string"), path)
+    empty = f"file://{tmp_path}/empty"
+    assert jsonl.write_documents(spark.createDataFrame([], "name string, record string"), empty) == 0
+    assert jsonl.read_documents(spark, empty).count() == 0
