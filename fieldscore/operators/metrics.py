@@ -190,12 +190,17 @@ def latency_summary(requests: DataFrame, model: str, latency: str, hit: str) ->
     )
 
 
+def made_once(rows: DataFrame, *columns) -> DataFrame:
+    """The columns as values: a plain projection is copied to all places that use it, before and behind a Python function."""
+    return rows.select(F.explode(F.array(F.struct(*columns))).alias("__made")).select("__made.*")
+
+
 def two_forms(pairs: DataFrame, hyp: str, ref: str, fold=None) -> DataFrame:
     """Rates of the schema form and the content form side by side, micro over all rows."""
     from ..functions.text import content_only, schema_form
 
-    forms = pairs.select(schema_form(F.col(hyp), fold).alias("schema_hyp"), schema_form(F.col(ref), fold).alias("schema_ref"))
-    forms = forms.withColumns({f"content_{side}": content_only(F.col(f"schema_{side}")) for side in ("hyp", "ref")})
+    forms = made_once(pairs, schema_form(F.col(hyp), fold).alias("schema_hyp"), schema_form(F.col(ref), fold).alias("schema_ref"))
+    forms = made_once(forms, *forms.columns, *[content_only(F.col(f"schema_{side}")).alias(f"content_{side}") for side in ("hyp", "ref")])
     out = forms.select(*[x for n in ("schema", "content") for x in (edits(F.col(f"{n}_hyp"), F.col(f"{n}_ref")).cast("long").alias(f"{n}_edits"), F.length(f"{n}_ref").cast("long").alias(f"{n}_len"))])
     rate = lambda n: F.col(f"{n}_edits") / F.greatest(F.lit(1), F.col(f"{n}_len"))
     return out.agg(*[x for n in ("schema", "content") for x in ((F.sum(f"{n}_edits") / F.sum(f"{n}_len")).alias(f"{n}_micro"), F.avg(rate(n)).alias(f"{n}_macro"))])

@@ -240,3 +240,24 @@ def test_plain_substitutions_fill_no_table(monkeypatch):
     ref = "the letter e is read as another one, here and there" * 4
     swapped, deleted, added = D.alignments([ref, ref, ref], [ref.replace("e", "c"), ref + " and more", ref[:10] + ref[14:]])
     assert swapped.tolist() == [ref.count("e"), 0, 0] and deleted.tolist() == [0, 0, 4] and added.tolist() == [0, 9, 0]
+
+
+def test_bounds_settle_distances(monkeypatch):
+    """What bounds tell is the plain distance, and replaced or left-out letters fill no table."""
+    rng = random.Random(6)
+    pairs = [("", ""), ("", "a"), ("a\0", "a"), ("\0a", "a"), ("ab", "ba"), ("abcd", "bcda"), ("𝄞" * 9, "𝄞" * 8), ("\ud800a", "a\udc00")]
+    for _ in range(600):
+        a = "".join(rng.choices("abcdeäß€𝄞", k=rng.choice([1, 2, 5, 20, 65, 140])))
+        b = a.replace(rng.choice("abc"), rng.choice("x.a")) if rng.random() < 0.4 else "".join(c for c in a if rng.random() < 0.8) if rng.random() < 0.5 else _near(rng, a, "abcä")
+        pairs.append((a, b) if rng.random() < 0.5 else (b, a))
+    want = [plain(a, b) for a, b in pairs]
+    for cells in (D.BOUND_CELLS, 64 * 200, 64):
+        monkeypatch.setattr(D, "BOUND_CELLS", cells)
+        told = D.settled(*zip(*pairs)).tolist()
+        assert all(t in (-1, w) for t, w in zip(told, want, strict=True)) and (cells < 64 * 200 or sum(t >= 0 for t in told) > 300)
+        assert D.distances(*zip(*pairs)).tolist() == want
+    monkeypatch.undo()
+    monkeypatch.setattr(D, "_columns", None)
+    ref = "the letter e is read as another one, here and there" * 3
+    others = [ref.replace("e", "."), ref.replace("e", ""), ref + " and more", ref[:10] + ref[14:]]
+    assert D.distances(others, [ref] * 4).tolist() == [ref.count("e"), ref.count("e"), 9, 4]

@@ -121,3 +121,9 @@ def test_documents_share_a_folder(spark, monkeypatch):
     folder = seen[0].removeprefix("file://")
     assert sum(x.endswith(".json") for x in os.listdir(folder)) == n > 0
     assert not any(x.is_dir() for x in os.scandir(folder))
+
+
+def test_forms_are_made_once(spark):
+    """Each of the three expressions once a side, and one that makes the texts."""
+    plan = queries()["q_two_forms"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 7
