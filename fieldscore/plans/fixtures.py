@@ -142,9 +142,11 @@ def tables(spark: SparkSession, sf_dir: str) -> None:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table in Spark."""
+def fixture(spark: SparkSession, sf_dir: str, name: str, spread: tuple[str, str] | None = None) -> DataFrame:
+    """A derived table in Spark; ``spread`` names a table and its key whose rows are dealt to tasks before anything is made of them."""
     tables(spark, sf_dir)
+    if spread:
+        spark.table(spread[0]).repartition(4 * spark.sparkContext.defaultParallelism, spread[1]).createOrReplaceTempView(spread[0])
     special = {"pairs": pairs_sql, "words": words_sql, "forms": forms_sql}
     return spark.sql(special[name](False) if name in special else FIXTURES[name])
 

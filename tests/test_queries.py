@@ -127,3 +127,9 @@ def test_forms_are_made_once(spark):
     """Each of the three expressions once a side, and one that makes the texts."""
     plan = queries()["q_two_forms"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") == 7
+
+
+def test_documents_are_spread_before_they_are_cut(spark):
+    plan = queries()["q_two_forms"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(sequence(") < plan.index("RepartitionByExpression")  # what comes first is made last
+    assert plan.count("RepartitionByExpression") == 1
